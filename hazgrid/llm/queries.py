@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from hazgrid.llm import quality
+from hazgrid.llm import quality, secrets
 
 
 def queries():
     return {
         "op8_quality_rules": quality.op8_quality_rules,
+        "op9_secret_scans": secrets.op9_secret_scans,
     }
 
 
