@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from hazgrid.llm import quality, secrets
+from hazgrid.llm import chat, quality, secrets
 
 
 def queries():
     return {
+        "op2_chat_formatting": chat.op2_chat_formatting,
         "op8_quality_rules": quality.op8_quality_rules,
         "op9_secret_scans": secrets.op9_secret_scans,
     }
 
 
 def oracle_sql():
-    return {}
+    return {"op2_chat_formatting": chat.OP2_SQL}
