@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from hazgrid.llm import chat, packing, quality, secrets
+from hazgrid.llm import chat, lengths, packing, quality, secrets
 
 
 def queries():
     return {
         "op2_chat_formatting": chat.op2_chat_formatting,
         "op6_best_fit_packing": packing.op6_best_fit_packing,
+        "op7_token_counts": lengths.op7_token_counts,
         "op8_quality_rules": quality.op8_quality_rules,
         "op9_secret_scans": secrets.op9_secret_scans,
     }
