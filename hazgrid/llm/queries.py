@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from hazgrid.llm import chat, lengths, packing, quality, secrets
+from hazgrid.llm import bpe, chat, lengths, packing, quality, secrets
 
 
 def queries():
@@ -12,6 +12,7 @@ def queries():
         "op7_token_counts": lengths.op7_token_counts,
         "op8_quality_rules": quality.op8_quality_rules,
         "op9_secret_scans": secrets.op9_secret_scans,
+        "op10_byte_bpe": bpe.op10_byte_bpe,
     }
 
 
