@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from hazgrid.llm import bpe, chat, lengths, packing, quality, secrets
+from hazgrid.llm import bpe, chat, lengths, minhash, packing, quality, secrets
 
 
 def queries():
     return {
         "op2_chat_formatting": chat.op2_chat_formatting,
+        "op4_minhash_near_dedup": minhash.op4_minhash_near_dedup,
         "op6_best_fit_packing": packing.op6_best_fit_packing,
         "op7_token_counts": lengths.op7_token_counts,
         "op8_quality_rules": quality.op8_quality_rules,
