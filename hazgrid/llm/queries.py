@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from hazgrid.llm import bpe, chat, lengths, minhash, packing, quality, secrets
+from hazgrid.llm import bpe, chat, lengths, minhash, packing, quality, secrets, toxicity
 
 
 def queries():
     return {
         "op2_chat_formatting": chat.op2_chat_formatting,
         "op4_minhash_near_dedup": minhash.op4_minhash_near_dedup,
+        "op5_toxicity": toxicity.op5_toxicity,
         "op6_best_fit_packing": packing.op6_best_fit_packing,
         "op7_token_counts": lengths.op7_token_counts,
         "op8_quality_rules": quality.op8_quality_rules,
