@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from hazgrid.llm import bpe, chat, lengths, minhash, packing, quality, secrets, toxicity
+from hazgrid.llm import bpe, chat, lengths, matroska, minhash, packing, quality, secrets, toxicity
 
 
 def queries():
     return {
         "op2_chat_formatting": chat.op2_chat_formatting,
+        "op3_media_columns": matroska.op3_media_columns,
         "op4_minhash_near_dedup": minhash.op4_minhash_near_dedup,
         "op5_toxicity": toxicity.op5_toxicity,
         "op6_best_fit_packing": packing.op6_best_fit_packing,
