@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from hazgrid.llm import bpe, chat, lengths, matroska, minhash, packing, quality, secrets, toxicity
+from hazgrid.llm import bpe, chat, idfiles, lengths, matroska, minhash, packing, quality, secrets, toxicity
 
 
 def queries():
     return {
+        "op1_token_id_files": idfiles.op1_token_id_files,
         "op2_chat_formatting": chat.op2_chat_formatting,
         "op3_media_columns": matroska.op3_media_columns,
         "op4_minhash_near_dedup": minhash.op4_minhash_near_dedup,
