@@ -1,5 +1,66 @@
-"""The corpus pipeline."""
-STAGES = []
+"""The corpus pipeline: quality rules, toxicity, near-duplicates, secrets, packing.
+
+Each stage takes (spark, docs, sf_dir) and works on all documents that the one before it kept. All but the last return the
+columns of documents.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from hazgrid.llm import minhash, packing, quality, secrets, toxicity
+from hazgrid.llm.common import written
+
+
+def _with_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows of ``docs`` whose doc_id, null like any other, is among ``ids``."""
+    ids = ids.select(F.col("doc_id").alias("_id"))
+    return docs.join(ids, docs["doc_id"].eqNullSafe(ids["_id"]), "left_semi").select(*docs.columns)
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality rules keep."""
+    verdicts = quality.quality_rules(docs).where("kept").select("doc_id").distinct()
+    return _with_ids(docs, verdicts)
+
+
+def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that aren't found toxic."""
+    model = toxicity.toxicity_model(spark, docs, sf_dir)
+    return toxicity.score(docs, model, keep=tuple(docs.columns), text="text").where("predicted = 0").select(*docs.columns)
+
+
+def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates."""
+    kept = minhash.near_duplicates(docs).where("kept").select("doc_id").distinct()
+    return _with_ids(docs, kept)
+
+
+def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, their secrets replaced by a mark."""
+    return secrets.redact(docs)
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Where each document's pieces lie in the training sequences."""
+    return packing.pack(packing.byte_lengths(docs))
+
+
+STAGES = [
+    ("quality_rules", quality_stage),
+    ("toxicity", toxicity_stage),
+    ("near_duplicates", near_duplicate_stage),
+    ("secret_scan", secrets_stage),
+    ("best_fit_packing", packing_stage),
+]
+
+#: SQL can't express the fitted stages.
 ORACLE_SQL = None
-def run(spark, sf_dir):
-    raise NotImplementedError
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

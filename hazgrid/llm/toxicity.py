@@ -152,10 +152,10 @@ class _Weights(dict):
         return value
 
 
-def score(docs: DataFrame, model: bytes, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def score(docs: DataFrame, model: bytes, keep: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
     """``keep``, score (noisy-or of all sentences of the whole text, 0 without any), predicted (score >= 0.3), and the place
     of the worst sentence (worst_start, worst_end in code points, worst_score; null without sentences)."""
-    source = docs.select(*keep, F.col("text").alias("_text"))
+    source = docs.select(*keep, F.col(text).alias("_text"))
     shared = docs.sparkSession.sparkContext.broadcast(model)
     fields = {"score": "double", "predicted": "int", "worst_start": "int", "worst_end": "int", "worst_score": "double"}
     schema = source.drop("_text").withColumns({k: F.lit(None).cast(t) for k, t in fields.items()}).schema
