@@ -192,6 +192,8 @@ def encode_decode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "t
     if with_ids:
         wanted = wanted.select("*", F.array().cast("array<int>").alias("ids"), F.lit(b"").alias("decoded"))
 
+    names, schema = wanted.columns, wanted.schema
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         database = bpe_database(ranks_path, pattern)
         for batch in batches:
@@ -207,9 +209,9 @@ def encode_decode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "t
                         all_decoded.append(decoded)
                 columns = [part.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(decoded_sha, pa.string())]
                 columns += [pa.array(all_ids, pa.list_(pa.int32())), pa.array(all_decoded, pa.binary())] if with_ids else []
-                yield pa.RecordBatch.from_arrays(columns, wanted.columns)
+                yield pa.RecordBatch.from_arrays(columns, names)
 
-    return source.mapInArrow(run, wanted.schema)
+    return source.mapInArrow(run, schema)
 
 
 def op10_byte_bpe(spark, sf_dir):
