@@ -2,13 +2,14 @@
 
 1. One pass over the texts: exact shingle sets become a digest, a size, and the hashes of bands of the signature.
 2. Equal sets are one class, represented by its least doc_id, so thousands of exact copies cost as much as one text.
-3. Documents that share a band are candidates. First each bucket's least member is held against the others (a star), and
-   links that the full sets confirm give components. Then whatever still lies in different components of one bucket is
-   compared, members outside the bucket's largest component against the rest. So a large group of near copies costs its
-   size, and no candidate pair between components goes unseen.
+3. Documents that share a band are candidates. Each bucket's leader is its member with the most company over all buckets,
+   as the source of many copies is; it is held against the others (a star), and links that the full sets confirm give
+   components. Where a leader's followers still lie in different components, those outside the largest one are compared
+   with the rest: exactly, in blocks of sets, by counting common shingles for a whole block at once, so that pairs are
+   never rows. No candidate pair between components goes unseen, whatever a group's size.
 4. Components of the confirmed links.
 
-Scale: texts are read twice and only those of candidates travel; buckets are counted by partial aggregation and joined,
+Scale: texts are read again only where candidates are confirmed, and only those of candidates travel; buckets are counted by partial aggregation and joined,
 so a hot bucket is a skewed join that Spark can split. A pair at the threshold misses all 40 bands of 5 values with
 probability (1 - 0.8**5)**40, about 1e-7.
 """
@@ -19,6 +20,7 @@ import hashlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -32,6 +34,8 @@ PERMUTATIONS, ROWS = 100, 5
 BANDS = 2 * PERMUTATIONS // ROWS
 THRESHOLD = 80  # in hundredths
 CACHE_WORDS = 400_000
+#: Followers of one leader that are compared at a time.
+BLOCK = 256
 
 _random = np.random.default_rng(20_240_601)
 _A = (_random.integers(0, 2**31, PERMUTATIONS, dtype=np.uint32) * np.uint32(2) + np.uint32(1))[:, None]
@@ -152,6 +156,71 @@ def _close(n: str, m: str):
     return 100 * F.least(n, m) >= THRESHOLD * F.greatest(n, m)
 
 
+def _common(strays: list[np.ndarray], others: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of all ``strays`` with all ``others``: a product of incidence matrices, a range of shingles at a time."""
+    sizes = [np.array([len(x) for x in some]) for some in (strays, others)]
+    flat = [np.concatenate(some) for some in (strays, others)]
+    owner = [np.repeat(np.arange(len(n), dtype=np.int32), n) for n in sizes]
+    both = np.intersect1d(np.unique(flat[0]), np.unique(flat[1]), assume_unique=True)
+    counts = np.zeros((len(strays), len(others)), np.float64)
+    if not len(both):
+        return counts
+    places = [np.searchsorted(both, x) for x in flat]
+    held = [both[np.minimum(at, len(both) - 1)] == x for at, x in zip(places, flat, strict=True)]
+    order = [np.argsort(at[h], kind="stable") for at, h in zip(places, held, strict=True)]
+    places = [at[h][o] for at, h, o in zip(places, held, order, strict=True)]
+    owner = [w[h][o] for w, h, o in zip(owner, held, order, strict=True)]
+    for start in range(0, len(both), 8192):
+        part = []
+        for at, w, rows in zip(places, owner, (len(strays), len(others)), strict=True):
+            low, high = np.searchsorted(at, [start, start + 8192])
+            m = np.zeros((rows, min(8192, len(both) - start)), np.float32)
+            m[w[low:high], at[low:high] - start] = 1
+            part.append(m)
+        counts += part[0] @ part[1].T
+    return counts
+
+
+def _links_of_strays(placed: DataFrame, docs: DataFrame, width: int) -> DataFrame:
+    """Confirmed links (u, v) between followers (leader, rep, c) of one leader in different components.
+
+    Followers of a leader are dealt into blocks of about BLOCK by hash; each block of strays meets each block of all of
+    them. Leaders with few followers share a task.
+    """
+    sizes = placed.groupBy("leader", "c").agg(F.count("*").alias("size"))
+    groups = sizes.groupBy("leader").agg(F.max(F.struct("size", "c"))["c"].alias("largest"), F.count("*").alias("parts"), F.sum("size").alias("size")).where("parts > 1")
+    open_ = written(placed.join(groups.select("leader", "largest", "size"), "leader"), "open")
+    sets = written(_sets(docs, open_.select(F.col("rep").alias("doc_id")).distinct(), width), "open-sets").withColumnRenamed("doc_id", "rep")
+    n_open = open_.count()
+    blocks = F.ceil(F.col("size") / BLOCK)
+    tasks = max(1, n_open // (4 * BLOCK))
+    rows = open_.join(sets, "rep").withColumn("task", F.when(blocks > 1, F.concat(F.lit("l"), "leader")).otherwise(F.concat(F.lit("s"), F.pmod(F.xxhash64("leader"), F.lit(tasks)))))
+    rows = rows.withColumns({"blocks": blocks, "block": F.pmod(F.xxhash64("rep"), blocks)})
+    every = F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)
+    keys = ["task", "row", "col"]
+    strays = rows.where("c != largest").withColumn("row", F.col("block")).withColumn("col", F.explode(every)).select(*keys, "leader", "rep", "c", "shingles")
+    others = rows.withColumn("col", F.col("block")).withColumn("row", F.explode(every))
+    others = others.select(*(F.col(c).alias(c) for c in (*keys, "leader", "rep", "c", "shingles")))  # fresh columns: both sides come from one table
+
+    def compare(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        found = []
+        theirs = dict(tuple(right.groupby("leader"))) if len(left) else {}
+        for leader, mine in left.groupby("leader") if len(left) else ():
+            if leader not in theirs:
+                continue
+            their = theirs[leader]
+            a, b = ([np.frombuffer(x, np.uint64) for x in some["shingles"]] for some in (mine, their))
+            common = _common(a, b)
+            union = np.array([len(x) for x in a])[:, None] + np.array([len(x) for x in b])[None, :] - common
+            apart = mine["c"].to_numpy()[:, None] != their["c"].to_numpy()[None, :]
+            i, j = np.nonzero(apart & (100 * common >= THRESHOLD * union) & (union > 0))
+            u, v = mine["rep"].to_numpy()[i], their["rep"].to_numpy()[j]
+            found.append(pd.DataFrame({"u": np.minimum(u, v), "v": np.maximum(u, v)}))
+        return pd.concat(found) if found else pd.DataFrame({"u": pd.Series(dtype="int64"), "v": pd.Series(dtype="int64")})
+
+    return checkpointed(strays.groupBy(*keys).cogroup(others.groupBy(*keys)).applyInPandas(compare, "u long, v long").distinct())
+
+
 def near_duplicates(docs: DataFrame, width: int = 5) -> DataFrame:
     """doc_id, n_shingles, component_id (least doc_id reachable over links) and kept, a row for each row of ``docs``.
 
@@ -163,22 +232,20 @@ def near_duplicates(docs: DataFrame, width: int = 5) -> DataFrame:
     classes = signed.where(F.col("digest").isNotNull()).groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.first("n_shingles").alias("n"))
     classes = written(classes.where(F.col("rep").isNotNull()), "classes")
     buckets = classes.select(F.posexplode("bands").alias("band", "hash"), "rep", "n").select(F.xxhash64("band", "hash").alias("bucket"), "rep", "n")
-    shared = buckets.groupBy("bucket").agg(F.min(F.struct("rep", "n")).alias("first"), F.count("*").alias("members")).where("members > 1").drop("members")
+    shared = buckets.groupBy("bucket").agg(F.count("*").alias("members")).where("members > 1")
     members = written(buckets.join(shared, "bucket"), "members")
-
-    stars = members.where(F.col("rep") != F.col("first.rep")).where(_close("n", "first.n")).select(F.col("first.rep").alias("u"), F.col("rep").alias("v")).distinct()
-    links = confirmed(checkpointed(stars), docs, width)
+    company = members.groupBy("rep").agg(F.sum("members").alias("company"))
+    ranked = members.join(company, "rep")
+    leaders = ranked.groupBy("bucket").agg(F.max(F.struct("company", (-F.col("rep")).alias("minus"), "n")).alias("m"))
+    leaders = leaders.select("bucket", (-F.col("m.minus")).alias("leader"), F.col("m.n").alias("leader_n"))
+    followers = written(members.join(leaders, "bucket").select("leader", "leader_n", "rep", "n").distinct(), "followers")
+
+    stars = followers.where(F.col("rep") != F.col("leader")).where(_close("n", "leader_n"))
+    links = confirmed(checkpointed(stars.select(F.least("leader", "rep").alias("u"), F.greatest("leader", "rep").alias("v")).distinct()), docs, width)
     components = checkpointed(connected_components(links))
 
-    # Buckets that hold more than one component still: their members outside the largest one, against those of other components.
-    placed = members.join(components.withColumnRenamed("node", "rep"), "rep", "left").select("bucket", "rep", "n", F.coalesce("component", "rep").alias("c"))
-    sizes = placed.groupBy("bucket", "c").agg(F.count("*").alias("size"))
-    mixed = sizes.groupBy("bucket").agg(F.max(F.struct("size", "c"))["c"].alias("largest"), F.count("*").alias("parts")).where("parts > 1").drop("parts")
-    open_ = written(placed.join(mixed, "bucket"), "open")
-    strays = open_.where("c != largest").select("bucket", F.col("rep").alias("a"), F.col("c").alias("ca"), F.col("n").alias("na"))
-    both = strays.join(open_, "bucket").where((F.col("c") != F.col("ca")) & _close("n", "na"))
-    pairs = both.select(F.least("a", "rep").alias("u"), F.greatest("a", "rep").alias("v")).distinct().join(stars, ["u", "v"], "left_anti")
-    links = links.unionByName(confirmed(checkpointed(pairs), docs, width))
+    placed = followers.join(components.withColumnRenamed("node", "rep"), "rep", "left").select("leader", "rep", F.coalesce("component", "rep").alias("c"))
+    links = links.unionByName(_links_of_strays(placed, docs, width))
     components = checkpointed(connected_components(links)).withColumnRenamed("node", "rep")
 
     final = classes.select("digest", "rep").join(components, "rep", "left").select("digest", F.coalesce("component", "rep").alias("component_id"))
