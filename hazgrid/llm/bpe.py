@@ -105,6 +105,8 @@ class BpeDatabase:
                 self.joined[a, b] = True
         self.young: dict[str, tuple[str, int, bytes]] = {}
         self.old: dict[str, tuple[str, int, bytes]] = {}
+        self.young_words: dict[bytes, tuple[str, int, bytes]] = {}
+        self.old_words: dict[bytes, tuple[str, int, bytes]] = {}
 
     def _units(self, word: bytes) -> list[bytes]:
         """``word``, a long one cut where nothing merges."""
@@ -126,6 +128,8 @@ class BpeDatabase:
     def _words(self, words: set[bytes]) -> dict[bytes, tuple[str, int, bytes]]:
         """(ids as text, their number, decoded bytes) of each word. A word that is a token is that token."""
         found = {w: (str(self.ranks[w]), 1, w) for w in words if w in self.ranks}
+        for cache in (self.young_words, self.old_words):
+            found.update((w, cache[w]) for w in words if w in cache)
         split = {w: self._units(w) for w in words if w not in found}
         waiting = {u for units in split.values() for u in units} - self.ranks.keys()
         units: dict[bytes, tuple[str, int, bytes]] = {}
@@ -145,6 +149,9 @@ class BpeDatabase:
             else:
                 done = [units[u] if u in units else (str(self.ranks[u]), 1, u) for u in parts]
                 found[w] = " ".join(d[0] for d in done), sum(d[1] for d in done), b"".join(d[2] for d in done)
+        if len(self.young_words) + len(split) > CACHE_WORDS:
+            self.young_words, self.old_words = {}, self.young_words
+        self.young_words.update((w, found[w]) for w in split if len(w) <= CACHE_LENGTH)
         return found
 
     def _learn(self, chunks: set[str]) -> dict[str, tuple[str, int, bytes]]:
