@@ -120,7 +120,11 @@ def _signed(docs: DataFrame, width: int) -> DataFrame:
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """(doc_id, shingles as bytes) of the documents in ``wanted``."""
+    """(doc_id, shingles as bytes) of the documents in ``wanted``.
+
+    Texts meet ``wanted`` by a merge join at every size, so that plan and figures don't change where the ids of candidates
+    outgrow a broadcast; on large scans Spark's runtime filter keeps other texts out of the shuffle.
+    """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -128,11 +132,11 @@ def _sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
                 sets = [shingle_set(t, width).tobytes() for t in part.column("_text").to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(sets, pa.binary())], ["doc_id", "shingles"])
 
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("_text")).join(wanted, "doc_id", "left_semi")
+    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("_text")).join(wanted.hint("merge"), "doc_id", "left_semi")
     return source.mapInArrow(run, "doc_id long, shingles binary")
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, width: int) -> DataFrame:
+def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Those of ``pairs`` (u, v) whose full sets are similar enough."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -144,8 +148,6 @@ def confirmed(pairs: DataFrame, docs: DataFrame, width: int) -> DataFrame:
                 similar.append(100 * common >= THRESHOLD * (len(x) + len(y) - common) > 0)
             yield batch.select(["u", "v"]).filter(pa.array(similar, pa.bool_()))
 
-    wanted = pairs.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct()
-    sets = written(_sets(docs, wanted, width), "sets")
     left = sets.select(F.col("doc_id").alias("u"), F.col("shingles").alias("a"))
     right = sets.select(F.col("doc_id").alias("v"), F.col("shingles").alias("b"))
     return checkpointed(pairs.join(left, "u").join(right, "v").select("u", "v", "a", "b").mapInArrow(run, "u long, v long"))
@@ -181,7 +183,7 @@ def _common(strays: list[np.ndarray], others: list[np.ndarray]) -> np.ndarray:
     return counts
 
 
-def _links_of_strays(placed: DataFrame, docs: DataFrame, width: int) -> DataFrame:
+def _links_of_strays(placed: DataFrame, sets: DataFrame) -> DataFrame:
     """Confirmed links (u, v) between followers (leader, rep, c) of one leader in different components.
 
     Followers of a leader are dealt into blocks of about BLOCK by hash; each block of strays meets each block of all of
@@ -190,7 +192,7 @@ def _links_of_strays(placed: DataFrame, docs: DataFrame, width: int) -> DataFram
     sizes = placed.groupBy("leader", "c").agg(F.count("*").alias("size"))
     groups = sizes.groupBy("leader").agg(F.max(F.struct("size", "c"))["c"].alias("largest"), F.count("*").alias("parts"), F.sum("size").alias("size")).where("parts > 1")
     open_ = written(placed.join(groups.select("leader", "largest", "size"), "leader"), "open")
-    sets = written(_sets(docs, open_.select(F.col("rep").alias("doc_id")).distinct(), width), "open-sets").withColumnRenamed("doc_id", "rep")
+    sets = sets.withColumnRenamed("doc_id", "rep")
     n_open = open_.count()
     blocks = F.ceil(F.col("size") / BLOCK)
     tasks = max(1, n_open // (4 * BLOCK))
@@ -241,11 +243,12 @@ def near_duplicates(docs: DataFrame, width: int = 5) -> DataFrame:
     followers = written(members.join(leaders, "bucket").select("leader", "leader_n", "rep", "n").distinct(), "followers")
 
     stars = followers.where(F.col("rep") != F.col("leader")).where(_close("n", "leader_n"))
-    links = confirmed(checkpointed(stars.select(F.least("leader", "rep").alias("u"), F.greatest("leader", "rep").alias("v")).distinct()), docs, width)
+    sets = written(_sets(docs, followers.select(F.col("rep").alias("doc_id")).distinct(), width), "sets")
+    links = confirmed(checkpointed(stars.select(F.least("leader", "rep").alias("u"), F.greatest("leader", "rep").alias("v")).distinct()), sets)
     components = checkpointed(connected_components(links))
 
     placed = followers.join(components.withColumnRenamed("node", "rep"), "rep", "left").select("leader", "rep", F.coalesce("component", "rep").alias("c"))
-    links = links.unionByName(_links_of_strays(placed, docs, width))
+    links = links.unionByName(_links_of_strays(placed, sets))
     components = checkpointed(connected_components(links)).withColumnRenamed("node", "rep")
 
     final = classes.select("digest", "rep").join(components, "rep", "left").select("digest", F.coalesce("component", "rep").alias("component_id"))
