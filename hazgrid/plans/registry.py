@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from hazgrid.plans import hazards, joins, paths, risk, text
+from hazgrid.plans import hazards, joins, paths, risk, text, trips
 
-MODULES = (risk, hazards, joins, paths, text)
+MODULES = (risk, hazards, joins, paths, trips, text)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
