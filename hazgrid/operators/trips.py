@@ -13,7 +13,7 @@ ETA_SECONDS, ETA_LOW, ETA_HIGH, ETA_ALPHA, ETA_SAMPLES, ETA_DEADBAND, ETA_CLAMP
 # Economy learned after these miles, as a share of the rated one; and the smoothing of waits.
 ECONOMY_MILES, ECONOMY_RATIO, WAIT_ALPHA, WAIT_SAMPLES, WAIT_RANGE = 25.0, (0.5, 1.6), 0.35, 3, (1.0, 180.0)
 # Peaks of an impact, in g.
-HARD_IMPACT, IMPACT, CONFIRM = 6.0, 4.0, 2.5
+HARD_IMPACT, IMPACT, CONFIRM = 8.0, 5.0, 2.5
 
 
 def history(df: DataFrame, key: str, order: list[str], keep: int, *columns: str) -> DataFrame:
