@@ -10,7 +10,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Words that a worker holds at most twice over (a young and an old generation), and the length beyond which it holds none.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 600_000
 CACHE_LENGTH = 64
 #: Characters of text in work at a time.
 SLICE_CHARS = 4_000_000
