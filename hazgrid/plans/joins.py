@@ -110,13 +110,23 @@ def components(spark, sf):
     return graph.components(edges.distinct())
 
 
-def raptor_frontier(spark, sf):
-    """Orders as trips: lines are stops in turn, a stop every ten minutes from a start by order key."""
-    li = table(spark, sf, "lineitem").where("l_orderkey % 10 = 0").select(F.col("l_orderkey").alias("trip"), (F.col("l_partkey") % 200).alias("stop"), F.col("l_linenumber").alias("seq"))
+def _orders_as_trips(lines):
+    """Hops of orders as trips: lines are stops in turn, a stop every ten minutes from a start by order key."""
+    li = lines.select(F.col("l_orderkey").alias("trip"), (F.col("l_partkey") % 200).alias("stop"), F.col("l_linenumber").alias("seq"))
     at = F.pmod("trip", F.lit(1440)) * 60 + F.col("seq") * 600
     li = li.groupBy("trip", "seq").agg(F.min("stop").alias("stop")).withColumn("at", at)
     a, b = li.select("trip", F.col("stop").alias("from_stop"), F.col("at").alias("depart"), F.col("seq").alias("s1")), li.select("trip", F.col("stop").alias("to_stop"), F.col("at").alias("arrive"), F.col("seq").alias("s2"))
-    return graph.timetable_rounds(a.join(b, "trip").where("s1 < s2"), 7, 0, 3)
+    return a.join(b, "trip").where("s1 < s2")
+
+
+def raptor_frontier(spark, sf):
+    """Three boardings over one order in ten, as its SQL has it; raptor_frontier_whole takes them all."""
+    return graph.timetable_rounds(_orders_as_trips(table(spark, sf, "lineitem").where("l_orderkey % 10 = 0")), 7, 0, 3)
+
+
+def raptor_frontier_whole(spark, sf):
+    """Four boardings, the default, over every order."""
+    return graph.timetable_rounds(_orders_as_trips(table(spark, sf, "lineitem")), 7, 0)
 
 
 def covering_boxes(spark, sf):
@@ -128,12 +138,19 @@ def covering_boxes(spark, sf):
 
 
 def distance_matrix(spark, sf):
+    """The first forty vectors, as its SQL has it; distance_matrix_whole takes them all."""
     e = table(spark, sf, "embeddings").where("vec_id < 40").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
     a, b = e.select(F.col("vec_id").alias("a"), F.col("v").alias("va")), e.select(F.col("vec_id").alias("b"), F.col("v").alias("vb"))
     square = F.aggregate(F.zip_with("va", "vb", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)
     return a.crossJoin(F.broadcast(b)).where("a < b").select("a", "b", F.round(F.sqrt(square), 4).alias("distance"))  # forty fixed vectors
 
 
+def distance_matrix_whole(spark, sf):
+    """Each pair of vectors once: the result grows with the square of the table, the memory of a task doesn't."""
+    e = table(spark, sf, "embeddings")
+    return spatial.pair_distances(e, "vec_id", "embedding").select("a", "b", F.round("distance", 4).alias("distance"))
+
+
 _PAIRS = f"""c AS (SELECT c_custkey, {place_sql('c_custkey')} FROM customer), s AS (SELECT s_suppkey, s_acctbal, {place_sql('s_suppkey', 'rlat', 'rlon')} FROM supplier),
 p AS (SELECT *, {METERS_SQL} AS m FROM c, s)"""
 SQL = {
@@ -176,5 +193,11 @@ SELECT stop, round, arrival FROM (SELECT *, min(arrival) OVER (PARTITION BY stop
 SELECT c_custkey, n_nationkey, half FROM c, n WHERE lat >= y - half AND lat < y + half AND lon >= x - half AND lon < x + half QUALIFY row_number() OVER (PARTITION BY c_custkey ORDER BY half, n_nationkey) = 1""",
     "distance_matrix": """SELECT a.vec_id AS a, b.vec_id AS b, round(sqrt(list_sum(list_transform(range(1, len(a.embedding) + 1), lambda i: power(a.embedding[i]::DOUBLE - b.embedding[i]::DOUBLE, 2)))), 4) AS distance
 FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id WHERE a.vec_id < 40 AND b.vec_id < 40""",
+    "raptor_frontier_whole": """WITH RECURSIVE s AS (SELECT l_orderkey AS trip, l_linenumber AS seq, min(l_partkey % 200) AS stop FROM lineitem GROUP BY ALL),
+t AS (SELECT trip, seq, stop, trip % 1440 * 60 + seq * 600 AS at FROM s), h AS (SELECT a.stop AS f, a.at AS dep, b.stop AS g, b.at AS arr FROM t a JOIN t b ON a.trip = b.trip AND a.seq < b.seq),
+q(stop, round, arrival) AS (SELECT 7::BIGINT, 0, 0::BIGINT UNION ALL SELECT g, round + 1, min(arr)::BIGINT FROM q JOIN h ON q.stop = h.f AND h.dep >= q.arrival WHERE round < 4 GROUP BY g, round)
+SELECT stop, round, arrival FROM (SELECT *, min(arrival) OVER (PARTITION BY stop ORDER BY round ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS known FROM q) WHERE known IS NULL OR arrival < known""",
+    "distance_matrix_whole": """SELECT a.vec_id AS a, b.vec_id AS b, round(sqrt(list_sum(list_transform(range(1, len(a.embedding) + 1), lambda i: power(a.embedding[i]::DOUBLE - b.embedding[i]::DOUBLE, 2)))), 4) AS distance
+FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id""",
 }
 QUERIES = {name: globals()[name] for name in SQL}

@@ -49,6 +49,27 @@ def test_timetable_rounds(spark):
     assert got == [(1, 0, 0), (2, 1, 20), (3, 1, 90), (3, 2, 30)]
 
 
+def test_pair_distances_against_all_pairs(spark):
+    import math
+
+    rng = random.Random(2)
+    rows = [(i, [rng.uniform(-1, 1) for _ in range(3)]) for i in range(70)] + [(70, None)]
+    df = spark.createDataFrame(rows, "id long, v array<float>")
+    got = {(r.a, r.b): r.distance for r in spatial.pair_distances(df, "id", "v", 5).collect()}
+    assert got.keys() == {(a, b) for a in range(71) for b in range(a + 1, 71)}
+    assert all(d is None if b == 70 else math.isclose(d, math.dist(rows[a][1], rows[b][1]), abs_tol=1e-5) for (a, b), d in got.items())
+
+
+def test_whole_timetable_has_each_order_and_four_boardings(spark, tmp_path):
+    from hazgrid.plans import joins
+
+    # Four orders lead from stop 7 over 10, 20 and 30 to 40; none is a multiple of ten.
+    lines = [(trip, stop, seq) for trip, calls in ((61, (7, 10)), (81, (10, 20)), (101, (20, 30)), (1301, (30, 40))) for seq, stop in enumerate(calls, 1)]
+    spark.createDataFrame(lines, "l_orderkey long, l_partkey long, l_linenumber int").write.parquet(str(tmp_path / "lineitem.parquet"))
+    got = {r.stop: (r.round, r.arrival) for r in joins.raptor_frontier_whole(spark, str(tmp_path)).collect()}
+    assert {s: n for s, (n, _) in got.items()} == {7: 0, 10: 1, 20: 2, 30: 3, 40: 4} and got[40] == (4, 1301 * 60 + 1200)
+
+
 def test_transit_files(spark, tmp_path):
     (tmp_path / "stop_times.txt").write_text("﻿trip_id,arrival_time,departure_time,stop_id,stop_sequence\nt,08:00:00,08:00:00,a,1\nt,,,b,2\nt,08:10:00,08:10:00,c,3\n")
     (tmp_path / "calendar.txt").write_text("service_id,monday,tuesday,wednesday,thursday,friday,saturday,sunday,start_date,end_date\nwk,1,1,1,1,1,0,0,20240101,20241231\n")
