@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hazgrid.functions.geo import haversine_km
@@ -49,7 +49,8 @@ def route_fares(routes: DataFrame, rules: DataFrame, fares: DataFrame) -> DataFr
     wide = routes.join(fares.join(rules.select("fare_id").distinct(), "fare_id", "left_anti"), "agency_id").withColumn("_own", F.lit(1))
     every = own.select("route_id", "fare_id", "price", "currency", "_own").unionByName(wide.select("route_id", "fare_id", "price", "currency", "_own"))
     kind = F.when(F.lower("fare_id").contains("adult"), 0).when(F.lower("fare_id").rlike("reduced|senior|child|student|youth|disab"), 2).otherwise(1)
-    w = Window.partitionBy("route_id")
-    ranked = every.withColumn("_kind", kind).withColumn("_best", F.min(F.struct("_own", "_kind")).over(w)).where((F.col("_own") == F.col("_best._own")) & (F.col("_kind") == F.col("_best._kind")) & (F.col("_kind") < 2))
+    every = every.withColumn("_kind", kind)
+    best = every.groupBy("route_id").agg(F.min(F.struct("_own", "_kind")).alias("_best"))
+    ranked = every.join(best, "route_id").where((F.col("_own") == F.col("_best._own")) & (F.col("_kind") == F.col("_best._kind")) & (F.col("_kind") < 2))
     g = ranked.groupBy("route_id").agg(F.min("price").alias("price"), F.min("currency").alias("currency"), F.countDistinct("currency").alias("_c"), F.countDistinct("price").alias("_p"))
     return g.select("route_id", F.when(F.col("_c") == 1, F.col("price")).alias("price"), F.when(F.col("_c") == 1, F.col("currency")).alias("currency"), (F.col("_p") > 1).alias("is_from"))

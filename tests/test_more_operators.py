@@ -54,6 +54,16 @@ def test_fares(spark):
     assert got == {"r1": (3.0, False), "r2": (2.0, False), "r3": (None, True)}
 
 
+def test_registered_fares_see_every_part(spark, tmp_path):
+    from hazgrid.plans import trips as plans
+
+    # Part 64 is the only adult fare of agency 4; a rule of part 60 sets the fare of route 0.
+    spark.createDataFrame([(0, 0), (4, 4)], "n_nationkey int, n_regionkey int").write.parquet(str(tmp_path / "nation.parquet"))
+    spark.createDataFrame([(59,), (60,), (64,)], "p_partkey long").write.parquet(str(tmp_path / "part.parquet"))
+    got = {r.route_id: r.price for r in plans.route_fares(spark, str(tmp_path)).collect()}
+    assert got == {"0": 60 % 17 + 1.5, "4": 64 % 17 + 1.5}
+
+
 def test_frequencies_are_half_open(spark):
     stops = spark.createDataFrame([("t", 1, "a", 0, 0), ("t", 2, "b", 60, 60), ("u", 1, "a", 5, 5)], "trip_id string, stop_sequence int, stop_id string, arrive int, depart int")
     f = spark.createDataFrame([("t", 100, 300, 100)], "trip_id string, start int, end int, headway int")
