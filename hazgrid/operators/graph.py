@@ -8,6 +8,8 @@ import tempfile
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from hazgrid.operators.stars import connected_components
+
 
 def settled(df: DataFrame) -> DataFrame:
     """``df`` checkpointed in the session's shared folder, or in one of our own where none is set."""
@@ -17,32 +19,31 @@ def settled(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def shortest_paths(edges: DataFrame, source, rounds: int = 50) -> DataFrame:
-    """(node, dist) reachable from ``source`` over edges (src, dst, w), w not negative: rounds of relaxation until none changes."""
-    spark = edges.sparkSession
-    dist = spark.createDataFrame([(source, 0.0)], "node long, dist double")
-    frontier = dist
-    for _ in range(rounds):
+def shortest_paths(edges: DataFrame, source, rounds: int | None = None) -> DataFrame:
+    """(node, dist) reachable from ``source`` over edges (src, dst, w): rounds of relaxation until none changes. An edge without
+    a weight leads nowhere; a negative weight is an error, and so is a limit of ``rounds`` that is hit before the end."""
+    edges = settled(edges.where(F.col("w").isNotNull()))
+    if not edges.where(F.col("w") < 0).isEmpty():
+        raise ValueError("shortest paths over a negative weight")
+    dist = edges.sparkSession.createDataFrame([(source, 0.0)], "node long, dist double")
+    frontier, done = dist, 0
+    while rounds is None or done < rounds:
         reached = frontier.join(edges, F.col("node") == F.col("src")).groupBy(F.col("dst").alias("node")).agg(F.min(F.col("dist") + F.col("w")).alias("new"))
         both = settled(dist.join(reached, "node", "full").select("node", "dist", F.least("dist", "new").alias("best")))
         frontier = both.where(F.col("dist").isNull() | (F.col("best") < F.col("dist"))).select("node", F.col("best").alias("dist"))
-        dist = both.select("node", F.col("best").alias("dist"))
+        dist, done = both.select("node", F.col("best").alias("dist")), done + 1
         if frontier.isEmpty():
-            break
-    return dist
-
-
-def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
-    """(node, component): the least node reachable over undirected edges (src, dst)."""
-    both = settled(edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct())
-    label = both.select(F.col("src").alias("node")).distinct().withColumn("component", F.col("node"))
-    for _ in range(rounds):
-        offered = both.join(label, F.col("src") == F.col("node")).groupBy("dst").agg(F.min("component").alias("offer"))
-        moved = settled(label.join(offered, F.col("node") == F.col("dst"), "left").select("node", "component", F.least("component", F.coalesce("offer", "component")).alias("least")))
-        label = moved.select("node", F.col("least").alias("component"))
-        if moved.where("least < component").isEmpty():
-            break
-    return label
+            return dist
+    raise RuntimeError(f"distances still change after {rounds} rounds")
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """(node, component): the least node reachable over undirected edges (src, dst). Rounds grow with the logarithm of a
+    component's size. A node that meets only itself is a component."""
+    edges = settled(edges.select("src", "dst"))
+    nodes = edges.select(F.col("src").alias("node")).unionByName(edges.select(F.col("dst").alias("node"))).distinct()
+    found = connected_components(edges.select(F.col("src").alias("u"), F.col("dst").alias("v")), settled)
+    return nodes.join(found, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
 
 
 def timetable_rounds(hops: DataFrame, origin, start: int, rounds: int = 4) -> DataFrame:

@@ -102,14 +102,28 @@ def _supply_edges(spark, sf):
 
 
 def sssp(spark, sf):
+    """Keys folded to 60 nodes, as its SQL has it; sssp_whole takes them as they are."""
     return graph.shortest_paths(_supply_edges(spark, sf), 1, 60)
 
 
+def sssp_whole(spark, sf):
+    """From supplier 1 over the parts that suppliers deliver; a part with a supplier's key stands for that supplier."""
+    li = table(spark, sf, "lineitem").where("l_suppkey <> l_partkey")
+    edges = li.groupBy(F.col("l_suppkey").alias("src"), F.col("l_partkey").alias("dst")).agg(F.min("l_quantity").alias("w"))
+    return graph.shortest_paths(edges, 1)
+
+
 def components(spark, sf):
+    """Keys folded to 291 nodes, as its SQL has it; components_whole takes them as they are."""
     edges = table(spark, sf, "orders").select((F.col("o_custkey") % 97).alias("src"), (F.col("o_custkey") % 97 + 97 * (1 + F.col("o_orderkey") % 2)).alias("dst"))
     return graph.components(edges.distinct())
 
 
+def components_whole(spark, sf):
+    """Customers (even nodes) and their orders (odd nodes)."""
+    return graph.components(table(spark, sf, "orders").select((F.col("o_custkey") * 2).alias("src"), (F.col("o_orderkey") * 2 + 1).alias("dst")))
+
+
 def _orders_as_trips(lines):
     """Hops of orders as trips: lines are stops in turn, a stop every ten minutes from a start by order key."""
     li = lines.select(F.col("l_orderkey").alias("trip"), (F.col("l_partkey") % 200).alias("stop"), F.col("l_linenumber").alias("seq"))
@@ -199,5 +213,7 @@ q(stop, round, arrival) AS (SELECT 7::BIGINT, 0, 0::BIGINT UNION ALL SELECT g, r
 SELECT stop, round, arrival FROM (SELECT *, min(arrival) OVER (PARTITION BY stop ORDER BY round ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS known FROM q) WHERE known IS NULL OR arrival < known""",
     "distance_matrix_whole": """SELECT a.vec_id AS a, b.vec_id AS b, round(sqrt(list_sum(list_transform(range(1, len(a.embedding) + 1), lambda i: power(a.embedding[i]::DOUBLE - b.embedding[i]::DOUBLE, 2)))), 4) AS distance
 FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id""",
+    "components_whole": """WITH RECURSIVE e AS (SELECT DISTINCT o_custkey * 2 AS a, o_orderkey * 2 + 1 AS b FROM orders), u AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+r(node, reach) AS (SELECT a, a FROM u UNION SELECT r.node, u.b FROM r JOIN u ON u.a = r.reach) SELECT node, min(reach) AS component FROM r GROUP BY node""",
 }
-QUERIES = {name: globals()[name] for name in SQL}
+QUERIES = {name: globals()[name] for name in [*SQL, "sssp_whole"]}

@@ -43,6 +43,21 @@ def test_shortest_paths_and_components(spark):
     assert {r.node: r.component for r in graph.components(edges).collect()} == {1: 1, 2: 1, 3: 1, 7: 7, 8: 7}
 
 
+def test_long_chains_are_whole(spark):
+    import pytest
+
+    n = 70
+    chain = spark.createDataFrame([(i, i + 1, 1.0) for i in range(n)], "src long, dst long, w double")
+    assert {r.node: r.dist for r in graph.shortest_paths(chain, 0).collect()} == {i: float(i) for i in range(n + 1)}
+    with pytest.raises(RuntimeError):
+        graph.shortest_paths(chain, 0, rounds=5)
+    with pytest.raises(ValueError):
+        graph.shortest_paths(chain.withColumn("w", -F.col("w")), 0)
+    odd = spark.createDataFrame([(500, 500), (None, 501)], "src long, dst long")
+    got = {r.node: r.component for r in graph.components(chain.select("src", "dst").unionByName(odd)).collect()}
+    assert got == {i: 0 for i in range(n + 1)} | {500: 500, 501: 501, None: None}
+
+
 def test_timetable_rounds(spark):
     hops = spark.createDataFrame([(1, 1, 10, 2, 20), (2, 2, 25, 3, 30), (3, 1, 0, 3, 90), (4, 2, 15, 3, 16)], "trip long, from_stop long, depart long, to_stop long, arrive long")
     got = sorted((r.stop, r.round, r.arrival) for r in graph.timetable_rounds(hops, 1, 0).collect())
@@ -70,6 +85,27 @@ def test_whole_timetable_has_each_order_and_four_boardings(spark, tmp_path):
     assert {s: n for s, (n, _) in got.items()} == {7: 0, 10: 1, 20: 2, 30: 3, 40: 4} and got[40] == (4, 1301 * 60 + 1200)
 
 
+def test_whole_sssp_against_dijkstra(spark, tmp_path):
+    import heapq
+
+    from hazgrid.plans import joins
+
+    rng = random.Random(3)
+    # Parts stand for suppliers of the same key: a chain of 65 hops, and side ways that never shorten it much.
+    lines = [(i, i + 1, 1.0) for i in range(1, 66)] + [(rng.randint(1, 66), rng.randint(1, 90), float(rng.randint(20, 50))) for _ in range(60)]
+    spark.createDataFrame(lines, "l_suppkey long, l_partkey long, l_quantity double").write.parquet(str(tmp_path / "lineitem.parquet"))
+    best, queue = {}, [(0.0, 1)]
+    while queue:
+        d, node = heapq.heappop(queue)
+        if node not in best:
+            best[node] = d
+            for src, dst, w in lines:
+                if src == node and src != dst:
+                    heapq.heappush(queue, (d + w, dst))
+    assert len(best) >= 66
+    assert {r.node: r.dist for r in joins.sssp_whole(spark, str(tmp_path)).collect()} == best
+
+
 def test_transit_files(spark, tmp_path):
     (tmp_path / "stop_times.txt").write_text("﻿trip_id,arrival_time,departure_time,stop_id,stop_sequence\nt,08:00:00,08:00:00,a,1\nt,,,b,2\nt,08:10:00,08:10:00,c,3\n")
     (tmp_path / "calendar.txt").write_text("service_id,monday,tuesday,wednesday,thursday,friday,saturday,sunday,start_date,end_date\nwk,1,1,1,1,1,0,0,20240101,20241231\n")
