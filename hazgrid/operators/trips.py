@@ -1,8 +1,10 @@
-"""What trips teach: arrival and buffer averages, economy, homes, impacts, driving time. Folds that depend on order run over
-arrays of one traveller's bounded history, sorted by time; everything else is an aggregate."""
+"""What trips teach: arrival and buffer averages, economy, homes, impacts, driving time. Averages that depend on order are
+weighted sums, their weights known from a row's rank and the count; arrays are for short histories only."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,13 +25,52 @@ def history(df: DataFrame, key: str, order: list[str], keep: int, *columns: str)
     return df.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(*order, *columns))).alias("history"))
 
 
+def smoothed(df: DataFrame, key: str, order: list[str], block: Column, usable: Column, value: Column, weight: Callable[[Column, Column], Column]) -> DataFrame:
+    """(key, samples, mean) of every key: the sum of ``value`` times ``weight(rank, samples)`` over all usable rows, ranked from
+    1 by ``order``; mean is null without one. ``block`` grows with ``order``: rows are ranked within a key's block and moved by
+    the counts of the blocks before, so that no key's rows meet in one task."""
+    rows = df.where(usable).select(F.col(key).alias("_key"), block.alias("_block"), *order, value.alias("_value"))
+    earlier = Window.partitionBy("_k").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    totals = rows.groupBy(F.col("_key").alias("_k"), F.col("_block").alias("_b")).agg(F.count("*").alias("_c"))
+    totals = totals.withColumns({"_before": F.coalesce(F.sum("_c").over(earlier), F.lit(0)), "_n": F.sum("_c").over(Window.partitionBy("_k"))})
+    rows = rows.withColumn("_rank", F.row_number().over(Window.partitionBy("_key", "_block").orderBy(*order)))
+    rows = rows.join(totals, F.col("_key").eqNullSafe(F.col("_k")) & F.col("_block").eqNullSafe(F.col("_b")))
+    sums = rows.groupBy("_key").agg(F.count("*").alias("samples"), F.sum(F.col("_value") * weight(F.col("_before") + F.col("_rank"), F.col("_n"))).alias("mean"))
+    found = df.select(key).distinct().join(sums, F.col(key).eqNullSafe(F.col("_key")), "left")
+    return found.select(key, F.coalesce("samples", F.lit(0)).cast("int").alias("samples"), "mean")
+
+
+def eta_usable(predicted: Column, actual: Column) -> Column:
+    return (predicted > ETA_SECONDS) & (actual > ETA_SECONDS) & (actual / predicted).between(ETA_LOW, ETA_HIGH)
+
+
+def eta_weight(rank: Column, n: Column) -> Column:
+    """The share of a trip's logarithm after n usable trips: the mean of the first ones, then a fixed rate."""
+    early = int(1 / ETA_ALPHA)
+    later = F.when(rank <= early, F.pow(F.lit(1 - ETA_ALPHA), n - early) / early).otherwise(ETA_ALPHA * F.pow(F.lit(1 - ETA_ALPHA), n - rank))
+    return F.when(n <= early, 1.0 / n).otherwise(later)
+
+
+def eta_states(df: DataFrame, key: str, order: list[str], block: Column, predicted: Column, actual: Column) -> DataFrame:
+    """(key, samples, log_ratio) after all trips of each key; implausible trips don't count."""
+    found = smoothed(df, key, order, block, eta_usable(predicted, actual), F.log(actual / predicted), eta_weight)
+    return found.select(key, "samples", F.coalesce("mean", F.lit(0.0)).alias("log_ratio"))
+
+
+def wait_means(df: DataFrame, key: str, order: list[str], block: Column, value: str, prior: float) -> DataFrame:
+    """(key, wait): the smoothed wait after all of each key's usable waits, or the prior until there are enough."""
+    weight = lambda rank, n: F.when(rank == 1, 1.0).otherwise(WAIT_ALPHA) * F.pow(F.lit(1 - WAIT_ALPHA), n - rank)
+    found = smoothed(df, key, order, block, F.col(value).between(*WAIT_RANGE), F.col(value), weight)
+    return found.select(key, F.when(F.col("samples") >= WAIT_SAMPLES, F.col("mean")).otherwise(F.lit(prior)).alias("wait"))
+
+
 def eta_state(rows: Column, predicted: str, actual: str) -> Column:
     """struct(log_ratio, samples) after a history of trips; implausible trips don't count."""
     zero = F.struct(F.lit(0.0).alias("log_ratio"), F.lit(0).alias("samples"))
 
     def add(s: Column, r: Column) -> Column:
         ratio = r[actual] / r[predicted]
-        usable = (r[predicted] > ETA_SECONDS) & (r[actual] > ETA_SECONDS) & ratio.between(ETA_LOW, ETA_HIGH)
+        usable = eta_usable(r[predicted], r[actual])
         n = s["samples"] + 1
         alpha = F.greatest(1.0 / n, F.lit(ETA_ALPHA))
         return F.when(usable, F.struct((s["log_ratio"] * (1 - alpha) + F.log(ratio) * alpha).alias("log_ratio"), n.alias("samples"))).otherwise(s)

@@ -16,15 +16,14 @@ def _age_days(column="ts"):
 
 def eta_multipliers(spark, sf):
     e = table(spark, sf, "events").select("user_id", "ts", "event_id", (F.col("value") * 10).alias("actual"), F.lit(500.0).alias("predicted"))
-    h = trips.history(e, "user_id", ["ts", "event_id"], 200, "actual", "predicted")
-    state = trips.eta_state(F.col("history"), "predicted", "actual")
-    h = h.select("user_id", state.alias("s"))
-    return h.select("user_id", F.col("s.samples").alias("samples"), F.round("s.log_ratio", 6).alias("log_ratio"), F.round(trips.eta_multiplier(F.col("s")), 6).alias("multiplier"))
+    s = trips.eta_states(e, "user_id", ["ts", "event_id"], F.date_trunc("hour", "ts"), F.col("predicted"), F.col("actual"))
+    state = F.struct("log_ratio", "samples")
+    return s.select("user_id", "samples", F.round("log_ratio", 6).alias("log_ratio"), F.round(trips.eta_multiplier(state), 6).alias("multiplier"))
 
 
 def wait_means(spark, sf):
-    h = trips.history(table(spark, sf, "events"), "user_id", ["ts", "event_id"], 50, "value")
-    return h.select("user_id", F.round(trips.wait_mean(F.col("history"), "value", 12.0), 6).alias("wait"))
+    s = trips.wait_means(table(spark, sf, "events"), "user_id", ["ts", "event_id"], F.date_trunc("hour", "ts"), "value", 12.0)
+    return s.select("user_id", F.round("wait", 6).alias("wait"))
 
 
 def efficiency_ladder(spark, sf):

@@ -28,6 +28,33 @@ def test_wait_needs_three_samples(spark):
     assert got[1] == 7.0 and got[2] == pytest.approx(10 + 0.35 * 10 + 0.35 * (30 - 13.5))
 
 
+def test_registered_averages_fold_every_event(spark, tmp_path):
+    import datetime
+    import random
+
+    from hazgrid.plans import trips as plans
+
+    rng = random.Random(4)
+    rows = [(i, rng.choice([1, 1, 1, 1, None, 2]), rng.uniform(5, 100)) for i in range(600)]
+    rows += [(600 + i, 3, 55.0 + i) for i in range(12)] + [(620 + i, 3, 500.0) for i in range(300)] + [(1000, 4, 900.0)]  # 3: old usable rows only; 4: none
+    start = datetime.datetime(2024, 1, 1)
+    frame = spark.createDataFrame([(i, u, start + datetime.timedelta(minutes=i // 3 * 17), v) for i, u, v in rows], "event_id long, user_id long, ts timestamp, value double")
+    frame.orderBy(F.rand(5)).write.parquet(str(tmp_path / "events.parquet"))
+    eta, wait = {}, {}
+    for _, u, v in rows:
+        log_ratio, n = eta.setdefault(u, (0.0, 0))
+        if v * 10 > 60 and 0.6 <= v / 50 <= 1.8:
+            alpha = max(1 / (n + 1), 0.08)
+            eta[u] = (log_ratio * (1 - alpha) + math.log(v / 50) * alpha, n + 1)
+        mean, n = wait.setdefault(u, (None, 0))
+        if 1 <= v <= 180:
+            wait[u] = (v if n == 0 else mean + 0.35 * (v - mean), n + 1)
+    got = {r.user_id: r for r in plans.eta_multipliers(spark, str(tmp_path)).collect()}
+    assert {u: (r.samples, r.log_ratio) for u, r in got.items()} == {u: (n, pytest.approx(x, abs=2e-6)) for u, (x, n) in eta.items()}
+    assert eta[1][1] > 200 and got[3].multiplier != 1.0 and got[4].multiplier == 1.0
+    assert {r.user_id: r.wait for r in plans.wait_means(spark, str(tmp_path)).collect()} == {u: pytest.approx(m if n >= 3 else 12.0, abs=2e-6) for u, (m, n) in wait.items()}
+
+
 def test_clusters_declutter_and_hull(spark):
     marks = spark.createDataFrame([(1, 1, 0, 0.0, 0.0, 0.9), (1, 2, 0, 0.5, 0.0, 0.1), (1, 3, 1, 0.2, 0.0, 0.5), (1, 4, 0, 3.0, 0.0, 0.4)], "view long, id long, kind long, lat double, lon double, score double")
     got = sorted((r.seed, r.n) for r in clusters.greedy_clusters(marks, "view", 1.0).collect())
