@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import hashlib
 import zlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Collection, Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -29,8 +29,12 @@ SEGMENT, INFO, TIMESTAMP_SCALE, DURATION, MUXING_APP, WRITING_APP = 0x18538067,
 TRACKS, TRACK_ENTRY, TRACK_NUMBER, TRACK_UID, TRACK_TYPE, CODEC_ID = 0x1654AE6B, 0xAE, 0xD7, 0x73C5, 0x83, 0x86
 AUDIO, SAMPLING, CHANNELS, BIT_DEPTH = 0xE1, 0xB5, 0x9F, 0x6264
 CLUSTER, TIMESTAMP, SIMPLE_BLOCK, BLOCK_GROUP, BLOCK, BLOCK_DURATION = 0x1F43B675, 0xE7, 0xA3, 0xA0, 0xA1, 0x9B
+REFERENCE_BLOCK, SEEK_HEAD, CHAPTERS, TAGS, ATTACHMENTS = 0xFB, 0x114D9B74, 0x1043A770, 0x1254C367, 0x1941A469
 CUES, CUE_POINT, CUE_TIME, CUE_TRACK_POSITIONS, CUE_TRACK, CUE_CLUSTER_POSITION = 0x1C53BB6B, 0xBB, 0xB3, 0xB7, 0xF7, 0xF1
 MASTERS = {SEGMENT, INFO, TRACKS, TRACK_ENTRY, AUDIO, CLUSTER, BLOCK_GROUP, CUES, CUE_POINT, CUE_TRACK_POSITIONS, EBML}
+DOC_TYPES = {b"matroska", b"webm"}
+#: What ends a Segment of unknown size, and what ends a Cluster of unknown size.
+ENDS = {SEGMENT: {EBML, SEGMENT}, CLUSTER: {EBML, SEGMENT, SEEK_HEAD, INFO, TRACKS, CLUSTER, CUES, CHAPTERS, TAGS, ATTACHMENTS}}
 
 RATE = 8000  # samples a second, of one 8-bit channel
 FRAME = 64  # samples in a packet
@@ -132,12 +136,19 @@ def _vint(data: bytes, at: int, keep_mark: bool, end: int) -> tuple[int, int]:
     return (value if keep_mark else value & ((1 << 7 * width) - 1)), at + width
 
 
-def _children(data: bytes, at: int, end: int) -> Iterator[tuple[int, int, int, int]]:
-    """(id, start of the element, start and end of its body). A master of unknown size takes what is left."""
+def _children(data: bytes, at: int, end: int, ends: Collection[int] = ()) -> Iterator[tuple[int, int, int, int]]:
+    """(id, start of the element, start and end of its body), up to ``end`` or an id of ``ends``. A Segment or Cluster of unknown
+    size goes to the next element that can't be within it."""
     while at < end:
         id_, p = _vint(data, at, True, end)
+        if id_ in ends:
+            return
         size, body = _vint(data, p, False, end)
-        stop = end if size == (1 << 7 * (body - p)) - 1 and id_ in (SEGMENT, CLUSTER) else body + size
+        stop = body + size
+        if size == (1 << 7 * (body - p)) - 1 and id_ in ENDS:
+            stop = body
+            for _, _, _, stop in _children(data, body, end, ENDS[id_]):
+                pass
         if stop > end:
             raise BadMatroska(f"element {id_:x} at {at} goes beyond its parent")
         yield id_, at, body, stop
@@ -182,7 +193,7 @@ def parse(data: bytes) -> Parsed:
     """Packets, tracks and cues of a file, in file order. Raises BadMatroska where an element doesn't fit its parent."""
     out = Parsed()
     top = list(_children(data, 0, len(data)))
-    if not top or top[0][0] != EBML or data[top[0][2] : top[0][3]].find(b"matroska") < 0:
+    if not top or top[0][0] != EBML or not any(k == DOC_TYPE and data[a:b].rstrip(b"\0") in DOC_TYPES for k, _, a, b in _children(data, *top[0][2:])):
         raise BadMatroska("no EBML header of a Matroska file")
     for id_, _, base, stop in top[1:]:
         if id_ != SEGMENT:
@@ -195,7 +206,9 @@ def parse(data: bytes) -> Parsed:
                     elif k == DURATION:
                         out.duration = float(np.frombuffer(data[a:b], ">f8" if b - a == 8 else ">f4")[0])
             elif kind == TRACKS:
-                for _, _, a, b in _children(data, at, end):
+                for k, _, a, b in _children(data, at, end):
+                    if k != TRACK_ENTRY:
+                        continue
                     entry = {k: data[x:y] for k, _, x, y in _children(data, a, b)}
                     number = int.from_bytes(entry.get(TRACK_NUMBER, b""), "big")
                     out.tracks[number] = {"type": int.from_bytes(entry.get(TRACK_TYPE, b""), "big"), "codec": entry.get(CODEC_ID, b"").decode("ascii", "replace")}
@@ -203,7 +216,9 @@ def parse(data: bytes) -> Parsed:
                 _cluster(data, at, end, out)
                 out.clusters.append(start)
             elif kind == CUES:
-                for _, _, a, b in _children(data, at, end):
+                for k, _, a, b in _children(data, at, end):
+                    if k != CUE_POINT:
+                        continue
                     time, places = 0, []
                     for k, _, x, y in _children(data, a, b):
                         if k == CUE_TIME:
@@ -224,17 +239,19 @@ def _cluster(data: bytes, at: int, end: int, out: Parsed) -> None:
         if kind == SIMPLE_BLOCK:
             ranges = [(a, b, None)]
         elif kind == BLOCK_GROUP:
-            ranges = [(x, y, True) for k, _, x, y in _children(data, a, b) if k == BLOCK]
+            parts = list(_children(data, a, b))
+            alone = all(k != REFERENCE_BLOCK for k, *_ in parts)
+            ranges = [(x, y, alone) for k, _, x, y in parts if k == BLOCK]
         else:
             continue
-        for x, y, group in ranges:
+        for x, y, alone in ranges:
             track, p = _vint(data, x, False, y)
             if p + 3 > y:
                 raise BadMatroska(f"block cut off at {x}")
             offset, flags = int.from_bytes(data[p : p + 2], "big", signed=True), data[p + 2]
             lacing = flags >> 1 & 3
             out.packets += [
-                (track, len(out.clusters), no, (time + offset) * out.scale, s, e, bool(flags & 0x80) if group is None else True, lacing)
+                (track, len(out.clusters), no, (time + offset) * out.scale, s, e, bool(flags & 0x80) if alone is None else alone, lacing)
                 for s, e in _frames(data, p + 3, y, lacing)
             ]
             no += 1

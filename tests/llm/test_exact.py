@@ -332,3 +332,50 @@ def test_packing(spark):
 
 def test_best_fit_prefers_the_tightest_bin():
     assert packing.best_fit([6, 5, 3, 2], (8,)) == [(0, 0), (1, 0), (1, 5), (0, 6)]
+
+
+def hand_built(body, doc_type=b"matroska", size=None):
+    m = matroska
+    header = m.element(m.EBML, m.element(m.DOC_TYPE, doc_type))
+    return header + (m.element(m.SEGMENT, body) if size is None else m.SEGMENT.to_bytes(4, "big") + size + body)
+
+
+def one_block_cluster(ms, data, unknown=False):
+    m = matroska
+    body = m.element(m.TIMESTAMP, bytes([ms])) + m.element(m.SIMPLE_BLOCK, m.block(1, 0, [data], 0))
+    return m.CLUSTER.to_bytes(4, "big") + b"\x01" + b"\xff" * 7 + body if unknown else m.element(m.CLUSTER, body)
+
+
+def test_clusters_and_segments_of_unknown_size():
+    m = matroska
+    tags, cues = m.element(m.TAGS, b""), m.element(m.CUES, b"")
+    live = one_block_cluster(1, b"a", True) + one_block_cluster(2, b"b", True) + tags + one_block_cluster(3, b"c") + one_block_cluster(4, b"d", True) + cues
+    for data in (hand_built(live), hand_built(live, size=b"\xff")):
+        parsed = m.parse(data)
+        assert [(data[p[4] : p[5]], p[1], p[3]) for p in parsed.packets] == [(x, i, (i + 1) * 1_000_000) for i, x in enumerate((b"a", b"b", b"c", b"d"))]
+    two = hand_built(live, size=b"\xff") * 2
+    assert b"".join(two[p[4] : p[5]] for p in m.parse(two).packets) == b"abcdabcd"
+
+
+def test_checksums_and_padding_among_tracks_and_cues():
+    m = matroska
+    other = m.element(0xBF, b"\x00\x01\x02\x03") + m.element(0xEC, b"\x00" * 5)
+    tracks = m.element(m.TRACKS, other + m.element(m.TRACK_ENTRY, m.element(m.TRACK_NUMBER, b"\x01") + m.element(m.CODEC_ID, b"A_OPUS")))
+    place = m.element(m.CUE_TRACK_POSITIONS, m.element(m.CUE_TRACK, b"\x01") + m.element(m.CUE_CLUSTER_POSITION, b"\x07"))
+    cues = m.element(m.CUES, other + m.element(m.CUE_POINT, m.element(m.CUE_TIME, b"\x02") + place))
+    parsed = m.parse(hand_built(tracks + one_block_cluster(2, b"x") + cues))
+    assert parsed.tracks == {1: {"type": 0, "codec": "A_OPUS"}} and len(parsed.cues) == 1 and parsed.cues[0][:2] == (2_000_000, 1) and len(parsed.packets) == 1
+
+
+def test_webm_is_read_and_other_types_are_not():
+    data = hand_built(one_block_cluster(0, b"x"), b"webm")
+    assert len(matroska.parse(data).packets) == 1
+    with pytest.raises(matroska.BadMatroska):
+        matroska.parse(hand_built(one_block_cluster(0, b"x"), b"other"))
+
+
+def test_blocks_with_references_are_no_keys():
+    m = matroska
+    block = m.element(m.BLOCK, m.block(1, 0, [b"x"], 0, key=False))
+    body = m.element(m.TIMESTAMP, b"\x00") + m.element(m.BLOCK_GROUP, block) + m.element(m.BLOCK_GROUP, block + m.element(m.REFERENCE_BLOCK, b"\xff"))
+    assert [p[6] for p in m.parse(hand_built(m.element(m.CLUSTER, body))).packets] == [True, False]
