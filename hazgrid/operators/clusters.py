@@ -1,7 +1,7 @@
 """Greedy clusters, thinning and hulls over bounded groups such as the marks of one view.
 
-These are sequential by definition, so each works on one group at a time; the caller's key bounds a group (a view, a tile),
-as a screen does. Use ``components`` in ``graph`` where groups aren't bounded.
+Clusters and thinning are sequential by definition, so each works on one group at a time; the caller's key bounds a group (a
+view, a tile), as a screen does. Hulls are those of slices' hulls. Use ``components`` in ``graph`` where groups aren't bounded.
 """
 
 from __future__ import annotations
@@ -9,6 +9,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 def greedy_clusters(marks: DataFrame, key: str, least: float) -> DataFrame:
@@ -50,8 +51,9 @@ def declutter(marks: DataFrame, key: str, least: float) -> DataFrame:
     return marks.groupBy(key).applyInPandas(one, marks.schema)
 
 
-def hulls(points: DataFrame, key: str) -> DataFrame:
-    """The convex hull of each group's points: corners (key, corner, x, y) anticlockwise; two points or fewer are themselves."""
+def hulls(points: DataFrame, key: str, slices: int = 64) -> DataFrame:
+    """The convex hull of each group's points: corners (key, corner, x, y) anticlockwise; two points or fewer are themselves.
+    Each of ``slices`` slices of a group gives the corners of its own hull, and only those meet: a group may be large."""
 
     def one(frame: pd.DataFrame) -> pd.DataFrame:
         p = sorted(set(zip(frame["x"], frame["y"], strict=True)))
@@ -67,4 +69,6 @@ def hulls(points: DataFrame, key: str) -> DataFrame:
         corners = p if len(p) < 3 else chain(p) + chain(p[::-1])
         return pd.DataFrame({key: [frame[key].iloc[0]] * len(corners), "corner": range(len(corners)), "x": [c[0] for c in corners], "y": [c[1] for c in corners]})
 
-    return points.groupBy(key).applyInPandas(one, f"{key} long, corner int, x double, y double")
+    shape = f"{key} long, corner int, x double, y double"
+    sliced = points.withColumn("_slice", F.pmod(F.xxhash64("x", "y"), F.lit(slices)))
+    return sliced.groupBy(key, "_slice").applyInPandas(one, shape).groupBy(key).applyInPandas(one, shape)

@@ -65,6 +65,18 @@ def test_clusters_declutter_and_hull(spark):
     assert clusters.hulls(square.limit(0), "k").count() == 0
 
 
+def test_only_corners_of_slices_meet_in_a_hull(spark):
+    import random
+
+    rng = random.Random(6)
+    rows = [(k, float(rng.randint(0, 60)), float(rng.randint(0, 60))) for k in (1, 1, 1, 2) for _ in range(500)]
+    points = spark.createDataFrame(rows, "k long, x double, y double")
+    whole = sorted(map(tuple, clusters.hulls(points, "k", 1).collect()))
+    assert len({r[0] for r in whole}) == 2 and sorted(map(tuple, clusters.hulls(points, "k", 16).collect())) == whole
+    plan = clusters.hulls(points, "k")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("FlatMapGroupsInPandas") == 2
+
+
 def test_footpaths_and_published_pairs(spark):
     stops = spark.createDataFrame([(1, 0, 43.0, -89.0), (2, 0, 43.003, -89.0), (3, 0, 43.006, -89.0), (4, 1, 43.006, -89.0)], "stop_id long, feed_no int, lat double, lon double")
     got = {(r.from_stop, r.to_stop) for r in transit.footpaths(stops).collect()}
