@@ -1,13 +1,16 @@
 """Adaptive context-mixing range coder for token ids of 16 bits.
 
 Ids are cut into blocks of BLOCK ids. Every block starts from the same state and carries a checksum, so any block can be
-read alone. Within a block three orders predict the next id: order 2 and order 1 remember the id that followed the last
-two ids and the last one, each with a confidence; order 0 remembers ids seen in the block by slot. Which order is right is
-coded first, with frequencies mixed from two adaptive tables (by the confidences, and by the last two outcomes); where
-only order 0 knows the id its slot follows, where none does the id itself. A carry-propagating range coder with 16-bit
-digits writes each block.
+read alone. Within a block three orders predict the next id. Orders 2 and 1 remember the id that followed the last two ids
+and the last one, each with a confidence. Order 0 has the frequency of every id that the block has shown, as a power of two
+that grows as its count doubles. Which of them predicts is coded first, with frequencies mixed from two adaptive tables
+(one by the confidences, one by the last two outcomes); an id that order 0 predicts then follows with its own frequency,
+and an id that is new to the block as such. A carry-propagating range coder with 32-bit digits writes each block.
 
-Blocks are independent, so all blocks of a segment advance together, one id a step, as lanes of numpy arrays.
+Blocks are independent, so all blocks of a segment advance together, one id a step, as lanes of numpy arrays. Within a
+block an id goes by the number of ids that came before its first: lanes then need no table as long as the vocabulary. Order
+0 holds these numbers ordered by frequency, with a border between frequencies, so that cumulative frequencies follow from
+a place and the borders, and a doubled frequency is one exchange at a border.
 """
 
 from __future__ import annotations
@@ -17,12 +20,31 @@ import zlib
 
 import numpy as np
 
-BLOCK = 2048
-LANES = 2048
-MAGIC = b"HGT1"
-_CONTEXT, _SLOTS = 2048, 1024
-_GAIN, _LIMIT = 24, 3000
-_LOW = 1 << 16
+BLOCK = 1024
+LANES = 4096
+MAGIC = b"HGT2"
+#: Doublings of a frequency, so that the largest is 2 ** DOUBLINGS.
+DOUBLINGS = 4
+#: Slots of order 2; bits of an outcome's scale; and of the span below which a digit leaves.
+_SLOTS2, _SCALE, _LOW = 2048, 13, 30
+_TOP = _LOW + 32
+#: Three cumulative frequencies in one number, their rate of adaption, and the least frequency.
+_FIELD, _RATE, _LEAST = 21, 5, 16
+_MASK = (1 << _FIELD) - 1
+
+
+def _packed(*fields: int) -> int:
+    return sum(f << _FIELD * k for k, f in enumerate(fields))
+
+
+_SHIFTED = _packed(*[(1 << 11) - 1] * 3)
+_FLOOR = _packed(_LEAST, 2 * _LEAST, 3 * _LEAST)
+_START = _packed(500, 1000, 2200)
+#: What a table's cumulative frequencies gain for each outcome: 126 is the largest step that leaves room for all floors.
+_TOWARDS = np.array([_packed(*(126 * (outcome <= k) for k in range(3))) for outcome in range(4)], np.int64)
+#: The doubling that a count brings, or -1.
+_DOUBLES = np.full(BLOCK + 1, -1, np.int8)
+_DOUBLES[[2 << k for k in range(DOUBLINGS)]] = range(DOUBLINGS)
 
 
 class CorruptIds(ValueError):
@@ -33,146 +55,203 @@ class _Model:
     """The predictions of all lanes, and what they learn from the ids that come."""
 
     def __init__(self, lanes: int):
-        self.n2, self.n1, self.n0 = (np.zeros(lanes * k, np.uint16) for k in (_CONTEXT, _CONTEXT, _SLOTS))
-        self.c2, self.c1 = (np.zeros(lanes * _CONTEXT, np.int8) for _ in range(2))
-        self.mix_a = np.tile(np.array([4, 4, 8, 8], np.int32), (lanes * 32, 1))
-        self.mix_b = np.tile(np.array([4, 4, 8, 8], np.int32), (lanes * 16, 1))
-        lane = np.arange(lanes, dtype=np.int64)
-        self.base, self.base0, self.base_a, self.base_b = lane * _CONTEXT, lane * _SLOTS, lane * 32, lane * 16
-        self.last, self.before = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
-        self.outcomes = np.zeros(lanes, np.int64)
+        self.n = lanes
+        self.lane = np.arange(lanes, dtype=np.int64)
+        self.base, self.base2 = self.lane * BLOCK, self.lane * _SLOTS2
+        self.after1, self.after2 = np.zeros(lanes * BLOCK, np.uint16), np.zeros(lanes * _SLOTS2, np.uint16)
+        self.mix_a, self.mix_b = np.full(lanes * 32, _START, np.int64), np.full(lanes * 16, _START, np.int64)
+        self.base_a, self.base_b = self.lane * 32, self.lane * 16
+        self.order = np.tile(np.arange(BLOCK, dtype=np.uint16), lanes)
+        self.place = self.order.copy()
+        self.count = np.zeros(lanes * BLOCK, np.uint16)
+        self.borders = np.zeros((DOUBLINGS, lanes), np.int64)
+        self.shown, self.weight = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
+        self.last, self.before, self.outcomes = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
+        self.cumulative = np.zeros((5, lanes), np.int64)
+        self.cumulative[4] = 1 << _SCALE
 
     def predict(self) -> np.ndarray:
-        """Frequencies (lanes x 4) of: order 2 right, order 1 right, order 0 knows the id, new id."""
-        self.i1 = self.base + (self.last * 40503 >> 3 & _CONTEXT - 1)
-        self.i2 = self.base + ((self.last * 48271 ^ self.before * 30011) >> 4 & _CONTEXT - 1)
-        self.p1, self.p2 = self.n1[self.i1], self.n2[self.i2]
-        self.k1, self.k2 = self.c1[self.i1], self.c2[self.i2]
-        self.a = self.base_a + (self.k2 * 8 + self.k1 * 2 + (self.p1 == self.p2))
+        """Cumulative frequencies (5 x lanes, from 0 to the scale) of: order 2 right, order 1 right, order 0, new to the block."""
+        self.i1 = self.base + self.last
+        self.i2 = self.base2 + ((self.last * 40503 ^ self.before * 30011) >> 5 & _SLOTS2 - 1)
+        e1, e2 = self.after1.take(self.i1).astype(np.int64), self.after2.take(self.i2).astype(np.int64)
+        self.p1, self.p2 = (e1 & 0xFFF) - 1, (e2 & 0xFFF) - 1
+        self.k1, self.k2 = e1 & 0x3000, e2 & 0x3000
+        self.a = self.base_a + ((self.k2 >> 9) + (self.k1 >> 11) + (self.p1 == self.p2))
         self.b = self.base_b + self.outcomes
-        return self.mix_a[self.a] + self.mix_b[self.b]
+        self.wa, self.wb = self.mix_a.take(self.a), self.mix_b.take(self.b)
+        w = self.wa + self.wb + _FLOOR
+        c = self.cumulative
+        np.bitwise_and(w, _MASK, out=c[1])
+        np.bitwise_and(w >> _FIELD, _MASK, out=c[2])
+        np.right_shift(w, 2 * _FIELD, out=c[3])
+        return c
 
-    @staticmethod
-    def slot(ids: np.ndarray) -> np.ndarray:
-        return (ids * 40503 & 0xFFFF) >> 6
+    def frequency(self, who: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Order 0's cumulative frequency and frequency of the ids at ``place`` of lanes ``who``."""
+        below, doubled = place.copy(), np.zeros(len(who), np.int64)
+        for k in range(DOUBLINGS):
+            border = self.borders[k].take(who)
+            below += np.minimum(place, border) << k
+            doubled += place < border
+        return below, np.left_shift(1, doubled)
+
+    def at(self, who: np.ndarray, below: np.ndarray) -> np.ndarray:
+        """The places that hold cumulative frequency ``below`` of lanes ``who``."""
+        borders = [self.borders[k].take(who) for k in range(DOUBLINGS)]
+        offset, place = 0, None
+        for k in range(DOUBLINGS + 1):  # frequency 2 ** k: below what the borders of lower frequencies give, above those of higher
+            offset = sum((borders[j] << j for j in range(k, DOUBLINGS)), np.int64(0))
+            found = (below - offset) >> k
+            place = found if place is None else np.where(found < borders[k - 1], found, place)
+        return place
 
     def learn(self, ids: np.ndarray, outcome: np.ndarray) -> None:
-        for mix, row in ((self.mix_a, self.a), (self.mix_b, self.b)):
-            flat = mix.reshape(-1)
-            at = row * 4 + outcome
-            grown = flat[at] + _GAIN
-            flat[at] = grown
-            full = grown > _LIMIT
-            if full.any():
-                rows = row[full]
-                mix[rows] = mix[rows] + 1 >> 1
-        self.c2[self.i2] = np.minimum(self.k2 + 1, 3) * (self.p2 == ids)
-        self.c1[self.i1] = np.minimum(self.k1 + 1, 3) * (self.p1 == ids)
-        self.n2[self.i2] = ids
-        self.n1[self.i1] = ids
-        self.n0[self.base0 + self.slot(ids)] = ids
+        """``ids``: numbers within the block."""
+        gain = _TOWARDS.take(outcome)
+        self.mix_a[self.a] = self.wa - (self.wa >> _RATE & _SHIFTED) + gain
+        self.mix_b[self.b] = self.wb - (self.wb >> _RATE & _SHIFTED) + gain
+        entry = ids + (1 + (1 << 12))
+        self.after2[self.i2] = (entry + (self.p2 == ids) * np.minimum(self.k2, 2 << 12)).astype(np.uint16)
+        self.after1[self.i1] = (entry + (self.p1 == ids) * np.minimum(self.k1, 2 << 12)).astype(np.uint16)
+        at = self.base + ids
+        count = self.count.take(at) + np.uint16(1)
+        self.count[at] = count
+        new = outcome == 3
+        self.shown += new
+        self.weight += new
+        who = np.flatnonzero(_DOUBLES.take(count) >= 0)
+        if len(who):
+            k, base, at = _DOUBLES[count[who]].astype(np.int64), self.base[who], at[who]
+            flat = k * self.n + who
+            borders = self.borders.reshape(-1)
+            to = borders[flat]
+            here, other = self.place[at], self.order[base + to]
+            self.order[base + to], self.order[base + here] = ids[who], other
+            self.place[base + other], self.place[at] = here, to
+            borders[flat] = to + 1
+            self.weight[who] += np.left_shift(1, k)
         self.before, self.last = self.last, ids
         self.outcomes = (self.outcomes & 3) << 2 | outcome
 
 
+def _numbered(lanes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(number within its lane, whether it is the first of its kind) of each id."""
+    n, size = lanes.shape
+    ranked = np.sort((lanes.astype(np.uint32) << 16) | np.arange(size, dtype=np.uint32), axis=1)
+    starts = np.ones(lanes.shape, bool)
+    starts[:, 1:] = (ranked[:, 1:] ^ ranked[:, :-1]) >> 16 != 0
+    at = ((ranked & 0xFFFF).astype(np.int64) + size * np.arange(n)[:, None]).reshape(-1)
+    first = np.flatnonzero(starts)
+    new = np.zeros(lanes.shape, bool)
+    new.reshape(-1)[at[first]] = True
+    number = np.cumsum(new, axis=1, dtype=np.int16) - np.int16(1)
+    out = np.empty(n * size, np.int16)
+    out[at] = np.repeat(number.reshape(-1)[at[first]], np.diff(np.append(first, n * size)))
+    return out.reshape(lanes.shape), new
+
+
 def _encode_lanes(lanes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Digits (lanes x most) and their number, of ids (lanes x BLOCK)."""
     n = len(lanes)
     model = _Model(n)
-    digits = np.zeros((n, 2 * BLOCK + 4), np.uint32)
-    flat = digits.reshape(-1)
-    place = np.arange(n, dtype=np.int64) * digits.shape[1]
-    start_of = place.copy()
-    low, span = np.zeros(n, np.int64), np.full(n, (1 << 32) - 1, np.int64)
-
-    def put(who, begin: np.ndarray, size, total) -> None:
-        """Narrow the span of lanes ``who`` to [begin, begin + size) of total."""
-        r = span[who] // total
-        at = low[who] + begin * r
-        r = r * size
-        over = at >> 32
-        if over.any():
-            flat[(place[who] - 1)[over > 0]] += 1
-            at &= 0xFFFFFFFF
-        small = r < _LOW
-        if small.any():
-            lanes_small = np.flatnonzero(small) if isinstance(who, slice) else who[small]
-            out = at[small]
-            flat[place[lanes_small]] = out >> 16
-            place[lanes_small] += 1
-            at[small] = (out & 0xFFFF) << 16
-            r[small] <<= 16
-        low[who], span[who] = at, r
-
-    everyone = slice(None)
+    numbers, fresh = _numbered(lanes)
+    numbers, fresh = np.ascontiguousarray(numbers.T).astype(np.int64), np.ascontiguousarray(fresh.T).view(np.uint8)
     columns = np.ascontiguousarray(lanes.T).astype(np.int64)
-    for ids in columns:
-        f = model.predict()
-        slot = model.slot(ids)
-        known = model.n0[model.base0 + slot] == ids
-        outcome = np.where(model.p2 == ids, 0, np.where(model.p1 == ids, 1, 3 - known))
-        c1 = f[:, 0].astype(np.int64)
-        c2 = c1 + f[:, 1]
-        c3 = c2 + f[:, 2]
-        total = c3 + f[:, 3]
-        begin = np.where(outcome == 0, 0, np.where(outcome == 1, c1, np.where(outcome == 2, c2, c3)))
-        size = f.reshape(-1)[np.arange(0, 4 * n, 4) + outcome]
-        put(everyone, begin, size, total)
-        rest = np.flatnonzero(outcome >= 2)
-        if len(rest):
-            by_slot = outcome[rest] == 2
-            put(rest, np.where(by_slot, slot[rest], ids[rest]), 1, np.where(by_slot, _SLOTS, 1 << 16))
+    digits = np.zeros((n, BLOCK + 8), np.uint64)
+    flat = digits.reshape(-1)
+    start_of = np.arange(n, dtype=np.int64) * digits.shape[1]
+    place = start_of.copy()
+    low, span = np.zeros(n, np.int64), np.full(n, (1 << _TOP) - 1, np.int64)
+    for step in range(BLOCK):
+        ids, new = numbers[step], fresh[step]
+        c = model.predict().reshape(-1)
+        wrong2, wrong1 = (model.p2 != ids).view(np.uint8), (model.p1 != ids).view(np.uint8)
+        outcome = (wrong2 + wrong2 * wrong1 * (np.uint8(1) + new)).astype(np.int64)
+        at = outcome * n + model.lane
+        begin = c.take(at)
+        r = span >> _SCALE
+        low += begin * r
+        span = (c.take(at + n) - begin) * r
+        who = np.flatnonzero(outcome == 2)
+        if len(who):
+            begin, size = model.frequency(who, model.place.take(model.base[who] + ids[who]).astype(np.int64))
+            r = span[who] // model.weight[who]
+            low[who] += begin * r
+            span[who] = size * r
+        who = np.flatnonzero(outcome == 3)
+        if len(who):
+            r = span[who] >> 16
+            low[who] += columns[step][who] * r
+            span[who] = r
+        over = np.flatnonzero(low >> _TOP)
+        if len(over):
+            flat[place[over] - 1] += 1
+            low[over] &= (1 << _TOP) - 1
+        small = np.flatnonzero(span < 1 << _LOW)
+        if len(small):
+            out = low[small]
+            flat[place[small]] = out >> _LOW
+            place[small] += 1
+            low[small] = (out & (1 << _LOW) - 1) << 32
+            span[small] <<= 32
         model.learn(ids, outcome)
-    flat[place], flat[place + 1] = low >> 16, low & 0xFFFF
+    flat[place], flat[place + 1] = low >> _LOW, (low & (1 << _LOW) - 1) << 2
     for k in range(digits.shape[1] - 1, 0, -1):
-        digits[:, k - 1] += digits[:, k] >> 16
-    return (digits & 0xFFFF).astype("<u2"), place + 2 - start_of
+        digits[:, k - 1] += digits[:, k] >> np.uint64(32)
+    return digits.astype("<u4"), place + 2 - start_of
 
 
 def _decode_lanes(digits: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """Ids (lanes x BLOCK) from the joined digits of all lanes; starts: of each lane in them."""
     n = len(starts)
     model = _Model(n)
-    digits = np.append(digits, np.zeros(4, np.uint16)).astype(np.int64)
+    known = np.zeros(n * BLOCK, np.uint16)
+    digits = np.append(digits, np.zeros(4, np.uint32)).astype(np.int64)
     place = starts.astype(np.int64)
-    value, span = digits[place] << 16 | digits[place + 1], np.full(n, (1 << 32) - 1, np.int64)
-    place += 2
+    # The register holds 62 bits: a digit, and the first 30 bits of the next; two bits of it wait to come in.
+    value, span = digits[place] << _LOW | digits[place + 1] >> 2, np.full(n, (1 << _TOP) - 1, np.int64)
+    place += 1
+    most = len(digits) - 2
     out = np.empty((BLOCK, n), np.uint16)
-    rows = np.arange(0, 4 * n, 4)
-    most = len(digits) - 1
-
-    def renew(who: np.ndarray) -> None:
-        value[who] = value[who] << 16 | digits[np.minimum(place[who], most)]
-        place[who] += 1
-        span[who] <<= 16
-
     for step in range(BLOCK):
-        f = model.predict()
-        c1 = f[:, 0].astype(np.int64)
-        c2 = c1 + f[:, 1]
-        c3 = c2 + f[:, 2]
-        r = span // (c3 + f[:, 3])
+        c = model.predict()
+        r = span >> _SCALE
         q = value // r
-        outcome = (q >= c1).astype(np.int64) + (q >= c2) + (q >= c3)
-        begin = np.where(outcome == 0, 0, np.where(outcome == 1, c1, np.where(outcome == 2, c2, c3)))
+        outcome = (q >= c[1]).astype(np.int64)
+        outcome += q >= c[2]
+        outcome += q >= c[3]
+        flat = c.reshape(-1)
+        at = outcome * n + model.lane
+        begin = flat.take(at)
         value -= begin * r
-        span = r * f.reshape(-1)[rows + outcome]
-        small = np.flatnonzero(span < _LOW)
+        span = (flat.take(at + n) - begin) * r
+        ids = np.where(outcome == 0, model.p2, model.p1)
+        who = np.flatnonzero(outcome == 2)
+        if len(who):
+            weight = model.weight[who]
+            r = span[who] // np.maximum(weight, 1)
+            spot = model.at(who, np.minimum(value[who] // r, np.maximum(weight - 1, 0)))
+            begin, size = model.frequency(who, spot)
+            value[who] -= begin * r
+            span[who] = size * r
+            ids[who] = model.order.take(model.base[who] + spot)
+        who = np.flatnonzero(outcome == 3)
+        if len(who):
+            r = span[who] >> 16
+            q = np.minimum(value[who] // r, 0xFFFF)
+            value[who] -= q * r
+            span[who] = r
+            ids[who] = np.minimum(model.shown[who], BLOCK - 1)
+            known[model.base[who] + ids[who]] = q
+        ids = np.maximum(ids, 0)
+        small = np.flatnonzero(span < 1 << _LOW)
         if len(small):
-            renew(small)
-        ids = np.where(outcome == 0, model.p2, model.p1).astype(np.int64)
-        rest = np.flatnonzero(outcome >= 2)
-        if len(rest):
-            by_slot = outcome[rest] == 2
-            r = span[rest] // np.where(by_slot, _SLOTS, 1 << 16)
-            q = np.minimum(value[rest] // r, 0xFFFF)
-            value[rest] -= q * r
-            span[rest] = r
-            ids[rest] = np.where(by_slot, model.n0[model.base0[rest] + (q & _SLOTS - 1)], q)
-            small = rest[r < _LOW]
-            if len(small):
-                renew(small)
-        out[step] = ids
+            now = np.minimum(place[small], most)
+            value[small] = value[small] << 32 | (digits[now] & 3) << _LOW | digits[now + 1] >> 2
+            place[small] += 1
+            span[small] <<= 32
+        out[step] = known.take(model.base + ids)
         model.learn(ids, outcome)
     return out.T
 
@@ -205,9 +284,9 @@ def decode_segment(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     lengths = np.frombuffer(data, "<u4", n_docs, 20)
     sizes = np.frombuffer(data, "<u4", n_blocks, 20 + 4 * n_docs).astype(np.int64)
     sums = np.frombuffer(data, "<u4", n_blocks, 20 + 4 * n_docs + 4 * n_blocks)
-    digits = np.frombuffer(data, "<u2", offset=end + 4)
-    if len(digits) != sizes.sum():
+    if len(data) - end - 4 != 4 * sizes.sum():
         raise CorruptIds("the segment is cut off")
+    digits = np.frombuffer(data, "<u4", offset=end + 4)
     starts = np.cumsum(sizes) - sizes
     parts = []
     for at in range(0, n_blocks, LANES):

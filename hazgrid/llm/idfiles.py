@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from hazgrid.llm.common import shared_dir
 from hazgrid.llm.idcoder import BLOCK, LANES, decode_segment, encode_segment
-from hazgrid.llm.tokens import slices, word_encoder
+from hazgrid.llm.tokens import gathered, word_encoder
 
 SEGMENT = BLOCK * LANES
 FILES = "shard int, segment int, n_docs long, n_ids long, doc_ids binary, no_id binary, ids binary"
@@ -34,33 +34,38 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1) -> No
     Documents without doc_id come first; repeated doc_ids are documents of their own, in order of a hash of their text.
     Further columns are ignored; an empty table writes an empty one.
     """
-    end = np.array([end_id], "<u2").tobytes()
-
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = word_encoder(tokenizer)
         shard, segment = TaskContext.get().partitionId(), 0
-        ids: list[bytes] = []
-        keys: list[int | None] = []
+        keys: list[pa.Array] = []
+        lengths: list[np.ndarray] = []
+        ids: list[np.ndarray] = []
         size = 0
 
         def flush() -> pa.RecordBatch:
-            lengths = np.array([len(x) // 2 for x in ids], np.int64)
-            blob = encode_segment(lengths, np.frombuffer(b"".join(ids), "<u2"))
-            doc_ids = np.array([k or 0 for k in keys], "<i8").tobytes()
-            no_id = np.packbits([k is None for k in keys]).tobytes()
-            row = {"shard": shard, "segment": segment, "n_docs": len(keys), "n_ids": int(lengths.sum()), "doc_ids": doc_ids, "no_id": no_id, "ids": blob}
+            key, n = pa.concat_arrays(keys), np.concatenate(lengths)
+            no_id = np.packbits(key.is_null().to_numpy(zero_copy_only=False)).tobytes()
+            doc_ids = key.fill_null(0).to_numpy(zero_copy_only=False).astype("<i8").tobytes()
+            row = {"shard": shard, "segment": segment, "n_docs": len(n), "n_ids": int(n.sum()), "doc_ids": doc_ids, "no_id": no_id, "ids": encode_segment(n, np.concatenate(ids))}
             kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
             return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row.values(), kinds, strict=True)], list(row))
 
-        for batch in batches:
-            for part in slices(batch, "_text"):
-                for key, found in zip(part.column("doc_id").to_pylist(), encoder.encode(part.column("_text").to_pylist()), strict=True):
-                    keys.append(key)
-                    ids.append(found + end)
-                    size += len(found) // 2 + 1
-                    if size >= SEGMENT:
-                        yield flush()
-                        ids, keys, size, segment = [], [], 0, segment + 1
+        for part in gathered(batches, "_text"):
+            found, n = encoder.encode(part.column("_text"))
+            ends = np.cumsum(n)
+            found, n = np.insert(found, ends, end_id), n + 1  # each document's end follows its ids
+            ends += np.arange(1, len(n) + 1)
+            first = 0
+            while first < len(n):  # whole documents until the segment is full
+                start = ends[first] - n[first]
+                last = min(len(n), int(np.searchsorted(ends, start + SEGMENT - size, side="left")) + 1)
+                keys.append(part.column("doc_id").slice(first, last - first))
+                lengths.append(n[first:last])
+                ids.append(found[start : ends[last - 1]])
+                size, first = size + int(ends[last - 1] - start), last
+                if size >= SEGMENT:
+                    yield flush()
+                    keys, lengths, ids, size, segment = [], [], [], 0, segment + 1
         if keys:
             yield flush()
 
@@ -103,6 +108,7 @@ def read_ids(spark: SparkSession, path: str, with_ids: bool = False) -> DataFram
 
 
 def op1_token_id_files(spark, sf_dir):
+    """Ids of all documents, written to files and read back from them."""
     import public_tokenizers
 
     path = f"{shared_dir(spark)}/token-ids/{uuid.uuid4().hex}"

@@ -1,37 +1,137 @@
-"""Whole texts to token ids with the ``tokenizers`` library, through a bounded cache of words on each worker."""
+"""Whole texts to token ids with the ``tokenizers`` library, through a bounded table of words on each worker.
+
+Numpy finds the words of a batch of texts and a 64-bit key for each; distinct keys are looked up in a sorted table, and
+ids are gathered from its pool. Only words that the table lacks become strings, and the library sees only units of those
+that it hasn't met lately.
+"""
 
 from __future__ import annotations
 
 import os
-from collections.abc import Iterator
+import re
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 
-#: Words that a worker holds at most twice over (a young and an old generation), and the length beyond which it holds none.
-CACHE_WORDS = 600_000
-CACHE_LENGTH = 64
-#: Characters of text in work at a time.
+#: Words that the table holds; units that are remembered, twice over (a young and an old generation).
+TABLE_WORDS, CACHE_UNITS, CACHE_LENGTH = 1_500_000, 400_000, 64
+#: Bytes of text in work at a time, where memory is a few times that, and where words are gathered.
 SLICE_CHARS = 4_000_000
+GATHER_CHARS = 16_000_000
+#: Units that the library encodes as one text.
+JOINED = 512
+#: Words of up to so many bytes get their key from numpy, longer ones from a hash function.
+SHORT = 32
+
+#: A run of letters between runs of signs. No token reaches over their borders: the tokenizer splits letters from signs
+#: before it merges. Apostrophes aren't among the signs, since "'s" and the like are split off with their letters.
+SIGNS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+LETTERS = re.compile("[A-Za-zÀ-ÖØ-öø-ɏ]+")
+
+_KEEP = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+_odd = np.random.default_rng(20_241_105).integers(0, 2**63, SHORT // 8 + 1, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def slices(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
-    """``batch`` in runs of rows of about SLICE_CHARS bytes of ``column``: one long text is a run of its own."""
+def slices(batch: pa.RecordBatch, column: str, chars: int = SLICE_CHARS) -> Iterator[pa.RecordBatch]:
+    """``batch`` in runs of rows of about ``chars`` bytes of ``column``: one long text is a run of its own."""
     sizes = pc.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False)
     ends, start = np.cumsum(sizes, dtype=np.int64), 0
     while start < batch.num_rows:
         base = ends[start - 1] if start else 0
-        end = max(start + 1, int(np.searchsorted(ends, base + SLICE_CHARS, side="right")))
+        end = max(start + 1, int(np.searchsorted(ends, base + chars, side="right")))
         yield batch.slice(start, end - start)
         start = end
 
 
+def gathered(batches: Iterable[pa.RecordBatch], column: str) -> Iterator[pa.RecordBatch]:
+    """``batches`` as ones of about GATHER_CHARS bytes of ``column``, whatever the size they come in."""
+    waiting, size = [], 0
+    for batch in batches:
+        for part in slices(batch, column, GATHER_CHARS):
+            waiting.append(part)
+            size += pc.sum(pc.binary_length(part.column(column))).as_py() or 0
+            if size >= GATHER_CHARS // 2:
+                yield pa.concat_batches(waiting)
+                waiting, size = [], 0
+    if waiting:
+        yield pa.concat_batches(waiting)
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return x ^ (x >> np.uint64(29))
+
+
+def word_keys(data: bytes, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """A 64-bit key of each word: eight bytes at a time, each mixed with what came before."""
+    buffer = data + bytes(SHORT)
+    eights = np.ndarray((len(data) + SHORT - 7,), "<u8", buffer, strides=(1,))
+    keys = _mixed(lengths.astype(np.uint64) * _odd[0])
+    some = slice(None)
+    for k in range(SHORT // 8):
+        rest = lengths[some] - 8 * k
+        part = eights[starts[some] + 8 * k] & _KEEP[np.minimum(rest, 8)]
+        keys[some] = _mixed((keys[some] ^ part) * _odd[k + 1])
+        some = np.flatnonzero(lengths > 8 * (k + 1))
+        if not len(some):
+            return keys
+    for i in np.flatnonzero(lengths > SHORT).tolist():
+        keys[i] = xxhash.xxh3_64_intdigest(data[starts[i] : starts[i] + lengths[i]])
+    return keys
+
+
+class _Table:
+    """Ids by key of a word: keys in order, and for each the place and number of its ids in a pool."""
+
+    def __init__(self):
+        self.keys, self.starts, self.counts, self.used = np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
+        self.pool = np.empty(0, np.uint16)
+        self.now = 0
+
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(places of ``keys``, which ones are there)."""
+        self.now += 1
+        at = np.searchsorted(self.keys, keys)
+        there = np.zeros(len(keys), bool)
+        if len(self.keys):
+            at = np.minimum(at, len(self.keys) - 1)
+            there = self.keys[at] == keys
+            self.used[at[there]] = self.now
+        return at, there
+
+    def add(self, keys: np.ndarray, ids: list[bytes]) -> None:
+        counts = np.fromiter(map(len, ids), np.int64, len(ids)) // 2
+        starts = len(self.pool) + np.cumsum(counts) - counts
+        self.pool = np.concatenate([self.pool, np.frombuffer(b"".join(ids), "<u2")])
+        every = np.concatenate([self.keys, keys])
+        order = np.argsort(every, kind="stable")
+        self.keys, self.starts, self.counts = every[order], np.concatenate([self.starts, starts])[order], np.concatenate([self.counts, counts])[order]
+        self.used = np.concatenate([self.used, np.full(len(keys), self.now)])[order]
+
+    def shrink(self) -> None:
+        """Forget the half that was used least lately, if there are too many."""
+        if len(self.keys) > TABLE_WORDS:
+            stay = np.sort(np.argpartition(self.used, len(self.used) // 2)[len(self.used) // 2 :])
+            self.keys, self.used, starts, self.counts = self.keys[stay], self.used[stay], self.starts[stay], self.counts[stay]
+            self.pool, self.starts = self.ids(starts, self.counts), np.cumsum(self.counts) - self.counts
+
+    def ids(self, starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """The ids at all of ``starts``, one run after another."""
+        ends = np.cumsum(counts)
+        place = np.repeat(starts - (ends - counts), counts)
+        place += np.arange(len(place))
+        return self.pool[place]
+
+
 class WordEncoder:
-    """Ids of texts by a tokenizer that drops spaces between words, as little-endian unsigned 16-bit integers.
+    """Ids of texts by a tokenizer that drops spaces between words, in 16 bits.
 
-    A space or line end always ends a word for such a tokenizer, so a text's ids are those of its words in turn: each
-    word is encoded by the library, and remembered while it recurs.
+    A space or line end always ends a word for such a tokenizer, so a text's ids are those of its words in turn. Words are
+    encoded by the library and remembered while they recur; a word of letters between signs is put together from those
+    three units, each of which is one word to the tokenizer.
     """
 
     def __init__(self, path: str):
@@ -41,37 +141,89 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         if self.tokenizer.get_vocab_size() > 65536:
             raise ValueError("ids need more than 16 bits")
-        self.young: dict[str, bytes] = {"": b""}
+        self.last = np.zeros(65536, bool)  # ids that end a word
+        for token, id_ in self.tokenizer.get_vocab().items():
+            self.last[id_] = token.endswith("</w>")
+        self.table = _Table()
+        self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
-    def _learn(self, words: set[str]) -> dict[str, bytes]:
-        """Ids of ``words``; short ones stay in the cache."""
-        found = {w: self.old[w] for w in words if w in self.old}
-        fresh = [w for w in words if w not in found]
-        encoded = self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False)
-        found.update((w, np.array(e.ids, "<u2").tobytes()) for w, e in zip(fresh, encoded, strict=True))
-        if len(self.young) + len(found) > CACHE_WORDS:
-            self.young, self.old = {"": b""}, self.young
-        self.young.update((w, x) for w, x in found.items() if len(w) <= CACHE_LENGTH)
-        return found
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """Ids of each text, null as empty."""
-        split = [(t or "").replace("\n", " ").split(" ") for t in texts]
-        get = self.young.get
-        parts = [list(map(get, words)) for words in split]
-        missing = {w for words, part in zip(split, parts, strict=True) if None in part for w, p in zip(words, part, strict=True) if p is None}
-        if missing:
-            found = self._learn(missing)
-            parts = [[found[w] if p is None else p for w, p in zip(words, part, strict=True)] if None in part else part for words, part in zip(split, parts, strict=True)]
-        return [b"".join(p) for p in parts]
+    def _units(self, wanted: set[str]) -> dict[str, bytes]:
+        """Ids of units that are one word each to the tokenizer: many are encoded as one text and told apart by their ends."""
+        young, old = self.young, self.old
+        found = {u: young[u] if u in young else old[u] for u in wanted if u in young or u in old}
+        fresh = list(wanted - found.keys())
+        runs = [fresh[at : at + JOINED] for at in range(0, len(fresh), JOINED)]
+        new = {}
+        for run, encoded in zip(runs, self.tokenizer.encode_batch_fast([" ".join(run) for run in runs], add_special_tokens=False), strict=True):
+            ids = np.array(encoded.ids, "<u2")
+            ends = (np.flatnonzero(self.last[ids]) + 1).tolist()
+            if len(ends) != len(run) or ends[-1] != len(ids):
+                raise ValueError("this tokenizer doesn't end a word at each space")
+            flat, before = ids.tobytes(), 0
+            for unit, end in zip(run, ends, strict=True):
+                new[unit] = flat[2 * before : 2 * end]
+                before = end
+        if len(young) + len(new) > CACHE_UNITS:
+            self.young, self.old = {}, young
+        self.young.update((u, x) for u, x in new.items() if len(u) <= CACHE_LENGTH)
+        return found | new
+
+    def _encoded(self, words: list[str]) -> list[bytes]:
+        """Ids of each of ``words``."""
+        cores = [w.strip(SIGNS) for w in words]
+        split = [LETTERS.fullmatch(c) is not None and "<|" not in w for w, c in zip(words, cores, strict=True)]
+        cores = [c.lower() if c.isascii() else c for c in cores]
+        signed = [i for i, s in enumerate(split) if s and len(cores[i]) != len(words[i])]
+        leads = [words[i][: len(words[i]) - len(words[i].lstrip(SIGNS))] for i in signed]
+        tails = [words[i][len(words[i].rstrip(SIGNS)) :] for i in signed]
+        units = self._units({*(c for c, s in zip(cores, split, strict=True) if s), *leads, *tails} - {""})
+        units[""] = b""
+        ids = [units[c] if s else b"" for c, s in zip(cores, split, strict=True)]
+        for i, lead, tail in zip(signed, leads, tails, strict=True):
+            ids[i] = units[lead] + ids[i] + units[tail]
+        whole = [i for i, s in enumerate(split) if not s]
+        for i, encoded in zip(whole, self.tokenizer.encode_batch_fast([words[i] for i in whole], add_special_tokens=False), strict=True):
+            ids[i] = np.array(encoded.ids, "<u2").tobytes()
+        return ids
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all ``texts`` one after another, number of ids of each); null texts are empty."""
+        texts = pc.fill_null(texts, "")
+        offsets = np.frombuffer(texts.buffers()[1], np.int64 if pa.types.is_large_string(texts.type) else np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+        data = texts.buffers()[2].to_pybytes()[offsets[0] : offsets[-1]] if len(texts) and offsets[-1] > offsets[0] else b""
+        if not data:
+            return np.empty(0, np.uint16), np.zeros(len(texts), np.int64)
+        offsets -= offsets[0]
+        flat = np.frombuffer(data, np.uint8)
+        marks = np.flatnonzero((flat == 32) | (flat == 10))
+        starts = np.sort(np.concatenate([offsets[:-1], marks + 1]), kind="stable")
+        lengths = np.sort(np.concatenate([marks, offsets[1:]]), kind="stable") - starts
+        starts, lengths = starts[lengths > 0], lengths[lengths > 0]
+        keys = word_keys(data, starts, lengths)
+        order = np.argsort(keys)
+        new = np.append(True, np.diff(keys[order]) != 0) if len(keys) else np.empty(0, bool)
+        which = np.empty(len(keys), np.int64)
+        which[order] = np.cumsum(new) - 1
+        first = order[new]
+        at, there = self.table.find(keys[first])
+        if not there.all():
+            lacking = first[~there]
+            begin, end = starts[lacking].tolist(), (starts[lacking] + lengths[lacking]).tolist()
+            self.table.add(keys[lacking], self._encoded([data[a:b].decode("utf-8", "replace") for a, b in zip(begin, end, strict=True)]))
+            at = np.searchsorted(self.table.keys, keys[first])
+        counts = self.table.counts[at][which]
+        ids = self.table.ids(self.table.starts[at][which], counts)
+        ends = np.append(0, np.cumsum(counts))
+        self.table.shrink()
+        return ids, np.diff(ends[np.searchsorted(starts, offsets)])
 
 
 _encoders: dict[str, WordEncoder] = {}
 
 
 def word_encoder(path: str) -> WordEncoder:
-    """This worker's encoder: tasks that follow one another on a worker share its cache."""
+    """This worker's encoder: tasks that follow one another on a worker share its table."""
     if path not in _encoders:
         _encoders[path] = WordEncoder(path)
     return _encoders[path]
