@@ -13,7 +13,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from hazgrid.llm.tokens import slices, word_encoder
+from hazgrid.llm.common import written
+from hazgrid.llm.tokens import gathered, word_encoder
 
 BLOCK = 256
 
@@ -25,10 +26,9 @@ def encoded_lengths(docs: DataFrame, tokenizer: str, text: str = "text", keep: t
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = word_encoder(tokenizer)
-        for batch in batches:
-            for part in slices(batch, "_text"):
-                lengths = [len(x) // 2 for x in encoder.encode(part.column("_text").to_pylist())]
-                yield pa.RecordBatch.from_arrays([*(part.column(k) for k in keep), pa.array(lengths, pa.int64())], [*keep, "n_tokens"])
+        for part in gathered(batches, "_text"):
+            _, lengths = encoder.encode(part.column("_text"))
+            yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(lengths, pa.int64())], [*part.schema.names[:-1], "n_tokens"])
 
     return source.mapInArrow(count, schema)
 
@@ -77,7 +77,9 @@ def length_quantiles(limits: DataFrame, shares: list[float]) -> DataFrame:
 
 
 def op7_token_counts(spark, sf_dir):
+    """The histogram of encoded lengths of all documents, with totals for every limit."""
     import public_tokenizers
 
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return context_limits(length_histogram(encoded_lengths(docs, public_tokenizers.path("word_bpe_49k.json"))))
+    histogram = length_histogram(encoded_lengths(docs, public_tokenizers.path("word_bpe_49k.json")))
+    return context_limits(written(histogram, "histogram"))  # read twice: written, so that texts are encoded once
