@@ -99,28 +99,27 @@ def band_hashes(shingles: np.ndarray) -> np.ndarray:
 
 
 def _signed(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id, n_shingles, digest of the set (null when empty) and bands."""
+    """``docs`` (row, kept, text) with n_shingles, digest of the set (null when empty) and bands."""
+    names = ["n_shingles", "digest", "bands"]
+    kinds = [pa.int64(), pa.binary(), pa.list_(pa.int64())]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "_text"):
-                sizes, digests, bands = [], [], []
-                for text in part.column("_text").to_pylist():
+            for part in slices(batch, "text"):
+                found: list[list] = [[], [], []]
+                for text in part.column("text").to_pylist():
                     s = shingle_set(text, width)
-                    sizes.append(len(s))
-                    digests.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
-                    bands.append(band_hashes(s) if len(s) else np.empty(0, np.int64))
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(bands, pa.list_(pa.int64()))],
-                    ["doc_id", "n_shingles", "digest", "bands"],
-                )
+                    found[0].append(len(s))
+                    found[1].append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
+                    found[2].append(band_hashes(s) if len(s) else np.empty(0, np.int64))
+                yield pa.RecordBatch.from_arrays([*part.columns, *(pa.array(x, k) for x, k in zip(found, kinds, strict=True))], [*part.schema.names, *names])
 
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("_text"))
-    return source.mapInArrow(run, "doc_id long, n_shingles long, digest binary, bands array<long>")
+    schema = docs.select("*", F.lit(0).cast("long").alias(names[0]), F.lit(None).cast("binary").alias(names[1]), F.array().cast("array<long>").alias(names[2])).schema
+    return docs.mapInArrow(run, schema)
 
 
-def _sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """(doc_id, shingles as bytes) of the documents in ``wanted``.
+def _sets(signed: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
+    """(row, shingles as bytes) of the rows in ``wanted``.
 
     Texts meet ``wanted`` by a merge join at every size, so that plan and figures don't change where the ids of candidates
     outgrow a broadcast; on large scans Spark's runtime filter keeps other texts out of the shuffle.
@@ -128,12 +127,11 @@ def _sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "_text"):
-                sets = [shingle_set(t, width).tobytes() for t in part.column("_text").to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(sets, pa.binary())], ["doc_id", "shingles"])
+            for part in slices(batch, "text"):
+                sets = [shingle_set(t, width).tobytes() for t in part.column("text").to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column("row"), pa.array(sets, pa.binary())], ["row", "shingles"])
 
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("_text")).join(wanted.hint("merge"), "doc_id", "left_semi")
-    return source.mapInArrow(run, "doc_id long, shingles binary")
+    return signed.select("row", "text").join(wanted.hint("merge"), "row", "left_semi").mapInArrow(run, "row long, shingles binary")
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -148,8 +146,8 @@ def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                 similar.append(100 * common >= THRESHOLD * (len(x) + len(y) - common) > 0)
             yield batch.select(["u", "v"]).filter(pa.array(similar, pa.bool_()))
 
-    left = sets.select(F.col("doc_id").alias("u"), F.col("shingles").alias("a"))
-    right = sets.select(F.col("doc_id").alias("v"), F.col("shingles").alias("b"))
+    left = sets.select(F.col("row").alias("u"), F.col("shingles").alias("a"))
+    right = sets.select(F.col("row").alias("v"), F.col("shingles").alias("b"))
     return checkpointed(pairs.join(left, "u").join(right, "v").select("u", "v", "a", "b").mapInArrow(run, "u long, v long"))
 
 
@@ -192,7 +190,7 @@ def _links_of_strays(placed: DataFrame, sets: DataFrame) -> DataFrame:
     sizes = placed.groupBy("leader", "c").agg(F.count("*").alias("size"))
     groups = sizes.groupBy("leader").agg(F.max(F.struct("size", "c"))["c"].alias("largest"), F.count("*").alias("parts"), F.sum("size").alias("size")).where("parts > 1")
     open_ = written(placed.join(groups.select("leader", "largest", "size"), "leader"), "open")
-    sets = sets.withColumnRenamed("doc_id", "rep")
+    sets = sets.withColumnRenamed("row", "rep")
     n_open = open_.count()
     blocks = F.ceil(F.col("size") / BLOCK)
     tasks = max(1, n_open // (4 * BLOCK))
@@ -223,16 +221,22 @@ def _links_of_strays(placed: DataFrame, sets: DataFrame) -> DataFrame:
     return checkpointed(strays.groupBy(*keys).cogroup(others.groupBy(*keys)).applyInPandas(compare, "u long, v long").distinct())
 
 
-def near_duplicates(docs: DataFrame, width: int = 5) -> DataFrame:
-    """doc_id, n_shingles, component_id (least doc_id reachable over links) and kept, a row for each row of ``docs``.
+def grouped(docs: DataFrame, width: int = 5) -> DataFrame:
+    """A row for each row of ``docs``: kept (all of its columns, as a struct), n_shingles, component_id (least doc_id reachable
+    over links) and stands (the one row that stands for its group: the first by doc_id, null ones last).
 
     Two documents link if 100 * intersection >= 80 * union of their shingle sets. Null texts count as empty; empty ones
-    link with nothing. Rows that repeat a document with its text are one class. A null doc_id is never a representative
-    and is kept only if nothing equals or resembles it. Further columns are ignored; an empty table gives no rows.
+    link with nothing and each stands for itself. Rows that repeat a document with its text are one class. Rows without
+    doc_id link like others; a group of such rows only has no component_id. Columns may have any names; an empty table
+    gives no rows.
     """
-    signed = written(_signed(docs, width), "signed")
-    classes = signed.where(F.col("digest").isNotNull()).groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.first("n_shingles").alias("n"))
-    classes = written(classes.where(F.col("rep").isNotNull()), "classes")
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.struct(*docs.columns).alias("kept"), "text")
+    signed = written(_signed(rows, width), "signed")
+    doc_id = F.col("kept.doc_id").cast("long")
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row"))
+    texts = signed.where(F.col("digest").isNotNull()).select(doc_id.alias("doc_id"), "row", "n_shingles", "digest", "bands")
+    classes = texts.groupBy("digest").agg(first.alias("f"), F.first("bands").alias("bands"), F.first("n_shingles").alias("n"))
+    classes = written(classes.select("digest", F.col("f.row").alias("rep"), F.col("f.doc_id").alias("doc_id"), "bands", "n"), "classes")
     buckets = classes.select(F.posexplode("bands").alias("band", "hash"), "rep", "n").select(F.xxhash64("band", "hash").alias("bucket"), "rep", "n")
     shared = buckets.groupBy("bucket").agg(F.count("*").alias("members")).where("members > 1")
     members = written(buckets.join(shared, "bucket"), "members")
@@ -243,7 +247,7 @@ def near_duplicates(docs: DataFrame, width: int = 5) -> DataFrame:
     followers = written(members.join(leaders, "bucket").select("leader", "leader_n", "rep", "n").distinct(), "followers")
 
     stars = followers.where(F.col("rep") != F.col("leader")).where(_close("n", "leader_n"))
-    sets = written(_sets(docs, followers.select(F.col("rep").alias("doc_id")).distinct(), width), "sets")
+    sets = written(_sets(signed, followers.select(F.col("rep").alias("row")).distinct(), width), "sets")
     links = confirmed(checkpointed(stars.select(F.least("leader", "rep").alias("u"), F.greatest("leader", "rep").alias("v")).distinct()), sets)
     components = checkpointed(connected_components(links))
 
@@ -251,11 +255,28 @@ def near_duplicates(docs: DataFrame, width: int = 5) -> DataFrame:
     links = links.unionByName(_links_of_strays(placed, sets))
     components = checkpointed(connected_components(links)).withColumnRenamed("node", "rep")
 
-    final = classes.select("digest", "rep").join(components, "rep", "left").select("digest", F.coalesce("component", "rep").alias("component_id"))
-    result = signed.select("doc_id", "n_shingles", "digest").join(final, "digest", "left")
-    result = result.withColumn("component_id", F.coalesce("component_id", "doc_id"))
-    return result.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+    placed = written(classes.select("digest", F.col("rep").alias("row"), "doc_id").join(components.withColumnRenamed("rep", "row"), "row", "left").withColumn("c", F.coalesce("component", "row")), "placed")
+    heads = placed.groupBy("c").agg(first.alias("f")).select("c", F.col("f.row").alias("head"), F.col("f.doc_id").alias("component_id"))
+    of_class = placed.join(heads, "c").select("digest", "head", "component_id")
+    with_text = signed.where(F.col("digest").isNotNull()).select("row", "kept", "n_shingles", "digest").join(of_class, "digest", "left")
+    without = signed.where(F.col("digest").isNull()).select("row", "kept", "n_shingles", F.col("row").alias("head"), doc_id.alias("component_id"))
+    result = with_text.select("row", "kept", "n_shingles", "head", "component_id").unionByName(without)
+    return result.select("kept", "n_shingles", "component_id", (F.col("row") == F.col("head")).alias("stands"))
+
+
+def near_duplicates(docs: DataFrame, width: int = 5) -> DataFrame:
+    """doc_id, n_shingles, component_id and kept (doc_id = component_id, so that all rows which repeat a kept document are
+    kept), a row for each row of ``docs``; see ``grouped``. Rows without doc_id are kept if their group has no doc_id."""
+    found = grouped(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), width)
+    found = found.select("kept.doc_id", "n_shingles", "component_id")
+    return found.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+def one_of_each(docs: DataFrame, width: int = 5) -> DataFrame:
+    """``docs`` without near-duplicates: of each group the row that stands for it."""
+    return grouped(docs, width).where("stands").select("kept.*")
 
 
 def op4_minhash_near_dedup(spark, sf_dir):
+    """Groups of near-duplicates by shingles of four words."""
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), width=4)
