@@ -2,12 +2,14 @@
 
 ``text_statistics`` counts, per document and in one map-only projection, what the rules need.
 ``outlier_verdicts`` fits a minimum-covariance-determinant (MCD) estimate of location and scatter per language and
-source by concentration steps, and rejects documents whose Mahalanobis distance is too large.
+source: concentration steps from several starts until no determinant falls any more, of which the start that ends with the
+least determinant counts. It rejects documents whose Mahalanobis distance is too large.
 
 Scale: texts are read once and never shuffled. What is kept is one short numeric row a document, written to the shared
 folder. Each concentration step is two partial aggregations over those rows (an exact rank of quantised distances, then
-sums), so a source that holds a third of all rows still meets the final task as one row a map task. The estimates are one
-row a group; Spark broadcasts them only while they are below its own size threshold, and joins by key beyond it.
+sums), so a source that holds a third of all rows still meets the final task as one row a map task. The estimates are a few
+rows a group; they are broadcast while their counted number is below a bound, and beyond it the rows of a group are salted
+over many tasks, so that a hot group never meets one.
 """
 
 from __future__ import annotations
@@ -32,14 +34,15 @@ GRID = 1000
 
 @dataclass(frozen=True)
 class OutlierSettings:
-    """support: share of a group that the estimate rests on. steps: concentration steps. floor: standard deviation, in
-    units of the transformed statistics, below which no direction counts as known. min_group: documents a group needs for
+    """support: share of a group that the estimate rests on. steps: concentration steps at most; fewer are taken where no
+    determinant falls any more. subsets: starts from a share of the rows, besides the start from medians and the one from all
+    rows. floor: standard deviation, in units of the transformed statistics, below which no direction counts as known. min_group: documents a group needs for
     an estimate of its own; smaller groups of a language pool, and smaller pools pool again over all languages.
-    tail: chance that a clean Gaussian document is
-    rejected; far below usual levels, since honest text has heavier tails than a Gaussian."""
+    tail: chance that a clean Gaussian document is rejected; far below usual levels, since honest text has heavier tails than a Gaussian."""
 
     support: float = 0.75
-    steps: int = 4
+    steps: int = 8
+    subsets: int = 2
     floor: float = 0.06
     min_group: int = 100
     tail: float = 1e-14
@@ -146,9 +149,22 @@ def group_keys(rows: DataFrame, min_group: int) -> DataFrame:
     )
 
 
-def _sums(rows: DataFrame, group: str = "_group") -> DataFrame:
+#: Rows of a table that is broadcast, each a few hundred bytes; and parts of a group where it isn't.
+BROADCAST_ROWS, SALT = 20_000, 64
+
+
+def _with(rows: DataFrame, table: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """``rows`` joined with the checkpointed ``table`` of a few rows a group."""
+    if table.count() <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(table), on, how)
+    rows = rows.withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALT)))
+    table = table.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALT - 1).cast("long"))))
+    return rows.join(table, [*on, "_salt"], how).drop("_salt")
+
+
+def _sums(rows: DataFrame, keys: tuple[str, ...] = ("_group", "_start")) -> DataFrame:
     xs = [F.col(f) for f in FEATURES]
-    return rows.groupBy(group).agg(
+    return rows.groupBy(*keys).agg(
         F.count("*").alias("_n"),
         *(F.sum(x).alias(f"_s{i}") for i, x in enumerate(xs)),
         *(F.sum(xs[i] * xs[j]).alias(f"_s{i}_{j}") for i in range(P) for j in range(i + 1)),
@@ -156,15 +172,17 @@ def _sums(rows: DataFrame, group: str = "_group") -> DataFrame:
 
 
 def _whitener(sums: DataFrame, scale: float, floor: float) -> DataFrame:
-    """Means and the inverse W of the Cholesky factor of scale * covariance + floor**2: the distance is |W (x - mean)|**2."""
-    df = sums.select("_group", *((F.col(f"_s{i}") / F.col("_n")).alias(f"_m{i}") for i in range(P)), *("_n", *(f"_s{i}_{j}" for i in range(P) for j in range(i + 1))))
+    """Means, the inverse W of the Cholesky factor of scale * covariance + floor**2 (the distance is |W (x - mean)|**2), and
+    _logdet, half the logarithm of its determinant."""
+    keys = ["_group", "_start"]
+    df = sums.select(*keys, *((F.col(f"_s{i}") / F.col("_n")).alias(f"_m{i}") for i in range(P)), *("_n", *(f"_s{i}_{j}" for i in range(P) for j in range(i + 1))))
     means = [f"_m{i}" for i in range(P)]
 
     def covariance(i: int, j: int) -> Column:
         c = (F.col(f"_s{i}_{j}") / F.col("_n") - F.col(f"_m{i}") * F.col(f"_m{j}")) * scale
         return F.greatest(c, F.lit(0.0)) + (floor * GRID) ** 2 if i == j else c
 
-    df = df.select("_group", *means, *(covariance(i, j).alias(f"_c{i}_{j}") for i in range(P) for j in range(i + 1)))
+    df = df.select(*keys, *means, *(covariance(i, j).alias(f"_c{i}_{j}") for i in range(P) for j in range(i + 1)))
 
     def minus(value: Column, terms: list[Column]) -> Column:
         return reduce(lambda a, b: a - b, terms, value)
@@ -177,24 +195,53 @@ def _whitener(sums: DataFrame, scale: float, floor: float) -> DataFrame:
         for j in range(i):
             inverse[f"_w{i}_{j}"] = -reduce(lambda a, b: a + b, [F.col(f"_l{i}_{k}") * F.col(f"_w{k}_{j}") for k in range(j, i)]) / F.col(f"_l{i}_{i}")
         df = df.withColumns(inverse)
-    return checkpointed(df.select("_group", *means, *(f"_w{i}_{j}" for i in range(P) for j in range(i + 1))))
+    logdet = reduce(lambda a, b: a + b, [F.log(F.col(f"_l{i}_{i}")) for i in range(P)])
+    return checkpointed(df.select(*keys, *means, *(f"_w{i}_{j}" for i in range(P) for j in range(i + 1)), logdet.alias("_logdet")))
 
 
-def _start(rows: DataFrame, floor: float) -> DataFrame:
-    """First estimate: exact medians, and quartile ranges as independent scales. The grid bounds the distinct values that percentile() holds."""
+def _starts(rows: DataFrame, settings: OutlierSettings) -> DataFrame:
+    """First estimates of each group: exact medians, and quartile ranges as independent scales (start 0; the grid bounds the
+    distinct values that percentile() holds); mean and covariance of all rows (start 1) and of ``subsets`` eighths of the
+    rows, dealt by a hash of their values (starts 2 on)."""
+    floor = settings.floor * GRID
     q = rows.groupBy("_group").agg(*(F.percentile(f, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(f"_q{i}") for i, f in enumerate(FEATURES)))
-    spread = [F.greatest((F.get(f"_q{i}", F.lit(2)) - F.get(f"_q{i}", F.lit(0))) / 1.349, F.lit(floor * GRID)) for i in range(P)]
-    return checkpointed(q.select(
-        "_group", *(F.get(f"_q{i}", F.lit(1)).alias(f"_m{i}") for i in range(P)),
-        *((1.0 / spread[i] if i == j else F.lit(0.0)).alias(f"_w{i}_{j}") for i in range(P) for j in range(i + 1)),
-    ))
+    spread = [F.greatest((F.get(f"_q{i}", F.lit(2)) - F.get(f"_q{i}", F.lit(0))) / 1.349, F.lit(floor)) for i in range(P)]
+    medians = q.select(
+        "_group", F.lit(0).alias("_start"), *(F.get(f"_q{i}", F.lit(1)).alias(f"_m{i}") for i in range(P)),
+        *((1.0 / spread[i] if i == j else F.lit(0.0)).alias(f"_w{i}_{j}") for i in range(P) for j in range(i + 1)), F.lit(None).cast("double").alias("_logdet"),
+    )
+    eighth = F.pmod(F.xxhash64(*FEATURES), F.lit(8)).cast("int")
+    dealt = F.array_append(F.when(eighth < settings.subsets, F.array(eighth + 2)).otherwise(F.array().cast("array<int>")), F.lit(1))
+    return checkpointed(medians.unionByName(_whitener(_sums(rows.withColumn("_start", F.explode(dealt))), 1.0, settings.floor)))
 
 
 def _distances(rows: DataFrame, estimate: DataFrame, how: str = "inner") -> DataFrame:
     z = [F.col(f) - F.col(f"_m{i}") for i, f in enumerate(FEATURES)]
     y = [reduce(lambda a, b: a + b, [F.col(f"_w{i}_{j}") * z[j] for j in range(i + 1)]) for i in range(P)]
     distance = reduce(lambda a, b: a + b, [v * v for v in y])
-    return rows.join(estimate, "_group", how).select(*rows.columns, distance.alias("_d2"))
+    return _with(rows, estimate, ["_group"], how).select(*rows.columns, "_start", distance.alias("_d2"))
+
+
+def estimates(rows: DataFrame, settings: OutlierSettings = OutlierSettings()) -> DataFrame:
+    """The reweighted MCD estimate of each _group of ``rows`` (_group and FEATURES on the grid): means _m, inverse factor _w."""
+    s = settings
+    estimate = _starts(rows, s)
+    consistency = s.support / chi2_cdf(chi2_quantile(s.support, P), P + 2)
+    best = None
+    for _ in range(s.steps):
+        # Distances on a grid of a hundredth in logarithm: the exact rank of the support needs a few hundred counts a group.
+        near = _distances(rows, estimate).withColumn("_b", F.floor(100 * F.log(F.col("_d2") + 1e-6)).cast("long"))
+        cut = checkpointed(near.groupBy("_group", "_start").agg(F.expr(f"percentile_disc({s.support}) WITHIN GROUP (ORDER BY _b)").alias("_cut")))
+        estimate = _whitener(_sums(_with(near, cut, ["_group", "_start"]).where(F.col("_b") <= F.col("_cut"))), consistency, s.floor)
+        now = estimate.agg(F.sum("_logdet")).first()[0]
+        if now is None or best is not None and now > best - 1e-6:
+            break
+        best = now
+    # The start with the least determinant; of equal ones the first.
+    least = estimate.groupBy("_group").agg(F.min(F.struct("_logdet", "_start"))["_start"].alias("_start"))
+    estimate = checkpointed(estimate.join(least, ["_group", "_start"]))
+    weight_cut = chi2_quantile(0.975, P)
+    return _whitener(_sums(_distances(rows, estimate).where(F.col("_d2") <= weight_cut)), 0.975 / chi2_cdf(weight_cut, P + 2), s.floor)
 
 
 def outlier_verdicts(stats: DataFrame, settings: OutlierSettings = OutlierSettings()) -> DataFrame:
@@ -206,40 +253,40 @@ def outlier_verdicts(stats: DataFrame, settings: OutlierSettings = OutlierSettin
     Empty input gives an empty result. kept is false if base_failed, else whether the distance is within the chi-square
     bound for ``tail``.
     """
-    s = settings
     full = _key(F.col("lang").cast("string"), F.col("source").cast("string"))
     rows = stats.where(~F.col("base_failed")).select(full.alias("_full"), *FEATURES)
-    keys = checkpointed(group_keys(stats.where(~F.col("base_failed")), s.min_group))
-    rows = rows.join(keys, "_full").drop("_full")
-    estimate = _start(rows, s.floor)
-    inside = chi2_quantile(s.support, P)
-    consistency = s.support / chi2_cdf(inside, P + 2)
-    for _ in range(s.steps):
-        # Distances on a grid of a hundredth in logarithm: the exact rank of the support needs a few hundred counts a group.
-        near = _distances(rows, estimate).withColumn("_b", F.floor(100 * F.log(F.col("_d2") + 1e-6)).cast("long"))
-        cut = near.groupBy("_group").agg(F.expr(f"percentile_disc({s.support}) WITHIN GROUP (ORDER BY _b)").alias("_cut"))
-        estimate = _whitener(_sums(near.join(cut, "_group").where(F.col("_b") <= F.col("_cut"))), consistency, s.floor)
-    weight_cut = chi2_quantile(0.975, P)
-    factor = 0.975 / chi2_cdf(weight_cut, P + 2)
-    estimate = _whitener(_sums(_distances(rows, estimate).where(F.col("_d2") <= weight_cut)), factor, s.floor)
-    bound = chi2_quantile(1 - s.tail, P)
-    judged = stats.withColumn("_full", full).join(keys, "_full", "left")
+    keys = checkpointed(group_keys(stats.where(~F.col("base_failed")), settings.min_group))
+    rows = written(_with(rows, keys, ["_full"]).drop("_full"), "grouped")
+    estimate = estimates(rows, settings)
+    bound = chi2_quantile(1 - settings.tail, P)
+    judged = _with(stats.withColumn("_full", full), keys, ["_full"], "left")
     judged = _distances(judged, estimate, "left").withColumn("distance2", F.when(~F.col("base_failed"), F.col("_d2")))
-    return judged.withColumn("kept", ~F.col("base_failed") & (F.coalesce("distance2", F.lit(0.0)) <= bound)).drop("_full", "_group", "_d2")
+    return judged.withColumn("kept", ~F.col("base_failed") & (F.coalesce("distance2", F.lit(0.0)) <= bound)).drop("_full", "_group", "_start", "_d2")
+
+
+def _judged(docs: DataFrame, settings: OutlierSettings) -> DataFrame:
+    """Statistics and verdict of each row of ``docs`` (kept_row, a struct, lang, source, text). The statistics are written to
+    the shared folder with the rows, so texts are read once whatever the number of steps, and verdicts never have to find
+    the rows that they are of."""
+    stats = transformed(text_statistics(docs, keep=("kept_row", "lang", "source")))
+    return outlier_verdicts(written(stats, "quality"), settings)
 
 
 def quality_rules(docs: DataFrame, settings: OutlierSettings = OutlierSettings()) -> DataFrame:
-    """Statistics and verdict of each document (columns doc_id, lang, source, text are read; others are ignored).
+    """doc_id, lang, source, statistics and verdict of each document (columns doc_id, lang, source, text are read; others are
+    ignored). Repeated rows of a document give repeated rows; see ``text_statistics`` and ``outlier_verdicts`` for the rest."""
+    return _judged(docs.select(F.struct("doc_id").alias("kept_row"), "lang", "source", "text"), settings).select("kept_row.doc_id", "*").drop("kept_row")
 
-    Repeated rows of a document give repeated rows. The statistics are written to the shared folder, so the texts are
-    read once whatever the number of steps.
-    """
-    return outlier_verdicts(written(transformed(text_statistics(docs)), "quality"), settings)
+
+def kept_documents(docs: DataFrame, settings: OutlierSettings = OutlierSettings()) -> DataFrame:
+    """The rows of ``docs`` that the quality rules keep, all columns, whatever they are called."""
+    return _judged(docs.select(F.struct(*docs.columns).alias("kept_row"), "lang", "source", "text"), settings).where("kept").select("kept_row.*")
 
 
 OUTPUT = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
 def op8_quality_rules(spark, sf_dir):
+    """Statistics and verdict of every document, with its squared distance."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return quality_rules(docs).select(*OUTPUT, "distance2")
