@@ -71,27 +71,49 @@ def preference_pairs(turns: DataFrame) -> DataFrame:
     )
 
 
+def replaced_replies(conversations: DataFrame) -> DataFrame:
+    """Pairs of ``conversations`` (conv_id, turn, role, text) as turns of ``preference_turns``: a conversation is the chosen
+    side; the rejected side has its turns but the last, and the last turn of the conversation whose conv_id differs in the
+    lowest bit instead. Where there is no such conversation, the pair has no rejected side.
+
+    A last turn that several rows have ends with the greatest role, then text. Nulls are as in ``preference_turns``; rows
+    without conv_id are left out.
+    """
+    c = conversations.where(F.col("conv_id").isNotNull()).select(
+        "conv_id", F.coalesce("turn", F.lit(-1)).cast("long").alias("turn"), F.coalesce("role", F.lit("user")).alias("role"), F.coalesce("text", F.lit("")).alias("text")
+    )
+    ends = c.groupBy("conv_id").agg(F.max(F.struct("turn", "role", "text")).alias("end"))
+    other = ends.select(F.col("conv_id").bitwiseXOR(F.lit(1)).alias("conv_id"), F.col("end").alias("other"))
+    both = ends.join(other, "conv_id").select("conv_id", F.col("end.turn").alias("last"), "other")
+    early = c.join(both.select("conv_id", "last"), "conv_id").where("turn < last").drop("last")
+    late = both.select("conv_id", F.col("last").alias("turn"), "other.role", "other.text")
+    chosen = c.withColumn("side", F.lit("chosen"))
+    return chosen.unionByName(early.unionByName(late).withColumn("side", F.lit("rejected"))).withColumnRenamed("conv_id", "pair_id")
+
+
 def op2_chat_formatting(spark, sf_dir):
-    """Conversations 2k and 2k + 1 are the chosen and the rejected side of pair k."""
-    c = spark.read.parquet(f"{sf_dir}/conversations.parquet")
-    side = F.when(F.pmod("conv_id", F.lit(2)) == 0, F.lit("chosen")).otherwise(F.lit("rejected"))
-    return preference_turns(c.select(F.floor(F.col("conv_id") / 2).alias("pair_id"), side.alias("side"), "turn", "role", "text"))
+    """Each conversation against itself with another one's last turn: prompt and both masked completions, as turns."""
+    return preference_turns(replaced_replies(spark.read.parquet(f"{sf_dir}/conversations.parquet")))
 
 
 OP2_SQL = """
-WITH t AS (
-  SELECT CAST(floor(conv_id / 2.0) AS BIGINT) AS pair_id, coalesce(turn, -1) AS turn, coalesce(role, 'user') AS role, coalesce(text, '') AS text,
-         bool_or(conv_id % 2 = 0) AS c, bool_or(conv_id % 2 <> 0) AS r
-  FROM conversations WHERE conv_id IS NOT NULL GROUP BY ALL),
-d AS (SELECT pair_id, min(turn) AS first FROM t WHERE NOT (c AND r) GROUP BY pair_id),
+WITH v AS (SELECT conv_id, coalesce(turn, -1) AS turn, coalesce(role, 'user') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+z AS (SELECT * FROM v QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC, role DESC, text DESC) = 1),
+b AS (SELECT z.conv_id, z.turn AS last, o.role, o.text FROM z JOIN z o ON o.conv_id = xor(z.conv_id, 1)),
 s AS (
+  SELECT conv_id AS pair_id, turn, role, text, true AS c FROM v
+  UNION ALL SELECT v.conv_id, v.turn, v.role, v.text, false FROM v JOIN b USING (conv_id) WHERE v.turn < b.last
+  UNION ALL SELECT conv_id, last, role, text, false FROM b),
+t AS (SELECT pair_id, turn, role, text, bool_or(c) AS c, bool_or(NOT c) AS r FROM s GROUP BY ALL),
+d AS (SELECT pair_id, min(turn) AS first FROM t WHERE NOT (c AND r) GROUP BY pair_id),
+m AS (
   SELECT t.*, first IS NULL OR turn < first AS common,
          '<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10) AS rendered
   FROM t LEFT JOIN d USING (pair_id)),
 p AS (
-  SELECT *, 'prompt' AS part FROM s WHERE common
-  UNION ALL SELECT *, 'chosen' FROM s WHERE NOT common AND c
-  UNION ALL SELECT *, 'rejected' FROM s WHERE NOT common AND r),
+  SELECT *, 'prompt' AS part FROM m WHERE common
+  UNION ALL SELECT *, 'chosen' FROM m WHERE NOT common AND c
+  UNION ALL SELECT *, 'rejected' FROM m WHERE NOT common AND r),
 o AS (SELECT *, sum(length(rendered)) OVER (PARTITION BY pair_id, part ORDER BY turn, role, text ROWS UNBOUNDED PRECEDING) AS e FROM p)
 SELECT pair_id, part, turn, role, rendered, part <> 'prompt' AND role = 'assistant' AS mask,
        CAST(e - length(rendered) AS BIGINT) AS start_char, CAST(e AS BIGINT) AS end_char
