@@ -93,11 +93,12 @@ class BpeDatabase:
         self.pattern = regex.compile(pattern)
         with open(ranks_path, "rb") as lines:
             self.ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB"})
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB", "temp_directory": ""})
         vocabulary = pa.table({"id": pa.array(self.ranks.values(), pa.int32()), "token": pa.array(self.ranks.keys(), pa.binary())})
         self.db.register("given", vocabulary)
         self.db.execute("CREATE TABLE vocabulary AS FROM given")
         self.db.execute(MERGES_SQL)
+        self.tokens = {rank: token for token, rank in self.ranks.items()}
         self.byte_ids = np.array([self.ranks[bytes([b])] for b in range(256)], np.int32)
         self.joined = np.zeros((256, 256), bool)  # byte pairs that stand in some token; between others nothing merges
         for token in self.ranks:
@@ -108,6 +109,9 @@ class BpeDatabase:
         self.young_words: dict[bytes, tuple[str, int, bytes]] = {}
         self.old_words: dict[bytes, tuple[str, int, bytes]] = {}
 
+    def _token(self, id_: int) -> tuple[str, int, bytes]:
+        return str(id_), 1, self.tokens[id_]
+
     def _units(self, word: bytes) -> list[bytes]:
         """``word``, a long one cut where nothing merges."""
         if len(word) < LONG:
@@ -126,8 +130,8 @@ class BpeDatabase:
         return {words[word]: (ids, n, decoded) for word, ids, n, decoded in self.db.execute(DECODE_SQL).fetchall()}
 
     def _words(self, words: set[bytes]) -> dict[bytes, tuple[str, int, bytes]]:
-        """(ids as text, their number, decoded bytes) of each word. A word that is a token is that token."""
-        found = {w: (str(self.ranks[w]), 1, w) for w in words if w in self.ranks}
+        """(ids as text, their number, decoded bytes) of each word. A word that is a token is that token; bytes come from ids."""
+        found = {w: self._token(self.ranks[w]) for w in words if w in self.ranks}
         for cache in (self.young_words, self.old_words):
             found.update((w, cache[w]) for w in words if w in cache)
         split = {w: self._units(w) for w in words if w not in found}
@@ -147,7 +151,7 @@ class BpeDatabase:
             if len(parts) == 1:
                 found[w] = units[w]
             else:
-                done = [units[u] if u in units else (str(self.ranks[u]), 1, u) for u in parts]
+                done = [units[u] if u in units else self._token(self.ranks[u]) for u in parts]
                 found[w] = " ".join(d[0] for d in done), sum(d[1] for d in done), b"".join(d[2] for d in done)
         if len(self.young_words) + len(split) > CACHE_WORDS:
             self.young_words, self.old_words = {}, self.young_words
@@ -192,7 +196,8 @@ def encode_decode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "t
     """doc_id, n_tokens, ids_sha256 (of the decimal ids joined by one space) and decoded_sha256 (of the bytes that the ids
     decode to) of each whole text; with_ids adds ids (array<int>) and decoded (binary).
 
-    Null texts count as empty; empty texts have no ids. Repeated rows give repeated rows; further columns are ignored.
+    Null texts count as empty; empty texts have no ids. Repeated rows give repeated rows, an empty table none; further
+    columns are ignored.
     """
     source = docs.select("doc_id", F.col(text).alias("_text"))
     wanted = source.select("doc_id", F.lit(0).cast("long").alias("n_tokens"), F.lit("").alias("ids_sha256"), F.lit("").alias("decoded_sha256"))
@@ -222,6 +227,7 @@ def encode_decode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "t
 
 
 def op10_byte_bpe(spark, sf_dir):
+    """Encoded and decoded digests of every document."""
     import public_tokenizers
 
     return encode_decode(spark.read.parquet(f"{sf_dir}/documents.parquet"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
