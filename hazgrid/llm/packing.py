@@ -14,16 +14,17 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hazgrid.llm.common import whole_text, written
+from hazgrid.llm.common import written
+from hazgrid.llm.lengths import encoded_lengths
 
-#: Permitted sequence lengths, in tokens of a byte-level model (a token a byte, and an end token).
-SIZES = (2048, 4096, 8192, 16384, 32768)
+#: Permitted sequence lengths, in tokens.
+SIZES = (1024, 2048, 4096, 8192, 16384)
 #: Cost of a sequence of c tokens: OVERHEAD + c + c * c / QUADRATIC, for its fixed, linear and attention work.
 OVERHEAD, QUADRATIC = 64, 262_144
 #: Pieces in a group.
 GROUP = 4096
 
-RESULT = "doc_id long, piece long, token_start long, length long, bin_id long, bin_size long, bin_offset long"
+RESULT = "row long, doc_id long, piece long, token_start long, length long, bin_id long, bin_size long, bin_offset long"
 
 
 def best_fit(lengths: list[int], sizes: tuple[int, ...]) -> list[tuple[int, int]]:
@@ -57,7 +58,14 @@ def best_fit(lengths: list[int], sizes: tuple[int, ...]) -> list[tuple[int, int]
 
 
 def pack(lengths: DataFrame, sizes: tuple[int, ...] = SIZES, group: int = GROUP) -> DataFrame:
-    """``lengths`` (doc_id, n_tokens) as placed pieces: doc_id, piece, token_start, length, bin_id, bin_size, bin_offset.
+    """``lengths`` (doc_id, n_tokens) as placed pieces: doc_id, piece, token_start, length, bin_id, bin_size, bin_offset; see
+    ``placed`` for the rest."""
+    rows = written(lengths.select(F.monotonically_increasing_id().alias("row"), "doc_id", "n_tokens"), "lengths")
+    return placed(rows, sizes, group).drop("row")
+
+
+def placed(rows: DataFrame, sizes: tuple[int, ...] = SIZES, group: int = GROUP) -> DataFrame:
+    """``rows`` (row, doc_id, n_tokens), written ones whose row tells them apart, as placed pieces.
 
     A document longer than the largest size is cut into pieces of it and a rest. Documents of null or less than one token
     take one token (their end). Repeated doc_ids are documents of their own; a null doc_id stays null. Each bin finally has
@@ -66,7 +74,7 @@ def pack(lengths: DataFrame, sizes: tuple[int, ...] = SIZES, group: int = GROUP)
     sizes = tuple(sorted(sizes))
     top = sizes[-1]
     tokens = F.greatest(F.coalesce("n_tokens", F.lit(0)), F.lit(1)).cast("long")
-    rows = written(lengths.select("doc_id", tokens.alias("_n"), F.monotonically_increasing_id().alias("_row")), "lengths")
+    rows = rows.select(F.col("doc_id").cast("long").alias("doc_id"), tokens.alias("_n"), F.col("row").alias("_row"))
     n_pieces = rows.agg(F.sum(F.ceil(F.col("_n") / top))).first()[0] or 0
     groups = max(1, -(-n_pieces // group))
     pieces = rows.select("doc_id", "_n", "_row", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_n") - 1) / top))).alias("piece"))
@@ -83,15 +91,36 @@ def pack(lengths: DataFrame, sizes: tuple[int, ...] = SIZES, group: int = GROUP)
         frame["bin_id"] = frame["_group"] * 2**32 + at["_bin"]
         frame["bin_offset"] = at["bin_offset"]
         frame["doc_id"] = frame["doc_id"].astype("Int64")
-        return frame[["doc_id", "piece", "token_start", "length", "bin_id", "bin_size", "bin_offset"]]
+        frame["row"] = frame["_row"]
+        return frame[["row", "doc_id", "piece", "token_start", "length", "bin_id", "bin_size", "bin_offset"]]
 
     return pieces.groupBy("_group").applyInPandas(place, RESULT)
 
 
-def byte_lengths(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_tokens) for a byte-level model: the bytes of the whole text and an end token."""
-    return docs.select("doc_id", (F.octet_length(whole_text()) + 1).cast("long").alias("n_tokens"))
+def token_lengths(docs: DataFrame, tokenizer: str) -> DataFrame:
+    """(doc_id, n_tokens): the tokens of each whole text (null: empty) and an end token."""
+    return encoded_lengths(docs, tokenizer, keep=("doc_id",)).withColumn("n_tokens", F.col("n_tokens") + 1)
+
+
+def sequences(docs: DataFrame, sizes: tuple[int, ...] = SIZES, group: int = GROUP) -> DataFrame:
+    """The training sequences of ``docs`` (doc_id, ids array<int>): bin_id, bin_size, ids in order (an id 0 for a document
+    without any) and doc_ids and offsets of the pieces in it. A sequence is no longer than the largest size, so gathering
+    its pieces into a row is bounded."""
+    rows = written(docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.when(F.size("ids") > 0, F.col("ids")).otherwise(F.array(F.lit(0))).alias("ids")), "ids")
+    pieces = placed(rows.select("row", "doc_id", F.size("ids").cast("long").alias("n_tokens")), sizes, group)
+    part = F.slice("ids", (F.col("token_start") + 1).cast("int"), F.col("length").cast("int"))
+    pieces = pieces.join(rows.select("row", "ids"), "row").select("bin_id", "bin_size", F.struct("bin_offset", "doc_id", part.alias("ids")).alias("p"))
+    bins = pieces.groupBy("bin_id", "bin_size").agg(F.array_sort(F.collect_list("p")).alias("p"))
+    return bins.select("bin_id", "bin_size", F.flatten("p.ids").alias("ids"), F.col("p.doc_id").alias("doc_ids"), F.col("p.bin_offset").alias("offsets"))
+
+
+def packed_documents(docs: DataFrame) -> DataFrame:
+    """Where the pieces of each document lie in the sequences, by the lengths of the tokenizer ``word_bpe_49k``."""
+    import public_tokenizers
+
+    return pack(token_lengths(docs, public_tokenizers.path("word_bpe_49k.json")))
 
 
 def op6_best_fit_packing(spark, sf_dir):
-    return pack(byte_lengths(spark.read.parquet(f"{sf_dir}/documents.parquet")))
+    """Pieces of all documents in sequences of five sizes."""
+    return packed_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"))
