@@ -26,7 +26,7 @@ from hazgrid.llm.tokens import slices
 EBML, EBML_VERSION, EBML_READ_VERSION, EBML_MAX_ID, EBML_MAX_SIZE = 0x1A45DFA3, 0x4286, 0x42F7, 0x42F2, 0x42F3
 DOC_TYPE, DOC_VERSION, DOC_READ_VERSION = 0x4282, 0x4287, 0x4285
 SEGMENT, INFO, TIMESTAMP_SCALE, DURATION, MUXING_APP, WRITING_APP = 0x18538067, 0x1549A966, 0x2AD7B1, 0x4489, 0x4D80, 0x5741
-TRACKS, TRACK_ENTRY, TRACK_NUMBER, TRACK_UID, TRACK_TYPE, CODEC_ID = 0x1654AE6B, 0xAE, 0xD7, 0x73C5, 0x83, 0x86
+TRACKS, TRACK_ENTRY, TRACK_NUMBER, TRACK_UID, TRACK_TYPE, CODEC_ID, DEFAULT_DURATION = 0x1654AE6B, 0xAE, 0xD7, 0x73C5, 0x83, 0x86, 0x23E383
 AUDIO, SAMPLING, CHANNELS, BIT_DEPTH = 0xE1, 0xB5, 0x9F, 0x6264
 CLUSTER, TIMESTAMP, SIMPLE_BLOCK, BLOCK_GROUP, BLOCK, BLOCK_DURATION = 0x1F43B675, 0xE7, 0xA3, 0xA0, 0xA1, 0x9B
 REFERENCE_BLOCK, SEEK_HEAD, CHAPTERS, TAGS, ATTACHMENTS = 0xFB, 0x114D9B74, 0x1043A770, 0x1254C367, 0x1941A469
@@ -83,7 +83,7 @@ def _head(duration_ms: float) -> tuple[bytes, bytes, bytes]:
     header = element(EBML, _uint(EBML_VERSION, 1) + _uint(EBML_READ_VERSION, 1) + _uint(EBML_MAX_ID, 4) + _uint(EBML_MAX_SIZE, 8) + element(DOC_TYPE, b"matroska") + _uint(DOC_VERSION, 4) + _uint(DOC_READ_VERSION, 2))
     info = element(INFO, _uint(TIMESTAMP_SCALE, 1_000_000) + _float(DURATION, duration_ms) + element(MUXING_APP, b"hazgrid") + element(WRITING_APP, b"hazgrid"))
     audio = element(AUDIO, _float(SAMPLING, float(RATE)) + _uint(CHANNELS, 1) + _uint(BIT_DEPTH, 8))
-    tracks = element(TRACKS, element(TRACK_ENTRY, _uint(TRACK_NUMBER, 1) + _uint(TRACK_UID, 1) + _uint(TRACK_TYPE, 2) + element(CODEC_ID, b"A_PCM/INT/LIT") + audio))
+    tracks = element(TRACKS, element(TRACK_ENTRY, _uint(TRACK_NUMBER, 1) + _uint(TRACK_UID, 1) + _uint(TRACK_TYPE, 2) + element(CODEC_ID, b"A_PCM/INT/LIT") + _uint(DEFAULT_DURATION, FRAME * 1_000_000_000 // RATE) + audio))
     return header, info, tracks
 
 
@@ -124,6 +124,14 @@ class Parsed:
     #: (time in ns, track, byte position of the cluster in the file)
     cues: list[tuple[int, int, int]] = field(default_factory=list)
     clusters: list[int] = field(default_factory=list)
+    #: nanoseconds of a frame, by track; 0 where the file doesn't say
+    durations: dict[int, int] = field(default_factory=dict)
+
+
+def _float_of(data: bytes) -> float:
+    if len(data) not in (0, 4, 8):
+        raise BadMatroska(f"a float of {len(data)} bytes")
+    return float(np.frombuffer(data, f">f{len(data)}")[0]) if data else 0.0
 
 
 def _vint(data: bytes, at: int, keep_mark: bool, end: int) -> tuple[int, int]:
@@ -204,7 +212,7 @@ def parse(data: bytes) -> Parsed:
                     if k == TIMESTAMP_SCALE:
                         out.scale = int.from_bytes(data[a:b], "big")
                     elif k == DURATION:
-                        out.duration = float(np.frombuffer(data[a:b], ">f8" if b - a == 8 else ">f4")[0])
+                        out.duration = _float_of(data[a:b])
             elif kind == TRACKS:
                 for k, _, a, b in _children(data, at, end):
                     if k != TRACK_ENTRY:
@@ -212,6 +220,7 @@ def parse(data: bytes) -> Parsed:
                     entry = {k: data[x:y] for k, _, x, y in _children(data, a, b)}
                     number = int.from_bytes(entry.get(TRACK_NUMBER, b""), "big")
                     out.tracks[number] = {"type": int.from_bytes(entry.get(TRACK_TYPE, b""), "big"), "codec": entry.get(CODEC_ID, b"").decode("ascii", "replace")}
+                    out.durations[number] = int.from_bytes(entry.get(DEFAULT_DURATION, b""), "big")
             elif kind == CLUSTER:
                 _cluster(data, at, end, out)
                 out.clusters.append(start)
@@ -237,23 +246,27 @@ def _cluster(data: bytes, at: int, end: int, out: Parsed) -> None:
             time = int.from_bytes(data[a:b], "big")
             continue
         if kind == SIMPLE_BLOCK:
-            ranges = [(a, b, None)]
+            ranges = [(a, b, None, None)]
         elif kind == BLOCK_GROUP:
             parts = list(_children(data, a, b))
             alone = all(k != REFERENCE_BLOCK for k, *_ in parts)
-            ranges = [(x, y, alone) for k, _, x, y in parts if k == BLOCK]
+            lasts = [int.from_bytes(data[x:y], "big") for k, _, x, y in parts if k == BLOCK_DURATION]
+            ranges = [(x, y, alone, lasts[0] if lasts else None) for k, _, x, y in parts if k == BLOCK]
         else:
             continue
-        for x, y, alone in ranges:
+        for x, y, alone, lasts in ranges:
             track, p = _vint(data, x, False, y)
             if p + 3 > y:
                 raise BadMatroska(f"block cut off at {x}")
             offset, flags = int.from_bytes(data[p : p + 2], "big", signed=True), data[p + 2]
             lacing = flags >> 1 & 3
-            out.packets += [
-                (track, len(out.clusters), no, (time + offset) * out.scale, s, e, bool(flags & 0x80) if alone is None else alone, lacing)
-                for s, e in _frames(data, p + 3, y, lacing)
-            ]
+            frames = _frames(data, p + 3, y, lacing)
+            step = lasts * out.scale // len(frames) if lasts is not None else out.durations.get(track, 0)
+            start = (time + offset) * out.scale
+            if not -(1 << 63) <= start + step * len(frames) < 1 << 63 or track >= 1 << 31:
+                raise BadMatroska(f"time or track of the block at {x} is out of range")
+            key = bool(flags & 0x80) if alone is None else alone
+            out.packets += [(track, len(out.clusters), no, start + i * step, s, e, key, lacing) for i, (s, e) in enumerate(frames)]
             no += 1
 
 
@@ -262,7 +275,10 @@ PACKETS = "doc_id long, packet long, track int, cluster int, block int, time_ns
 
 def packet_table(files: DataFrame, column: str = "media") -> DataFrame:
     """One row a packet of each file in the binary ``column``. A null file has no rows; one that can't be parsed has one row
-    with error set and nothing else. Repeated rows give repeated packets."""
+    with error set and nothing else. Repeated rows give repeated packets, an empty table none; further columns are ignored.
+
+    A frame of a lace comes after those before it by the block's duration in equal parts, or else by the track's default
+    duration; where a file says neither, all frames of a lace have the block's time."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [f.split()[0] for f in PACKETS.split(", ")]
@@ -305,7 +321,8 @@ STORED = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string,
 
 def store_texts(docs: DataFrame, with_media: bool = False) -> DataFrame:
     """Each whole text as a Matroska file, read back by its packet table: sizes, digests and a feature of what was read;
-    with_media adds the file. Null texts count as empty; repeated rows give repeated results."""
+    with_media adds the file. Null texts count as empty; repeated rows give repeated results, an empty table none; further
+    columns are ignored."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -330,4 +347,5 @@ def store_texts(docs: DataFrame, with_media: bool = False) -> DataFrame:
 
 
 def op3_media_columns(spark, sf_dir):
+    """Every document stored as a Matroska file and read back."""
     return store_texts(spark.read.parquet(f"{sf_dir}/documents.parquet"))
