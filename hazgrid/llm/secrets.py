@@ -7,6 +7,7 @@ Offsets are code points, ends are exclusive.
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -21,21 +22,24 @@ HEX = r"[0-9a-f]{32,}"
 ASSIGN_LENGTH = 8
 
 #: kind: order in the result. The first three are the base kinds.
-KINDS = ("assign", "access", "hex", "entropy_hex", "entropy_base64")
+KINDS = ("assign", "access", "hex", "entropy_hex", "entropy_base64", "entropy_lower", "entropy_upper")
 
-#: A candidate for the entropy scan, and the window that slides over it.
-CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
+#: A candidate for the entropy scan (a name and its = aren't part of it), and the window that slides over it.
+CANDIDATE = r"[A-Za-z0-9+/_-]{20,}={0,2}"
 WINDOW = 20
-#: class: (alphabet, pattern of a candidate of that class, least entropy in bits of a window).
+#: class: (alphabet, pattern of a candidate of that class, least entropy in bits of a window). A candidate has the first class
+#: that it fits.
 CLASSES = {
     "entropy_hex": ("0123456789abcdefABCDEF", r"^(?=.*[0-9])(?=.*[a-fA-F])(?:[0-9a-f]+|[0-9A-F]+)$", 3.0),
     "entropy_base64": ("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-", r"^(?=.*[0-9])(?=.*[a-z])(?=.*[A-Z]).+$", 3.6),
+    "entropy_lower": ("abcdefghijklmnopqrstuvwxyz0123456789+/_=-", r"^(?=.*[0-9])(?=.*[a-z]).+$", 3.8),
+    "entropy_upper": ("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-", r"^(?=.*[0-9])(?=.*[A-Z]).+$", 3.8),
 }
-#: Candidates that are known not to be secrets: UUIDs, placeholders, running alphabets, and slash- or dash-joined plain words.
+#: Words that no window of a secret holds: placeholders and running alphabets. A window that overlaps one isn't hot.
+ALLOWED_WORDS = ("placeholder", "changeme", "abcdefgh", "01234567", "12345678", "qwertyui", "00000000", "example", "sample", "dummy", "your_", "your-", "xxxx")
+#: Whole candidates that are known not to be secrets: UUIDs, and slash- or dash-joined plain words.
 ALLOWED = (
     r"^[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$",
-    r"(?i)example|sample|dummy|placeholder|changeme|your[_-]|x{4}|0{8}",
-    r"(?i)abcdefgh|01234567|12345678|qwertyui",
     r"^[/_=-]*(?:[A-Z]?[a-z]+|[A-Z]+|[0-9]{1,4})(?:[/_=-]+(?:[A-Z]?[a-z]+|[A-Z]+|[0-9]{1,4}))+[/_=-]*$",
 )
 BLOCK = 256
@@ -74,8 +78,16 @@ def _scan(df: DataFrame, keep: list[str], pattern: str, column: str) -> DataFram
     return df.withColumn(column, F.when(F.size("_m") > 0, matches).otherwise(F.array().cast("array<struct<start:int,text:string>>"))).select(*keep, "_t", column)
 
 
+def _masked(text: Column) -> Column:
+    """``text`` with each allow-listed word, in either case, as blanks, which no alphabet holds."""
+    for word in ALLOWED_WORDS:
+        text = F.regexp_replace(text, f"(?i){word}", " " * len(word))
+    return text
+
+
 def hot_range(text: Column, alphabet: str, bits: float) -> Column:
-    """(first, last): the starts of the first and the last window of at least ``bits`` of Shannon entropy, null without one.
+    """(first, last): the starts of the first and the last window of at least ``bits`` of Shannon entropy whose characters are
+    all of ``alphabet``, null without one.
 
     The window's counts by character change by one in and one out at each step, and so does sum(c * log2(c)) of them:
     entropy = log2(WINDOW) - sum / WINDOW.
@@ -88,13 +100,14 @@ def hot_range(text: Column, alphabet: str, bits: float) -> Column:
     def step(code: Column):
         def run(state: Column, i: Column) -> Column:
             entering = F.get(code, i)
-            leaving = F.when(i >= WINDOW, F.get(code, i - WINDOW)).otherwise(F.lit(0))
+            leaving = F.when(i >= WINDOW, F.get(code, i - WINDOW)).otherwise(F.lit(-1))
 
-            c_in, c_out = F.get(state["n"], entering), F.get(state["n"], leaving)
-            less = F.when(leaving > 0, F.get(term, c_out - 1) - F.get(term, c_out)).otherwise(0.0)
+            c_in, c_out = F.get(state["n"], entering), F.get(state["n"], F.greatest(leaving, F.lit(0)))
+            less = F.when(leaving >= 0, F.get(term, c_out - 1) - F.get(term, c_out)).otherwise(0.0)
             total = F.when(entering == leaving, state["s"]).otherwise(state["s"] + less + F.get(term, c_in + 1) - F.get(term, c_in))
-            hot = (i >= WINDOW - 1) & (total <= limit)
-            counts = F.transform(state["n"], lambda c, k: c + (k == entering).cast("int") - ((k == leaving) & (leaving > 0)).cast("int"))
+            counts = F.transform(state["n"], lambda c, k: c + (k == entering).cast("int") - (k == leaving).cast("int"))
+            foreign = F.get(state["n"], F.lit(0)) + (entering == 0).cast("int") - (leaving == 0).cast("int")
+            hot = (i >= WINDOW - 1) & (total <= limit) & (foreign == 0)
             return F.struct(
                 counts.alias("n"), total.alias("s"),
                 F.when(hot, F.coalesce(state["first"], i - (WINDOW - 1))).otherwise(state["first"]).alias("first"),
@@ -110,8 +123,9 @@ def hot_range(text: Column, alphabet: str, bits: float) -> Column:
 
 def _entropy_spans(candidates: str, kind: str) -> Column:
     alphabet, pattern, bits = CLASSES[kind]
-    of_class = F.filter(candidates, lambda c: c["text"].rlike(pattern) if kind == "entropy_hex" else c["text"].rlike(pattern) & ~c["text"].rlike(CLASSES["entropy_hex"][1]))
-    hot = F.transform(of_class, lambda c: F.struct(c["start"].alias("start"), hot_range(c["text"], alphabet, bits).alias("hot")))
+    before = [p for k, (_, p, _) in CLASSES.items() if KINDS.index(k) < KINDS.index(kind)]
+    of_class = F.filter(candidates, lambda c: reduce(lambda found, p: found & ~c["text"].rlike(p), before, c["text"].rlike(pattern)))
+    hot = F.transform(of_class, lambda c: F.struct(c["start"].alias("start"), hot_range(_masked(c["text"]), alphabet, bits).alias("hot")))
     return F.transform(F.filter(hot, lambda h: h["hot"]["first"].isNotNull()), lambda h: _span(h["start"] + h["hot"]["first"], h["start"] + h["hot"]["last"] + WINDOW, kind))
 
 
@@ -119,12 +133,15 @@ def scan_secrets(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("
     """One row a document: ``keep``, and spans, an array of (start, no, end, kind) by start, then kind as in KINDS.
 
     The base kinds are found whatever the method says. The entropy scan takes runs of 20 or more characters, tells their
-    class (hex digits, or mixed base64), slides a window over them by incremental counts and keeps the stretch of hot
-    windows, unless the run is on the allow-list or the stretch lies within a base span. Null and empty texts have no
-    spans. Repeated rows give repeated rows.
+    class (hex digits, mixed base64, letters of one case with digits), slides a window over them by incremental counts and
+    keeps the stretch of hot windows, unless the run is on the allow-list or the stretch lies within a base span; windows
+    that overlap an allow-listed word aren't hot. Null and empty texts have no spans. Repeated rows give repeated rows, an
+    empty table none. Columns of ``keep`` may have any names but ``spans``.
     """
-    keep = list(keep)
-    df = docs.select(*keep, whole_text(text).alias("_t"))
+    if "spans" in keep:
+        raise ValueError("a kept column can't be named spans, as the result's is")
+    df = docs.select(F.struct(*keep).alias("_kept"), whole_text(text).alias("_t"))
+    keep = ["_kept"]
     found: list[str] = []
     for name, pattern in (("_assign", ASSIGN), ("_access", ACCESS), ("_hex", HEX), ("_candidates", CANDIDATE)):
         df = _scan(df, keep + found, pattern, name)
@@ -144,7 +161,7 @@ def scan_secrets(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("
         F.when(F.size("_candidates") > 0, F.concat(*(_entropy_spans("_candidates", kind) for kind in CLASSES))).otherwise(F.array().cast(f"array<{SPAN}>")).alias("_more"),
     )
     within = F.filter("_more", lambda m: ~F.exists("_base", lambda b: (b["start"] <= m["start"]) & (m["end"] <= b["end"])))
-    return df.select(*keep, F.array_sort(F.concat("_base", within)).alias("spans"))
+    return df.select("_kept.*", F.array_sort(F.concat("_base", within)).alias("spans"))
 
 
 def joined(spans: Column) -> Column:
@@ -154,10 +171,10 @@ def joined(spans: Column) -> Column:
 def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     """``docs`` with each run of overlapping spans in its text replaced by ``mark`` and n_chars brought up to date.
 
-    Every document stays; null texts stay null. Only columns of ``docs`` come back.
+    Every document stays; null texts stay null. Only columns of ``docs`` come back, whatever they are called.
     """
     columns = docs.columns
-    df = scan_secrets(docs, keep=tuple(columns))
+    df = scan_secrets(docs.select(F.struct(*columns).alias("row"), "text"), keep=("row",)).select("row", "spans", F.col("row.text").alias("text"))
     pieces = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
 
     def cut(state: Column, s: Column) -> Column:
@@ -166,13 +183,15 @@ def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
         return F.struct(F.greatest(state["at"], s["end"]).alias("at"), F.when(fresh, F.array_append(state["out"], F.concat(before, F.lit(mark)))).otherwise(state["out"]).alias("out"))
 
     text = F.aggregate("spans", pieces, cut, lambda s: F.concat(F.array_join(s["out"], ""), F.substring(F.col("text"), s["at"] + 1, F.length("text"))))
-    df = df.withColumn("text", F.when(F.size("spans") > 0, text).otherwise(F.col("text")))
+    df = df.select("row", F.when(F.size("spans") > 0, text).otherwise(F.col("text")).alias("text"))
+    new = {"text": F.col("text")}
     if "n_chars" in columns:
-        df = df.withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast(docs.schema["n_chars"].dataType))
-    return df.select(*columns)
+        new["n_chars"] = F.coalesce(F.length("text"), F.lit(0)).cast(docs.schema["n_chars"].dataType)
+    return df.select(*(new.get(c, F.col("row")[c]).alias(c) for c in columns))
 
 
 def op9_secret_scans(spark, sf_dir):
+    """Base counts and digest, and all spans, of every document."""
     scanned = scan_secrets(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     base = F.filter("spans", lambda s: s["no"] < 3)
 

@@ -113,8 +113,9 @@ def fit_noisy_or(docs: list[list[np.ndarray]], toxic: np.ndarray, settings: Trai
 def train(docs: DataFrame, labels: DataFrame, settings: TrainSettings = TrainSettings()) -> bytes:
     """The model (float32 weights as bytes) from ``labels`` (doc_id, toxic 0 or 1) of ``docs``.
 
-    Labels that are null count as missing, a document with several takes the greatest. Without labelled documents the model
-    finds nothing toxic.
+    Labels that are null count as missing, a document with several takes the greatest. Of several rows with one doc_id the
+    least text is learned from, so that the sample stays within its bounds. Without labelled documents the model finds
+    nothing toxic.
     """
     each = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     some = [each.where(F.col("toxic") == t).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n) for t, n in ((1, settings.max_toxic), (0, settings.max_clean))]
@@ -138,7 +139,7 @@ def train(docs: DataFrame, labels: DataFrame, settings: TrainSettings = TrainSet
         return pd.DataFrame({"model": [fit_noisy_or(documents, frame["toxic"].to_numpy(), settings).tobytes()]})
 
     # The sample's size is bounded by the settings, so broadcasting its ids and gathering its features in one task are too.
-    chosen = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
+    chosen = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
     made = chosen.mapInArrow(features, "doc_id long, toxic int, flat binary, ends binary").withColumn("sample", F.lit("all"))
     rows = made.groupBy("sample").applyInPandas(fit, "model binary").collect()
     return bytes(rows[0]["model"]) if rows else fit_noisy_or([], np.empty(0), settings).tobytes()
@@ -159,11 +160,16 @@ class _Weights(dict):
 
 def score(docs: DataFrame, model: bytes, keep: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
     """``keep``, score (noisy-or of all sentences of the whole text, 0 without any), predicted (score >= 0.3), and the place
-    of the worst sentence (worst_start, worst_end in code points, worst_score; null without sentences)."""
-    source = docs.select(*keep, F.col(text).alias("_text"))
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    of the worst sentence (worst_start, worst_end in code points, worst_score; null without sentences).
+
+    Null and empty texts score 0. Repeated rows give repeated rows, an empty table none. Of equally bad sentences the first
+    is the worst. Columns of ``keep`` may have any names but those of the result."""
     fields = {"score": "double", "predicted": "int", "worst_start": "int", "worst_end": "int", "worst_score": "double"}
-    schema = source.drop("_text").withColumns({k: F.lit(None).cast(t) for k, t in fields.items()}).schema
+    if set(keep) & fields.keys():
+        raise ValueError("a kept column can't have the name of a result's column")
+    source = docs.select(F.struct(*keep).alias("kept"), F.col(text).alias("_text"))
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    schema = source.select("kept", *(F.lit(None).cast(t).alias(k) for k, t in fields.items())).schema
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights = np.frombuffer(shared.value, np.float32)
@@ -182,9 +188,9 @@ def score(docs: DataFrame, model: bytes, keep: tuple[str, ...] = ("doc_id",), te
                     for column, value in zip(out, row, strict=True):
                         column.append(value)
                 arrays = [pa.array(c, t) for c, t in zip(out, (pa.float64(), pa.int32(), pa.int32(), pa.int32(), pa.float64()), strict=True)]
-                yield pa.RecordBatch.from_arrays([*(part.column(k) for k in keep), *arrays], [*keep, *fields])
+                yield pa.RecordBatch.from_arrays([part.column("kept"), *arrays], ["kept", *fields])
 
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(run, schema).select("kept.*", *fields)
 
 
 def offending_sentences(docs: DataFrame, model: bytes, least: float = THRESHOLD) -> DataFrame:
@@ -219,6 +225,7 @@ def toxicity_model(spark, docs: DataFrame, sf_dir: str) -> bytes:
 
 
 def op5_toxicity(spark, sf_dir):
+    """Scores of every document by a model of the labels outside fold 2, with the worst sentence's place."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     scored = score(docs, toxicity_model(spark, docs, sf_dir))
     return scored.select("doc_id", (fold() == 2).alias("held_out"), "score", "predicted", "worst_start", "worst_end", "worst_score")
