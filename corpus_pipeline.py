@@ -13,38 +13,31 @@ from hazgrid.llm import minhash, packing, quality, secrets, toxicity
 from hazgrid.llm.common import written
 
 
-def _with_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows of ``docs`` whose doc_id, null like any other, is among ``ids``."""
-    ids = ids.select(F.col("doc_id").alias("_id"))
-    return docs.join(ids, docs["doc_id"].eqNullSafe(ids["_id"]), "left_semi").select(*docs.columns)
-
-
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep."""
-    verdicts = quality.quality_rules(docs).where("kept").select("doc_id").distinct()
-    return _with_ids(docs, verdicts)
+    """Rows that the quality rules keep."""
+    return quality.kept_documents(docs)
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that aren't found toxic."""
+    """Rows that aren't found toxic."""
     model = toxicity.toxicity_model(spark, docs, sf_dir)
-    return toxicity.score(docs, model, keep=tuple(docs.columns), text="text").where("predicted = 0").select(*docs.columns)
+    rows = docs.select(F.struct(*docs.columns).alias("row"), "text")
+    return toxicity.score(rows, model, keep=("row",)).where("predicted = 0").select("row.*")
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates."""
-    kept = minhash.near_duplicates(docs).where("kept").select("doc_id").distinct()
-    return _with_ids(docs, kept)
+    """One row of each group of near-duplicates."""
+    return minhash.one_of_each(docs)
 
 
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, their secrets replaced by a mark."""
+    """All rows, their secrets replaced by a mark."""
     return secrets.redact(docs)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Where each document's pieces lie in the training sequences."""
-    return packing.pack(packing.byte_lengths(docs))
+    return packing.packed_documents(docs)
 
 
 STAGES = [
