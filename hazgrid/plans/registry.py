@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from hazgrid.plans import drives, hazards, joins, paths, risk, text, trips
+from hazgrid.plans import drives, hazards, joins, paths, risk, routes, text, trips
 
-MODULES = (risk, hazards, joins, paths, trips, drives, text)
+MODULES = (risk, hazards, joins, paths, trips, drives, routes, text)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
