@@ -3,22 +3,13 @@ loose by checkpoint(); no round's rows come to the driver, only whether anything
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from hazgrid.operators.shared import settled
 from hazgrid.operators.stars import connected_components
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """``df`` checkpointed in the session's shared folder, or in one of our own where none is set."""
-    context = df.sparkSession.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="hazgrid-"))
-    return df.checkpoint()
-
-
 def shortest_paths(edges: DataFrame, source, rounds: int | None = None) -> DataFrame:
     """(node, dist) reachable from ``source`` over edges (src, dst, w): rounds of relaxation until none changes. An edge without
     a weight leads nowhere; a negative weight is an error, and so is a limit of ``rounds`` that is hit before the end."""

@@ -62,6 +62,33 @@ def clip(df: DataFrame, south: float, west: float, north: float, east: float, ma
     return df.where(F.col("lat").between(south - margin, north + margin) & F.col("lon").between(west - wide, east + wide))
 
 
+def query_distances(df: DataFrame, key: str, vector: str, asked: Column, size: int = 1024) -> DataFrame:
+    """(a, b, distance) from the rows that are ``asked`` for to all others: Euclidean, null where a vector is. The asked rows
+    fall into blocks of about ``size`` and meet every row by block; a task holds one block of each side. Vectors have one length."""
+    rows = df.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("key"), F.transform(vector, lambda x: x.cast("double")).alias("v"), asked.alias("asked"))
+    n, n_asked = rows.agg(F.count("*"), F.count_if("asked")).first()
+    blocks, others = max(1, math.ceil(n_asked / size)), max(8, math.ceil(n / size))
+    hashed = lambda k: F.pmod(F.xxhash64("key"), F.lit(k)).cast("int")
+    left = rows.where("asked").withColumn("row", hashed(blocks)).withColumn("col", F.explode(F.sequence(F.lit(0), F.lit(others - 1)))).select("row", "col", "key", "v")
+    right = rows.withColumn("col", hashed(others)).withColumn("row", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    right = right.select(*(F.col(c).alias(c) for c in ("row", "col", "key", "v")))  # fresh columns: both sides come from one table
+
+    def one(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        if not len(a) or not len(b):
+            return pd.DataFrame({"a": pd.Series(dtype="int64"), "b": pd.Series(dtype="int64"), "distance": pd.Series(dtype="float64")})
+        wide = max((len(v) for part in (a, b) for v in part["v"] if v is not None), default=0)
+        x, y = (np.array([np.full(wide, np.nan) if v is None else v for v in part["v"]], float).reshape(len(part), wide) for part in (a, b))
+        square = np.zeros((len(x), len(y)))
+        for k in range(wide):
+            square += (x[:, k, None] - y[None, :, k]) ** 2
+        keys, their = a["key"].to_numpy(), b["key"].to_numpy()
+        i, j = np.nonzero(keys[:, None] != their[None, :])
+        return pd.DataFrame({"a": keys[i], "b": their[j], "distance": np.sqrt(square[i, j])})
+
+    found = left.groupBy("row", "col").cogroup(right.groupBy("row", "col")).applyInPandas(one, "a long, b long, distance double")
+    return found.withColumn("distance", F.when(~F.isnan("distance"), F.col("distance")))
+
+
 def pair_distances(df: DataFrame, key: str, vector: str, size: int = 1024) -> DataFrame:
     """(a, b, distance) of every two rows with keys a < b: Euclidean, null where a vector is. Rows fall into blocks of about
     ``size``, and one task at a time holds two blocks, whatever the table's size. Vectors have one length."""

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from hazgrid.functions import geo
-from hazgrid.operators import graph, ranking, sets, spatial
+from hazgrid.operators import graph, ranking, raptor, sets, spatial
 from hazgrid.operators.asof import asof
 from hazgrid.plans.points import METERS_SQL, place, place_sql, table
 
@@ -96,17 +96,7 @@ def except_parts(spark, sf):
     return li.select("l_partkey").exceptAll(li.where("l_returnflag = 'R'").select("l_partkey")).distinct()
 
 
-def _supply_edges(spark, sf):
-    li = table(spark, sf, "lineitem").where("l_suppkey <> l_partkey").select((F.col("l_suppkey") % 60).alias("src"), (F.col("l_partkey") % 60).alias("dst"), F.col("l_quantity").alias("w"))
-    return li.where("src <> dst").groupBy("src", "dst").agg(F.min("w").alias("w"))
-
-
 def sssp(spark, sf):
-    """Keys folded to 60 nodes, as its SQL has it; sssp_whole takes them as they are."""
-    return graph.shortest_paths(_supply_edges(spark, sf), 1, 60)
-
-
-def sssp_whole(spark, sf):
     """From supplier 1 over the parts that suppliers deliver; a part with a supplier's key stands for that supplier."""
     li = table(spark, sf, "lineitem").where("l_suppkey <> l_partkey")
     edges = li.groupBy(F.col("l_suppkey").alias("src"), F.col("l_partkey").alias("dst")).agg(F.min("l_quantity").alias("w"))
@@ -114,33 +104,43 @@ def sssp_whole(spark, sf):
 
 
 def components(spark, sf):
-    """Keys folded to 291 nodes, as its SQL has it; components_whole takes them as they are."""
-    edges = table(spark, sf, "orders").select((F.col("o_custkey") % 97).alias("src"), (F.col("o_custkey") % 97 + 97 * (1 + F.col("o_orderkey") % 2)).alias("dst"))
-    return graph.components(edges.distinct())
-
-
-def components_whole(spark, sf):
     """Customers (even nodes) and their orders (odd nodes)."""
     return graph.components(table(spark, sf, "orders").select((F.col("o_custkey") * 2).alias("src"), (F.col("o_orderkey") * 2 + 1).alias("dst")))
 
 
-def _orders_as_trips(lines):
-    """Hops of orders as trips: lines are stops in turn, a stop every ten minutes from a start by order key."""
-    li = lines.select(F.col("l_orderkey").alias("trip"), (F.col("l_partkey") % 200).alias("stop"), F.col("l_linenumber").alias("seq"))
+def _orders_as_trips(spark, sf):
+    """Orders as trips: lines are stops in turn, a stop every ten minutes from a start by order key."""
+    li = table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("trip"), F.col("l_linenumber").alias("seq")).agg(F.min(F.col("l_partkey") % 200).alias("stop"))
     at = F.pmod("trip", F.lit(1440)) * 60 + F.col("seq") * 600
-    li = li.groupBy("trip", "seq").agg(F.min("stop").alias("stop")).withColumn("at", at)
-    a, b = li.select("trip", F.col("stop").alias("from_stop"), F.col("at").alias("depart"), F.col("seq").alias("s1")), li.select("trip", F.col("stop").alias("to_stop"), F.col("at").alias("arrive"), F.col("seq").alias("s2"))
-    return a.join(b, "trip").where("s1 < s2")
+    return li.withColumns({"arrive": at, "depart": at})
 
 
 def raptor_frontier(spark, sf):
-    """Three boardings over one order in ten, as its SQL has it; raptor_frontier_whole takes them all."""
-    return graph.timetable_rounds(_orders_as_trips(table(spark, sf, "lineitem").where("l_orderkey % 10 = 0")), 7, 0, 3)
+    """Four boardings over every order, without walks."""
+    return raptor.arrivals(_orders_as_trips(spark, sf), 7, 0).select("stop", "round", "arrival")
+
+
+def _walks(spark, sf):
+    return spark.range(200).select(F.col("id").alias("from_stop"), (F.col("id") * 7 + 3).alias("to") % 200, (F.col("id") % 5 * 60 + 120).alias("seconds")).toDF("from_stop", "to_stop", "seconds")
+
+
+def raptor_walks(spark, sf):
+    """With a walk from each stop to another one, and a minute between rides."""
+    return raptor.arrivals(_orders_as_trips(spark, sf), 7, 36_000, walks=_walks(spark, sf), change=60).select("stop", "round", "arrival")
+
+
+def raptor_journeys(spark, sf):
+    """The rides of each journey of ``raptor_walks`` to every tenth stop."""
+    found = raptor.arrivals(_orders_as_trips(spark, sf), 7, 36_000, walks=_walks(spark, sf), change=60)
+    return raptor.journeys(found, spark.range(0, 200, 10).withColumnRenamed("id", "target"))
 
 
-def raptor_frontier_whole(spark, sf):
-    """Four boardings, the default, over every order."""
-    return graph.timetable_rounds(_orders_as_trips(table(spark, sf, "lineitem")), 7, 0)
+def departure_board(spark, sf):
+    return raptor.departures(_orders_as_trips(spark, sf).withColumn("stop", F.col("stop") % 20), 7, 11, F.lit(20_000))
+
+
+def carried_trips(spark, sf):
+    return raptor.carried(_orders_as_trips(spark, sf), 43_200).groupBy("stop").agg(F.count("*").alias("n"), F.min("arrive").alias("first"), F.max("depart").alias("last"))
 
 
 def covering_boxes(spark, sf):
@@ -152,17 +152,22 @@ def covering_boxes(spark, sf):
 
 
 def distance_matrix(spark, sf):
-    """The first forty vectors, as its SQL has it; distance_matrix_whole takes them all."""
-    e = table(spark, sf, "embeddings").where("vec_id < 40").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
-    a, b = e.select(F.col("vec_id").alias("a"), F.col("v").alias("va")), e.select(F.col("vec_id").alias("b"), F.col("v").alias("vb"))
-    square = F.aggregate(F.zip_with("va", "vb", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)
-    return a.crossJoin(F.broadcast(b)).where("a < b").select("a", "b", F.round(F.sqrt(square), 4).alias("distance"))  # forty fixed vectors
+    """Distances from every twentieth vector to all vectors: the query set grows with the table, and so does its product."""
+    return spatial.query_distances(table(spark, sf, "embeddings"), "vec_id", "embedding", F.col("vec_id") % 20 == 0).select("a", "b", F.round("distance", 4).alias("distance"))
+
 
+def big_spenders(spark, sf):
+    """Orders above the mean of their customer: a correlated subquery, which Catalyst turns into a join with an aggregate."""
+    o = table(spark, sf, "orders")
+    means = o.groupBy("o_custkey").agg(F.avg("o_totalprice").alias("mean"))
+    return o.join(means, "o_custkey").where(F.col("o_totalprice") > F.col("mean")).select("o_orderkey")
 
-def distance_matrix_whole(spark, sf):
-    """Each pair of vectors once: the result grows with the square of the table, the memory of a task doesn't."""
-    e = table(spark, sf, "embeddings")
-    return spatial.pair_distances(e, "vec_id", "embedding").select("a", "b", F.round("distance", 4).alias("distance"))
+
+def lateral_latest(spark, sf):
+    """Each customer with the latest two orders of its own: a lateral subquery."""
+    table(spark, sf, "orders").createOrReplaceTempView("hazgrid_orders")
+    table(spark, sf, "customer").createOrReplaceTempView("hazgrid_customer")
+    return spark.sql("SELECT c_custkey, o_orderkey FROM hazgrid_customer, LATERAL (SELECT o_orderkey FROM hazgrid_orders WHERE o_custkey = c_custkey ORDER BY o_orderdate DESC, o_orderkey LIMIT 2)")
 
 
 _PAIRS = f"""c AS (SELECT c_custkey, {place_sql('c_custkey')} FROM customer), s AS (SELECT s_suppkey, s_acctbal, {place_sql('s_suppkey', 'rlat', 'rlon')} FROM supplier),
@@ -193,27 +198,33 @@ SELECT key, id, name, priority FROM u QUALIFY row_number() OVER (PARTITION BY ke
     "feed_union_offsets": "SELECT c_custkey AS id, c_nationkey AS nation, 0 AS feed_no FROM customer UNION ALL SELECT s_suppkey + 1000000, s_nationkey, 1 FROM supplier",
     "intersect_parts": "SELECT l_partkey FROM lineitem WHERE l_returnflag = 'R' INTERSECT SELECT l_partkey FROM lineitem WHERE l_linestatus = 'O'",
     "except_parts": "SELECT DISTINCT l_partkey FROM (SELECT l_partkey FROM lineitem EXCEPT ALL SELECT l_partkey FROM lineitem WHERE l_returnflag = 'R')",
-    "sssp": """WITH RECURSIVE e AS (SELECT l_suppkey % 60 AS src, l_partkey % 60 AS dst, min(l_quantity) AS w FROM lineitem WHERE l_suppkey <> l_partkey AND l_suppkey % 60 <> l_partkey % 60 GROUP BY ALL),
-d(node, dist, round) AS (SELECT 1::BIGINT, 0.0::DOUBLE, 0 UNION ALL SELECT node, min(dist), round + 1 FROM (
- SELECT d.node, d.dist, d.round FROM d UNION ALL SELECT e.dst, d.dist + e.w, d.round FROM d JOIN e ON e.src = d.node) WHERE round < 40 GROUP BY node, round)
-SELECT node, min(dist) AS dist FROM d GROUP BY node""",
-    "components": """WITH RECURSIVE e AS (SELECT DISTINCT o_custkey % 97 AS a, o_custkey % 97 + 97 * (1 + o_orderkey % 2) AS b FROM orders), u AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
-r(node, reach) AS (SELECT a, a FROM u UNION SELECT r.node, u.b FROM r JOIN u ON u.a = r.reach) SELECT node, min(reach) AS component FROM r GROUP BY node""",
-    "raptor_frontier": """WITH RECURSIVE s AS (SELECT l_orderkey AS trip, l_linenumber AS seq, min(l_partkey % 200) AS stop FROM lineitem WHERE l_orderkey % 10 = 0 GROUP BY ALL),
-t AS (SELECT trip, seq, stop, trip % 1440 * 60 + seq * 600 AS at FROM s), h AS (SELECT a.stop AS f, a.at AS dep, b.stop AS g, b.at AS arr FROM t a JOIN t b ON a.trip = b.trip AND a.seq < b.seq),
-q(stop, round, arrival) AS (SELECT 7::BIGINT, 0, 0::BIGINT UNION ALL SELECT g, round + 1, min(arr)::BIGINT FROM q JOIN h ON q.stop = h.f AND h.dep >= q.arrival WHERE round < 3 GROUP BY g, round)
-SELECT stop, round, arrival FROM (SELECT *, min(arrival) OVER (PARTITION BY stop ORDER BY round ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS known FROM q) WHERE known IS NULL OR arrival < known""",
     "covering_boxes": f"""WITH c AS (SELECT c_custkey, {place_sql('c_custkey')} FROM customer), n AS (SELECT n_nationkey, CAST(2 + n_nationkey % 5 AS INTEGER) AS half, {place_sql('n_nationkey', 'y', 'x')} FROM nation)
 SELECT c_custkey, n_nationkey, half FROM c, n WHERE lat >= y - half AND lat < y + half AND lon >= x - half AND lon < x + half QUALIFY row_number() OVER (PARTITION BY c_custkey ORDER BY half, n_nationkey) = 1""",
-    "distance_matrix": """SELECT a.vec_id AS a, b.vec_id AS b, round(sqrt(list_sum(list_transform(range(1, len(a.embedding) + 1), lambda i: power(a.embedding[i]::DOUBLE - b.embedding[i]::DOUBLE, 2)))), 4) AS distance
-FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id WHERE a.vec_id < 40 AND b.vec_id < 40""",
-    "raptor_frontier_whole": """WITH RECURSIVE s AS (SELECT l_orderkey AS trip, l_linenumber AS seq, min(l_partkey % 200) AS stop FROM lineitem GROUP BY ALL),
+    "raptor_frontier": """WITH RECURSIVE s AS (SELECT l_orderkey AS trip, l_linenumber AS seq, min(l_partkey % 200) AS stop FROM lineitem GROUP BY ALL),
 t AS (SELECT trip, seq, stop, trip % 1440 * 60 + seq * 600 AS at FROM s), h AS (SELECT a.stop AS f, a.at AS dep, b.stop AS g, b.at AS arr FROM t a JOIN t b ON a.trip = b.trip AND a.seq < b.seq),
 q(stop, round, arrival) AS (SELECT 7::BIGINT, 0, 0::BIGINT UNION ALL SELECT g, round + 1, min(arr)::BIGINT FROM q JOIN h ON q.stop = h.f AND h.dep >= q.arrival WHERE round < 4 GROUP BY g, round)
 SELECT stop, round, arrival FROM (SELECT *, min(arrival) OVER (PARTITION BY stop ORDER BY round ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS known FROM q) WHERE known IS NULL OR arrival < known""",
-    "distance_matrix_whole": """SELECT a.vec_id AS a, b.vec_id AS b, round(sqrt(list_sum(list_transform(range(1, len(a.embedding) + 1), lambda i: power(a.embedding[i]::DOUBLE - b.embedding[i]::DOUBLE, 2)))), 4) AS distance
-FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id""",
-    "components_whole": """WITH RECURSIVE e AS (SELECT DISTINCT o_custkey * 2 AS a, o_orderkey * 2 + 1 AS b FROM orders), u AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+    "components": """WITH RECURSIVE e AS (SELECT DISTINCT o_custkey * 2 AS a, o_orderkey * 2 + 1 AS b FROM orders), u AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
 r(node, reach) AS (SELECT a, a FROM u UNION SELECT r.node, u.b FROM r JOIN u ON u.a = r.reach) SELECT node, min(reach) AS component FROM r GROUP BY node""",
 }
-QUERIES = {name: globals()[name] for name in [*SQL, "sssp_whole"]}
+SQL |= {
+    "sssp": """WITH RECURSIVE e AS (SELECT l_suppkey AS src, l_partkey AS dst, min(l_quantity) AS w FROM lineitem WHERE l_suppkey <> l_partkey GROUP BY ALL),
+d(node, dist) USING KEY (node) AS (SELECT 1::BIGINT, 0.0::DOUBLE UNION ALL (SELECT e.dst, min(d.dist + e.w)::DOUBLE FROM d JOIN e ON e.src = d.node LEFT JOIN recurring.d r ON r.node = e.dst WHERE r.dist IS NULL OR d.dist + e.w < r.dist GROUP BY e.dst))
+SELECT node, dist FROM d""",
+    "raptor_walks": """WITH RECURSIVE s AS (SELECT l_orderkey AS trip, l_linenumber AS seq, min(l_partkey % 200) AS stop FROM lineitem GROUP BY ALL),
+t AS (SELECT trip, seq, stop, trip % 1440 * 60 + seq * 600 AS at FROM s), h AS (SELECT a.stop AS f, a.at AS dep, b.stop AS g, b.at AS arr FROM t a JOIN t b ON a.trip = b.trip AND a.seq < b.seq),
+w AS (SELECT i AS f, (i * 7 + 3) % 200 AS g, i % 5 * 60 + 120 AS secs FROM range(200) r(i)), h2 AS (SELECT f, dep, g, arr FROM h UNION ALL SELECT h.f, h.dep, w.g, h.arr + w.secs FROM h JOIN w ON w.f = h.g),
+q(stop, round, arrival) AS (SELECT * FROM (SELECT 7::BIGINT, 0, 36000::BIGINT UNION ALL SELECT g, 0, 36000 + secs FROM w WHERE f = 7)
+ UNION ALL SELECT g, round + 1, min(arr)::BIGINT FROM q JOIN h2 ON q.stop = h2.f AND h2.dep >= q.arrival + CASE WHEN round > 0 THEN 60 ELSE 0 END WHERE round < 4 GROUP BY g, round)
+SELECT stop, round, arrival FROM (SELECT *, min(arrival) OVER (PARTITION BY stop ORDER BY round ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS known FROM q) WHERE known IS NULL OR arrival < known""",
+    "departure_board": """WITH s AS (SELECT l_orderkey AS trip, l_linenumber AS seq, min(l_partkey % 200) % 20 AS stop FROM lineitem GROUP BY ALL), t AS (SELECT trip, seq, stop, trip % 1440 * 60 + seq * 600 AS tm FROM s),
+p AS (SELECT a.trip, a.tm AS depart, b.tm AS arrive FROM t a JOIN t b ON a.trip = b.trip AND a.seq < b.seq WHERE a.stop = 7 AND b.stop = 11 AND a.tm >= 20000), r AS (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY trip ORDER BY depart DESC, arrive) = 1)
+SELECT trip, depart, arrive FROM r WHERE NOT EXISTS (SELECT 1 FROM r x WHERE x.depart > r.depart AND x.arrive <= r.arrive)""",
+    "carried_trips": """WITH s AS (SELECT l_orderkey AS trip, l_linenumber AS seq, min(l_partkey % 200) AS stop FROM lineitem GROUP BY ALL), t AS (SELECT trip, seq, stop, trip % 1440 * 60 + seq * 600 AS tm FROM s WHERE trip % 1440 * 60 + seq * 600 >= 43200)
+SELECT stop, count(*) AS n, min(tm) - 43200 AS first, max(tm) - 43200 AS last FROM t WHERE trip IN (SELECT trip FROM t GROUP BY trip HAVING count(*) >= 2) GROUP BY stop""",
+    "distance_matrix": """SELECT a.vec_id AS a, b.vec_id AS b, round(sqrt(list_sum(list_transform(range(1, len(a.embedding) + 1), lambda i: power(a.embedding[i]::DOUBLE - b.embedding[i]::DOUBLE, 2)))), 4) AS distance
+FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id % 20 = 0""",
+    "big_spenders": "SELECT o_orderkey FROM orders o WHERE o_totalprice > (SELECT avg(o_totalprice) FROM orders x WHERE x.o_custkey = o.o_custkey)",
+    "lateral_latest": "SELECT o_custkey AS c_custkey, o_orderkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer) QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey) <= 2",
+}
+QUERIES = {name: globals()[name] for name in [*SQL, "raptor_journeys"]}

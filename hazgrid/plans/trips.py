@@ -58,38 +58,17 @@ def _stop_events(lines):
     return li.withColumns({"arrive": (F.col("stop_sequence") * 300).cast("int"), "depart": (F.col("stop_sequence") * 300 + 30).cast("int")})
 
 
-def _part_of_lines(spark, sf):
-    return table(spark, sf, "lineitem").where("l_orderkey % 20 = 0")
-
-
-def _patterns(lines):
-    p = transit.patterns(_stop_events(lines))
-    return p.groupBy("pattern", "n_stops").agg(F.count("*").alias("n_trips"), F.min("trip_id").alias("first_trip"))
-
-
 def trip_patterns(spark, sf):
-    """One order in twenty, as its SQL has it; trip_patterns_whole takes them all."""
-    return _patterns(_part_of_lines(spark, sf))
-
-
-def trip_patterns_whole(spark, sf):
-    return _patterns(table(spark, sf, "lineitem"))
-
-
-def _frequencies(lines, orders):
-    f = orders.select(F.col("o_orderkey").alias("trip_id"), F.lit(21600).alias("start"), F.lit(25200).alias("end"), (F.col("o_orderkey") % 3 * 600 + 600).cast("int").alias("headway"))
-    out = transit.expand_frequencies(_stop_events(lines), f)
-    return out.groupBy("stop_sequence").agg(F.count("*").alias("n"), F.min("arrive").alias("first"), F.max("arrive").alias("last"))
+    p = transit.patterns(_stop_events(table(spark, sf, "lineitem")))
+    return p.groupBy("pattern", "n_stops").agg(F.count("*").alias("n_trips"), F.min("trip_id").alias("first_trip"))
 
 
 def frequency_trips(spark, sf):
-    """One order in twenty, half of them by headway, as its SQL has it; frequency_trips_whole takes them all."""
-    return _frequencies(_part_of_lines(spark, sf), table(spark, sf, "orders").where("o_orderkey % 40 = 0"))
-
-
-def frequency_trips_whole(spark, sf):
     """Every order is a trip; those of even key run by headway, the others once."""
-    return _frequencies(table(spark, sf, "lineitem"), table(spark, sf, "orders").withColumn("by_headway", F.col("o_orderkey") % 2 == 0).where("by_headway"))
+    orders = table(spark, sf, "orders").withColumn("by_headway", F.col("o_orderkey") % 2 == 0).where("by_headway")
+    f = orders.select(F.col("o_orderkey").alias("trip_id"), F.lit(21600).alias("start"), F.lit(25200).alias("end"), (F.col("o_orderkey") % 3 * 600 + 600).cast("int").alias("headway"))
+    out = transit.expand_frequencies(_stop_events(table(spark, sf, "lineitem")), f)
+    return out.groupBy("stop_sequence").agg(F.count("*").alias("n"), F.min("arrive").alias("first"), F.max("arrive").alias("last"))
 
 
 def route_fares(spark, sf):
@@ -113,17 +92,10 @@ SELECT user_id, arg_min(cell, (-w, cell)) AS cell, CAST(sum(n) AS BIGINT) AS tri
 u AS (SELECT unnest(fs) AS family, w FROM f) SELECT family, sum(w)::DOUBLE AS weight, count(*) AS n FROM u GROUP BY family""",
     "recent_places": f"""WITH s AS (SELECT user_id, event_type, round(sum(power(2.0, -greatest({_AGE}, 0) / 21.0)), 6) AS score FROM events GROUP BY ALL)
 SELECT *, CAST(row_number() OVER (PARTITION BY user_id ORDER BY score DESC, event_type) AS INTEGER) AS rank FROM s QUALIFY rank <= 3""",
-    "trip_patterns": """WITH s AS (SELECT l_orderkey AS trip_id, l_linenumber AS q, min(l_partkey) % 4 AS stop FROM lineitem WHERE l_orderkey % 20 = 0 GROUP BY ALL),
-t AS (SELECT trip_id, sha256(string_agg(stop::VARCHAR, chr(31) ORDER BY q, stop)) AS pattern, CAST(count(*) AS INTEGER) AS n_stops FROM s GROUP BY trip_id)
-SELECT pattern, n_stops, count(*) AS n_trips, min(trip_id) AS first_trip FROM t GROUP BY ALL""",
-    "frequency_trips": """WITH s AS (SELECT l_orderkey AS trip, l_linenumber AS q FROM lineitem WHERE l_orderkey % 20 = 0 GROUP BY ALL), f AS (SELECT o_orderkey AS trip, o_orderkey % 3 * 600 + 600 AS h FROM orders WHERE o_orderkey % 40 = 0),
-m AS (SELECT trip, min(q) * 300 + 30 AS dep FROM s GROUP BY trip), r AS (SELECT trip, unnest(range(21600, 25200, h)) AS start FROM f),
-u AS (SELECT q, q * 300 + start - dep AS arrive FROM s JOIN r USING (trip) JOIN m USING (trip) UNION ALL SELECT q, q * 300 FROM s ANTI JOIN f USING (trip))
-SELECT q AS stop_sequence, count(*) AS n, CAST(min(arrive) AS INTEGER) AS first, CAST(max(arrive) AS INTEGER) AS last FROM u GROUP BY q""",
-    "trip_patterns_whole": """WITH s AS (SELECT l_orderkey AS trip_id, l_linenumber AS q, min(l_partkey) % 4 AS stop FROM lineitem GROUP BY ALL),
+    "trip_patterns": """WITH s AS (SELECT l_orderkey AS trip_id, l_linenumber AS q, min(l_partkey) % 4 AS stop FROM lineitem GROUP BY ALL),
 t AS (SELECT trip_id, sha256(string_agg(stop::VARCHAR, chr(31) ORDER BY q, stop)) AS pattern, CAST(count(*) AS INTEGER) AS n_stops FROM s GROUP BY trip_id)
 SELECT pattern, n_stops, count(*) AS n_trips, min(trip_id) AS first_trip FROM t GROUP BY ALL""",
-    "frequency_trips_whole": """WITH s AS (SELECT l_orderkey AS trip, l_linenumber AS q FROM lineitem GROUP BY ALL), f AS (SELECT o_orderkey AS trip, o_orderkey % 3 * 600 + 600 AS h FROM orders WHERE o_orderkey % 2 = 0),
+    "frequency_trips": """WITH s AS (SELECT l_orderkey AS trip, l_linenumber AS q FROM lineitem GROUP BY ALL), f AS (SELECT o_orderkey AS trip, o_orderkey % 3 * 600 + 600 AS h FROM orders WHERE o_orderkey % 2 = 0),
 m AS (SELECT trip, min(q) * 300 + 30 AS dep FROM s GROUP BY trip), r AS (SELECT trip, unnest(range(21600, 25200, h)) AS start FROM f),
 u AS (SELECT q, q * 300 + start - dep AS arrive FROM s JOIN r USING (trip) JOIN m USING (trip) UNION ALL SELECT q, q * 300 FROM s ANTI JOIN f USING (trip))
 SELECT q AS stop_sequence, count(*) AS n, CAST(min(arrive) AS INTEGER) AS first, CAST(max(arrive) AS INTEGER) AS last FROM u GROUP BY q""",

@@ -75,13 +75,44 @@ def test_pair_distances_against_all_pairs(spark):
     assert all(d is None if b == 70 else math.isclose(d, math.dist(rows[a][1], rows[b][1]), abs_tol=1e-5) for (a, b), d in got.items())
 
 
+def test_query_distances_against_all_pairs(spark):
+    import math
+
+    rng = random.Random(2)
+    rows = [(i, [rng.uniform(-1, 1) for _ in range(3)]) for i in range(70)] + [(70, None)]
+    df = spark.createDataFrame(rows, "id long, v array<float>")
+    got = {(r.a, r.b): r.distance for r in spatial.query_distances(df, "id", "v", F.col("id") % 7 == 0, 4).collect()}
+    assert got.keys() == {(a, b) for a in range(0, 71, 7) for b in range(71) if a != b}
+    assert all(d is None if 70 in (a, b) else math.isclose(d, math.dist(rows[a][1], rows[b][1]), abs_tol=1e-5) for (a, b), d in got.items())
+    assert spatial.query_distances(df.limit(0), "id", "v", F.col("id") % 7 == 0).count() == 0
+
+
+def test_journeys_are_read_back_with_walks(spark):
+    from hazgrid.operators import raptor
+
+    events = spark.createDataFrame([(1, 0, 1, 10, 10), (1, 1, 2, 20, 20), (2, 0, 5, 40, 40), (2, 1, 3, 50, 50), (3, 0, 1, 0, 0), (3, 1, 3, 90, 90)], "trip long, seq long, stop long, arrive long, depart long")
+    walks = spark.createDataFrame([(2, 5, 12), (1, 9, 4)], "from_stop long, to_stop long, seconds long")
+    found = raptor.arrivals(events, 1, 0, walks=walks, change=5).cache()
+    assert sorted((r.stop, r.round, r.arrival) for r in found.collect()) == [(1, 0, 0), (2, 1, 20), (3, 1, 90), (3, 2, 50), (5, 1, 32), (9, 0, 4)]
+    legs = sorted((r.round, r.leg, r.trip, r.board_stop, r.off_stop, r.stop) for r in raptor.journeys(found, spark.createDataFrame([(3,)], "target long")).collect())
+    assert legs == [(1, 1, 3, 1, 3, 3), (2, 1, 1, 1, 2, 5), (2, 2, 2, 5, 3, 3)]
+    assert raptor.arrivals(events, 1, 0, walks=walks, change=9).where("stop = 3 and round = 2").isEmpty()
+
+
+def test_day_starts():
+    from hazgrid.operators import raptor
+
+    assert raptor.checked_day_starts([90_000.0, 176_400.0, 262_800.0]) == [90_000, 176_400, 262_800]
+    assert raptor.checked_day_starts([90_000.5, 172_800.0, 259_200.0]) == raptor.checked_day_starts([float("nan")] * 3) == [86_400, 172_800, 259_200]
+
+
 def test_whole_timetable_has_each_order_and_four_boardings(spark, tmp_path):
     from hazgrid.plans import joins
 
     # Four orders lead from stop 7 over 10, 20 and 30 to 40; none is a multiple of ten.
     lines = [(trip, stop, seq) for trip, calls in ((61, (7, 10)), (81, (10, 20)), (101, (20, 30)), (1301, (30, 40))) for seq, stop in enumerate(calls, 1)]
     spark.createDataFrame(lines, "l_orderkey long, l_partkey long, l_linenumber int").write.parquet(str(tmp_path / "lineitem.parquet"))
-    got = {r.stop: (r.round, r.arrival) for r in joins.raptor_frontier_whole(spark, str(tmp_path)).collect()}
+    got = {r.stop: (r.round, r.arrival) for r in joins.raptor_frontier(spark, str(tmp_path)).collect()}
     assert {s: n for s, (n, _) in got.items()} == {7: 0, 10: 1, 20: 2, 30: 3, 40: 4} and got[40] == (4, 1301 * 60 + 1200)
 
 
@@ -103,7 +134,7 @@ def test_whole_sssp_against_dijkstra(spark, tmp_path):
                 if src == node and src != dst:
                     heapq.heappush(queue, (d + w, dst))
     assert len(best) >= 66
-    assert {r.node: r.dist for r in joins.sssp_whole(spark, str(tmp_path)).collect()} == best
+    assert {r.node: r.dist for r in joins.sssp(spark, str(tmp_path)).collect()} == best
 
 
 def test_transit_files(spark, tmp_path):
