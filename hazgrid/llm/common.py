@@ -2,28 +2,21 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from hazgrid.operators.shared import settled as checkpointed
+from hazgrid.operators.shared import shared_dir
+
+__all__ = ["SPACES", "SPACE_CLASS", "checkpointed", "let", "shared_dir", "table", "whole_text", "written"]
+
 #: The characters that separate words: space and the five ASCII controls from tab to carriage return.
 SPACE_CLASS = r"[\x20\x09-\x0D]"
 SPACES = " \t\n\x0b\x0c\r"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or one of our own where it is unset."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder.rstrip("/")
-    context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="hazgrid-"))
-    return context._jsc.sc().getCheckpointDir().get().rstrip("/")
-
-
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back: later steps neither recompute it nor lose it with an executor."""
     spark = df.sparkSession
@@ -32,12 +25,6 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """``checkpoint()`` into the shared folder, for small intermediate tables."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
