@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from hazgrid.plans import drives, feeds, hazards, joins, paths, risk, routes, text, trips
+from hazgrid.plans import drives, feeds, habits, hazards, joins, paths, risk, routes, text, trips
 
-MODULES = (risk, hazards, joins, paths, trips, drives, routes, feeds, text)
+MODULES = (risk, hazards, joins, paths, trips, drives, routes, feeds, habits, text)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
