@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from hazgrid.functions import clock, families, text
+from hazgrid.operators.shared import shared_dir
 from hazgrid.plans.points import table
 from hazgrid.streaming import live
 
@@ -89,6 +92,18 @@ def event_sessions(spark, sf):
     return s.select("user_id", F.unix_timestamp("start").alias("start"), F.unix_timestamp("end").alias("end"), "n", F.round("value", 2).alias("value"))
 
 
+def stream_sessions(spark, sf):
+    """Sessions that a stream of the events has closed once its watermark, a day behind the latest event, has passed them: the
+    stream reads what is there, writes what is closed to a table in the shared folder, and ends."""
+    folder = f"{shared_dir(spark)}/streams/{uuid.uuid4().hex}"
+    events = table(spark, sf, "events")
+    source = spark.readStream.schema(events.schema).parquet(f"{sf}/events.parquet*")
+    query = live.sessions(source).writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").outputMode("append").trigger(availableNow=True).start()
+    query.awaitTermination()
+    s = spark.read.schema("user_id long, start timestamp, end timestamp, n long, value double").parquet(f"{folder}/out")
+    return s.select("user_id", F.unix_timestamp("start").alias("start"), F.unix_timestamp("end").alias("end"), "n", F.round("value", 2).alias("value"))
+
+
 def tumbling_day(spark, sf):
     w = live.windows(table(spark, sf, "events"), "1 day")
     return w.select("event_type", F.unix_timestamp("start").alias("start"), "n", F.round("value", 2).alias("value"))
@@ -153,6 +168,10 @@ count(*) AS n, CAST(sum(length(text)) AS BIGINT) AS chars FROM documents GROUP B
     "event_sessions": """WITH b AS (SELECT *, CASE WHEN ts - lag(ts) OVER w <= INTERVAL 30 MINUTE AND ts - lag(ts) OVER w < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
 s AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM b)
 SELECT user_id, CAST(floor(epoch(min(ts))) AS BIGINT) AS start, CAST(floor(epoch(max(ts) + INTERVAL 30 MINUTE)) AS BIGINT) AS "end", count(*) AS n, round(sum(value), 2) AS value FROM s GROUP BY user_id, s""",
+    "stream_sessions": """WITH b AS (SELECT *, CASE WHEN ts - lag(ts) OVER w < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+s AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM b)
+SELECT user_id, CAST(floor(epoch(min(ts))) AS BIGINT) AS start, CAST(floor(epoch(max(ts) + INTERVAL 30 MINUTE)) AS BIGINT) AS "end", count(*) AS n, round(sum(value), 2) AS value FROM s GROUP BY user_id, s
+HAVING max(ts) + INTERVAL 30 MINUTE <= (SELECT max(ts) FROM events) - INTERVAL 1 DAY""",
     "tumbling_day": "SELECT event_type, CAST(epoch(date_trunc('day', ts)) AS BIGINT) AS start, count(*) AS n, round(sum(value), 2) AS value FROM events GROUP BY ALL",
     "sliding_window": """SELECT event_type, CAST(floor(epoch(ts) / 21600) * 21600 - 21600 * k AS BIGINT) AS start, count(*) AS n, round(sum(value), 2) AS value
 FROM events, (VALUES (0), (1)) AS o(k) GROUP BY ALL""",
