@@ -66,14 +66,14 @@ def forecast_composite(temperature: Column, wind: Column, precipitation: Column)
 
 
 def steps(value: Column, points: list[tuple[float, float]], top: float = 1.0) -> Column:
-    """Straight lines through ``points``, the last line carried on up to ``top``."""
-    out = None
+    """Straight lines through ``points``, the last line carried on up to ``top``; no number is 0."""
+    out = F.when(F.isnan(value), 0.0)
     for (x0, y0), (x1, y1) in zip(points, points[1:], strict=False):
         line = y0 + (value - x0) / (x1 - x0) * (y1 - y0)
         last = (x1, y1) == points[-1]
         if last:
-            return F.least(line, F.lit(top)) if out is None else out.otherwise(F.least(line, F.lit(top)))
-        out = F.when(value < x1, line) if out is None else out.when(value < x1, line)
+            return out.otherwise(F.least(line, F.lit(top)))
+        out = out.when(value < x1, line)
     return out
 
 
@@ -108,7 +108,7 @@ def flood_multiplier(elevation: Column, local_low: Column, qpf_inches: Column, e
 def log_score(count: Column, p95: Column, top: float = 0.6, least: float = 0.05) -> Column:
     """A count against the 95th percentile on a logarithmic scale up to ``top``; below ``least`` nothing."""
     raw = F.least(F.lit(top), top * F.log1p(count) / F.log1p(p95))
-    return F.when((count <= 0) | (p95 <= 0) | count.isNull() | p95.isNull(), 0.0).when(raw < least, 0.0).otherwise(raw)
+    return F.when((count <= 0) | (p95 <= 0) | ~finite(count) | ~finite(p95), 0.0).when(raw < least, 0.0).otherwise(raw)
 
 
 def ranking_risk(band: Column, exposure: Column, prior: Column, confidence: Column) -> Column:

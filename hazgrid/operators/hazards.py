@@ -19,21 +19,22 @@ QUAKE_HOURS = 24.0
 
 
 def _best(points: DataFrame, feed: DataFrame, key: str, reach: float, size: float, score: Column) -> DataFrame:
-    best = spatial.within(points, feed, reach, size).groupBy(key).agg(F.max(score).alias("_s"))
+    """A score that is no number, as of a reading that is none, counts as none."""
+    best = spatial.within(points, feed, reach, size).groupBy(key).agg(F.max(F.when(~F.isnan(score), score)).alias("_s"))
     return points.select(key).join(best, key, "left").select(key, F.greatest(F.lit(0.0), F.coalesce("_s", F.lit(0.0))).alias("score"))
 
 
 def fire(points: DataFrame, hotspots: DataFrame, key: str) -> DataFrame:
     """hotspots: ref_lat, ref_lon, frp."""
-    power = F.least(F.lit(1.0), 0.3 + 0.7 * F.least(F.greatest("frp", F.lit(1.0)) / 100, F.lit(1.0)))
+    power = F.when(~F.isnan("frp"), F.least(F.lit(1.0), 0.3 + 0.7 * F.least(F.greatest("frp", F.lit(1.0)) / 100, F.lit(1.0))))
     return _best(points, hotspots, key, FIRE, 0.5, power * (1 - F.col("meters") / FIRE))
 
 
 def seismic(points: DataFrame, quakes: DataFrame, key: str) -> DataFrame:
     """quakes: ref_lat, ref_lon, magnitude, age_hours."""
-    strength = F.least(F.greatest(F.col("magnitude") - 3, F.lit(0.0)) / 4, F.lit(1.0))
+    strength = F.when(~F.isnan("magnitude"), F.least(F.greatest(F.col("magnitude") - 3, F.lit(0.0)) / 4, F.lit(1.0)))
     fresh = 0.5 + 0.5 * (1 - F.col("age_hours") / QUAKE_HOURS)
-    return _best(points, quakes.where(F.col("age_hours") < QUAKE_HOURS), key, QUAKE, 1.5, strength * (1 - F.col("meters") / QUAKE) * fresh)
+    return _best(points, quakes.where(~F.isnan("age_hours") & (F.col("age_hours") < QUAKE_HOURS)), key, QUAKE, 1.5, strength * (1 - F.col("meters") / QUAKE) * fresh)
 
 
 def volcanic(points: DataFrame, volcanoes: DataFrame, key: str) -> DataFrame:
@@ -45,7 +46,7 @@ def volcanic(points: DataFrame, volcanoes: DataFrame, key: str) -> DataFrame:
 def tropical(points: DataFrame, storms: DataFrame, key: str) -> DataFrame:
     """storms: ref_lat, ref_lon, knots. The reach grows with the wind from 150 to 400 km."""
     reach = 150_000 + 250_000 * F.least(F.greatest((F.col("knots") - 34) / 103, F.lit(0.0)), F.lit(1.0))
-    score = F.when(F.col("meters") < reach, levels.tropical(F.col("knots")) * (1 - 0.6 * F.col("meters") / reach))
+    score = F.when(~F.isnan("knots") & (F.col("meters") < reach), levels.tropical(F.col("knots")) * (1 - 0.6 * F.col("meters") / reach))
     return _best(points, storms, key, 400_000.0, 4.0, score)
 
 

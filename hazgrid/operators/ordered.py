@@ -45,9 +45,3 @@ def nearest_known(df: DataFrame, path: list[str], order: list[str], value: str,
     for k in range(1, reach + 1):
         tries += [F.lag(value, k).over(w), F.lead(value, k).over(w)]
     return df.withColumn("known", F.coalesce(*tries))
-
-
-def every(df: DataFrame, path: list[str], along: str, step: float) -> DataFrame:
-    """The first row in each stretch of ``step`` along a path."""
-    w = Window.partitionBy(*path, "_k").orderBy(along)
-    return df.withColumn("_k", F.floor(F.col(along) / step)).withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_k", "_n")

@@ -68,13 +68,18 @@ def _folded(vertices: DataFrame, *columns: str) -> DataFrame:
 
 def check_points(vertices: DataFrame, every: float) -> DataFrame:
     """(route, seq) of the vertices that cut a route: where the metres since the last cut reach ``every``."""
+    return cut_every(hops(vertices), every)
+
+
+def cut_every(df: DataFrame, every: float) -> DataFrame:
+    """(route, seq) of the rows (route, seq, hop) where the sum of hops since the last cut reaches ``every``."""
     start = F.struct(F.lit(0.0).alias("since"), F.array().cast("array<long>").alias("cuts"))
 
     def add(s: Column, v: Column) -> Column:
         since = s["since"] + v["hop"]
         return F.when(since >= every, F.struct(F.lit(0.0).alias("since"), F.array_append(s["cuts"], v["seq"].cast("long")).alias("cuts"))).otherwise(F.struct(since.alias("since"), s["cuts"].alias("cuts")))
 
-    return _folded(hops(vertices), "hop").select("route", F.explode(F.aggregate("v", start, add, lambda s: s["cuts"])).alias("seq"))
+    return _folded(df, "hop").select("route", F.explode(F.aggregate("v", start, add, lambda s: s["cuts"])).alias("seq"))
 
 
 def decimated(vertices: DataFrame, step: float, limit: int) -> DataFrame:

@@ -90,9 +90,10 @@ def corridor_blend(spark, sf):
 
 
 def badge_clusters(spark, sf):
-    """Marks of a nation's customers, clustered by account balance."""
+    """Marks of a nation's customers in views of two degrees, clustered by account balance. Marks of different views don't meet."""
     c = place(table(spark, sf, "customer"), "c_custkey")
-    marks = c.select(F.col("c_nationkey").cast("long").alias("view"), F.col("c_custkey").alias("id"), (F.col("c_custkey") % 3).alias("kind"), "lat", "lon", F.col("c_acctbal").alias("score"))
+    tile = (F.floor(F.col("lat") / 2) + 90) * 1000 + F.floor(F.col("lon") / 2) + 180  # a screen's worth of two degrees
+    marks = c.select((F.col("c_nationkey") * 1_000_000 + tile).cast("long").alias("view"), F.col("c_custkey").alias("id"), (F.col("c_custkey") % 3).alias("kind"), "lat", "lon", F.col("c_acctbal").alias("score"))
     return clusters.greedy_clusters(marks, "view", 6.0).select("view", "seed", "kind", F.round("lat", 6).alias("lat"), F.round("lon", 6).alias("lon"), "n")
 
 
@@ -109,7 +110,8 @@ def _best_sql(score, where):
     return f"WITH {_FEED}, b AS (SELECT c_custkey, max({score}) AS v FROM p WHERE {where} GROUP BY c_custkey) SELECT c_custkey, round(greatest(0.0, coalesce(v, 0.0)), 6) AS score FROM customer LEFT JOIN b USING (c_custkey)"
 
 
-_KT = "CASE " + " ".join(f"WHEN knots < {a} THEN {b}" for a, b in levels.TROPICAL_KNOTS) + " ELSE 1.0 END"
+KNOTS = [(34, 0.30), (64, 0.52), (83, 0.72), (96, 0.82), (113, 0.90), (137, 0.96)]
+_KT = "CASE " + " ".join(f"WHEN knots < {a} THEN {b}" for a, b in KNOTS) + " ELSE 1.0 END"
 _REACH = "(150000 + 250000 * least(greatest((knots - 34) / 103, 0), 1))"
 _U = "least(1.0, greatest(0.0, {}))"
 _MULT = """CASE WHEN qpf IS NULL OR qpf <= 0 THEN 1.0 WHEN el IS NULL OR low IS NULL THEN 1 + 0.5 * ev * least(qpf / 2, 1.0)
@@ -124,7 +126,7 @@ SQL = {
     "hazard_gauges": _best_sql("[0.25, 0.45, 0.70, 1.0, 0.0][cat + 1] * (1 - m / 20000)", "m < 20000"),
     "level_scores": """SELECT p_partkey, CASE p_partkey % 10 WHEN 2 THEN 0.35 WHEN 3 THEN 0.45 WHEN 4 THEN 0.60 WHEN 5 THEN 0.72 WHEN 6 THEN 0.88 WHEN 8 THEN 1.0 ELSE 0.0 END::DOUBLE AS outlook,
 [0.0, 0.25, 0.45, 0.72, 0.90, 1.0][1 + least(5, greatest(0, p_partkey % 9 - 1))]::DOUBLE AS avalanche, [0.0, 0.15, 0.30, 0.55, 0.78, 1.0][1 + least(5, greatest(0, p_partkey % 9 - 1))]::DOUBLE AS space,
-(CASE """ + " ".join(f"WHEN p_size * 3.0 < {a} THEN {b}" for a, b in levels.TROPICAL_KNOTS) + " ELSE 1.0 END)::DOUBLE AS tropical FROM part",
+(CASE """ + " ".join(f"WHEN p_size * 3.0 < {a} THEN {b}" for a, b in KNOTS) + " ELSE 1.0 END)::DOUBLE AS tropical FROM part",
     "climate_types": f"""WITH p AS (SELECT c_custkey, {place_sql('c_custkey')}, CASE WHEN c_custkey % 3 <> 0 THEN c_custkey * 31 % 2500 ELSE 0 END AS e FROM customer)
 SELECT c_custkey, CASE WHEN lat >= 66 THEN 'tundra' WHEN e >= 2000 THEN 'highland' WHEN lat < 25 OR (lat < 27 AND lon > -83) THEN 'tropical' WHEN lon <= -117 AND lat >= 42 THEN 'marineWestCoast' WHEN lon <= -117 THEN 'mediterranean'
  WHEN lon <= -102 AND e < 1000 AND lat < 37 THEN 'hotDesert' WHEN lon <= -102 THEN 'coldSteppe' WHEN lat < 37 THEN 'humidSubtropical' WHEN lat < 43 THEN 'humidContinentalWarm' WHEN lat < 50 THEN 'humidContinentalCool' ELSE 'subarctic' END AS climate FROM p""",

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from hazgrid.functions import clock
-from hazgrid.operators import learning, ordered, ranking
+from hazgrid.operators import learning, ordered, ranking, routes
 from hazgrid.plans.points import table
 
 NOW = "2024-12-31"
@@ -52,8 +52,10 @@ def nearest_forecast_coalesce(spark, sf):
 
 
 def check_points(spark, sf):
-    df = ordered.cumulative(_lines(spark, sf), ["l_orderkey"], ["l_linenumber", "l_partkey", "l_extendedprice"], F.col("l_quantity"))
-    return ordered.every(df, ["l_orderkey"], "along", 50.0).select("l_orderkey", "along")
+    """Where the quantity since the last cut reaches 50 along an order."""
+    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_extendedprice")
+    df = _lines(spark, sf).select(F.col("l_orderkey").alias("route"), F.row_number().over(w).alias("seq"), F.col("l_quantity").alias("hop"))
+    return routes.cut_every(df, 50.0).select(F.col("route").alias("l_orderkey"), "seq")
 
 
 def decayed_mean(spark, sf):
@@ -158,8 +160,9 @@ SELECT user_id, min(ts) AS first, max(ts) AS last, count(*) AS n_rows FROM r GRO
     "local_low_frame": f"SELECT l_orderkey, l_linenumber, l_partkey, min(l_quantity) OVER ({_W} ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS local_low FROM lineitem",
     "nearest_forecast_coalesce": f"""WITH r AS (SELECT *, CASE WHEN l_partkey % 3 <> 0 THEN l_quantity END AS v FROM lineitem)
 SELECT l_orderkey, l_linenumber, l_partkey, coalesce(v, lag(v, 1) OVER w, lead(v, 1) OVER w, lag(v, 2) OVER w, lead(v, 2) OVER w) AS reading FROM r WINDOW w AS ({_W})""",
-    "check_points": f"""WITH a AS (SELECT l_orderkey, sum(l_quantity) OVER ({_W} ROWS UNBOUNDED PRECEDING) AS along FROM lineitem)
-SELECT l_orderkey, min(along) AS along FROM a GROUP BY l_orderkey, floor(along / 50)""",
+    "check_points": """WITH RECURSIVE n AS (SELECT l_orderkey, l_quantity AS q, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_extendedprice) AS seq FROM lineitem),
+f AS (SELECT l_orderkey, seq, CASE WHEN q >= 50 THEN 0.0 ELSE q END::DOUBLE AS since, q >= 50 AS cut FROM n WHERE seq = 1
+ UNION ALL SELECT n.l_orderkey, n.seq, CASE WHEN f.since + n.q >= 50 THEN 0.0 ELSE f.since + n.q END, f.since + n.q >= 50 FROM f JOIN n ON n.l_orderkey = f.l_orderkey AND n.seq = f.seq + 1) SELECT l_orderkey, seq FROM f WHERE cut""",
     "decayed_mean": f"SELECT user_id, count(*) AS n, round(sum({_DECAY}), 6) AS weight, round(sum({_DECAY} * value) / sum({_DECAY}), 6) AS mean FROM events GROUP BY user_id",
     "rmse_decayed": f"SELECT event_type, round(sqrt(sum({_DECAY} * power(value - 50, 2)) / sum({_DECAY})), 6) AS rmse FROM events GROUP BY event_type",
     "seasonal_prior": f"""WITH c AS (SELECT user_id, CAST(least((dayofyear(ts) - 1) // 7, 51) AS INTEGER) AS week, sum({_DECAY}) AS w, sum({_DECAY} * value / 1000) AS o FROM events GROUP BY ALL),

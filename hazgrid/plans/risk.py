@@ -13,10 +13,13 @@ PIECEWISE_SQL = """CASE WHEN {v} IS NULL OR {v} <= 0 OR {v} <= {a} THEN 0.0
  WHEN {v} <= {c} THEN 0.699 + (0.8751 - 0.699) * (({v} - {b}) / ({c} - {b}))
  ELSE least(1.0, 0.8751 + (1 - 0.8751) * (({v} - {c}) / {c})) END"""
 BAND_SQL = "CASE WHEN {s} > 0.8751 THEN 'Red' WHEN {s} >= 0.699 THEN 'Yellow' WHEN {s} >= 0.398 THEN 'Green' ELSE 'Transparent' END"
-WEIGHT_SQL = "CASE family " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in families.WEIGHTS.items()) + " ELSE 1.0 END"
+WEIGHT_SQL = """CASE family WHEN 'air' THEN 0.60 WHEN 'avalanche' THEN 0.86 WHEN 'cold' THEN 0.66 WHEN 'convective' THEN 0.92 WHEN 'fire' THEN 0.74 WHEN 'flood' THEN 0.96 WHEN 'heat' THEN 0.70 WHEN 'precip' THEN 0.55
+ WHEN 'qpf_flood' THEN 0.96 WHEN 'radiation' THEN 0.52 WHEN 'seismic' THEN 0.78 WHEN 'tropical' THEN 0.94 WHEN 'tsunami' THEN 0.97 WHEN 'volcanic' THEN 0.90 WHEN 'wind' THEN 0.64 WHEN 'winter' THEN 0.88 ELSE 1.0 END"""
+PRIMARY_SQL = "('closure', 'fire', 'flood', 'qpf_flood', 'seismic', 'storm', 'tropical', 'tsunami', 'volcanic')"
+SECONDARY_SQL = "('air', 'avalanche', 'cold', 'convective', 'heat', 'precip', 'radiation', 'wind', 'winter')"
 TIERS_SQL = (
-    f"coalesce(1 - product(CASE WHEN family IN {families.PRIMARY} THEN 1 - score END), 0.0) AS p, "
-    f"coalesce(1 - product(CASE WHEN family IN {families.SECONDARY} THEN 1 - {WEIGHT_SQL} * score END), 0.0) AS q"
+    f"coalesce(1 - product(CASE WHEN family IN {PRIMARY_SQL} THEN 1 - score END), 0.0) AS p, "
+    f"coalesce(1 - product(CASE WHEN family IN {SECONDARY_SQL} THEN 1 - {WEIGHT_SQL} * score END), 0.0) AS q"
 )
 USER_FAMILIES_SQL = f"SELECT user_id, {FAMILY_SQL} AS family, max(least(value / 1000.0, 1.0)) AS score FROM events GROUP BY ALL"
 
@@ -142,7 +145,7 @@ SELECT *, {BAND_SQL.format(s="displayed")} AS band FROM d""",
     "temperature_scores": f"""SELECT l_orderkey, l_linenumber, round({_TEMP_SQL}, 9) AS risk,
 ({_TEMP} > 80 AND {_TEMP} - 80 > 10.0) OR ({_TEMP} < 50 AND 50 - {_TEMP} > 50.0 / 3) AS anomalous FROM lineitem""",
     "forecast_composites": f"SELECT l_orderkey, l_linenumber, round(least(1.0, 0.45 * ({_TEMP_SQL}) + 0.30 * ({_WIND_SQL}) + 0.25 * ({_POP_SQL})), 9) AS composite FROM lineitem",
-    "index_scores": f"SELECT l_orderkey, l_linenumber, round({_steps_sql('(l_quantity * 12)', scoring.AIR_QUALITY)}, 9) AS air, round({_steps_sql('(l_quantity / 3)', scoring.ULTRAVIOLET)}, 9) AS uv FROM lineitem",
+    "index_scores": f"SELECT l_orderkey, l_linenumber, round({_steps_sql('(l_quantity * 12)', [(0, 0), (50, 0.2), (100, 0.45), (150, 0.7), (200, 0.9), (500, 1)])}, 9) AS air, round({_steps_sql('(l_quantity / 3)', [(0, 0), (3, 0.2), (6, 0.4), (8, 0.6), (11, 0.85), (16, 1)])}, 9) AS uv FROM lineitem",
     "flood_multiplier": """WITH v AS (SELECT l_orderkey, l_linenumber, l_discount * 100 AS qpf, l_discount * 100 * 0.0254 AS rain, greatest(l_quantity / 100 - 0.1, 0.0) AS room, least(greatest(l_tax * 10, 0.0), 1.0) AS e FROM lineitem)
 SELECT l_orderkey, l_linenumber, round(CASE WHEN qpf <= 0 THEN 1.0 WHEN room <= rain THEN 1.6 + 0.4 * least((rain - room) / greatest(rain, 0.01), 1.0)
  ELSE 1 + 0.5 * e * greatest(0.0, 1 - (room - rain) / greatest(rain, 0.01)) END, 9) AS multiplier FROM v""",

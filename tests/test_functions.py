@@ -78,3 +78,17 @@ def test_polyline(spark):
     points = one(spark, text.decode_polyline(F.lit("_p~iF~ps|U_ulLnnqC_mqNvxq`@")))
     assert [(p["lat"], p["lon"]) for p in points] == [(38.5, -120.2), (40.7, -120.95), (43.252, -126.453)]
     assert one(spark, text.decode_polyline(F.lit(""))) == []
+
+
+def test_no_number_scores_nothing(spark):
+    from hazgrid.functions import scoring
+    from hazgrid.operators import hazards
+
+    nan = float("nan")
+    row = spark.range(1).select(scoring.air_score(F.lit(nan)).alias("air"), scoring.uv_score(F.lit(nan)).alias("uv"), scoring.log_score(F.lit(nan), F.lit(2.0)).alias("log"), scoring.air_score(F.lit(75.0)).alias("some")).first()
+    assert (row.air, row.uv, row.log) == (0.0, 0.0, 0.0) and abs(row.some - 0.325) < 1e-12
+    points = spark.createDataFrame([(1, 40.0, -100.0)], "id long, lat double, lon double")
+    feed = spark.createDataFrame([(40.0, -100.0, nan, nan, 1.0, nan), (40.01, -100.0, 50.0, 5.0, nan, 70.0)], "ref_lat double, ref_lon double, frp double, magnitude double, age_hours double, knots double")
+    assert 0 < hazards.fire(points, feed, "id").first().score < 1
+    assert hazards.fire(points, feed.where("isnan(frp)"), "id").first().score == hazards.seismic(points, feed, "id").first().score == 0
+    assert 0 < hazards.tropical(points, feed, "id").first().score < 1
