@@ -98,27 +98,27 @@ def band_hashes(shingles: np.ndarray) -> np.ndarray:
     return _mixed((values * _BAND).sum(axis=1, dtype=np.uint64)).view(np.int64)
 
 
-def _signed(docs: DataFrame, width: int) -> DataFrame:
-    """``docs`` (row, kept, text) with n_shingles, digest of the set (null when empty) and bands."""
-    names = ["n_shingles", "digest", "bands"]
-    kinds = [pa.int64(), pa.binary(), pa.list_(pa.int64())]
+def _signed(rows: DataFrame, width: int) -> DataFrame:
+    """row, doc_id, n_shingles, digest of the set (null when empty) and bands of ``rows`` (row, kept)."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
-                found: list[list] = [[], [], []]
+                sizes, digests, bands = [], [], []
                 for text in part.column("text").to_pylist():
                     s = shingle_set(text, width)
-                    found[0].append(len(s))
-                    found[1].append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
-                    found[2].append(band_hashes(s) if len(s) else np.empty(0, np.int64))
-                yield pa.RecordBatch.from_arrays([*part.columns, *(pa.array(x, k) for x, k in zip(found, kinds, strict=True))], [*part.schema.names, *names])
+                    sizes.append(len(s))
+                    digests.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
+                    bands.append(band_hashes(s) if len(s) else np.empty(0, np.int64))
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("row"), part.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(bands, pa.list_(pa.int64()))],
+                    ["row", "doc_id", "n_shingles", "digest", "bands"],
+                )
 
-    schema = docs.select("*", F.lit(0).cast("long").alias(names[0]), F.lit(None).cast("binary").alias(names[1]), F.array().cast("array<long>").alias(names[2])).schema
-    return docs.mapInArrow(run, schema)
+    return rows.select("row", F.col("kept.doc_id").cast("long").alias("doc_id"), "kept.text").mapInArrow(run, "row long, doc_id long, n_shingles long, digest binary, bands array<long>")
 
 
-def _sets(signed: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
+def _sets(rows: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     """(row, shingles as bytes) of the rows in ``wanted``.
 
     Texts meet ``wanted`` by a merge join at every size, so that plan and figures don't change where the ids of candidates
@@ -131,7 +131,7 @@ def _sets(signed: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
                 sets = [shingle_set(t, width).tobytes() for t in part.column("text").to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column("row"), pa.array(sets, pa.binary())], ["row", "shingles"])
 
-    return signed.select("row", "text").join(wanted.hint("merge"), "row", "left_semi").mapInArrow(run, "row long, shingles binary")
+    return rows.select("row", "kept.text").join(wanted.hint("merge"), "row", "left_semi").mapInArrow(run, "row long, shingles binary")
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -221,20 +221,20 @@ def _links_of_strays(placed: DataFrame, sets: DataFrame) -> DataFrame:
     return checkpointed(strays.groupBy(*keys).cogroup(others.groupBy(*keys)).applyInPandas(compare, "u long, v long").distinct())
 
 
-def grouped(docs: DataFrame, width: int = 5) -> DataFrame:
-    """A row for each row of ``docs``: kept (all of its columns, as a struct), n_shingles, component_id (least doc_id reachable
-    over links) and stands (the one row that stands for its group: the first by doc_id, null ones last).
+def grouped(docs: DataFrame, width: int = 5) -> tuple[DataFrame, DataFrame]:
+    """The rows of ``docs`` as written (row, a number of its own, and kept, all columns as a struct), and a verdict for each:
+    row, doc_id, n_shingles, component_id (least doc_id reachable over links) and stands (the one row that stands for its
+    group: the first by doc_id, null ones last).
 
     Two documents link if 100 * intersection >= 80 * union of their shingle sets. Null texts count as empty; empty ones
     link with nothing and each stands for itself. Rows that repeat a document with its text are one class. Rows without
     doc_id link like others; a group of such rows only has no component_id. Columns may have any names; an empty table
     gives no rows.
     """
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.struct(*docs.columns).alias("kept"), "text")
+    rows = written(docs.select(F.monotonically_increasing_id().alias("row"), F.struct(*docs.columns).alias("kept")), "rows")
     signed = written(_signed(rows, width), "signed")
-    doc_id = F.col("kept.doc_id").cast("long")
     first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row"))
-    texts = signed.where(F.col("digest").isNotNull()).select(doc_id.alias("doc_id"), "row", "n_shingles", "digest", "bands")
+    texts = signed.where(F.col("digest").isNotNull())
     classes = texts.groupBy("digest").agg(first.alias("f"), F.first("bands").alias("bands"), F.first("n_shingles").alias("n"))
     classes = written(classes.select("digest", F.col("f.row").alias("rep"), F.col("f.doc_id").alias("doc_id"), "bands", "n"), "classes")
     buckets = classes.select(F.posexplode("bands").alias("band", "hash"), "rep", "n").select(F.xxhash64("band", "hash").alias("bucket"), "rep", "n")
@@ -247,34 +247,34 @@ def grouped(docs: DataFrame, width: int = 5) -> DataFrame:
     followers = written(members.join(leaders, "bucket").select("leader", "leader_n", "rep", "n").distinct(), "followers")
 
     stars = followers.where(F.col("rep") != F.col("leader")).where(_close("n", "leader_n"))
-    sets = written(_sets(signed, followers.select(F.col("rep").alias("row")).distinct(), width), "sets")
+    sets = written(_sets(rows, followers.select(F.col("rep").alias("row")).distinct(), width), "sets")
     links = confirmed(checkpointed(stars.select(F.least("leader", "rep").alias("u"), F.greatest("leader", "rep").alias("v")).distinct()), sets)
     components = checkpointed(connected_components(links))
 
     placed = followers.join(components.withColumnRenamed("node", "rep"), "rep", "left").select("leader", "rep", F.coalesce("component", "rep").alias("c"))
     links = links.unionByName(_links_of_strays(placed, sets))
-    components = checkpointed(connected_components(links)).withColumnRenamed("node", "rep")
+    components = checkpointed(connected_components(links)).withColumnRenamed("node", "row")
 
-    placed = written(classes.select("digest", F.col("rep").alias("row"), "doc_id").join(components.withColumnRenamed("rep", "row"), "row", "left").withColumn("c", F.coalesce("component", "row")), "placed")
+    placed = written(classes.select("digest", F.col("rep").alias("row"), "doc_id").join(components, "row", "left").withColumn("c", F.coalesce("component", "row")), "placed")
     heads = placed.groupBy("c").agg(first.alias("f")).select("c", F.col("f.row").alias("head"), F.col("f.doc_id").alias("component_id"))
     of_class = placed.join(heads, "c").select("digest", "head", "component_id")
-    with_text = signed.where(F.col("digest").isNotNull()).select("row", "kept", "n_shingles", "digest").join(of_class, "digest", "left")
-    without = signed.where(F.col("digest").isNull()).select("row", "kept", "n_shingles", F.col("row").alias("head"), doc_id.alias("component_id"))
-    result = with_text.select("row", "kept", "n_shingles", "head", "component_id").unionByName(without)
-    return result.select("kept", "n_shingles", "component_id", (F.col("row") == F.col("head")).alias("stands"))
+    with_words = texts.select("row", "doc_id", "n_shingles", "digest").join(of_class, "digest", "left").drop("digest")
+    without = signed.where(F.col("digest").isNull()).select("row", "doc_id", "n_shingles", F.col("row").alias("head"), F.col("doc_id").alias("component_id"))
+    verdicts = with_words.unionByName(without)
+    return rows, verdicts.select("row", "doc_id", "n_shingles", "component_id", (F.col("row") == F.col("head")).alias("stands"))
 
 
 def near_duplicates(docs: DataFrame, width: int = 5) -> DataFrame:
     """doc_id, n_shingles, component_id and kept (doc_id = component_id, so that all rows which repeat a kept document are
     kept), a row for each row of ``docs``; see ``grouped``. Rows without doc_id are kept if their group has no doc_id."""
-    found = grouped(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), width)
-    found = found.select("kept.doc_id", "n_shingles", "component_id")
-    return found.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    _, verdicts = grouped(docs.select("doc_id", "text"), width)
+    return verdicts.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
 def one_of_each(docs: DataFrame, width: int = 5) -> DataFrame:
     """``docs`` without near-duplicates: of each group the row that stands for it."""
-    return grouped(docs, width).where("stands").select("kept.*")
+    rows, verdicts = grouped(docs, width)
+    return rows.join(verdicts.where("stands").select("row"), "row", "left_semi").select("kept.*")
 
 
 def op4_minhash_near_dedup(spark, sf_dir):
