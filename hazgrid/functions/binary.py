@@ -27,3 +27,17 @@ def fnv1a64(data: pd.Series) -> pd.Series:
     out = np.full(len(data), None, object)
     out[present] = [int(h).to_bytes(8, "big") for h in hashes]
     return pd.Series(out)
+
+
+def tire_reading(name, data):
+    """struct(position, psi, celsius) of a tyre sensor's message: its name begins with TPMS and tells the wheel; the pressure
+    stands at bytes 8 to 11 in thousandths of a kilopascal, the temperature at 12 to 15 in hundredths, the low byte first."""
+    def number(at: int):
+        low_first = [F.conv(F.hex(F.substring(data, at + k, 1)), 16, 10).cast("long") * (1 << 8 * k) for k in range(4)]
+        return low_first[0] + low_first[1] + low_first[2] + low_first[3]
+
+    psi = number(9) / 1000 * 0.145038
+    signed = F.when(number(13) >= 1 << 31, number(13) - (1 << 32)).otherwise(number(13))
+    whole = F.upper(name).startswith("TPMS") & (F.octet_length(data) >= 16) & (psi > 3) & (psi < 200)
+    position = F.when(F.length(name) > 4, F.substring(name, 5, 1)).otherwise("?")
+    return F.when(whole, F.struct(position.alias("position"), psi.alias("psi"), (signed / 100).alias("celsius")))

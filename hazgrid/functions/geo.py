@@ -55,3 +55,21 @@ def ring_contains(x: Column, y: Column, ring: Column) -> Column:
         return straddles & (x < (b["x"] - a["x"]) * (y - a["y"]) / F.when(b["y"] != a["y"], b["y"] - a["y"]) + a["x"])
 
     return (n >= 3) & (F.size(F.filter(ring, crosses)) % 2 == 1)
+
+
+def ring_centroid(ring: Column) -> Column:
+    """struct(x, y): the centre of a ring's area (array of struct(x, y)); of one without area the mean of its corners."""
+    n = F.size(ring)
+    zero = F.struct(F.lit(0.0).alias("area"), F.lit(0.0).alias("x"), F.lit(0.0).alias("y"))
+
+    def add(s: Column, i: Column) -> Column:
+        a, b = F.get(ring, i), F.get(ring, (i + 1) % n)
+        cross = a["x"] * b["y"] - b["x"] * a["y"]
+        return F.struct((s["area"] + cross).alias("area"), (s["x"] + (a["x"] + b["x"]) * cross).alias("x"), (s["y"] + (a["y"] + b["y"]) * cross).alias("y"))
+
+    def centre(s: Column) -> Column:
+        mean = lambda c: F.aggregate(ring, F.lit(0.0), lambda t, p: t + p[c]) / n
+        flat = F.abs(s["area"]) <= 1e-12
+        return F.struct(F.when(flat, mean("x")).otherwise(s["x"] / (3 * s["area"])).alias("x"), F.when(flat, mean("y")).otherwise(s["y"] / (3 * s["area"])).alias("y"))
+
+    return F.when(n > 0, F.aggregate(F.sequence(F.lit(0), n - 1), zero, add, centre))

@@ -49,3 +49,32 @@ def designations(routes: DataFrame, group: str, route: str, risk: str, cost: str
     """The safest, cheapest and fastest route of each group, ties to the least route; groups of one have none."""
     best = lambda c: F.min(F.struct(c, route))[route]
     return routes.groupBy(group).agg(F.count("*").alias("_n"), best(risk).alias("safest"), best(cost).alias("cheapest"), best(seconds).alias("fastest")).where("_n > 1").drop("_n")
+
+
+def closest_matches(routes: DataFrame, group: str, route: str, broken: list[Column], risk: str, seconds: str) -> DataFrame:
+    """(group, route, broken): the route of each group that breaks the fewest of the rules (true where a rule is broken), then
+    the least risk, then the soonest, then the least route."""
+    n = F.lit(0)
+    for rule in broken:
+        n = n + F.coalesce(rule, F.lit(False)).cast("int")
+    best = routes.groupBy(group).agg(F.min(F.struct(n.alias("broken"), F.col(risk), F.col(seconds), F.col(route))).alias("b"))
+    return best.select(group, F.col("b")[route].alias(route), F.col("b.broken").alias("broken"))
+
+
+def planned(routes: DataFrame, group: str, route: str, kind: str, key: Column, seconds: str, order: dict[str, int], rescued: list[str], k: int = 5) -> DataFrame:
+    """(group, route, kind, seconds) of at most ``k`` routes of each group: of routes with one ``key`` the first kind in ``order``
+    counts, the soonest stay, and a kind of ``rescued`` that has none among them takes the last place of those not taken."""
+    rank = F.element_at(F.create_map(*[F.lit(x) for kv in order.items() for x in kv]), F.col(kind))
+    first = routes.withColumns({"_key": key, "_rank": rank}).groupBy(group, "_key").agg(F.min(F.struct("_rank", F.col(seconds).alias("s"), F.col(route).alias("r"), F.col(kind).alias("k"))).alias("f"))
+    each = first.select(group, F.col("f.s").alias("s"), F.col("f.r").alias("r"), F.col("f.k").alias("k"))
+    w = Window.partitionBy(group).orderBy("s", "r")
+    each = each.withColumn("_n", F.row_number().over(w))
+    has = lambda c: F.max(F.when((F.col("_n") <= k) & (F.col("k") == c), 1).otherwise(0)).over(Window.partitionBy(group))
+    best = lambda c: (F.col("k") == c) & (F.row_number().over(Window.partitionBy(group, "k").orderBy("s", "r")) == 1)
+    taken, saved = F.lit(0), F.lit(False)
+    for c in rescued:
+        missing = (has(c) == 0) & (F.max(F.when(F.col("k") == c, 1).otherwise(0)).over(Window.partitionBy(group)) == 1)
+        saved = saved | (missing & best(c))
+        taken = taken + missing.cast("int")
+    kept = each.withColumns({"_taken": taken, "_saved": saved}).where(F.col("_saved") | (F.col("_n") <= k - F.col("_taken")))
+    return kept.select(group, F.col("r").alias(route), F.col("k").alias(kind), F.col("s").alias(seconds))

@@ -6,10 +6,10 @@ import math
 
 from pyspark.sql import functions as F
 
-from hazgrid.functions import names
+from hazgrid.functions import binary, geo, names
 from hazgrid.functions.clock import decay, week_of_year
 from hazgrid.functions.geo import haversine_km, meters
-from hazgrid.operators import habits, learning
+from hazgrid.operators import habits, learning, ranking
 from hazgrid.plans.points import place, place_sql, table
 
 NOW = "2024-12-31"
@@ -167,6 +167,38 @@ def probe_points(spark, sf):
     return p.groupBy("c_custkey").agg(F.count("*").alias("n"), F.max("place").alias("last"))
 
 
+def closest_matches(spark, sf):
+    """Suppliers of an order as routes, with rules that some break."""
+    li = table(spark, sf, "lineitem").groupBy("l_orderkey", "l_suppkey").agg(F.max("l_quantity").alias("q"))
+    k = F.col("l_suppkey")
+    rules = [k % 2 == 0, k % 3 == 0, F.when(k % 7 != 0, k % 5 == 0), F.col("q") > 25]
+    return ranking.closest_matches(li.withColumn("risk", k % 4 / 4), "l_orderkey", "l_suppkey", rules, "risk", "q")
+
+
+def planned_routes(spark, sf):
+    """Lines of orders of a customer as routes of three kinds."""
+    o = table(spark, sf, "orders").select("o_orderkey", "o_custkey", F.round(F.col("o_totalprice") / 50).alias("seconds"))
+    kind = F.when(F.col("o_orderkey") % 7 == 0, "toll free").when(F.col("o_orderkey") % 11 == 0, "avoid highways").otherwise("standard")
+    o = o.withColumn("kind", kind)
+    return ranking.planned(o, "o_custkey", "o_orderkey", "kind", F.floor(F.col("seconds") / 45), "seconds", {"standard": 0, "toll free": 1, "avoid highways": 2}, ["avoid highways", "toll free"])
+
+
+def ring_centroids(spark, sf):
+    n = place(table(spark, sf, "nation").select("n_nationkey"), "n_nationkey", "y", "x")
+    k = F.col("n_nationkey")
+    corner = lambda dx, dy: F.struct((F.col("x") + dx).alias("x"), (F.col("y") + dy).alias("y"))
+    ring = F.when(k % 3 == 0, F.array(corner(0, 0), corner(3, 0), corner(0, 3))).when(k % 3 == 1, F.array(corner(0, 0), corner(4, 0), corner(4, 2), corner(0, 2))).otherwise(F.array(corner(0, 0), corner(1, 1), corner(2, 2)))
+    return n.select("n_nationkey", geo.ring_centroid(ring).alias("c")).select("n_nationkey", F.round("c.x", 6).alias("x"), F.round("c.y", 6).alias("y"))
+
+
+def tire_readings(spark, sf):
+    k = F.col("p_partkey")
+    low_first = lambda v: F.concat(*(F.lpad(F.hex(F.shiftright(v, 8 * i).bitwiseAND(F.lit(255))), 2, "0") for i in range(4)))
+    data = F.unhex(F.concat(F.repeat(F.lit("00"), 8), low_first(k * 1000 % 1_600_000), low_first((k * 37 % 9000 - 3000).cast("long"))))
+    t = binary.tire_reading(F.concat(F.when(k % 9 == 0, "other").otherwise("tpms"), (k % 4).cast("string")), F.when(k % 11 != 0, data))
+    return table(spark, sf, "part").select("p_partkey", t.alias("t")).where("t is not null").select("p_partkey", "t.position", F.round("t.psi", 6).alias("psi"), F.round("t.celsius", 6).alias("celsius"))
+
+
 _NAMES = ("Tornado Shelter", "Pet Rescue", "St. Mary's High Ground", "Cooling Center 12", "Park & Ride", "park and ride lot", "Main St Garage", "KNOW 98.1", "WTMJ 620", "The 5 o'clock bar", "Warming hut", "Free Parking $2", "stormy", "109.9 and 88 and 1000")
 _REPLIES = ("Yes please", "no, not now", "take it", "I don't know", "Keep this route", "NOPE", "surely", "go ahead", "hmm", "never  mind")
 
@@ -197,6 +229,16 @@ def wind_fields(spark, sf):
 _AGE_SQL = f"date_diff('day', CAST(ts AS DATE), DATE '{NOW}')"
 _LIST = "[" + ", ".join("'" + n.replace("'", "''") + "'" for n in _NAMES) + "]"
 SQL = {
+    "closest_matches": """WITH l AS (SELECT l_orderkey, l_suppkey AS k, max(l_quantity) AS q FROM lineitem GROUP BY ALL), b AS (SELECT *, (k % 2 = 0)::INT + (k % 3 = 0)::INT + (k % 7 <> 0 AND k % 5 = 0)::INT + (q > 25)::INT AS broken FROM l)
+SELECT l_orderkey, k AS l_suppkey, broken FROM b QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY broken, k % 4, q, k) = 1""",
+    "planned_routes": """WITH o AS (SELECT o_custkey, o_orderkey AS r, round(o_totalprice / 50) AS s, CASE WHEN o_orderkey % 7 = 0 THEN 'toll free' WHEN o_orderkey % 11 = 0 THEN 'avoid highways' ELSE 'standard' END AS kind FROM orders),
+e AS (SELECT * FROM o QUALIFY row_number() OVER (PARTITION BY o_custkey, floor(s / 45) ORDER BY CASE kind WHEN 'standard' THEN 0 WHEN 'toll free' THEN 1 ELSE 2 END, s, r) = 1),
+n AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY s, r) AS n, row_number() OVER (PARTITION BY o_custkey, kind ORDER BY s, r) AS m FROM e),
+g AS (SELECT o_custkey, bool_or(kind = 'toll free') AND NOT bool_or(kind = 'toll free' AND n <= 5) AS t, bool_or(kind = 'avoid highways') AND NOT bool_or(kind = 'avoid highways' AND n <= 5) AS h FROM n GROUP BY o_custkey)
+SELECT o_custkey, r AS o_orderkey, kind, s AS seconds FROM n JOIN g USING (o_custkey) WHERE n <= 5 - t::INT - h::INT OR (m = 1 AND ((t AND kind = 'toll free') OR (h AND kind = 'avoid highways')))""",
+    "ring_centroids": f"""WITH n AS (SELECT n_nationkey, {place_sql('n_nationkey', 'y', 'x')} FROM nation) SELECT n_nationkey, round(x + CASE WHEN n_nationkey % 3 = 1 THEN 2 ELSE 1 END, 6) AS x, round(y + 1, 6) AS y FROM n""",
+    "tire_readings": """SELECT p_partkey, (p_partkey % 4)::VARCHAR AS position, round(p_partkey * 1000 % 1600000 / 1000 * 0.145038, 6) AS psi, round((p_partkey * 37 % 9000 - 3000) / 100, 6) AS celsius FROM part
+WHERE p_partkey % 9 <> 0 AND p_partkey % 11 <> 0 AND p_partkey * 1000 % 1600000 / 1000 * 0.145038 BETWEEN 3.0000001 AND 199.999999""",
     "refuel_accuracies": "WITH l AS (SELECT user_id, value / 400 AS e FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) <= 10) SELECT user_id, round(greatest(0.0, 1 - avg(e)), 6) AS accuracy FROM l GROUP BY user_id",
     "training_rows": f"""WITH c AS (SELECT user_id, CAST(least((dayofyear(ts) - 1) // 7, 51) AS INTEGER) AS week, sum(power(2.0, -greatest({_AGE_SQL}, 0) / 364.0)) AS w, sum(power(2.0, -greatest({_AGE_SQL}, 0) / 364.0) * value / 100) AS o FROM events GROUP BY ALL), p AS (SELECT *, {place_sql('user_id')} FROM c)
 SELECT user_id, week, round(lat * 10) / 10 AS o_lat, round(lon * 10) / 10 AS o_lon, round(o / w, 6) AS mean, round(w, 6) AS weight FROM p""",

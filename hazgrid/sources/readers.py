@@ -102,3 +102,79 @@ def alerts_json(spark: SparkSession, path: str) -> DataFrame:
 def rss_items(spark: SparkSession, path: str) -> DataFrame:
     """Items of RSS files: title, link, description, pubDate."""
     return spark.read.format("xml").option("rowTag", "item").schema("title string, link string, description string, pubDate string").load(path)
+
+
+def zone_counties(spark: SparkSession, path: str) -> DataFrame:
+    """(state, zone, county) of a pipe-separated file without a header: zones to three digits, real states and counties only."""
+    c = spark.read.text(path).select(F.split("value", r"\|").alias("c")).where(F.size("c") >= 7)
+    at = lambda i: F.trim(F.get("c", F.lit(i)))
+    rows = c.select(at(0).alias("state"), at(1).alias("zone"), at(6).alias("county"))
+    rows = rows.where((F.length("state") == 2) & (F.col("zone") != "") & (F.length("county") == 5))
+    # Zones of more than three characters stay as they are.
+    return rows.withColumn("zone", F.when(F.length("zone") < 3, F.lpad("zone", 3, "0")).otherwise(F.col("zone"))).distinct()
+
+
+def zone_zips(zones: DataFrame, relations: DataFrame) -> DataFrame:
+    """(state, zone, zip): the postal areas of a zone's counties, each once."""
+    return zones.join(relations.select("county", "zip"), "county").select("state", "zone", "zip").distinct()
+
+
+def zones_by_name(zones: DataFrame, counties: DataFrame) -> DataFrame:
+    """(state, zone_name, county) for zones (state, zone_name in capitals) and counties (state, name, county): the county of just
+    that name, else every county whose name stands in it as a word. Counties meet zones of their state by their first word."""
+    first = lambda c: F.regexp_extract(c, "([A-Z0-9]+)", 1)
+    zones = zones.withColumn("word", F.explode(F.array_distinct(F.regexp_extract_all("zone_name", F.lit("[A-Z0-9]+"), F.lit(0)))))
+    pairs = zones.join(counties.withColumn("word", first(F.col("name"))), ["state", "word"])
+    bounded = F.concat(F.lit("(?<![A-Za-z0-9])\\Q"), "name", F.lit("\\E(?![A-Za-z0-9])"))
+    found = pairs.where(F.regexp_like("zone_name", bounded)).withColumn("exact", F.col("name") == F.col("zone_name"))
+    some = found.groupBy("state", "zone_name").agg(F.bool_or("exact").alias("any_exact"))
+    return found.join(some, ["state", "zone_name"]).where(F.col("exact") | ~F.col("any_exact")).select("state", "zone_name", "county").distinct()
+
+
+def airports(spark: SparkSession, path: str) -> DataFrame:
+    """(iata, name, city, country, region, lat, lon, size) of airports with scheduled service in three countries, one a code."""
+    df = _typed(_csv(spark, path), "type string, name string, latitude_deg double, longitude_deg double, iso_country string, iso_region string, municipality string, scheduled_service string, iata_code string")
+    size = F.regexp_extract("type", "^(large|medium|small)_airport$", 1)
+    rows = df.select(
+        F.upper("iata_code").alias("iata"), F.col("name"), F.col("municipality").alias("city"), F.upper("iso_country").alias("country"), F.upper("iso_region").alias("region"), F.col("latitude_deg").alias("lat"), F.col("longitude_deg").alias("lon"),
+        size.alias("size"), "scheduled_service",
+    )
+    good = (F.col("scheduled_service") == "yes") & F.col("iata").rlike("^[A-Z]{3}$") & F.col("country").isin("US", "CA", "MX") & (F.col("size") != "") & F.col("lat").between(-90, 90) & F.col("lon").between(-180, 180)
+    names = ["name", "city", "country", "region", "lat", "lon", "size"]
+    return rows.where(good).groupBy("iata").agg(F.min(F.struct(*names)).alias("a")).select("iata", "a.*")
+
+
+def transit_catalog(spark: SparkSession, path: str) -> DataFrame:
+    """Feeds of a catalogue with the reason why each is not used (null for those that are): id, provider, url, box and dropped."""
+    raw = _csv(spark, path)
+    names = {
+        "id": "id", "data_type": "type", "location.country_code": "country", "provider": "provider", "urls.direct_download": "direct", "urls.latest": "latest", "urls.authentication_type": "auth", "status": "status", "redirect.id": "redirect",
+        "location.bounding_box.minimum_latitude": "south", "location.bounding_box.maximum_latitude": "north", "location.bounding_box.minimum_longitude": "west", "location.bounding_box.maximum_longitude": "east",
+    }
+    df = raw.select(*(F.trim(F.coalesce(F.col(f"`{old}`"), F.lit(""))).alias(new) for old, new in names.items()))
+    edge = lambda c: F.col(c).try_cast("double")
+    link = lambda c: F.col(c).rlike("^https?://")
+    flat = (edge("south") >= edge("north")) | (edge("west") >= edge("east")) | (edge("north") - edge("south") > 25) | (edge("east") - edge("west") > 40)
+    why = (
+        F.when(F.col("type") != "gtfs", "not static").when(~F.upper("country").isin("US", "CA", "MX"), "other country").when(~F.col("auth").isin("", "0"), "needs a key").when(~link("direct") & ~link("latest"), "no link")
+        .when(F.lower("status") == "deprecated", "deprecated").when(F.col("redirect") != "", "redirected").when(edge("south").isNull() | edge("north").isNull() | edge("west").isNull() | edge("east").isNull(), "no box").when(flat, "unusable box")
+        .when(F.col("id") == "", "no id")
+    )
+    key = F.when(F.col("id").rlike("^[0-9]+$"), F.concat(F.lit("mdb-"), "id")).otherwise(F.col("id"))
+    return df.select(key.alias("id"), "provider", F.when(link("direct"), F.col("direct")).otherwise(F.col("latest")).alias("url"), *(edge(c).alias(c) for c in ("south", "north", "west", "east")), why.alias("dropped"))
+
+
+def training_rows(spark: SparkSession, path: str) -> DataFrame:
+    """Rows for training without a header of their own kind: eight numbers, the target within 0..1, the weight not below 0; rows
+    with fewer, or with one that isn't a number, are left out."""
+    names = ("o_lat", "o_lon", "d_lat", "d_lon", "week", "target", "weight", "cross_country")
+    parts = F.filter(F.transform(F.split("value", ","), lambda x: F.trim(x).try_cast("double")), lambda x: x.isNotNull())
+    df = spark.read.text(path).where(~F.col("value").startswith("oLat")).select(parts.alias("f"))
+    df = df.where((F.size("f") >= 8) & F.forall(F.slice("f", 1, 8), lambda x: ~F.isnan(x) & (F.abs(x) != float("inf"))))
+    rows = df.select(*(F.get("f", F.lit(i)).alias(n) for i, n in enumerate(names)))
+    return rows.withColumns({"target": F.least(F.greatest("target", F.lit(0.0)), F.lit(1.0)), "weight": F.greatest("weight", F.lit(0.0)), "cross_country": F.col("cross_country") > 0.5})
+
+
+def model_head(model: DataFrame, path: str) -> None:
+    """Write a one-row table of weights as JSON; Spark commits it whole."""
+    model.coalesce(1).write.mode("overwrite").json(path)

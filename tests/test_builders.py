@@ -50,3 +50,29 @@ def test_fnv1a(spark):
     for r in df.select("i", fnv1a64("v").alias("h")).collect():
         assert (None if r.h is None else bytes(r.h)) == (None if values[r.i] is None else plain(values[r.i]))
     assert plain(b"foobar").hex() == "85944171f73967e8"
+
+
+def test_reference_tables(spark, tmp_path):
+    from hazgrid.sources import readers
+
+    (tmp_path / "zones.txt").write_text("WI|7|x|x|x|x|55025\nWI|061|x|x|x|x|55025|more\nbad|1|x|x|x|x|55025\nWI|8|x|x|x|x|1\nshort|line\n")
+    zones = readers.zone_counties(spark, str(tmp_path / "zones.txt"))
+    assert {tuple(r) for r in zones.collect()} == {("WI", "007", "55025"), ("WI", "061", "55025")}
+    zips = spark.createDataFrame([("53703", "55025"), ("53703", "55025"), ("53704", "55025")], "zip string, county string")
+    assert readers.zone_zips(zones, zips).count() == 4
+    counties = spark.createDataFrame([("55", "DANE", "55025"), ("55", "ST. CROIX", "55109"), ("55", "POLK", "55095"), ("27", "DANE", "1")], "state string, name string, county string")
+    named = spark.createDataFrame([("55", "DANE"), ("55", "SOUTHERN DANE AND POLK"), ("55", "ST. CROIX VALLEY"), ("55", "DANEVILLE")], "state string, zone_name string")
+    assert {(r.zone_name, r.county) for r in readers.zones_by_name(named, counties).collect()} == {("DANE", "55025"), ("SOUTHERN DANE AND POLK", "55025"), ("SOUTHERN DANE AND POLK", "55095"), ("ST. CROIX VALLEY", "55109")}
+
+    (tmp_path / "airports.csv").write_text("iata_code,type,name,latitude_deg,longitude_deg,iso_country,iso_region,municipality,scheduled_service\nmsn,medium_airport,Dane,43.1,-89.3,US,US-WI,Madison,yes\nXXX,heliport,H,1,1,US,US-WI,M,yes\nLHR,large_airport,L,51,0,GB,GB-E,London,yes\nMKE,large_airport,M,95,0,US,US-WI,M,yes\n")
+    assert [tuple(r) for r in readers.airports(spark, str(tmp_path / "airports.csv")).collect()] == [("MSN", "Dane", "Madison", "US", "US-WI", 43.1, -89.3, "medium")]
+
+    head = "id,data_type,location.country_code,provider,urls.direct_download,urls.latest,urls.authentication_type,status,redirect.id," + ",".join(f"location.bounding_box.{m}_{d}" for d in ("latitude", "longitude") for m in ("minimum", "maximum"))
+    rows = ["12,gtfs,us,A,https://a,,,,,43,44,-90,-89", "x,gtfs-rt,US,B,https://b,,,,,1,2,1,2", "y,gtfs,US,C,,,0,,,1,2,1,2", "z,gtfs,CA,D,,http://d,1,,,1,2,1,2", "w,gtfs,MX,E,,http://e,,deprecated,,1,2,1,2", "v,gtfs,MX,F,,http://f,,,,1,,1,2", "u,gtfs,MX,G,,http://g,,,,2,1,1,2"]
+    (tmp_path / "catalog.csv").write_text("\n".join([head, *rows]) + "\n")
+    got = {r.provider: (r.id, r.url, r.dropped) for r in readers.transit_catalog(spark, str(tmp_path / "catalog.csv")).collect()}
+    assert got["A"] == ("mdb-12", "https://a", None)
+    assert {k: v[2] for k, v in got.items() if k != "A"} == {"B": "not static", "C": "no link", "D": "needs a key", "E": "deprecated", "F": "no box", "G": "unusable box"}
+
+    (tmp_path / "rows.csv").write_text("oLat,oLon\n1,2,3,4,5,1.5,-2,1\n1,2,3,4,5,0.5,2\n1,2,3,4,5,NaN,2,0\n1,2,x,3,4,5,0.25,2,0\n")
+    assert [tuple(r) for r in readers.training_rows(spark, str(tmp_path / "rows.csv")).orderBy("target").collect()] == [(1.0, 2.0, 3.0, 4.0, 5.0, 0.25, 2.0, False), (1.0, 2.0, 3.0, 4.0, 5.0, 1.0, 0.0, True)]
