@@ -140,6 +140,20 @@ def throttled_events(spark, sf):
     return habits.throttled(e, "user_id", "t", 86_400.0 * 5)
 
 
+def breadcrumbs(spark, sf):
+    """Events of a user as fixes a few hundred metres apart; those that the trail keeps."""
+    k = F.col("event_id")
+    e = table(spark, sf, "events").select("user_id", "event_id", (43 + k * 7919 % 1000 / 100_000).alias("lat"), (-90 + k * 104729 % 1000 / 100_000).alias("lon"))
+    return habits.spaced(e, "user_id", "event_id", "lat", "lon", 600.0)
+
+
+def alert_areas(spark, sf):
+    """Zones of alerts matched by bundle families: names of both sides that are one, as pairs of places in their lists."""
+    left = table(spark, sf, "part").select(F.col("p_partkey").alias("i"), F.col("p_brand").alias("family"))
+    right = table(spark, sf, "part").groupBy(F.col("p_brand").alias("family")).agg(F.min("p_partkey").alias("h"))
+    return left.join(right, "family").select("i", "h")
+
+
 def folded_marks(spark, sf):
     k = F.col("c_custkey")
     c = place(table(spark, sf, "customer").select("c_custkey"), "c_custkey").select(k.alias("mark"), "lat", "lon", (k % 10 / 10).alias("risk"), (k % 3).alias("code"))
@@ -239,6 +253,10 @@ SELECT o_custkey, r AS o_orderkey, kind, s AS seconds FROM n JOIN g USING (o_cus
     "ring_centroids": f"""WITH n AS (SELECT n_nationkey, {place_sql('n_nationkey', 'y', 'x')} FROM nation) SELECT n_nationkey, round(x + CASE WHEN n_nationkey % 3 = 1 THEN 2 ELSE 1 END, 6) AS x, round(y + 1, 6) AS y FROM n""",
     "tire_readings": """SELECT p_partkey, (p_partkey % 4)::VARCHAR AS position, round(p_partkey * 1000 % 1600000 / 1000 * 0.145038, 6) AS psi, round((p_partkey * 37 % 9000 - 3000) / 100, 6) AS celsius FROM part
 WHERE p_partkey % 9 <> 0 AND p_partkey % 11 <> 0 AND p_partkey * 1000 % 1600000 / 1000 * 0.145038 BETWEEN 3.0000001 AND 199.999999""",
+    "breadcrumbs": """WITH RECURSIVE e AS (SELECT user_id, event_id, 43 + event_id * 7919 % 1000 / 100000 AS y, -90 + event_id * 104729 % 1000 / 100000 AS x, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS r FROM events),
+f AS (SELECT user_id, event_id, y, x, r, true AS kept FROM e WHERE r = 1 UNION ALL SELECT e.user_id, e.event_id, CASE WHEN c THEN e.y ELSE f.y END, CASE WHEN c THEN e.x ELSE f.x END, e.r, c FROM f JOIN e ON e.user_id = f.user_id AND e.r = f.r + 1,
+ LATERAL (SELECT sqrt(power((e.y - f.y) * 111320.0, 2) + power((e.x - f.x) * 111320.0 * cos(radians((e.y + f.y) / 2)), 2)) >= 600 AS c)) SELECT user_id, event_id FROM f WHERE kept""",
+    "alert_areas": "SELECT p_partkey AS i, min(p_partkey) OVER (PARTITION BY p_brand) AS h FROM part",
     "refuel_accuracies": "WITH l AS (SELECT user_id, value / 400 AS e FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) <= 10) SELECT user_id, round(greatest(0.0, 1 - avg(e)), 6) AS accuracy FROM l GROUP BY user_id",
     "training_rows": f"""WITH c AS (SELECT user_id, CAST(least((dayofyear(ts) - 1) // 7, 51) AS INTEGER) AS week, sum(power(2.0, -greatest({_AGE_SQL}, 0) / 364.0)) AS w, sum(power(2.0, -greatest({_AGE_SQL}, 0) / 364.0) * value / 100) AS o FROM events GROUP BY ALL), p AS (SELECT *, {place_sql('user_id')} FROM c)
 SELECT user_id, week, round(lat * 10) / 10 AS o_lat, round(lon * 10) / 10 AS o_lon, round(o / w, 6) AS mean, round(w, 6) AS weight FROM p""",
