@@ -20,13 +20,13 @@ import zlib
 
 import numpy as np
 
-BLOCK = 1024
-LANES = 4096
+BLOCK = 512
+LANES = 12_288
 MAGIC = b"HGT2"
 #: Doublings of a frequency, so that the largest is 2 ** DOUBLINGS.
-DOUBLINGS = 4
+DOUBLINGS = 3
 #: Slots of order 2; bits of an outcome's scale; and of the span below which a digit leaves.
-_SLOTS2, _SCALE, _LOW = 2048, 13, 30
+_SLOTS2, _SCALE, _LOW = 1024, 13, 30
 _TOP = _LOW + 32
 #: Three cumulative frequencies in one number, their rate of adaption, and the least frequency.
 _FIELD, _RATE, _LEAST = 21, 5, 16
@@ -58,25 +58,28 @@ class _Model:
         self.n = lanes
         self.lane = np.arange(lanes, dtype=np.int64)
         self.base, self.base2 = self.lane * BLOCK, self.lane * _SLOTS2
-        self.after1, self.after2 = np.zeros(lanes * BLOCK, np.uint16), np.zeros(lanes * _SLOTS2, np.uint16)
+        # What is known of each number of a lane, in one word: the id in order 1 after it (16 bits), its count (16), its id.
+        self.base1 = self.lane * (BLOCK + 1)
+        self.known, self.here = np.zeros(lanes * (BLOCK + 1), np.int64), np.zeros(lanes, np.int64)
+        self.after2 = np.zeros(lanes * _SLOTS2, np.uint16)
         self.mix_a, self.mix_b = np.full(lanes * 32, _START, np.int64), np.full(lanes * 16, _START, np.int64)
         self.base_a, self.base_b = self.lane * 32, self.lane * 16
         self.order = np.tile(np.arange(BLOCK, dtype=np.uint16), lanes)
         self.place = self.order.copy()
-        self.count = np.zeros(lanes * BLOCK, np.uint16)
         self.borders = np.zeros((DOUBLINGS, lanes), np.int64)
         self.shown, self.weight = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
-        self.last, self.before, self.outcomes = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
+        # Before the first id, the last one is a number that no id has.
+        self.last, self.before, self.outcomes = np.full(lanes, BLOCK, np.int64), np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
         self.cumulative = np.zeros((5, lanes), np.int64)
         self.cumulative[4] = 1 << _SCALE
 
     def predict(self) -> np.ndarray:
         """Cumulative frequencies (5 x lanes, from 0 to the scale) of: order 2 right, order 1 right, order 0, new to the block."""
-        self.i1 = self.base + self.last
+        self.i1 = self.base1 + self.last
         self.i2 = self.base2 + ((self.last * 40503 ^ self.before * 30011) >> 5 & _SLOTS2 - 1)
-        e1, e2 = self.after1.take(self.i1).astype(np.int64), self.after2.take(self.i2).astype(np.int64)
-        self.p1, self.p2 = (e1 & 0xFFF) - 1, (e2 & 0xFFF) - 1
-        self.k1, self.k2 = e1 & 0x3000, e2 & 0x3000
+        e2 = self.after2.take(self.i2).astype(np.int64)
+        self.p1, self.p2 = (self.here & 0xFFF) - 1, (e2 & 0xFFF) - 1
+        self.k1, self.k2 = self.here & 0x3000, e2 & 0x3000
         self.a = self.base_a + ((self.k2 >> 9) + (self.k1 >> 11) + (self.p1 == self.p2))
         self.b = self.base_b + self.outcomes
         self.wa, self.wb = self.mix_a.take(self.a), self.mix_b.take(self.b)
@@ -98,31 +101,30 @@ class _Model:
 
     def at(self, who: np.ndarray, below: np.ndarray) -> np.ndarray:
         """The places that hold cumulative frequency ``below`` of lanes ``who``."""
-        borders = [self.borders[k].take(who) for k in range(DOUBLINGS)]
-        offset, place = 0, None
-        for k in range(DOUBLINGS + 1):  # frequency 2 ** k: below what the borders of lower frequencies give, above those of higher
-            offset = sum((borders[j] << j for j in range(k, DOUBLINGS)), np.int64(0))
-            found = (below - offset) >> k
-            place = found if place is None else np.where(found < borders[k - 1], found, place)
+        place, rest = below >> DOUBLINGS, below
+        for k in range(DOUBLINGS - 1, -1, -1):  # frequency 2 ** k: what lies at or after the border of the next higher one
+            border = self.borders[k].take(who)
+            rest = rest - (border << k)
+            place = np.where(place < border, place, rest >> k)
         return place
 
-    def learn(self, ids: np.ndarray, outcome: np.ndarray) -> None:
-        """``ids``: numbers within the block."""
+    def learn(self, ids: np.ndarray, outcome: np.ndarray) -> np.ndarray:
+        """Learn ``ids``, numbers within the block, and give the true ones; ``fresh`` has set those that are new."""
         gain = _TOWARDS.take(outcome)
         self.mix_a[self.a] = self.wa - (self.wa >> _RATE & _SHIFTED) + gain
         self.mix_b[self.b] = self.wb - (self.wb >> _RATE & _SHIFTED) + gain
         entry = ids + (1 + (1 << 12))
         self.after2[self.i2] = (entry + (self.p2 == ids) * np.minimum(self.k2, 2 << 12)).astype(np.uint16)
-        self.after1[self.i1] = (entry + (self.p1 == ids) * np.minimum(self.k1, 2 << 12)).astype(np.uint16)
-        at = self.base + ids
-        count = self.count.take(at) + np.uint16(1)
-        self.count[at] = count
+        self.known[self.i1] = (self.here & ~0xFFFF) + entry + (self.p1 == ids) * np.minimum(self.k1, 2 << 12)
+        self.here = self.known.take(self.base1 + ids) + (1 << 16)  # goes back to its place with what comes after it
         new = outcome == 3
         self.shown += new
         self.weight += new
+        count = self.here >> 16 & 0xFFFF
         who = np.flatnonzero(_DOUBLES.take(count) >= 0)
         if len(who):
-            k, base, at = _DOUBLES[count[who]].astype(np.int64), self.base[who], at[who]
+            k, base = _DOUBLES[count[who]].astype(np.int64), self.base[who]
+            at = base + ids[who]
             flat = k * self.n + who
             borders = self.borders.reshape(-1)
             to = borders[flat]
@@ -133,6 +135,11 @@ class _Model:
             self.weight[who] += np.left_shift(1, k)
         self.before, self.last = self.last, ids
         self.outcomes = (self.outcomes & 3) << 2 | outcome
+        return self.here >> 32
+
+    def fresh(self, who: np.ndarray, ids: np.ndarray, true: np.ndarray) -> None:
+        """Lanes ``who`` show ``true`` ids for the first time, as numbers ``ids``."""
+        self.known[self.base1[who] + ids] = true << 32
 
 
 def _numbered(lanes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -156,15 +163,14 @@ def _encode_lanes(lanes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     n = len(lanes)
     model = _Model(n)
     numbers, fresh = _numbered(lanes)
-    numbers, fresh = np.ascontiguousarray(numbers.T).astype(np.int64), np.ascontiguousarray(fresh.T).view(np.uint8)
-    columns = np.ascontiguousarray(lanes.T).astype(np.int64)
+    numbers, fresh, columns = np.ascontiguousarray(numbers.T), np.ascontiguousarray(fresh.T).view(np.uint8), np.ascontiguousarray(lanes.T)
     digits = np.zeros((n, BLOCK + 8), np.uint64)
     flat = digits.reshape(-1)
     start_of = np.arange(n, dtype=np.int64) * digits.shape[1]
     place = start_of.copy()
     low, span = np.zeros(n, np.int64), np.full(n, (1 << _TOP) - 1, np.int64)
     for step in range(BLOCK):
-        ids, new = numbers[step], fresh[step]
+        ids, new = numbers[step].astype(np.int64), fresh[step]
         c = model.predict().reshape(-1)
         wrong2, wrong1 = (model.p2 != ids).view(np.uint8), (model.p1 != ids).view(np.uint8)
         outcome = (wrong2 + wrong2 * wrong1 * (np.uint8(1) + new)).astype(np.int64)
@@ -182,7 +188,7 @@ def _encode_lanes(lanes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         who = np.flatnonzero(outcome == 3)
         if len(who):
             r = span[who] >> 16
-            low[who] += columns[step][who] * r
+            low[who] += columns[step][who].astype(np.int64) * r
             span[who] = r
         over = np.flatnonzero(low >> _TOP)
         if len(over):
@@ -206,7 +212,6 @@ def _decode_lanes(digits: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """Ids (lanes x BLOCK) from the joined digits of all lanes; starts: of each lane in them."""
     n = len(starts)
     model = _Model(n)
-    known = np.zeros(n * BLOCK, np.uint16)
     digits = np.append(digits, np.zeros(4, np.uint32)).astype(np.int64)
     place = starts.astype(np.int64)
     # The register holds 62 bits: a digit, and the first 30 bits of the next; two bits of it wait to come in.
@@ -243,7 +248,7 @@ def _decode_lanes(digits: np.ndarray, starts: np.ndarray) -> np.ndarray:
             value[who] -= q * r
             span[who] = r
             ids[who] = np.minimum(model.shown[who], BLOCK - 1)
-            known[model.base[who] + ids[who]] = q
+            model.fresh(who, ids[who], q)
         ids = np.maximum(ids, 0)
         small = np.flatnonzero(span < 1 << _LOW)
         if len(small):
@@ -251,8 +256,7 @@ def _decode_lanes(digits: np.ndarray, starts: np.ndarray) -> np.ndarray:
             value[small] = value[small] << 32 | (digits[now] & 3) << _LOW | digits[now + 1] >> 2
             place[small] += 1
             span[small] <<= 32
-        out[step] = known.take(model.base + ids)
-        model.learn(ids, outcome)
+        out[step] = model.learn(ids, outcome)
     return out.T
 
 

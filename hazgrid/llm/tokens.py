@@ -20,7 +20,7 @@ import xxhash
 TABLE_WORDS, CACHE_UNITS, CACHE_LENGTH = 1_500_000, 400_000, 64
 #: Bytes of text in work at a time, where memory is a few times that, and where words are gathered.
 SLICE_CHARS = 4_000_000
-GATHER_CHARS = 16_000_000
+GATHER_CHARS = 10_000_000
 #: Units that the library encodes as one text.
 JOINED = 512
 #: Words of up to so many bytes get their key from numpy, longer ones from a hash function.
@@ -87,7 +87,7 @@ class _Table:
     """Ids by key of a word: keys in order, and for each the place and number of its ids in a pool."""
 
     def __init__(self):
-        self.keys, self.starts, self.counts, self.used = np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
+        self.keys, self.starts, self.counts, self.used = np.empty(0, np.uint64), np.empty(0, np.int32), np.empty(0, np.int32), np.empty(0, np.int32)
         self.pool = np.empty(0, np.uint16)
         self.now = 0
 
@@ -103,20 +103,20 @@ class _Table:
         return at, there
 
     def add(self, keys: np.ndarray, ids: list[bytes]) -> None:
-        counts = np.fromiter(map(len, ids), np.int64, len(ids)) // 2
-        starts = len(self.pool) + np.cumsum(counts) - counts
+        counts = np.fromiter(map(len, ids), np.int32, len(ids)) // 2
+        starts = (len(self.pool) + np.cumsum(counts) - counts).astype(np.int32)
         self.pool = np.concatenate([self.pool, np.frombuffer(b"".join(ids), "<u2")])
         every = np.concatenate([self.keys, keys])
         order = np.argsort(every, kind="stable")
         self.keys, self.starts, self.counts = every[order], np.concatenate([self.starts, starts])[order], np.concatenate([self.counts, counts])[order]
-        self.used = np.concatenate([self.used, np.full(len(keys), self.now)])[order]
+        self.used = np.concatenate([self.used, np.full(len(keys), self.now, np.int32)])[order]
 
     def shrink(self) -> None:
         """Forget the half that was used least lately, if there are too many."""
         if len(self.keys) > TABLE_WORDS:
             stay = np.sort(np.argpartition(self.used, len(self.used) // 2)[len(self.used) // 2 :])
             self.keys, self.used, starts, self.counts = self.keys[stay], self.used[stay], self.starts[stay], self.counts[stay]
-            self.pool, self.starts = self.ids(starts, self.counts), np.cumsum(self.counts) - self.counts
+            self.pool, self.starts = self.ids(starts, self.counts), (np.cumsum(self.counts) - self.counts).astype(np.int32)
 
     def ids(self, starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
         """The ids at all of ``starts``, one run after another."""
@@ -136,9 +136,12 @@ class WordEncoder:
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
+        # The same model without the steps that change nothing in lower-case ASCII letters between spaces.
+        self.plain = Tokenizer.from_file(path)
+        self.plain.normalizer, self.plain.pre_tokenizer = normalizers.Sequence([]), pre_tokenizers.WhitespaceSplit()
         if self.tokenizer.get_vocab_size() > 65536:
             raise ValueError("ids need more than 16 bits")
         self.last = np.zeros(65536, bool)  # ids that end a word
@@ -152,10 +155,18 @@ class WordEncoder:
         """Ids of units that are one word each to the tokenizer: many are encoded as one text and told apart by their ends."""
         young, old = self.young, self.old
         found = {u: young[u] if u in young else old[u] for u in wanted if u in young or u in old}
-        fresh = list(wanted - found.keys())
-        runs = [fresh[at : at + JOINED] for at in range(0, len(fresh), JOINED)]
+        fresh = wanted - found.keys()
+        plain = [u for u in fresh if u.isascii() and u.isalpha()]
+        new = self._joined(self.plain, plain) | self._joined(self.tokenizer, list(fresh.difference(plain)))
+        if len(young) + len(new) > CACHE_UNITS:
+            self.young, self.old = {}, young
+        self.young.update((u, x) for u, x in new.items() if len(u) <= CACHE_LENGTH)
+        return found | new
+
+    def _joined(self, tokenizer, units: list[str]) -> dict[str, bytes]:
+        runs = [units[at : at + JOINED] for at in range(0, len(units), JOINED)]
         new = {}
-        for run, encoded in zip(runs, self.tokenizer.encode_batch_fast([" ".join(run) for run in runs], add_special_tokens=False), strict=True):
+        for run, encoded in zip(runs, tokenizer.encode_batch_fast([" ".join(run) for run in runs], add_special_tokens=False), strict=True):
             ids = np.array(encoded.ids, "<u2")
             ends = (np.flatnonzero(self.last[ids]) + 1).tolist()
             if len(ends) != len(run) or ends[-1] != len(ids):
@@ -164,15 +175,13 @@ class WordEncoder:
             for unit, end in zip(run, ends, strict=True):
                 new[unit] = flat[2 * before : 2 * end]
                 before = end
-        if len(young) + len(new) > CACHE_UNITS:
-            self.young, self.old = {}, young
-        self.young.update((u, x) for u, x in new.items() if len(u) <= CACHE_LENGTH)
-        return found | new
+        return new
 
     def _encoded(self, words: list[str]) -> list[bytes]:
         """Ids of each of ``words``."""
-        cores = [w.strip(SIGNS) for w in words]
-        split = [LETTERS.fullmatch(c) is not None and "<|" not in w for w, c in zip(words, cores, strict=True)]
+        plain = [w.isascii() and w.isalpha() for w in words]
+        cores = [w if p else w.strip(SIGNS) for w, p in zip(words, plain, strict=True)]
+        split = [p or LETTERS.fullmatch(c) is not None and "<|" not in w for w, c, p in zip(words, cores, plain, strict=True)]
         cores = [c.lower() if c.isascii() else c for c in cores]
         signed = [i for i, s in enumerate(split) if s and len(cores[i]) != len(words[i])]
         leads = [words[i][: len(words[i]) - len(words[i].lstrip(SIGNS))] for i in signed]
@@ -203,7 +212,7 @@ class WordEncoder:
         keys = word_keys(data, starts, lengths)
         order = np.argsort(keys)
         new = np.append(True, np.diff(keys[order]) != 0) if len(keys) else np.empty(0, bool)
-        which = np.empty(len(keys), np.int64)
+        which = np.empty(len(keys), np.int32)
         which[order] = np.cumsum(new) - 1
         first = order[new]
         at, there = self.table.find(keys[first])
