@@ -153,9 +153,9 @@ def group_keys(rows: DataFrame, min_group: int) -> DataFrame:
 BROADCAST_ROWS, SALT = 20_000, 64
 
 
-def _with(rows: DataFrame, table: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
-    """``rows`` joined with the checkpointed ``table`` of a few rows a group."""
-    if table.count() <= BROADCAST_ROWS:
+def _with(rows: DataFrame, table: DataFrame, on: list[str], few: bool, how: str = "inner") -> DataFrame:
+    """``rows`` joined with the checkpointed ``table`` of a few rows a group; few: their number is below the bound."""
+    if few:
         return rows.join(F.broadcast(table), on, how)
     rows = rows.withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALT)))
     table = table.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALT - 1).cast("long"))))
@@ -215,24 +215,25 @@ def _starts(rows: DataFrame, settings: OutlierSettings) -> DataFrame:
     return checkpointed(medians.unionByName(_whitener(_sums(rows.withColumn("_start", F.explode(dealt))), 1.0, settings.floor)))
 
 
-def _distances(rows: DataFrame, estimate: DataFrame, how: str = "inner") -> DataFrame:
+def _distances(rows: DataFrame, estimate: DataFrame, few: bool, how: str = "inner") -> DataFrame:
     z = [F.col(f) - F.col(f"_m{i}") for i, f in enumerate(FEATURES)]
     y = [reduce(lambda a, b: a + b, [F.col(f"_w{i}_{j}") * z[j] for j in range(i + 1)]) for i in range(P)]
     distance = reduce(lambda a, b: a + b, [v * v for v in y])
-    return _with(rows, estimate, ["_group"], how).select(*rows.columns, "_start", distance.alias("_d2"))
+    return _with(rows, estimate, ["_group"], few, how).select(*rows.columns, "_start", distance.alias("_d2"))
 
 
-def estimates(rows: DataFrame, settings: OutlierSettings = OutlierSettings()) -> DataFrame:
-    """The reweighted MCD estimate of each _group of ``rows`` (_group and FEATURES on the grid): means _m, inverse factor _w."""
+def estimates(rows: DataFrame, settings: OutlierSettings = OutlierSettings(), few: bool = False) -> DataFrame:
+    """The reweighted MCD estimate of each _group of ``rows`` (_group and FEATURES on the grid): means _m, inverse factor _w.
+    few: the groups are few enough to broadcast."""
     s = settings
     estimate = _starts(rows, s)
     consistency = s.support / chi2_cdf(chi2_quantile(s.support, P), P + 2)
     best = None
     for _ in range(s.steps):
         # Distances on a grid of a hundredth in logarithm: the exact rank of the support needs a few hundred counts a group.
-        near = _distances(rows, estimate).withColumn("_b", F.floor(100 * F.log(F.col("_d2") + 1e-6)).cast("long"))
+        near = _distances(rows, estimate, few).withColumn("_b", F.floor(100 * F.log(F.col("_d2") + 1e-6)).cast("long"))
         cut = checkpointed(near.groupBy("_group", "_start").agg(F.expr(f"percentile_disc({s.support}) WITHIN GROUP (ORDER BY _b)").alias("_cut")))
-        estimate = _whitener(_sums(_with(near, cut, ["_group", "_start"]).where(F.col("_b") <= F.col("_cut"))), consistency, s.floor)
+        estimate = _whitener(_sums(_with(near, cut, ["_group", "_start"], few).where(F.col("_b") <= F.col("_cut"))), consistency, s.floor)
         now = estimate.agg(F.sum("_logdet")).first()[0]
         if now is None or best is not None and now > best - 1e-6:
             break
@@ -241,7 +242,7 @@ def estimates(rows: DataFrame, settings: OutlierSettings = OutlierSettings()) ->
     least = estimate.groupBy("_group").agg(F.min(F.struct("_logdet", "_start"))["_start"].alias("_start"))
     estimate = checkpointed(estimate.join(least, ["_group", "_start"]))
     weight_cut = chi2_quantile(0.975, P)
-    return _whitener(_sums(_distances(rows, estimate).where(F.col("_d2") <= weight_cut)), 0.975 / chi2_cdf(weight_cut, P + 2), s.floor)
+    return _whitener(_sums(_distances(rows, estimate, few).where(F.col("_d2") <= weight_cut)), 0.975 / chi2_cdf(weight_cut, P + 2), s.floor)
 
 
 def outlier_verdicts(stats: DataFrame, settings: OutlierSettings = OutlierSettings()) -> DataFrame:
@@ -256,11 +257,12 @@ def outlier_verdicts(stats: DataFrame, settings: OutlierSettings = OutlierSettin
     full = _key(F.col("lang").cast("string"), F.col("source").cast("string"))
     rows = stats.where(~F.col("base_failed")).select(full.alias("_full"), *FEATURES)
     keys = checkpointed(group_keys(stats.where(~F.col("base_failed")), settings.min_group))
-    rows = written(_with(rows, keys, ["_full"]).drop("_full"), "grouped")
-    estimate = estimates(rows, settings)
+    few = keys.count() * (2 + settings.subsets) <= BROADCAST_ROWS
+    rows = written(_with(rows, keys, ["_full"], few).drop("_full"), "grouped")
+    estimate = estimates(rows, settings, few)
     bound = chi2_quantile(1 - settings.tail, P)
-    judged = _with(stats.withColumn("_full", full), keys, ["_full"], "left")
-    judged = _distances(judged, estimate, "left").withColumn("distance2", F.when(~F.col("base_failed"), F.col("_d2")))
+    judged = _with(stats.withColumn("_full", full), keys, ["_full"], few, "left")
+    judged = _distances(judged, estimate, few, "left").withColumn("distance2", F.when(~F.col("base_failed"), F.col("_d2")))
     return judged.withColumn("kept", ~F.col("base_failed") & (F.coalesce("distance2", F.lit(0.0)) <= bound)).drop("_full", "_group", "_start", "_d2")
 
 
