@@ -1,8 +1,9 @@
 """Whole texts to token ids with the ``tokenizers`` library, through a bounded table of words on each worker.
 
-Numpy finds the words of a batch of texts and a 64-bit key for each; distinct keys are looked up in a sorted table, and
-ids are gathered from its pool. Only words that the table lacks become strings, and the library sees only units of those
-that it hasn't met lately.
+Numpy finds the words of a batch of texts, and for each a 64-bit key and a second 64-bit number that confirms it; distinct
+keys are looked up in a sorted table, and ids are gathered from its pool. Words that share a key and differ in the second
+number are encoded apart. Only words that the table lacks become strings, and the library sees only units of those that it
+hasn't met lately.
 """
 
 from __future__ import annotations
@@ -25,14 +26,17 @@ GATHER_CHARS = 10_000_000
 JOINED = 512
 #: Words of up to so many bytes get their key from numpy, longer ones from a hash function.
 SHORT = 32
+_ASCII_SPACES = tuple(" \t\n\x0b\x0c\r")
 
 #: A run of letters between runs of signs. No token reaches over their borders: the tokenizer splits letters from signs
 #: before it merges. Apostrophes aren't among the signs, since "'s" and the like are split off with their letters.
 SIGNS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
-LETTERS = re.compile("[A-Za-zÀ-ÖØ-öø-ɏ]+")
+#: U+0130 isn't among the letters: in lower case it is two characters, and the second is no letter.
+LETTERS = re.compile("[A-Za-zÀ-ÖØ-öø-įı-ɏ]+")
 
 _KEEP = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 _odd = np.random.default_rng(20_241_105).integers(0, 2**63, SHORT // 8 + 1, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_CHECK = np.uint64(0x9E3779B97F4A7C15)
 
 
 def slices(batch: pa.RecordBatch, column: str, chars: int = SLICE_CHARS) -> Iterator[pa.RecordBatch]:
@@ -65,29 +69,34 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def word_keys(data: bytes, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """A 64-bit key of each word: eight bytes at a time, each mixed with what came before."""
+def word_keys(data: bytes, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A 64-bit key of each word, eight bytes at a time, each mixed with what came before; and another 64-bit number of it,
+    a polynomial of the same bytes."""
     buffer = data + bytes(SHORT)
     eights = np.ndarray((len(data) + SHORT - 7,), "<u8", buffer, strides=(1,))
-    keys = _mixed(lengths.astype(np.uint64) * _odd[0])
+    checks = lengths.astype(np.uint64)
+    keys = _mixed(checks * _odd[0])
     some = slice(None)
     for k in range(SHORT // 8):
         rest = lengths[some] - 8 * k
         part = eights[starts[some] + 8 * k] & _KEEP[np.minimum(rest, 8)]
         keys[some] = _mixed((keys[some] ^ part) * _odd[k + 1])
+        checks[some] = checks[some] * _CHECK + part
         some = np.flatnonzero(lengths > 8 * (k + 1))
         if not len(some):
-            return keys
+            return keys, checks
     for i in np.flatnonzero(lengths > SHORT).tolist():
-        keys[i] = xxhash.xxh3_64_intdigest(data[starts[i] : starts[i] + lengths[i]])
-    return keys
+        digest = xxhash.xxh3_128_intdigest(data[starts[i] : starts[i] + lengths[i]])
+        keys[i], checks[i] = digest & 0xFFFFFFFFFFFFFFFF, digest >> 64
+    return keys, checks
 
 
 class _Table:
     """Ids by key of a word: keys in order, and for each the place and number of its ids in a pool."""
 
     def __init__(self):
-        self.keys, self.starts, self.counts, self.used = np.empty(0, np.uint64), np.empty(0, np.int32), np.empty(0, np.int32), np.empty(0, np.int32)
+        self.keys, self.checks = np.empty(0, np.uint64), np.empty(0, np.uint64)
+        self.starts, self.counts, self.used = np.empty(0, np.int32), np.empty(0, np.int32), np.empty(0, np.int32)
         self.pool = np.empty(0, np.uint16)
         self.now = 0
 
@@ -102,20 +111,21 @@ class _Table:
             self.used[at[there]] = self.now
         return at, there
 
-    def add(self, keys: np.ndarray, ids: list[bytes]) -> None:
+    def add(self, keys: np.ndarray, checks: np.ndarray, ids: list[bytes]) -> None:
         counts = np.fromiter(map(len, ids), np.int32, len(ids)) // 2
         starts = (len(self.pool) + np.cumsum(counts) - counts).astype(np.int32)
         self.pool = np.concatenate([self.pool, np.frombuffer(b"".join(ids), "<u2")])
         every = np.concatenate([self.keys, keys])
         order = np.argsort(every, kind="stable")
-        self.keys, self.starts, self.counts = every[order], np.concatenate([self.starts, starts])[order], np.concatenate([self.counts, counts])[order]
+        self.keys, self.checks = every[order], np.concatenate([self.checks, checks])[order]
+        self.starts, self.counts = np.concatenate([self.starts, starts])[order], np.concatenate([self.counts, counts])[order]
         self.used = np.concatenate([self.used, np.full(len(keys), self.now, np.int32)])[order]
 
     def shrink(self) -> None:
         """Forget the half that was used least lately, if there are too many."""
         if len(self.keys) > TABLE_WORDS:
             stay = np.sort(np.argpartition(self.used, len(self.used) // 2)[len(self.used) // 2 :])
-            self.keys, self.used, starts, self.counts = self.keys[stay], self.used[stay], self.starts[stay], self.counts[stay]
+            self.keys, self.checks, self.used, starts, self.counts = self.keys[stay], self.checks[stay], self.used[stay], self.starts[stay], self.counts[stay]
             self.pool, self.starts = self.ids(starts, self.counts), (np.cumsum(self.counts) - self.counts).astype(np.int32)
 
     def ids(self, starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -126,28 +136,94 @@ class _Table:
         return self.pool[place]
 
 
-class WordEncoder:
-    """Ids of texts by a tokenizer that drops spaces between words, in 16 bits.
+class _Encoder:
+    """Ids of texts in 16 bits: a text's ids are those of its words in turn, whatever a tokenizer lets count as words."""
 
-    A space or line end always ends a word for such a tokenizer, so a text's ids are those of its words in turn. Words are
-    encoded by the library and remembered while they recur; a word of letters between signs is put together from those
-    three units, each of which is one word to the tokenizer.
+    def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        if self.tokenizer.get_vocab_size() > 65536:
+            raise ValueError("ids need more than 16 bits")
+        self.table = _Table()
+
+    def _alone(self, words: list[str]) -> list[bytes]:
+        """Ids of each of ``words``, each given to the library by itself."""
+        return [np.array(x.ids, "<u2").tobytes() for x in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+
+    def _words(self, flat: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(starts, lengths) of the words of texts that lie between ``offsets`` of ``flat``."""
+        raise NotImplementedError
+
+    def _encoded(self, words: list[str]) -> list[bytes]:
+        """Ids of each of ``words``."""
+        raise NotImplementedError
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all ``texts`` one after another, number of ids of each); null texts are empty."""
+        texts = pc.fill_null(texts, "")
+        offsets = np.frombuffer(texts.buffers()[1], np.int64 if pa.types.is_large_string(texts.type) else np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+        data = texts.buffers()[2].to_pybytes()[offsets[0] : offsets[-1]] if len(texts) and offsets[-1] > offsets[0] else b""
+        if not data:
+            return np.empty(0, np.uint16), np.zeros(len(texts), np.int64)
+        offsets -= offsets[0]
+        starts, lengths = self._words(np.frombuffer(data, np.uint8), offsets)
+        keys, checks = word_keys(data, starts, lengths)
+        order = np.argsort(keys)
+        new = np.append(True, np.diff(keys[order]) != 0) if len(keys) else np.empty(0, bool)
+        which = np.empty(len(keys), np.int32)
+        which[order] = np.cumsum(new) - 1
+        first = order[new]
+        at, there = self.table.find(keys[first])
+        if not there.all():
+            lacking = first[~there]
+            self.table.add(keys[lacking], checks[lacking], self._encoded(_strings(data, starts[lacking], lengths[lacking])))
+            at = np.searchsorted(self.table.keys, keys[first])
+        counts, places = self.table.counts[at][which], self.table.starts[at][which]
+        other = np.flatnonzero(self.table.checks[at][which] != checks)
+        if len(other):  # words that share their key with another one
+            apart = self._encoded(_strings(data, starts[other], lengths[other]))
+            counts[other], places[other] = 0, 0
+        ids = self.table.ids(places, counts)
+        if len(other):
+            ids, counts = _put(ids, counts, other, apart)
+        ends = np.append(0, np.cumsum(counts))
+        self.table.shrink()
+        return ids, np.diff(ends[np.searchsorted(starts, offsets)])
+
+
+def _strings(data: bytes, starts: np.ndarray, lengths: np.ndarray) -> list[str]:
+    return [data[a:b].decode("utf-8", "replace") for a, b in zip(starts.tolist(), (starts + lengths).tolist(), strict=True)]
+
+
+def _put(ids: np.ndarray, counts: np.ndarray, at: np.ndarray, runs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """``ids`` and ``counts`` with ``runs`` at the words ``at``, which had none."""
+    counts = counts.copy()
+    ends = np.cumsum(counts)
+    n = np.fromiter(map(len, runs), np.int64, len(runs)) // 2
+    ids = np.insert(ids, np.repeat(ends[at], n), np.frombuffer(b"".join(runs), "<u2"))
+    counts[at] = n
+    return ids, counts
+
+
+class WordEncoder(_Encoder):
+    """Ids of texts by a tokenizer that drops spaces between words.
+
+    A space or line end always ends a word for such a tokenizer. Words are encoded by the library and remembered while they
+    recur; a word of letters between signs is put together from those three units, each of which is one word to the tokenizer.
     """
 
     def __init__(self, path: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        super().__init__(path)
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
-        self.tokenizer = Tokenizer.from_file(path)
         # The same model without the steps that change nothing in lower-case ASCII letters between spaces.
         self.plain = Tokenizer.from_file(path)
         self.plain.normalizer, self.plain.pre_tokenizer = normalizers.Sequence([]), pre_tokenizers.WhitespaceSplit()
-        if self.tokenizer.get_vocab_size() > 65536:
-            raise ValueError("ids need more than 16 bits")
         self.last = np.zeros(65536, bool)  # ids that end a word
         for token, id_ in self.tokenizer.get_vocab().items():
             self.last[id_] = token.endswith("</w>")
-        self.table = _Table()
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
@@ -169,8 +245,9 @@ class WordEncoder:
         for run, encoded in zip(runs, tokenizer.encode_batch_fast([" ".join(run) for run in runs], add_special_tokens=False), strict=True):
             ids = np.array(encoded.ids, "<u2")
             ends = (np.flatnonzero(self.last[ids]) + 1).tolist()
-            if len(ends) != len(run) or ends[-1] != len(ids):
-                raise ValueError("this tokenizer doesn't end a word at each space")
+            if len(ends) != len(run) or ends[-1] != len(ids):  # a unit that isn't one word
+                new.update(zip(run, self._alone(run), strict=True))
+                continue
             flat, before = ids.tobytes(), 0
             for unit, end in zip(run, ends, strict=True):
                 new[unit] = flat[2 * before : 2 * end]
@@ -192,47 +269,67 @@ class WordEncoder:
         for i, lead, tail in zip(signed, leads, tails, strict=True):
             ids[i] = units[lead] + ids[i] + units[tail]
         whole = [i for i, s in enumerate(split) if not s]
-        for i, encoded in zip(whole, self.tokenizer.encode_batch_fast([words[i] for i in whole], add_special_tokens=False), strict=True):
-            ids[i] = np.array(encoded.ids, "<u2").tobytes()
+        for i, encoded in zip(whole, self._alone([words[i] for i in whole]), strict=True):
+            ids[i] = encoded
         return ids
 
-    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all ``texts`` one after another, number of ids of each); null texts are empty."""
-        texts = pc.fill_null(texts, "")
-        offsets = np.frombuffer(texts.buffers()[1], np.int64 if pa.types.is_large_string(texts.type) else np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
-        data = texts.buffers()[2].to_pybytes()[offsets[0] : offsets[-1]] if len(texts) and offsets[-1] > offsets[0] else b""
-        if not data:
-            return np.empty(0, np.uint16), np.zeros(len(texts), np.int64)
-        offsets -= offsets[0]
-        flat = np.frombuffer(data, np.uint8)
+    def _words(self, flat: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         marks = np.flatnonzero((flat == 32) | (flat == 10))
         starts = np.sort(np.concatenate([offsets[:-1], marks + 1]), kind="stable")
         lengths = np.sort(np.concatenate([marks, offsets[1:]]), kind="stable") - starts
-        starts, lengths = starts[lengths > 0], lengths[lengths > 0]
-        keys = word_keys(data, starts, lengths)
-        order = np.argsort(keys)
-        new = np.append(True, np.diff(keys[order]) != 0) if len(keys) else np.empty(0, bool)
-        which = np.empty(len(keys), np.int32)
-        which[order] = np.cumsum(new) - 1
-        first = order[new]
-        at, there = self.table.find(keys[first])
-        if not there.all():
-            lacking = first[~there]
-            begin, end = starts[lacking].tolist(), (starts[lacking] + lengths[lacking]).tolist()
-            self.table.add(keys[lacking], self._encoded([data[a:b].decode("utf-8", "replace") for a, b in zip(begin, end, strict=True)]))
-            at = np.searchsorted(self.table.keys, keys[first])
-        counts = self.table.counts[at][which]
-        ids = self.table.ids(self.table.starts[at][which], counts)
-        ends = np.append(0, np.cumsum(counts))
-        self.table.shrink()
-        return ids, np.diff(ends[np.searchsorted(starts, offsets)])
+        return starts[lengths > 0], lengths[lengths > 0]
+
+
+class ByteEncoder(_Encoder):
+    """Ids of texts by a byte-level tokenizer, which keeps spaces: a word here is a run of white space and what follows it.
+
+    Such a tokenizer's pattern never matches across the start of white space after something else, and looks no further
+    than the end of the white space, so such words are encoded alike alone and in their text. Only ASCII white space
+    counts; after a character that may be other white space a word goes on.
+    """
+
+    def __init__(self, path: str):
+        super().__init__(path)
+        self.opens, self.closes = np.zeros(65536, bool), np.zeros(65536, bool)  # ids that begin, and that end, with white space
+        for id_ in self.tokenizer.get_vocab().values():
+            token = self.tokenizer.decode([id_], skip_special_tokens=False)
+            self.opens[id_], self.closes[id_] = token[:1] in _ASCII_SPACES, token[-1:] in _ASCII_SPACES
+
+    def _words(self, flat: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        space = (flat == 32) | ((flat >= 9) & (flat <= 13))
+        cuts = np.flatnonzero(space[1:] & ~space[:-1]) + 1
+        high = np.flatnonzero(flat[cuts - 1] >= 0x80)
+        before, third = flat[np.maximum(cuts[high] - 2, 0)], flat[np.maximum(cuts[high] - 3, 0)]
+        cuts = np.delete(cuts, high[(before == 0xC2) | ((third >= 0xE1) & (third <= 0xE3))])
+        starts = np.sort(np.concatenate([offsets[:-1], cuts]), kind="stable")
+        lengths = np.diff(np.append(starts, offsets[-1]))
+        return starts[lengths > 0], lengths[lengths > 0]
+
+    def _encoded(self, words: list[str]) -> list[bytes]:
+        joint = [w[0] in _ASCII_SPACES and len(w.split()) == 1 and "<|" not in w for w in words]
+        ids: list[bytes] = [b""] * len(words)
+        alone = [i for i, x in enumerate(joint) if not x]
+        many = [i for i, x in enumerate(joint) if x]
+        runs = [many[at : at + JOINED] for at in range(0, len(many), JOINED)]
+        for run, encoded in zip(runs, self.tokenizer.encode_batch_fast(["".join(words[i] for i in run) for run in runs], add_special_tokens=False), strict=True):
+            found = np.array(encoded.ids, "<u2")
+            begins = np.flatnonzero(self.opens[found] & ~np.append(False, self.closes[found[:-1]])).tolist()
+            if len(begins) != len(run) or begins[0]:
+                alone += run
+                continue
+            flat = found.tobytes()
+            for i, a, b in zip(run, begins, [*begins[1:], len(found)], strict=True):
+                ids[i] = flat[2 * a : 2 * b]
+        for i, encoded in zip(alone, self._alone([words[i] for i in alone]), strict=True):
+            ids[i] = encoded
+        return ids
 
 
-_encoders: dict[str, WordEncoder] = {}
+_encoders: dict[tuple[str, type], _Encoder] = {}
 
 
-def word_encoder(path: str) -> WordEncoder:
+def word_encoder(path: str, kind: type[_Encoder] = WordEncoder) -> _Encoder:
     """This worker's encoder: tasks that follow one another on a worker share its table."""
-    if path not in _encoders:
-        _encoders[path] = WordEncoder(path)
-    return _encoders[path]
+    if (path, kind) not in _encoders:
+        _encoders[path, kind] = kind(path)
+    return _encoders[path, kind]
