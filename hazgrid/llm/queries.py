@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from hazgrid.llm import bpe, chat, idfiles, lengths, matroska, minhash, packing, quality, secrets, toxicity
+from hazgrid.llm import bpe, chat, codes, idfiles, infill, lengths, matroska, minhash, packing, quality, secrets, toxicity, windows
 
 
 def queries():
@@ -17,8 +17,11 @@ def queries():
         "op8_quality_rules": quality.op8_quality_rules,
         "op9_secret_scans": secrets.op9_secret_scans,
         "op10_byte_bpe": bpe.op10_byte_bpe,
+        "op11_packing": windows.op11_packing,
+        "op12_fill_in_middle": infill.op12_fill_in_middle,
+        "op13_vector_codes": codes.op13_vector_codes,
     }
 
 
 def oracle_sql():
-    return {"op2_chat_formatting": chat.OP2_SQL}
+    return {"op2_chat_formatting": chat.OP2_SQL, "op12_fill_in_middle": infill.OP12_SQL, "op13_vector_codes": codes.OP13_SQL}
