@@ -1,20 +1,43 @@
-"""As-of joins: for each row, the latest row of another table up to its time."""
+"""As-of joins: for each row, the latest row of another table up to its time, or the next one from it on."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def asof(left: DataFrame, right: DataFrame, key: str, time: str, values: list[str], strict: bool = True, bucket: str | None = None) -> DataFrame:
-    """``left`` with ``values`` of the latest ``right`` row of the same key before (or, unless strict, at) its time.
+def asof(
+    left: DataFrame, right: DataFrame, key: str | list[str], time: str | list[str], values: list[str], strict: bool = True, width: float | None = None, forward: bool = False
+) -> DataFrame:
+    """``left`` with ``values`` of the latest ``right`` row of the same key before (or, unless strict, at) its time; forward,
+    of the first one after (or at) it. Of ``time`` the first column is a number or an instant, further ones break ties.
 
-    Both sides are put in one ordered stream a key and the last right row is carried on: one shuffle, no pairs. ``bucket``
-    names a column that splits hot keys where a match is known to lie within the same bucket.
+    Both sides are put in one ordered stream a key and the last right row is carried on: one shuffle, no pairs. ``width``, in
+    units of the time (seconds for instants), splits each key into blocks of that much time, which lie in different tasks; what
+    a block has to carry on goes through a row for each block. So a hot key is no single task, and matches may lie any time apart.
     """
-    order = F.lit(0 if not strict else 1)
-    tagged = right.select(key, *([bucket] if bucket else []), F.col(time).alias("_t"), order.alias("_o"), F.struct(*values).alias("_v"), F.lit(None).cast(left.select(F.struct("*")).schema[0].dataType).alias("_l"))
-    rows = left.select(key, *([bucket] if bucket else []), F.col(time).alias("_t"), (1 - order).alias("_o"), F.lit(None).cast(tagged.schema["_v"].dataType).alias("_v"), F.struct("*").alias("_l"))
-    w = Window.partitionBy(key, *([bucket] if bucket else [])).orderBy("_t", "_o").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    carried = rows.unionByName(tagged).withColumn("_last", F.last("_v", ignorenulls=True).over(w)).where(F.col("_l").isNotNull())
+    keys, times = [key] if isinstance(key, str) else list(key), [time] if isinstance(time, str) else list(time)
+    at = F.struct(*(F.col(t).alias(f"t{i}") for i, t in enumerate(times)))
+    axis = F.col(times[0]).cast("double") / (width or 1)
+    block = F.floor(-axis if forward else axis) if width else F.lit(0).cast("long")
+    first = 1 if strict else 0  # where right rows come among those of one time, in either direction
+    whole = F.lit(None).cast(left.select(F.struct("*")).schema[0].dataType)
+    tagged = right.select(*keys, block.alias("_b"), at.alias("_t"), F.lit(first).alias("_o"), F.struct(*values).alias("_v"), whole.alias("_l"))
+    rows = left.select(*keys, block.alias("_b"), at.alias("_t"), F.lit(1 - first).alias("_o"), F.lit(None).cast(tagged.schema["_v"].dataType).alias("_v"), F.struct("*").alias("_l"))
+    stream = rows.unionByName(tagged)
+
+    def order(c: str) -> Column:
+        return F.desc(c) if forward else F.asc(c)
+
+    w = Window.partitionBy(*keys, "_b").orderBy(order("_t"), "_o").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    carried = stream.withColumn("_last", F.last("_v", ignorenulls=True).over(w)).where(F.col("_l").isNotNull())
+    if width:
+        kept = F.when(F.col("_v").isNotNull(), F.col("_t"))
+        blocks = stream.groupBy(*keys, "_b").agg((F.min_by if forward else F.max_by)("_v", kept).alias("_e"))
+        before = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+        blocks = blocks.select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)), F.col("_b").alias("_c"), F.last("_e", ignorenulls=True).over(before.partitionBy(*keys)).alias("_e"))
+        same = F.col("_b") == F.col("_c")
+        for i, k in enumerate(keys):
+            same &= F.col(k).eqNullSafe(F.col(f"_k{i}"))
+        carried = carried.join(blocks, same, "left").withColumn("_last", F.coalesce("_last", "_e"))
     return carried.select("_l.*", *(F.col(f"_last.{v}").alias(v) for v in values))

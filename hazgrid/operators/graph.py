@@ -35,21 +35,3 @@ def components(edges: DataFrame) -> DataFrame:
     nodes = edges.select(F.col("src").alias("node")).unionByName(edges.select(F.col("dst").alias("node"))).distinct()
     found = connected_components(edges.select(F.col("src").alias("u"), F.col("dst").alias("v")), settled)
     return nodes.join(found, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
-
-
-def timetable_rounds(hops: DataFrame, origin, start: int, rounds: int = 4) -> DataFrame:
-    """Earliest arrivals over trips: (stop, round, arrival) for up to ``rounds`` boardings, kept only where a further
-    boarding comes earlier. hops: (trip, from_stop, depart, to_stop, arrive) for every pair of stops along a trip."""
-    spark = hops.sparkSession
-    best = spark.createDataFrame([(origin, 0, start)], "stop long, round int, arrival long")
-    frontier = best
-    for k in range(1, rounds + 1):
-        rides = frontier.join(hops, (F.col("stop") == F.col("from_stop")) & (F.col("depart") >= F.col("arrival")))
-        reached = rides.groupBy(F.col("to_stop").alias("stop")).agg(F.min("arrive").alias("arrival"))
-        known = best.groupBy("stop").agg(F.min("arrival").alias("_known"))
-        better = reached.join(known, "stop", "left").where(F.col("_known").isNull() | (F.col("arrival") < F.col("_known")))
-        frontier = settled(better.select("stop", F.lit(k).alias("round"), "arrival"))
-        if frontier.isEmpty():
-            break
-        best = best.unionByName(frontier)
-    return best

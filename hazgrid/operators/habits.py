@@ -7,18 +7,19 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from hazgrid.functions.geo import haversine_km, meters
+from hazgrid.functions.geo import METRES_PER_DEGREE, haversine_km, meters
 from hazgrid.operators import spatial
+from hazgrid.operators.streams import fold
 
 # Weights of an airport's distance by its size.
 REACH = {"large": 0.55, "medium": 0.85, "small": 1.0}
 
 
-def refuel_accuracy(df: DataFrame, key: str, order: list[Column], error: str) -> DataFrame:
-    """(key, accuracy): one less the mean of the last ten errors, not below 0."""
+def refuel_accuracy(df: DataFrame, key: str, order: list[Column], error: Column, whole: float = 1.0) -> DataFrame:
+    """(key, accuracy): one less the mean of the last ten errors, not below 0; an error of ``whole`` is all."""
     w = Window.partitionBy(key).orderBy(*order)
     last = df.withColumn("_n", F.row_number().over(w)).where("_n <= 10")
-    return last.groupBy(key).agg(F.greatest(F.lit(0.0), 1 - F.avg(error)).alias("accuracy"))
+    return last.groupBy(key).agg(F.greatest(F.lit(0.0), 1 - F.avg(error) / whole).alias("accuracy"))
 
 
 def destination_ranks(scored: DataFrame, key: str, place: str, k: int) -> DataFrame:
@@ -52,15 +53,20 @@ def reachable(stations: DataFrame, key: str, station: str, usable: Column) -> Da
     """(key, n, level, cheapest): stations (key, station, miles, price) within reach; level by how few they are; the cheapest in
     order of miles, where prices within a tenth of a cent are one and the nearer wins; the nearest where none has a price."""
     near = stations.where(F.col("miles") <= usable)
-    rows = near.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("miles", station, "price"))).alias("s"))
-    priced = F.filter("s", lambda x: x["price"].isNotNull())
+    counts = near.groupBy(key).agg(F.count("*").cast("int").alias("n"), F.min(F.struct("miles", station))[station].alias("_near"))
 
-    def cheaper(best: Column, x: Column) -> Column:
-        far = F.abs(x["price"] - best["price"]) > 0.001
-        return F.when(F.when(far, x["price"] < best["price"]).otherwise(x["miles"] < best["miles"]), x).otherwise(best)
+    def cheaper(best: tuple | None, row: tuple) -> tuple[tuple, list]:
+        _, miles, _, price = row
+        if best is not None:
+            far = abs(price - best[3]) > 0.001
+            if not (price < best[3] if far else miles < best[1]):
+                return best, []
+        return row, []
 
-    best = F.when(F.size(priced) > 0, F.aggregate(priced, F.get(priced, F.lit(0)), cheaper)).otherwise(F.get("s", F.lit(0)))
-    return rows.select(key, F.size("s").alias("n"), F.when(F.size("s") <= 3, "last chances").otherwise("none").alias("level"), best[station].alias("cheapest"))
+    priced = near.where(F.col("price").isNotNull()).select(F.col(key).cast("long").alias(key), F.col("miles").cast("double").alias("miles"), F.col(station).cast("long").alias(station), F.col("price").cast("double").alias("price"))
+    best = fold(priced, [key], ["miles", station], ["price"], f"{key} long, _best long", cheaper, lambda best, row: [(best[0], best[2])])
+    found = counts.join(best, key, "left")
+    return found.select(key, "n", F.when(F.col("n") <= 3, "last chances").otherwise("none").alias("level"), F.coalesce("_best", "_near").alias("cheapest"))
 
 
 def recommended_rentals(df: DataFrame, key: str, name: str, brands: list[str], k: int) -> DataFrame:
@@ -109,42 +115,49 @@ def crossings(trips: DataFrame, ferries: DataFrame, key: str, reach_km: float, k
 
 
 def spaced(df: DataFrame, key: str, order: str, lat: str, lon: str, least: float) -> DataFrame:
-    """(key, order) of the fixes that a trail keeps: each at least ``least`` metres from the last kept one. A fold over the
-    fixes of one key and day, as a trail is; places at the origin aren't real."""
+    """(key, order) of the fixes that a trail keeps: each at least ``least`` metres from the last kept one. The fixes of a key
+    pass in order, with the last kept one as the state; places at the origin aren't real."""
     real = df.where((F.abs(lat) > 0.0001) | (F.abs(lon) > 0.0001))
-    rows = real.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(lat).alias("y"), F.col(lon).alias("x")))).alias("s"))
+    real = real.select(F.col(key).cast("long").alias(key), F.col(order).cast("long").alias(order), F.col(lat).cast("double").alias("_y"), F.col(lon).cast("double").alias("_x"))
 
-    def add(kept: Column, f: Column) -> Column:
-        last = F.element_at(kept, -1)
-        return F.when(meters(last["y"], last["x"], f["y"], f["x"]) >= least, F.array_append(kept, f)).otherwise(kept)
+    def add(last: tuple | None, row: tuple) -> tuple[tuple, list]:
+        k, o, y, x = row
+        if last is not None:
+            dy = (y - last[0]) * METRES_PER_DEGREE
+            dx = (x - last[1]) * METRES_PER_DEGREE * math.cos(math.radians((last[0] + y) / 2))
+            if math.sqrt(dx * dx + dy * dy) < least:
+                return last, []
+        return (y, x), [(k, o)]
 
-    kept = F.aggregate(F.slice("s", F.lit(2), F.greatest(F.size("s") - 1, F.lit(0))), F.slice("s", 1, 1), add)
-    return rows.select(key, F.explode(F.transform(kept, lambda f: f["o"])).alias(order))
+    return fold(real, [key], [order], ["_y", "_x"], f"{key} long, {order} long", add)
 
 
 def throttled(df: DataFrame, key: str, seconds: str, interval: float) -> DataFrame:
-    """(key, seconds) of the messages that pass: each at least ``interval`` after the last that did."""
-    rows = df.groupBy(key).agg(F.array_sort(F.collect_set(F.col(seconds).cast("double"))).alias("s"))
+    """(key, seconds) of the messages that pass: each at least ``interval`` after the last that did. The messages of a key pass in
+    order, with the time of the last one that passed as the state."""
 
-    def add(kept: Column, t: Column) -> Column:
-        return F.when(t - F.element_at(kept, -1) >= interval, F.array_append(kept, t)).otherwise(kept)
+    def add(last: float | None, row: tuple) -> tuple[float | None, list]:
+        return (last, []) if last is not None and row[1] - last < interval else (row[1], [row])
 
-    return rows.select(key, F.explode(F.aggregate(F.slice("s", F.lit(2), F.greatest(F.size("s") - 1, F.lit(0))), F.slice("s", 1, 1), add)).alias(seconds))
+    times = df.where(F.col(seconds).isNotNull()).select(F.col(key).cast("long").alias(key), F.col(seconds).cast("double").alias(seconds))
+    return fold(times, [key], [seconds], [], f"{key} long, {seconds} double", add)
 
 
 def folded_marks(marks: DataFrame, window: DataFrame, size: float = 0.05, reach: float = 600.0, margin: float = 0.02) -> DataFrame:
     """(mark, source): for marks of a route (mark, lat, lon, risk, code), the last mark of a later window (w, ref_lat, ref_lon,
     w_risk, w_code) that repainted each: windows go to their nearest mark, in order, and repaint where the risk moved or the
-    code changed since the last repaint. Null where none did."""
-    near = spatial.within(marks, window, reach, size).groupBy("w").agg(F.min(F.struct("meters", "mark")).alias("b"), F.first("w_risk").alias("w_risk"), F.first("w_code").alias("w_code"))
-    hits = near.groupBy(F.col("b.mark").alias("mark")).agg(F.array_sort(F.collect_list(F.struct("w", "w_risk", "w_code"))).alias("h"))
-    start = F.struct(F.col("risk"), F.col("code"), F.lit(None).cast("long").alias("source"))
-
-    def add(s: Column, h: Column) -> Column:
-        moved = (F.abs(s["risk"] - h["w_risk"]) > margin) | (s["code"] != h["w_code"])
-        return F.when(moved, F.struct(h["w_risk"].alias("risk"), h["w_code"].alias("code"), h["w"].cast("long").alias("source"))).otherwise(s)
-
-    return marks.join(hits, "mark", "left").select("mark", F.aggregate(F.coalesce("h", F.array().cast("array<struct<w:bigint,w_risk:double,w_code:bigint>>")), start, add)["source"].alias("source"))
+    code changed since the last repaint. Null where none did. The windows of a mark pass in order, with its paint as the state."""
+    near = spatial.within(marks.select("mark", "lat", "lon"), window, reach, size).groupBy("w").agg(F.min(F.struct("meters", "mark")).alias("b"), F.first("w_risk").alias("w_risk"), F.first("w_code").alias("w_code"))
+    painted = near.select(F.col("b.mark").alias("mark"), F.col("w").cast("long").alias("w"), F.col("w_risk").cast("double").alias("w_risk"), F.col("w_code").cast("long").alias("w_code"))
+    first = marks.select("mark", F.lit(None).cast("long").alias("w"), F.col("risk").cast("double").alias("w_risk"), F.col("code").cast("long").alias("w_code"))
+
+    def paint(state: tuple | None, row: tuple) -> tuple[tuple, list]:
+        _, w, risk, code = row
+        if state is None or (w is not None and (abs(state[0] - risk) > margin or state[1] != code)):
+            return (risk, code, w), []
+        return state, []
+
+    return fold(first.unionByName(painted), ["mark"], ["w"], ["w_risk", "w_code"], "mark long, source long", paint, lambda state, row: [(row[0], state[2])])
 
 
 def labels(badges: DataFrame, labelled: DataFrame, reach: float, size: float) -> DataFrame:

@@ -7,23 +7,35 @@ rounds' results are tables of at most a row a stop, checkpointed.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from hazgrid.operators.asof import asof
 from hazgrid.operators.shared import settled
 
 #: Boardings at most, where a caller says nothing.
 ROUNDS = 4
 #: Days before the asked one whose trips may still run.
 CARRY_DAYS = 3
+# Fixed value: seconds that a change of vehicles counts for when journeys are compared.
+CHANGE_COST = 300
+#: Seconds of departures in a block of the board.
+BLOCK = 3600
 
 
-def arrivals(events: DataFrame, origin, start: int, rounds: int = ROUNDS, walks: DataFrame | None = None, change: int = 0) -> DataFrame:
+def _timetable(events: DataFrame, boards: Column | None) -> DataFrame:
+    """The events, settled: each round reads them twice. ``boards`` says where a rider may get on."""
+    e = events.select("trip", *(F.col(c).cast("long").alias(c) for c in ("seq", "stop", "arrive", "depart")), (F.lit(True) if boards is None else F.coalesce(boards, F.lit(False))).alias("boards"))
+    return settled(e)
+
+
+def arrivals(events: DataFrame, origin, start: int, rounds: int = ROUNDS, walks: DataFrame | None = None, change: int = 0, boards: Column | None = None) -> DataFrame:
     """(stop, round, arrival, trip, board_stop, off_stop): the earliest arrival at each stop with up to ``rounds`` boardings, a
     row for each round that comes earlier than all before it. ``walks`` (from_stop, to_stop, seconds) may follow a ride or
-    begin the journey; between two rides ``change`` seconds pass. Ties go to the least trip."""
+    begin the journey; between two rides ``change`` seconds pass. A trip is boarded only at events where ``boards`` holds, as
+    for some kinds of vehicles or where none are taken on. Ties go to the least trip."""
     spark = events.sparkSession
-    e = events.select("trip", F.col("seq").cast("long").alias("seq"), F.col("stop").cast("long").alias("stop"), F.col("arrive").cast("long").alias("arrive"), F.col("depart").cast("long").alias("depart"))
+    e = _timetable(events, boards)
     kind = dict(events.dtypes)["trip"]
     columns = ("arrival", "trip", "board_stop", "off_stop")
 
@@ -40,7 +52,7 @@ def arrivals(events: DataFrame, origin, start: int, rounds: int = ROUNDS, walks:
     best = frontier
     for k in range(1, rounds + 1):
         ready = frontier.select("stop", (F.col("arrival") + (change if k > 1 else 0)).alias("ready"))
-        boarded = e.join(ready, "stop").where(F.col("depart") >= F.col("ready")).groupBy("trip").agg(F.min(F.struct("seq", "stop")).alias("on"))
+        boarded = e.where("boards").join(ready, "stop").where(F.col("depart") >= F.col("ready")).groupBy("trip").agg(F.min(F.struct("seq", "stop")).alias("on"))
         rides = e.join(boarded, "trip").where(F.col("seq") > F.col("on.seq")).select("stop", F.col("arrive").alias("arrival"), "trip", F.col("on.stop").alias("board_stop"), F.col("stop").alias("off_stop"))
         reached = walked(rides.groupBy("stop").agg(F.min(F.struct(*columns)).alias("b")).select("stop", "b.*"))
         known = best.groupBy("stop").agg(F.min("arrival").alias("_known"))
@@ -72,18 +84,69 @@ def departures(events: DataFrame, origin, target, depart: Column) -> DataFrame:
     off = events.where(F.col("stop") == F.lit(target)).select("trip", F.col("seq").alias("off"), "arrive")
     rides = on.join(off, "trip").where((F.col("off") > F.col("on")) & (F.col("depart") >= depart)).groupBy("trip").agg(F.max(F.struct("depart", (-F.col("arrive")).alias("a"))).alias("b"))
     rides = rides.select("trip", F.col("b.depart").alias("depart"), (-F.col("b.a")).alias("arrive"))
-    # A minute of departures is a block: the least arrival of all later blocks, then of later departures in the block.
-    blocks = rides.groupBy(F.floor(F.col("depart") / 3600).alias("block")).agg(F.min("arrive").alias("least"))
-    from pyspark.sql import Window
-
+    # An hour of departures is a block: the least arrival of all later blocks, then of later departures in the block.
+    blocks = rides.groupBy(F.floor(F.col("depart") / BLOCK).alias("block")).agg(F.min("arrive").alias("least"))
     later = Window.orderBy(F.desc("block")).rowsBetween(Window.unboundedPreceding, -1)
     blocks = blocks.select("block", F.min("least").over(later).alias("after"))
     inside = Window.partitionBy("block").orderBy(F.desc("depart")).rangeBetween(Window.unboundedPreceding, -1)
-    rides = rides.withColumn("block", F.floor(F.col("depart") / 3600)).withColumn("within", F.min("arrive").over(inside)).join(blocks, "block")
+    rides = rides.withColumn("block", F.floor(F.col("depart") / BLOCK)).withColumn("within", F.min("arrive").over(inside)).join(blocks, "block")
     best = F.least("after", "within")
     return rides.where(best.isNull() | (F.col("arrive") < best)).select("trip", "depart", "arrive")
 
 
+def profile(events: DataFrame, origin, first: int, last: int, rounds: int = ROUNDS, walks: DataFrame | None = None, change: int = 0, boards: Column | None = None) -> DataFrame:
+    """(stop, round, depart, arrival): for every stop the journeys that leave ``origin`` from ``first`` to ``last`` and that no other
+    one beats: leaving no earlier, arriving no later, with no more boardings. Rules as in ``arrivals``.
+
+    A round carries labels (stop, depart, arrival). An event takes the latest label that is ready by then, in one stream a stop;
+    a ride carries the latest departure among its boardings so far; and what another label beats goes at once. So there are
+    never pairs of labels and events, and a stop has at most a label for each departure and round."""
+    spark = events.sparkSession
+    e = _timetable(events, boards)
+    links = spark.createDataFrame([(origin, 0)], "stop long, walk long")
+    if walks is not None:
+        links = links.unionByName(walks.where(F.col("from_stop") == F.lit(origin)).select(F.col("to_stop").cast("long").alias("stop"), F.col("seconds").cast("long").alias("walk")))
+    starts = e.where("boards").join(F.broadcast(links.groupBy("stop").agg(F.min("walk").alias("walk"))) if walks is None else links.groupBy("stop").agg(F.min("walk").alias("walk")), "stop")
+    starts = starts.select("stop", (F.col("depart") - F.col("walk")).alias("depart"), F.col("depart").alias("arrival")).where(F.col("depart").between(first, last)).distinct()
+    known = settled(starts.withColumn("round", F.lit(0)))
+    frontier = known
+    for k in range(1, rounds + 1):
+        ready = frontier.select("stop", (F.col("arrival") + (change if k > 1 else 0)).alias("at"), F.col("depart").alias("left"))
+        on = asof(e.where("boards").withColumn("at", F.col("depart")), ready, "stop", "at", ["left"], strict=False, width=BLOCK)
+        on = on.where("left is not null").select("trip", "seq", "left")
+        w = Window.partitionBy("trip").orderBy("seq", "left").rowsBetween(Window.unboundedPreceding, 0)
+        earlier = on.select("trip", "seq", F.max("left").over(w).alias("left"))
+        rides = asof(e, earlier, "trip", "seq", ["left"]).where("left is not null")
+        reached = rides.select("stop", F.col("left").alias("depart"), F.col("arrive").alias("arrival"))
+        if walks is not None:
+            reached = settled(reached.distinct())
+            on_foot = reached.join(walks, reached["stop"] == walks["from_stop"]).select(walks["to_stop"].cast("long").alias("stop"), "depart", (F.col("arrival") + F.col("seconds")).cast("long").alias("arrival"))
+            reached = reached.unionByName(on_foot)
+        both = known.unionByName(reached.groupBy("stop", "depart").agg(F.min("arrival").alias("arrival")).withColumn("round", F.lit(k)))
+        later = Window.partitionBy("stop").orderBy(F.desc("depart"), "arrival", "round").rowsBetween(Window.unboundedPreceding, -1)
+        best = F.min("arrival").over(later)
+        frontier = settled(both.withColumn("_best", best).where((F.col("round") == k) & (F.col("_best").isNull() | (F.col("arrival") < F.col("_best")))).drop("_best"))
+        if frontier.isEmpty():
+            break
+        known = known.unionByName(frontier)
+    return known.where("round > 0")
+
+
+def board(found: DataFrame, key: list[str], count: int) -> DataFrame:
+    """(key, round, depart, arrival, place): the next ``count`` departures of each ``key`` among the journeys of ``profile``: the
+    cheapest one, with five minutes charged for each change, then the cheapest of those that leave later, and so on. One that
+    arrives with the row before it by more changes isn't a departure of its own."""
+    cost = F.struct((F.col("arrival") + CHANGE_COST * (F.col("round") - 1)).alias("cost"), "depart")
+    from_here = Window.partitionBy(*key).orderBy(F.desc("depart")).rangeBetween(Window.unboundedPreceding, 0)
+    rows = found.withColumn("_cost", cost)
+    rows = rows.withColumn("_least", F.min("_cost").over(from_here)).where(F.col("_cost") == F.col("_least"))
+    rows = rows.groupBy(*key, "depart").agg(F.min(F.struct("round", "arrival")).alias("b")).select(*key, "depart", "b.round", "b.arrival")
+    w = Window.partitionBy(*key).orderBy("depart")
+    rows = rows.withColumn("_before", F.lag("arrival").over(w)).where(F.col("_before").isNull() | (F.col("_before") != F.col("arrival")))
+    rows = rows.withColumn("place", F.row_number().over(w)).where(F.col("place") <= count)
+    return rows.select(*key, "round", "depart", "arrival", "place")
+
+
 def carried(events: DataFrame, day_start: int) -> DataFrame:
     """Trips of an earlier service day that still run at ``day_start`` seconds of their own day: their events from then on, as
     seconds of the new day; a trip with fewer than two of them is over."""

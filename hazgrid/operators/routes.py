@@ -7,6 +7,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hazgrid.functions.geo import METRES_PER_DEGREE, meters, segment_distance
+from hazgrid.operators.asof import asof
+from hazgrid.operators.nearby import nearest_anywhere
+from hazgrid.operators.shared import settled
 
 # Vertices behind and ahead of the last match, and metres beyond which a fix has left them; metres of a closure;
 # percent of a steep grade and the most marks for them.
@@ -25,27 +28,39 @@ def hops(vertices: DataFrame) -> DataFrame:
     return df.withColumn("along", F.sum("hop").over(w.rowsBetween(Window.unboundedPreceding, 0)))
 
 
-def match_fixes(vertices: DataFrame, fixes: DataFrame) -> DataFrame:
+def match_fixes(vertices: DataFrame, fixes: DataFrame, size: float = 0.01) -> DataFrame:
     """(fix, seq, metres): the vertex nearest to each of ``fixes`` (fix, route, last, fix_lat, fix_lon) from a few behind its
-    last match to some ahead; among all vertices where that is too far. Ties go to the first vertex."""
-    d = meters(F.col("lat"), F.col("lon"), F.col("fix_lat"), F.col("fix_lon"))
-    pairs = fixes.join(vertices, "route").select("fix", "last", F.struct(d.alias("d"), "seq").alias("v"))
-    near = (F.col("v.seq") >= F.col("last") - BEHIND) & (F.col("v.seq") < F.col("last") + AHEAD)
-    best = pairs.groupBy("fix").agg(F.min(F.when(near, F.col("v"))).alias("near"), F.min("v").alias("all"))
-    found = F.when(F.col("near.d") <= LOST, F.col("near")).otherwise(F.col("all"))
-    return best.select("fix", found["seq"].alias("seq"), found["d"].alias("metres"))
-
+    last match to some ahead; among all vertices where that is too far. Ties go to the first vertex.
 
-def progress(vertices: DataFrame, steps: DataFrame, matched: DataFrame) -> DataFrame:
-    """For each of ``matched`` (fix, route, seq, step): the step it is in (``steps``: route, step, end_seq; the first not
-    passed from its own on, else the last), metres along, remaining and to the step's end, and the share that is left."""
+    A fix meets the vertices of its stretch by blocks of places in the route. Those that it has left are looked for by cells
+    of ``size`` degrees, so no fix meets all vertices of a long route."""
+    reach = BEHIND + AHEAD
+    d = meters(F.col("lat"), F.col("lon"), F.col("fix_lat"), F.col("fix_lon"))
+    blocks = F.sequence(F.floor((F.col("last") - BEHIND) / reach), F.floor((F.col("last") + AHEAD - 1) / reach))
+    some = fixes.select("fix", "route", "last", "fix_lat", "fix_lon", F.explode(blocks).alias("_block"))
+    pairs = some.join(vertices.select("route", "seq", "lat", "lon", F.floor(F.col("seq") / reach).alias("_block")), ["route", "_block"])
+    pairs = pairs.where((F.col("seq") >= F.col("last") - BEHIND) & (F.col("seq") < F.col("last") + AHEAD))
+    near = pairs.groupBy("fix").agg(F.min(F.struct(d.alias("d"), "seq")).alias("v")).where(F.col("v.d") <= LOST).select("fix", F.col("v.seq").alias("seq"), F.col("v.d").alias("metres"))
+    near = settled(near)
+    lost = fixes.join(near, "fix", "left_anti").select("fix", "route", F.col("fix_lat").alias("lat"), F.col("fix_lon").alias("lon"))
+    far = nearest_anywhere(lost, vertices.select("route", "seq", F.col("lat").alias("ref_lat"), F.col("lon").alias("ref_lon")), "fix", "seq", size, on=("route",))
+    return near.unionByName(far.where("seq is not null").select("fix", "seq", F.col("meters").alias("metres")))
+
+
+def progress(vertices: DataFrame, steps: DataFrame, matched: DataFrame, width: float = 100_000.0) -> DataFrame:
+    """For each of ``matched`` (fix, route, seq, step): the step it is in (``steps``: route, step, end_seq, later steps ending
+    later; the first not passed from its own on, else the last), metres along, remaining and to the step's end, and the share
+    that is left. Steps are found by their order along the route, never by pairs."""
     along = hops(vertices).select("route", "seq", "along")
     ends = along.groupBy("route").agg(F.max("along").alias("total"))
     stops = steps.join(along.withColumnRenamed("seq", "end_seq").withColumnRenamed("along", "end_along"), ["route", "end_seq"])
-    here = matched.join(along, ["route", "seq"]).join(ends, "route")
-    open_ = (F.col("s.step") >= F.col("step")) & (F.col("s.end_seq") > F.col("seq"))
-    pairs = here.join(stops.select("route", F.struct("step", "end_seq", "end_along").alias("s")), "route")
-    best = pairs.groupBy("fix", "along", "total").agg(F.coalesce(F.min(F.when(open_, F.col("s"))), F.max("s")).alias("s"))
+    last = stops.groupBy("route").agg(F.max(F.struct("step", "end_along")).alias("z"))
+    here = matched.join(along, ["route", "seq"]).join(ends, "route").join(last, "route")
+    passed = asof(here.withColumnRenamed("seq", "_at"), stops.select("route", F.col("end_seq").alias("_at"), F.col("step").alias("_open")), "route", "_at", ["_open"], width=width, forward=True)
+    known = passed.where("_open is not null").withColumn("_at", F.greatest("_open", "step").cast("long"))
+    found = asof(known, stops.select("route", F.col("step").cast("long").alias("_at"), F.struct("step", "end_along").alias("s")), "route", "_at", ["s"], strict=False, width=width, forward=True)
+    columns = ["fix", "along", "total", F.coalesce("s", "z").alias("s")]
+    best = found.select(*columns).unionByName(passed.where("_open is null").withColumn("s", F.lit(None).cast(last.schema["z"].dataType)).select(*columns))
     left = F.greatest(F.col("total") - F.col("along"), F.lit(0.0))
     return best.select(
         "fix", F.col("s.step").alias("step"), "along", left.alias("remaining"), F.greatest(F.col("s.end_along") - F.col("along"), F.lit(0.0)).alias("to_end"),
@@ -53,12 +68,21 @@ def progress(vertices: DataFrame, steps: DataFrame, matched: DataFrame) -> DataF
     )
 
 
-def vertex_ahead(vertices: DataFrame, marks: DataFrame) -> DataFrame:
-    """(mark, seq): the first vertex at least ``metres`` beyond that of each of ``marks`` (mark, route, from_seq, metres); the last one if none is."""
-    along = hops(vertices).select("route", "seq", "along")
-    target = marks.join(along.withColumnRenamed("seq", "from_seq").withColumnRenamed("along", "start"), ["route", "from_seq"]).select("mark", "route", "from_seq", (F.col("start") + F.col("metres")).alias("target"))
-    pairs = target.join(along, "route").where("seq >= from_seq")
-    return pairs.groupBy("mark").agg(F.coalesce(F.min(F.when(F.col("along") >= F.col("target"), F.col("seq"))), F.max("seq")).alias("seq"))
+def _vertex_from(vertices: DataFrame, marks: DataFrame, width: float) -> DataFrame:
+    """``marks`` (route, along, seq: the first place that counts) with found, the first vertex from there on, else the last,
+    and _last, the route's last vertex."""
+    points = hops(vertices).select("route", "along", "seq", F.col("seq").alias("found"))
+    ends = points.groupBy("route").agg(F.max("seq").alias("_last"))
+    ahead = asof(marks, points, "route", ["along", "seq"], ["found"], strict=False, width=width, forward=True)
+    return ahead.join(ends, "route").withColumn("found", F.coalesce("found", "_last"))
+
+
+def vertex_ahead(vertices: DataFrame, marks: DataFrame, width: float = 100_000.0) -> DataFrame:
+    """(mark, seq): the first vertex at least ``metres`` (0 or more) beyond that of each of ``marks`` (mark, route, from_seq,
+    metres); the last one if none is. Both come in one stream along the route."""
+    along = hops(vertices).select("route", F.col("seq").alias("from_seq"), F.col("along").alias("start"))
+    target = marks.join(along, ["route", "from_seq"]).select("mark", "route", (F.col("start") + F.col("metres")).alias("along"), F.col("from_seq").cast(vertices.schema["seq"].dataType).alias("seq"))
+    return _vertex_from(vertices, target, width).select("mark", F.col("found").alias("seq"))
 
 
 def _folded(vertices: DataFrame, *columns: str) -> DataFrame:
@@ -116,29 +140,31 @@ def halves(vertices: DataFrame) -> DataFrame:
     return reach.groupBy("route").agg(F.min(at).alias("m")).select("route", "m.*")
 
 
-def steep_marks(vertices: DataFrame, profile: DataFrame) -> DataFrame:
+def steep_marks(vertices: DataFrame, profile: DataFrame, width: float = 100_000.0) -> DataFrame:
     """(route, start_mile, seq, grade): the first steep pieces of ``profile`` (route, start_mile, end_mile, grade), each at the
     first vertex from its middle on, never the first of the route."""
     w = Window.partitionBy("route").orderBy("start_mile", "end_mile", "grade")
     steep = profile.where(~F.isnan("grade") & (F.abs("grade") >= STEEP)).withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= MARKS)
-    steep = steep.withColumn("target", (F.col("start_mile") + F.col("end_mile")) / 2 * 1609.344)
-    pairs = steep.join(hops(vertices).select("route", "seq", "along"), "route")
-    found = pairs.groupBy("route", "_n", "start_mile", "grade").agg(F.coalesce(F.min(F.when(F.col("along") >= F.col("target"), F.col("seq"))), F.max("seq")).alias("seq"), F.max("seq").alias("_last"))
-    return found.where("_last > 0").select("route", "start_mile", F.greatest("seq", F.lit(1)).alias("seq"), "grade")
-
-
-def next_steep(profile: DataFrame, marks: DataFrame, percent: float, lookahead: float) -> DataFrame:
-    """(mark, start_mile, grade): the first piece of the profile ahead of ``marks`` (mark, route, mile) that is steep enough, the steeper on ties."""
-    ahead = marks.join(profile, "route").where((F.col("end_mile") > F.col("mile")) & (F.col("start_mile") < F.col("mile") + lookahead) & (F.abs("grade") >= percent))
-    best = ahead.groupBy("mark").agg(F.min(F.struct("start_mile", (-F.abs("grade")).alias("_g"), "grade")).alias("b"))
-    return best.select("mark", F.col("b.start_mile").alias("start_mile"), F.col("b.grade").alias("grade"))
-
-
-def grades_at(profile: DataFrame, marks: DataFrame) -> DataFrame:
-    """(mark, grade) of the first piece that holds each mark's mile, 0 outside all pieces."""
-    inside = marks.join(profile, "route").where(F.col("mile").between(F.col("start_mile"), F.col("end_mile")))
-    best = inside.groupBy("mark").agg(F.min(F.struct("start_mile", "end_mile", "grade"))["grade"].alias("grade"))
-    return marks.select("mark").join(best, "mark", "left").select("mark", F.coalesce("grade", F.lit(0.0)).alias("grade"))
+    middle = (F.col("start_mile") + F.col("end_mile")) / 2 * 1609.344
+    targets = steep.select("route", "start_mile", "grade", middle.alias("along"), F.lit(-1).cast(vertices.schema["seq"].dataType).alias("seq"))
+    found = _vertex_from(vertices, targets, width)
+    return found.where("_last > 0").select("route", "start_mile", F.greatest("found", F.lit(1)).alias("seq"), "grade")
+
+
+def next_steep(profile: DataFrame, marks: DataFrame, percent: float, lookahead: float, width: float = 1000.0) -> DataFrame:
+    """(mark, start_mile, grade): the first piece of the profile, whose pieces don't overlap, ahead of ``marks`` (mark, route, mile)
+    that is steep enough, the steeper on ties. Any unit of length serves if all share it."""
+    steep = profile.where(F.abs("grade") >= percent).select("route", F.col("end_mile").alias("mile"), F.struct("start_mile", (-F.abs("grade")).alias("g"), "grade").alias("b"))
+    first = steep.groupBy("route", "mile").agg(F.min("b").alias("b"))
+    ahead = asof(marks, first, "route", "mile", ["b"], width=width, forward=True)
+    return ahead.where(F.col("b.start_mile") < F.col("mile") + lookahead).select("mark", F.col("b.start_mile").alias("start_mile"), F.col("b.grade").alias("grade"))
+
+
+def grades_at(profile: DataFrame, marks: DataFrame, width: float = 1000.0) -> DataFrame:
+    """(mark, grade) of the first piece that holds each mark's mile, ends included, 0 outside all pieces, which don't overlap."""
+    ends = profile.groupBy("route", F.col("end_mile").alias("mile")).agg(F.min(F.struct("start_mile", "grade")).alias("b"))
+    ahead = asof(marks, ends, "route", "mile", ["b"], strict=False, width=width, forward=True)
+    return ahead.select("mark", F.when(F.col("b.start_mile") <= F.col("mile"), F.col("b.grade")).otherwise(0.0).alias("grade"))
 
 
 def arrivals(samples: DataFrame, seconds: Column) -> DataFrame:

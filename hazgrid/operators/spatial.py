@@ -21,11 +21,12 @@ def _spread(refs: DataFrame, size: float, reach_m: float, lat: str = "lat", lon:
     return refs.withColumn("_column", F.explode(F.transform(F.sequence(-columns, columns), lambda d: cell(F.col(lon), size) + d)))
 
 
-def within(points: DataFrame, refs: DataFrame, reach_m: float, size: float, how: str = "inner") -> DataFrame:
-    """Pairs of ``points`` (lat, lon, ...) and ``refs`` (ref_lat, ref_lon, ...) nearer than ``reach_m``, with meters."""
+def within(points: DataFrame, refs: DataFrame, reach_m: float, size: float, how: str = "inner", on: tuple[str, ...] = ()) -> DataFrame:
+    """Pairs of ``points`` (lat, lon, ...) and ``refs`` (ref_lat, ref_lon, ...) nearer than ``reach_m``, with meters; only those
+    that are alike in the columns ``on``."""
     near = _spread(refs, size, reach_m, "ref_lat", "ref_lon")
     points = points.withColumns({"_row": cell(F.col("lat"), size), "_column": cell(F.col("lon"), size)})
-    pairs = points.join(near, ["_row", "_column"], how).drop("_row", "_column")
+    pairs = points.join(near, [*on, "_row", "_column"], how).drop("_row", "_column")
     pairs = pairs.withColumn("meters", meters(F.col("lat"), F.col("lon"), F.col("ref_lat"), F.col("ref_lon")))
     return pairs.where(F.col("meters") < reach_m)
 
@@ -87,27 +88,3 @@ def query_distances(df: DataFrame, key: str, vector: str, asked: Column, size: i
 
     found = left.groupBy("row", "col").cogroup(right.groupBy("row", "col")).applyInPandas(one, "a long, b long, distance double")
     return found.withColumn("distance", F.when(~F.isnan("distance"), F.col("distance")))
-
-
-def pair_distances(df: DataFrame, key: str, vector: str, size: int = 1024) -> DataFrame:
-    """(a, b, distance) of every two rows with keys a < b: Euclidean, null where a vector is. Rows fall into blocks of about
-    ``size``, and one task at a time holds two blocks, whatever the table's size. Vectors have one length."""
-    blocks = max(8, math.ceil(df.count() / size))
-    rows = df.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("key"), F.transform(vector, lambda x: x.cast("double")).alias("v"))
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("key"), F.lit(blocks)).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    rows = rows.withColumn("pair", F.least("block", "other") * F.lit(blocks).cast("long") + F.greatest("block", "other"))
-
-    def one(frame: pd.DataFrame) -> pd.DataFrame:
-        first, second = divmod(int(frame["pair"].iloc[0]), blocks)
-        left, right = frame[frame["block"] == first], frame[frame["block"] == second]
-        keys, others = left["key"].to_numpy(), right["key"].to_numpy()
-        wide = max((len(v) for v in frame["v"] if v is not None), default=0)
-        x, y = (np.array([np.full(wide, np.nan) if v is None else v for v in part["v"]], float).reshape(-1, wide) for part in (left, right))
-        square = np.zeros((len(x), len(y)))
-        for k in range(wide):
-            square += (x[:, k, None] - y[None, :, k]) ** 2
-        i, j = np.nonzero(keys[:, None] < others if first == second else keys[:, None] != others)
-        return pd.DataFrame({"a": np.minimum(keys[i], others[j]), "b": np.maximum(keys[i], others[j]), "distance": np.sqrt(square[i, j])})
-
-    found = rows.groupBy("pair").applyInPandas(one, "a long, b long, distance double")
-    return found.withColumn("distance", F.when(~F.isnan("distance"), F.col("distance")))

@@ -154,8 +154,8 @@ def alert_hours(spark, sf):
     sure = F.get(F.array(*map(F.lit, ("Observed", "Likely", "Possible", "Unlikely"))), (i % 4).cast("int"))
     severity = F.when(i % 6 != 0, F.col("value") / 100)
     return e.select(
-        "event_id", alerting.usual_kind(F.col("name")).alias("kind"), F.round(alerting.learned_hours(alerting.usual_hours(F.col("name")), i % 250, i % 9 - 2.0), 6).alias("learned"),
-        F.round(alerting.unknown_end_hours(F.col("name"), severity, i % 20, sure, i % 250, i % 9 - 2.0), 6).alias("hours"),
+        "event_id", alerting.usual_kind(F.col("name")).alias("kind"), F.round(alerting.learned_hours(alerting.usual_hours(F.col("name")), i % 250, i % 9 - 2.0), 9).alias("learned"),
+        F.round(alerting.unknown_end_hours(F.col("name"), severity, i % 20, sure, i % 250, i % 9 - 2.0), 9).alias("hours"),
     )
 
 
@@ -285,8 +285,8 @@ SELECT i AS event_id, CASE WHEN {_LOOKOUT} THEN 'lookout' WHEN {_LIFE} OR coales
  CASE WHEN i % 4 / 4 - 0.25 >= 0 AND i % 5 <> 0 AND s IS NOT NULL THEN CASE WHEN s + 0.1 > 0.8751 AND (s + 0.1 > i % 6 / 6 + 0.05 OR i % 7 = 0) THEN 'acute' WHEN s >= 0.699 AND s > i % 4 / 4 - 0.25 + 0.12 AND s > i % 6 / 6 + 0.05 THEN 'sustained' END END AS escalation FROM q""",
     "alert_hours": f"""WITH v AS (SELECT event_id AS i, lower({_NAMES}[event_id % 14 + 1]) AS n, CASE WHEN event_id % 6 <> 0 THEN value / 100 END AS s FROM events), u AS (SELECT *, {_HOURS}::DOUBLE AS h FROM v),
 l AS (SELECT *, CASE WHEN i % 250 = 0 THEN h ELSE least(h * 3, greatest(h * 0.5, exp((20 * ln(h) + least(i % 250, 180) * (i % 9 - 2.0)) / (20 + least(i % 250, 180))))) END AS learned FROM u)
-SELECT i AS event_id, {_KIND} AS kind, round(learned, 6) AS learned, round(least(168.0, greatest(0.5, learned * CASE WHEN s IS NULL THEN 1 ELSE 0.5 + least(1, greatest(0, s)) END * (1 + 0.15 * floor(log2(least(16, greatest(1, i % 20)))))
- * [1.25, 1.0, 0.75, 0.5][i % 4 + 1])), 6)::DOUBLE AS hours FROM l""",
+SELECT i AS event_id, {_KIND} AS kind, round(learned, 9) AS learned, round(least(168.0, greatest(0.5, learned * CASE WHEN s IS NULL THEN 1 ELSE 0.5 + least(1, greatest(0, s)) END * (1 + 0.15 * floor(log2(least(16, greatest(1, i % 20)))))
+ * [1.25, 1.0, 0.75, 0.5][i % 4 + 1])), 9)::DOUBLE AS hours FROM l""",
     "climate_norms": f"""WITH {_CLIMATE}, n AS (SELECT *, (1 - cos(2 * pi() * ((k % 60 - 5 + 52) % 52) / 52)) / 2 AS ph FROM c JOIN t USING (kind)), m AS (SELECT *, wl + (sl - wl) * ph AS low, wh + (sh - wh) * ph AS high FROM n)
 SELECT k AS c_custkey, round(low, 6)::DOUBLE AS low, round(high, 6)::DOUBLE AS high, k % 130 - 20 > high + 12 OR k % 130 - 20 < low - 12 AS odd_temperature, k % 40 > wm + 2 * ws AS odd_wind FROM m""",
     "forecast_scores": f"""WITH {_CLIMATE}, r AS (SELECT *, CASE WHEN k % 7 <> 0 THEN k % 140 - 20 END AS x, CASE WHEN k % 5 <> 0 THEN k % 70 END AS wi, CASE WHEN k % 6 <> 0 THEN k % 101 END AS po FROM c JOIN t USING (kind)),

@@ -20,8 +20,9 @@ def _age():
 
 
 def refuel_accuracies(spark, sf):
-    e = table(spark, sf, "events").withColumn("error", F.col("value") / 400)
-    return habits.refuel_accuracy(e, "user_id", [F.desc("ts"), F.desc("event_id")], "error").select("user_id", F.round("accuracy", 6).alias("accuracy"))
+    """Errors in hundredths, whole ones, so that means don't depend on the order of the sum."""
+    e = table(spark, sf, "events").withColumn("error", F.round(F.col("value") / 4))
+    return habits.refuel_accuracy(e, "user_id", [F.desc("ts"), F.desc("event_id")], F.col("error"), 100).select("user_id", F.round("accuracy", 9).alias("accuracy"))
 
 
 def training_rows(spark, sf):
@@ -257,7 +258,7 @@ WHERE p_partkey % 9 <> 0 AND p_partkey % 11 <> 0 AND p_partkey * 1000 % 1600000
 f AS (SELECT user_id, event_id, y, x, r, true AS kept FROM e WHERE r = 1 UNION ALL SELECT e.user_id, e.event_id, CASE WHEN c THEN e.y ELSE f.y END, CASE WHEN c THEN e.x ELSE f.x END, e.r, c FROM f JOIN e ON e.user_id = f.user_id AND e.r = f.r + 1,
  LATERAL (SELECT sqrt(power((e.y - f.y) * 111320.0, 2) + power((e.x - f.x) * 111320.0 * cos(radians((e.y + f.y) / 2)), 2)) >= 600 AS c)) SELECT user_id, event_id FROM f WHERE kept""",
     "alert_areas": "SELECT p_partkey AS i, min(p_partkey) OVER (PARTITION BY p_brand) AS h FROM part",
-    "refuel_accuracies": "WITH l AS (SELECT user_id, value / 400 AS e FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) <= 10) SELECT user_id, round(greatest(0.0, 1 - avg(e)), 6) AS accuracy FROM l GROUP BY user_id",
+    "refuel_accuracies": "WITH l AS (SELECT user_id, round(value / 4) AS e FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) <= 10) SELECT user_id, round(greatest(0.0, 1 - avg(e) / 100), 9) AS accuracy FROM l GROUP BY user_id",
     "training_rows": f"""WITH c AS (SELECT user_id, CAST(least((dayofyear(ts) - 1) // 7, 51) AS INTEGER) AS week, sum(power(2.0, -greatest({_AGE_SQL}, 0) / 364.0)) AS w, sum(power(2.0, -greatest({_AGE_SQL}, 0) / 364.0) * value / 100) AS o FROM events GROUP BY ALL), p AS (SELECT *, {place_sql('user_id')} FROM c)
 SELECT user_id, week, round(lat * 10) / 10 AS o_lat, round(lon * 10) / 10 AS o_lon, round(o / w, 6) AS mean, round(w, 6) AS weight FROM p""",
     "route_features": f"""WITH c AS (SELECT c_custkey AS k, c_nationkey, {place_sql('c_custkey')} FROM customer), n AS (SELECT n_nationkey, {place_sql('n_nationkey', 'y', 'x')} FROM nation), j AS (SELECT *, power(sin(radians(y - lat) / 2), 2) + cos(radians(lat)) * cos(radians(y)) * power(sin(radians(x - lon) / 2), 2) AS a FROM c JOIN n ON n_nationkey = c_nationkey)

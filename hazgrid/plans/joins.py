@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from hazgrid.functions import geo
-from hazgrid.operators import graph, ranking, raptor, sets, spatial
+from hazgrid.operators import graph, nearby, ranking, raptor, sets, spatial
 from hazgrid.operators.asof import asof
 from hazgrid.plans.points import METERS_SQL, place, place_sql, table
 
@@ -24,6 +24,13 @@ def nearest_cell_join(spark, sf):
     return near.select("c_custkey", "s_suppkey", F.round("meters", 3).alias("meters"))
 
 
+def nearest_anywhere(spark, sf):
+    """Each customer's nearest supplier among those of its nation, from cells of half a degree on."""
+    c = place(table(spark, sf, "customer").select("c_custkey", F.col("c_nationkey").alias("nation")), "c_custkey")
+    s = place(table(spark, sf, "supplier").select("s_suppkey", F.col("s_nationkey").alias("nation")), "s_suppkey", "ref_lat", "ref_lon")
+    return nearby.nearest_anywhere(c, s, "c_custkey", "s_suppkey", 0.5, on=("nation",)).select("c_custkey", "s_suppkey", F.round("meters", 3).alias("meters"))
+
+
 def range_decay_max(spark, sf):
     base = F.least(F.lit(1.0), F.greatest(F.lit(0.1), F.abs("s_acctbal") / 10_000))
     s = spatial.decay_max(_customers(spark, sf), _suppliers(spark, sf), "c_custkey", base, 400_000.0, 2.0)
@@ -61,7 +68,7 @@ def asof_last_view(spark, sf):
     bought = e.where("event_type = 'purchase'").select("event_id", "user_id", "ts", "value")
     seen = e.where("event_type = 'view'").select("user_id", "ts", F.col("event_id").alias("view_id"), F.col("value").alias("view_value"))
     latest = seen.groupBy("user_id", "ts").agg(F.max(F.struct("view_id", "view_value")).alias("v")).select("user_id", "ts", "v.*")
-    return asof(bought, latest, "user_id", "ts", ["view_id", "view_value"]).select("event_id", "view_id", F.round("view_value", 6).alias("view_value"))
+    return asof(bought, latest, "user_id", "ts", ["view_id", "view_value"], width=30 * 86_400).select("event_id", "view_id", F.round("view_value", 6).alias("view_value"))
 
 
 def semi_closed_routes(spark, sf):
@@ -165,14 +172,15 @@ def big_spenders(spark, sf):
 
 def lateral_latest(spark, sf):
     """Each customer with the latest two orders of its own: a lateral subquery."""
-    table(spark, sf, "orders").createOrReplaceTempView("hazgrid_orders")
-    table(spark, sf, "customer").createOrReplaceTempView("hazgrid_customer")
-    return spark.sql("SELECT c_custkey, o_orderkey FROM hazgrid_customer, LATERAL (SELECT o_orderkey FROM hazgrid_orders WHERE o_custkey = c_custkey ORDER BY o_orderdate DESC, o_orderkey LIMIT 2)")
+    asked = "SELECT c_custkey, o_orderkey FROM {customers}, LATERAL (SELECT o_orderkey FROM {orders} WHERE o_custkey = c_custkey ORDER BY o_orderdate DESC, o_orderkey LIMIT 2)"
+    return spark.sql(asked, customers=table(spark, sf, "customer"), orders=table(spark, sf, "orders"))
 
 
 _PAIRS = f"""c AS (SELECT c_custkey, {place_sql('c_custkey')} FROM customer), s AS (SELECT s_suppkey, s_acctbal, {place_sql('s_suppkey', 'rlat', 'rlon')} FROM supplier),
 p AS (SELECT *, {METERS_SQL} AS m FROM c, s)"""
 SQL = {
+    "nearest_anywhere": f"""WITH c AS (SELECT c_custkey, c_nationkey, {place_sql('c_custkey')} FROM customer), s AS (SELECT s_suppkey, s_nationkey, {place_sql('s_suppkey', 'rlat', 'rlon')} FROM supplier),
+p AS (SELECT *, {METERS_SQL} AS m FROM c LEFT JOIN s ON s_nationkey = c_nationkey) SELECT c_custkey, arg_min(s_suppkey, (m, s_suppkey)) AS s_suppkey, round(min(m), 3) AS meters FROM p GROUP BY c_custkey""",
     "nearest_cell_join": f"""WITH {_PAIRS}, b AS (SELECT c_custkey, arg_min(s_suppkey, (m, s_suppkey)) AS s_suppkey, round(min(m), 3) AS meters FROM p WHERE m < 300000 GROUP BY c_custkey)
 SELECT c_custkey, s_suppkey, meters FROM customer LEFT JOIN b USING (c_custkey)""",
     "range_decay_max": f"""WITH {_PAIRS}, b AS (SELECT c_custkey, max(least(1.0, greatest(0.1, abs(s_acctbal) / 10000)) * (1 - m / 400000)) AS v FROM p WHERE m < 400000 GROUP BY c_custkey)

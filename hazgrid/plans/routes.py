@@ -29,8 +29,13 @@ def _orders(spark, sf):
 
 
 def _profile(spark, sf):
+    """Pieces of a profile in hundredths of a mile, so that their borders are exact."""
     v = _vertices(spark, sf)
-    return v.select("route", (F.col("seq") * 0.3).alias("start_mile"), (F.col("seq") * 0.3 + 0.25).alias("end_mile"), (F.col("k") % 25 - 12.0).alias("grade"))
+    return v.select("route", (F.col("seq") * 30).alias("start_mile"), (F.col("seq") * 30 + 25).alias("end_mile"), (F.col("k") % 25 - 12.0).alias("grade"))
+
+
+def _start():
+    return (F.col("start_mile") / 100).alias("start_mile")
 
 
 def route_matches(spark, sf):
@@ -64,15 +69,16 @@ def route_halves(spark, sf):
 
 
 def steep_marks(spark, sf):
-    return routes.steep_marks(_vertices(spark, sf), _profile(spark, sf)).select("route", F.round("start_mile", 4).alias("start_mile"), "seq", "grade")
+    miles = _profile(spark, sf).withColumns({c: F.col(c) / 100 for c in ("start_mile", "end_mile")})
+    return routes.steep_marks(_vertices(spark, sf), miles).select("route", "start_mile", "seq", "grade")
 
 
 def _mile_marks(spark, sf):
-    return _orders(spark, sf).select(F.col("route").alias("mark"), "route", (F.col("c") % 15 / 10).alias("mile"))
+    return _orders(spark, sf).select(F.col("route").alias("mark"), "route", (F.col("c") % 15 * 10).alias("mile"))
 
 
 def next_steep(spark, sf):
-    return routes.next_steep(_profile(spark, sf), _mile_marks(spark, sf), 6.0, 1.0).select("mark", F.round("start_mile", 4).alias("start_mile"), "grade")
+    return routes.next_steep(_profile(spark, sf), _mile_marks(spark, sf), 6.0, 100).select("mark", _start(), "grade")
 
 
 def grades_at(spark, sf):
@@ -82,7 +88,7 @@ def grades_at(spark, sf):
 def steepest(spark, sf):
     """The three steepest pieces of each route, the first of equal ones."""
     w = Window.partitionBy("route").orderBy(F.abs("grade").desc(), "start_mile")
-    return _profile(spark, sf).withColumn("rank", F.row_number().over(w)).where("rank <= 3").select("route", F.round("start_mile", 4).alias("start_mile"), "grade", "rank")
+    return _profile(spark, sf).withColumn("rank", F.row_number().over(w)).where("rank <= 3").select("route", _start(), "grade", "rank")
 
 
 def arrival_offsets(spark, sf):
@@ -154,7 +160,7 @@ b AS (SELECT *, lag(lat) OVER w AS plat, lag(lon) OVER w AS plon FROM v WINDOW w
 h AS (SELECT *, CASE WHEN plat IS NULL THEN 0.0 ELSE {_m('plat', 'plon', 'lat', 'lon')} END AS hop FROM b),
 a AS (SELECT *, sum(hop) OVER (PARTITION BY route ORDER BY seq) AS along, max(seq) OVER (PARTITION BY route) AS last FROM h)"""
 _O = "o AS (SELECT o_orderkey AS route, o_custkey AS c FROM orders)"
-_G = f"{_V}, g AS (SELECT route, seq * 0.3 AS s, seq * 0.3 + 0.25 AS e, k % 25 - 12.0 AS grade FROM v)"
+_G = f"{_V}, g AS (SELECT route, seq * 30 AS s, seq * 30 + 25 AS e, k % 25 - 12.0 AS grade FROM v)"
 _FIRST = "SELECT *, row_number() OVER (PARTITION BY c_custkey ORDER BY {order}) AS r FROM j"
 
 
@@ -184,12 +190,12 @@ e AS (SELECT f.*, {_m('klat', 'klon', 'a.lat', 'a.lon')} > 1 AS tail FROM f JOIN
 SELECT route, (row_number() OVER (PARTITION BY route ORDER BY seq) - 1)::INTEGER AS place, seq FROM u""",
     "route_halves": f"""WITH {_V}, t AS (SELECT *, max(along) OVER (PARTITION BY route) / 2 AS half FROM a), m AS (SELECT *, row_number() OVER (PARTITION BY route ORDER BY seq) AS r FROM t WHERE seq > 0 AND along >= half),
 x AS (SELECT *, CASE WHEN hop > 0 THEN (half - (along - hop)) / hop ELSE 0 END AS q FROM m WHERE r = 1) SELECT route, seq, round(plat + (lat - plat) * q, 7) AS lat, round(plon + (lon - plon) * q, 7) AS lon FROM x""",
-    "steep_marks": f"""WITH {_G}, z AS (SELECT *, row_number() OVER (PARTITION BY route ORDER BY s, e, grade) AS n FROM g WHERE abs(grade) >= 6), j AS (SELECT z.route, z.n, z.s, z.grade, coalesce(min(a.seq) FILTER (along >= (s + e) / 2 * 1609.344), max(a.seq)) AS seq, max(a.seq) AS last FROM z JOIN a USING (route) WHERE n <= 12 GROUP BY ALL)
-SELECT route, round(s, 4)::DOUBLE AS start_mile, greatest(seq, 1) AS seq, grade::DOUBLE AS grade FROM j WHERE last > 0""",
-    "next_steep": f"""WITH {_G}, {_O} SELECT o.route AS mark, round(s, 4)::DOUBLE AS start_mile, grade::DOUBLE AS grade FROM o JOIN g USING (route) WHERE e > c % 15 / 10 AND s < c % 15 / 10 + 1 AND abs(grade) >= 6
+    "steep_marks": f"""WITH {_G}, z AS (SELECT *, row_number() OVER (PARTITION BY route ORDER BY s, e, grade) AS n FROM g WHERE abs(grade) >= 6), j AS (SELECT z.route, z.n, z.s, z.grade, coalesce(min(a.seq) FILTER (along >= (s / 100 + e / 100) / 2 * 1609.344), max(a.seq)) AS seq, max(a.seq) AS last FROM z JOIN a USING (route) WHERE n <= 12 GROUP BY ALL)
+SELECT route, (s / 100)::DOUBLE AS start_mile, greatest(seq, 1) AS seq, grade::DOUBLE AS grade FROM j WHERE last > 0""",
+    "next_steep": f"""WITH {_G}, {_O} SELECT o.route AS mark, (s / 100)::DOUBLE AS start_mile, grade::DOUBLE AS grade FROM o JOIN g USING (route) WHERE e > c % 15 * 10 AND s < c % 15 * 10 + 100 AND abs(grade) >= 6
 QUALIFY row_number() OVER (PARTITION BY o.route ORDER BY s, abs(grade) DESC) = 1""",
-    "grades_at": f"""WITH {_G}, {_O}, i AS (SELECT o.route, min((s, grade))[2] AS grade FROM o JOIN g ON g.route = o.route AND c % 15 / 10 BETWEEN s AND e GROUP BY o.route) SELECT route AS mark, coalesce(grade, 0)::DOUBLE AS grade FROM o LEFT JOIN i USING (route)""",
-    "steepest": f"WITH {_G} SELECT route, round(s, 4)::DOUBLE AS start_mile, grade::DOUBLE AS grade, row_number() OVER (PARTITION BY route ORDER BY abs(grade) DESC, s)::INTEGER AS rank FROM g QUALIFY rank <= 3",
+    "grades_at": f"""WITH {_G}, {_O}, i AS (SELECT o.route, min((s, grade))[2] AS grade FROM o JOIN g ON g.route = o.route AND c % 15 * 10 BETWEEN s AND e GROUP BY o.route) SELECT route AS mark, coalesce(grade, 0)::DOUBLE AS grade FROM o LEFT JOIN i USING (route)""",
+    "steepest": f"WITH {_G} SELECT route, (s / 100)::DOUBLE AS start_mile, grade::DOUBLE AS grade, row_number() OVER (PARTITION BY route ORDER BY abs(grade) DESC, s)::INTEGER AS rank FROM g QUALIFY rank <= 3",
     "arrival_offsets": f"WITH {_V} SELECT route, seq, round(CASE WHEN last > 0 THEN route % 50 * 60.0 * seq / last ELSE 0 END, 6)::DOUBLE AS offset FROM a",
     "look_ahead_slices": f"""WITH {_V} SELECT route, seq, round(greatest(0, (seq * 500 - route % 30 * 100) * 0.05), 6)::DOUBLE AS offset FROM a
 WHERE seq >= floor(least(last, route % 30 * 100 / 500)) AND seq <= floor(least(last, (route % 30 * 100 + 900) / 500 + 1))""",

@@ -1,8 +1,10 @@
+import math
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
-from hazgrid.operators import graph, ordered, spatial
+from hazgrid.operators import graph, habits, nearby, ordered, routes, spatial
 from hazgrid.operators.asof import asof
 from hazgrid.sources import readers
 from hazgrid.streaming import live
@@ -14,7 +16,6 @@ def test_nearest_against_all_pairs(spark):
     refs = [(i, rng.uniform(30, 60), rng.uniform(-100, -80)) for i in range(60)]
     p, r = spark.createDataFrame(points, "id long, lat double, lon double"), spark.createDataFrame(refs, "ref long, ref_lat double, ref_lon double")
     got = {x.id: x.ref for x in spatial.nearest(p, r, "id", "ref", 250_000.0, 1.0).collect()}
-    import math
 
     def metres(a, b):
         return math.hypot((b[1] - a[1]) * 111_320, (b[2] - a[2]) * 111_320 * math.cos(math.radians((a[1] + b[1]) / 2)))
@@ -32,6 +33,87 @@ def test_asof_empty_and_ties(spark):
     assert asof(left.limit(0), right, "k", "t", ["v"]).count() == 0
 
 
+@pytest.mark.parametrize("width", [None, 7.0, 1000.0])
+@pytest.mark.parametrize("strict", [True, False])
+@pytest.mark.parametrize("forward", [True, False])
+def test_asof_blocks(spark, width, strict, forward):
+    """Blocks of time change nothing, whatever their width, also for a key with all rows."""
+    rng = random.Random(5)
+    left = [(i, rng.choice([None, 1, 1, 1, 2]), rng.uniform(-50, 50) if i % 3 else float(rng.randint(-50, 50)), rng.randint(0, 3)) for i in range(150)]
+    right = {(rng.choice([None, 1, 1, 3]), float(rng.randint(-60, 60)), rng.randint(0, 3)) for _ in range(60)}
+    a = spark.createDataFrame(left, "id long, k long, t double, u long")
+    b = spark.createDataFrame([(*r, f"{r}") for r in right], "k long, t double, u long, v string")
+
+    def near(k, at):
+        some = [r for r in right if r[0] == k and ((r[1:] > at if forward else r[1:] < at) or not strict and r[1:] == at)]
+        return str((min if forward else max)(some, key=lambda r: r[1:])) if some else None
+
+    got = {r.id: r.v for r in asof(a, b, "k", ["t", "u"], ["v"], strict=strict, width=width, forward=forward).collect()}
+    assert got == {i: near(k, (t, u)) for i, k, t, u in left}
+
+
+@pytest.mark.parametrize("kind", ["scattered", "clustered", "one", "none"])
+def test_nearest_anywhere(spark, kind):
+    rng = random.Random(9)
+    points = [(i, rng.uniform(-85, 85), rng.uniform(-179, 179), i % 3) for i in range(250)] + [(900, None, 1.0, 0), (901, 0.0, 0.0, None)]
+    if kind == "clustered":  # all refs in a few dense spots, far from most points
+        refs = [(j, 40 + rng.gauss(0, 0.05), -100 + 60 * (j % 3) + rng.gauss(0, 0.05), j % 2) for j in range(400)]
+    else:
+        refs = [(j, rng.uniform(-60, 70), rng.uniform(-179, 179), j % 2) for j in range({"scattered": 300, "one": 1, "none": 0}[kind])]
+    refs += [(j + 1000, y, x, g) for j, y, x, g in refs[:20]] + [(999, None, None, 0)]
+    p, r = spark.createDataFrame(points, "id long, lat double, lon double, g long"), spark.createDataFrame(refs, "ref long, ref_lat double, ref_lon double, g long")
+
+    def metres(a, b):
+        dy, dx = (b[1] - a[1]) * 111_320.0, (b[2] - a[2]) * 111_320.0 * math.cos(math.radians((a[1] + b[1]) / 2))
+        return math.sqrt(dx * dx + dy * dy)
+
+    for on in ((), ("g",)):
+        got = {x.id: (x.ref, x.meters) for x in nearby.nearest_anywhere(p, r, "id", "ref", 0.5, on=on).collect()}
+        assert got.keys() == {a[0] for a in points}
+        for a in points:
+            some = [(metres(a, b), b[0]) for b in refs if a[1] is not None and b[1] is not None and (not on or a[3] is not None and a[3] == b[3])]
+            if not some:
+                assert got[a[0]] == (None, None)
+            else:
+                d, ref = min(some)
+                assert got[a[0]][1] == pytest.approx(d, rel=1e-12) and (got[a[0]][0] == ref or metres(a, next(b for b in refs if b[0] == got[a[0]][0])) == pytest.approx(d, rel=1e-12))
+
+
+def test_many_fixes_of_one_route(spark):
+    """100,000 fixes and vertices of one route: no plan joins on the route alone, and no result needs all pairs."""
+    n = 100_000
+    i = F.col("id")
+    vertices = spark.range(n).select(F.lit(1).alias("route"), i.alias("seq"), (40 + i * 1e-4).alias("lat"), F.lit(-90.0).alias("lon"))
+    fixes = spark.range(n).select(i.alias("fix"), F.lit(1).alias("route"), F.when(i % 2 == 0, i).otherwise(0).alias("last"), (40 + i * 1e-4 + 3e-5).alias("fix_lat"), F.lit(-90.0).alias("fix_lon"))
+    matched = routes.match_fixes(vertices, fixes)
+    assert matched.where("fix > 150 and (seq <> fix or metres > 4)").count() == 0 and matched.count() == n
+    marks = spark.range(n).select(i.alias("mark"), F.lit(1).alias("route"), i.alias("from_seq"), (i % 1000 * 11.132).alias("metres"))
+    ahead = routes.vertex_ahead(vertices, marks, width=50_000.0)
+    assert ahead.where(F.abs(F.col("seq") - F.least(F.lit(n - 1), F.col("mark") + F.col("mark") % 1000)) > 1).count() == 0
+    profile = spark.range(n).select(F.lit(1).alias("route"), (i * 2).alias("start_mile"), (i * 2 + 2).alias("end_mile"), F.when(i % 10 == 0, 8.0).otherwise(1.0).alias("grade"))
+    at = spark.range(n).select(i.alias("mark"), F.lit(1).alias("route"), (i * 2 + 1).alias("mile"))
+    steep = {r.mark: r.start_mile for r in routes.next_steep(profile, at, 6.0, 1000, width=5000.0).collect()}
+    assert steep == {k: (-(-k // 10) * 10) * 2 for k in range(n) if -(-k // 10) * 10 < n}
+    assert routes.grades_at(profile, at, width=5000.0).where("grade <> if(mark % 10 = 0, 8.0, 1.0)").count() == 0
+    steps = spark.range(n // 100).select(F.lit(1).alias("route"), i.alias("step"), (i * 100 + 99).alias("end_seq"))
+    here = spark.range(n).select(i.alias("fix"), F.lit(1).alias("route"), i.alias("seq"), F.lit(0).cast("long").alias("step"))
+    found = routes.progress(vertices, steps, here, width=7000.0)
+    assert found.where(F.col("step") != F.least(F.floor((F.col("fix") + 1) / 100), F.lit(n // 100 - 1))).count() == 0 and found.count() == n
+
+
+def test_folds_of_one_key(spark):
+    n = 60_000
+    i = F.col("id")
+    times = spark.range(n).select(F.lit(7).alias("k"), (i % 50_000).alias("t"))
+    assert [r.t for r in habits.throttled(times, "k", "t", 13.0).orderBy("t").collect()] == [float(t) for t in range(0, 50_000, 13)]
+    trail = spark.range(n).select((i % 2).alias("k"), i.alias("o"), (40 + F.floor(i / 2) * 1e-4).alias("y"), F.lit(-90.0).alias("x"))
+    got = [r.o for r in habits.spaced(trail, "k", "o", "y", "x", 100.0).where("k = 0").orderBy("o").collect()]
+    assert got == list(range(0, n, 18))
+    stations = spark.range(n).select(F.lit(1).alias("k"), i.alias("s"), (i * 1.0).alias("miles"), F.when(i > 10, 3 + (i * 7919 % 1000) / 1000).alias("price"))
+    assert tuple(habits.reachable(stations, "k", "s", F.lit(20.0)).first())[:3] == (1, 21, "none")
+    assert habits.reachable(stations, "k", "s", F.lit(5.0)).first().cheapest == 0
+
+
 def test_spans(spark):
     df = spark.createDataFrame([(1, i, i in (2, 3, 6)) for i in range(8)], "p int, i int, off boolean")
     assert sorted((r["first"], r["last"], r.n_rows) for r in ordered.spans(df, ["p"], ["i"], F.col("off")).collect()) == [(2, 3, 2), (6, 6, 1)]
@@ -58,25 +140,7 @@ def test_long_chains_are_whole(spark):
     assert got == {i: 0 for i in range(n + 1)} | {500: 500, 501: 501, None: None}
 
 
-def test_timetable_rounds(spark):
-    hops = spark.createDataFrame([(1, 1, 10, 2, 20), (2, 2, 25, 3, 30), (3, 1, 0, 3, 90), (4, 2, 15, 3, 16)], "trip long, from_stop long, depart long, to_stop long, arrive long")
-    got = sorted((r.stop, r.round, r.arrival) for r in graph.timetable_rounds(hops, 1, 0).collect())
-    assert got == [(1, 0, 0), (2, 1, 20), (3, 1, 90), (3, 2, 30)]
-
-
-def test_pair_distances_against_all_pairs(spark):
-    import math
-
-    rng = random.Random(2)
-    rows = [(i, [rng.uniform(-1, 1) for _ in range(3)]) for i in range(70)] + [(70, None)]
-    df = spark.createDataFrame(rows, "id long, v array<float>")
-    got = {(r.a, r.b): r.distance for r in spatial.pair_distances(df, "id", "v", 5).collect()}
-    assert got.keys() == {(a, b) for a in range(71) for b in range(a + 1, 71)}
-    assert all(d is None if b == 70 else math.isclose(d, math.dist(rows[a][1], rows[b][1]), abs_tol=1e-5) for (a, b), d in got.items())
-
-
 def test_query_distances_against_all_pairs(spark):
-    import math
 
     rng = random.Random(2)
     rows = [(i, [rng.uniform(-1, 1) for _ in range(3)]) for i in range(70)] + [(70, None)]

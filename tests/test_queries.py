@@ -1,4 +1,4 @@
-"""Every registered query with SQL against DuckDB, on the smallest tables."""
+"""Every registered query with SQL against DuckDB, on tables with enough rows for ties and borders."""
 
 import math
 import os
@@ -7,7 +7,7 @@ import pytest
 
 from hazgrid.plans import registry
 
-SF = "/root/testdata/sf0.001"
+SF = "/root/testdata/sf0.01"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
 
 
