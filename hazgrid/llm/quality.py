@@ -2,8 +2,9 @@
 
 ``text_statistics`` counts, per document and in one map-only projection, what the rules need.
 ``outlier_verdicts`` fits a minimum-covariance-determinant (MCD) estimate of location and scatter per language and
-source: concentration steps from several starts until no determinant falls any more, of which the start that ends with the
-least determinant counts. It rejects documents whose Mahalanobis distance is too large.
+source: two concentration steps from several starts, then, from the start with the least determinant of each group, steps
+until that group's determinant falls no more. A step that makes an estimate worse is never taken. It rejects documents
+whose Mahalanobis distance is too large.
 
 Scale: texts are read once and never shuffled. What is kept is one short numeric row a document, written to the shared
 folder. Each concentration step is two partial aggregations over those rows (an exact rank of quantised distances, then
@@ -18,7 +19,7 @@ import math
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hazgrid.llm.common import SPACE_CLASS, SPACES, checkpointed, whole_text, written
@@ -34,15 +35,17 @@ GRID = 1000
 
 @dataclass(frozen=True)
 class OutlierSettings:
-    """support: share of a group that the estimate rests on. steps: concentration steps at most; fewer are taken where no
-    determinant falls any more. subsets: starts from a share of the rows, besides the start from medians and the one from all
-    rows. floor: standard deviation, in units of the transformed statistics, below which no direction counts as known. min_group: documents a group needs for
+    """support: share of a group that the estimate rests on. steps: concentration steps from every start, before the best one
+    goes on until it no longer improves by ``least_fall`` (of half the logarithm of the determinant). small: starts from as few
+    rows as give a scatter, of which some hold no outlier even where many rows are, besides the start from medians and the
+    one from all rows. floor: standard deviation, in units of the transformed statistics, below which no direction counts as known. min_group: documents a group needs for
     an estimate of its own; smaller groups of a language pool, and smaller pools pool again over all languages.
     tail: chance that a clean Gaussian document is rejected; far below usual levels, since honest text has heavier tails than a Gaussian."""
 
     support: float = 0.75
-    steps: int = 8
-    subsets: int = 2
+    steps: int = 2
+    small: int = 3
+    least_fall: float = 1e-6
     floor: float = 0.06
     min_group: int = 100
     tail: float = 1e-14
@@ -201,8 +204,8 @@ def _whitener(sums: DataFrame, scale: float, floor: float) -> DataFrame:
 
 def _starts(rows: DataFrame, settings: OutlierSettings) -> DataFrame:
     """First estimates of each group: exact medians, and quartile ranges as independent scales (start 0; the grid bounds the
-    distinct values that percentile() holds); mean and covariance of all rows (start 1) and of ``subsets`` eighths of the
-    rows, dealt by a hash of their values (starts 2 on)."""
+    distinct values that percentile() holds); mean and covariance of all rows (start 1), and of P + 1 rows, those with the
+    least hash of their values under a seed of the start's (starts 2 on; a map task passes on no more rows than that)."""
     floor = settings.floor * GRID
     q = rows.groupBy("_group").agg(*(F.percentile(f, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(f"_q{i}") for i, f in enumerate(FEATURES)))
     spread = [F.greatest((F.get(f"_q{i}", F.lit(2)) - F.get(f"_q{i}", F.lit(0))) / 1.349, F.lit(floor)) for i in range(P)]
@@ -210,9 +213,13 @@ def _starts(rows: DataFrame, settings: OutlierSettings) -> DataFrame:
         "_group", F.lit(0).alias("_start"), *(F.get(f"_q{i}", F.lit(1)).alias(f"_m{i}") for i in range(P)),
         *((1.0 / spread[i] if i == j else F.lit(0.0)).alias(f"_w{i}_{j}") for i in range(P) for j in range(i + 1)), F.lit(None).cast("double").alias("_logdet"),
     )
-    eighth = F.pmod(F.xxhash64(*FEATURES), F.lit(8)).cast("int")
-    dealt = F.array_append(F.when(eighth < settings.subsets, F.array(eighth + 2)).otherwise(F.array().cast("array<int>")), F.lit(1))
-    return checkpointed(medians.unionByName(_whitener(_sums(rows.withColumn("_start", F.explode(dealt))), 1.0, settings.floor)))
+    sums = _sums(rows.withColumn("_start", F.lit(1)))
+    for start in range(2, 2 + settings.small):
+        hashed = rows.select("_group", *FEATURES, F.xxhash64(F.lit(start), *FEATURES).alias("_hash"))
+        w = Window.partitionBy("_group").orderBy("_hash")
+        few = hashed.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= P + 1)
+        sums = sums.unionByName(_sums(few.withColumn("_start", F.lit(start))))
+    return checkpointed(medians.unionByName(_whitener(sums, 1.0, settings.floor)))
 
 
 def _distances(rows: DataFrame, estimate: DataFrame, few: bool, how: str = "inner") -> DataFrame:
@@ -222,27 +229,40 @@ def _distances(rows: DataFrame, estimate: DataFrame, few: bool, how: str = "inne
     return _with(rows, estimate, ["_group"], few, how).select(*rows.columns, "_start", distance.alias("_d2"))
 
 
+def _concentrated(rows: DataFrame, estimate: DataFrame, settings: OutlierSettings, few: bool) -> DataFrame:
+    """The estimate after a step: that of the share of each group that lies nearest by the one before."""
+    consistency = settings.support / chi2_cdf(chi2_quantile(settings.support, P), P + 2)
+    # Distances on a grid of a hundredth in logarithm: the exact rank of the support needs a few hundred counts a group.
+    near = _distances(rows, estimate, few).withColumn("_b", F.floor(100 * F.log(F.col("_d2") + 1e-6)).cast("long"))
+    cut = checkpointed(near.groupBy("_group", "_start").agg(F.expr(f"percentile_disc({settings.support}) WITHIN GROUP (ORDER BY _b)").alias("_cut")))
+    return _whitener(_sums(_with(near, cut, ["_group", "_start"], few).where(F.col("_b") <= F.col("_cut"))), consistency, settings.floor)
+
+
+def _least(estimates_: DataFrame, keys: list[str]) -> DataFrame:
+    """Of each key the estimate with the least determinant; of equal ones that of the first start."""
+    rest = [c for c in estimates_.columns if c not in (*keys, "_logdet", "_start")]
+    order = ["_logdet", *(["_start"] if "_start" not in keys else []), *rest]
+    best = estimates_.groupBy(*keys).agg(F.min(F.struct(*order)).alias("_e"))
+    return checkpointed(best.select(*((F.col(c) if c in keys else F.col(f"_e.{c}")).alias(c) for c in estimates_.columns)))
+
+
 def estimates(rows: DataFrame, settings: OutlierSettings = OutlierSettings(), few: bool = False) -> DataFrame:
     """The reweighted MCD estimate of each _group of ``rows`` (_group and FEATURES on the grid): means _m, inverse factor _w.
     few: the groups are few enough to broadcast."""
     s = settings
-    estimate = _starts(rows, s)
-    consistency = s.support / chi2_cdf(chi2_quantile(s.support, P), P + 2)
-    best = None
-    for _ in range(s.steps):
-        # Distances on a grid of a hundredth in logarithm: the exact rank of the support needs a few hundred counts a group.
-        near = _distances(rows, estimate, few).withColumn("_b", F.floor(100 * F.log(F.col("_d2") + 1e-6)).cast("long"))
-        cut = checkpointed(near.groupBy("_group", "_start").agg(F.expr(f"percentile_disc({s.support}) WITHIN GROUP (ORDER BY _b)").alias("_cut")))
-        estimate = _whitener(_sums(_with(near, cut, ["_group", "_start"], few).where(F.col("_b") <= F.col("_cut"))), consistency, s.floor)
-        now = estimate.agg(F.sum("_logdet")).first()[0]
-        if now is None or best is not None and now > best - 1e-6:
+    estimate = _concentrated(rows, _starts(rows, s), s, few)
+    for _ in range(s.steps - 1):
+        estimate = _least(estimate.unionByName(_concentrated(rows, estimate, s, few)), ["_group", "_start"])
+    best = moving = _least(estimate, ["_group"])
+    while True:  # each round, at least one group's determinant falls by least_fall, and floor bounds it from below
+        new = _concentrated(rows, moving, s, few)
+        old = moving.select("_group", F.col("_logdet").alias("_old"))
+        moving = checkpointed(new.join(old, "_group").where(F.col("_logdet") < F.col("_old") - s.least_fall).drop("_old"))
+        if moving.isEmpty():
             break
-        best = now
-    # The start with the least determinant; of equal ones the first.
-    least = estimate.groupBy("_group").agg(F.min(F.struct("_logdet", "_start"))["_start"].alias("_start"))
-    estimate = checkpointed(estimate.join(least, ["_group", "_start"]))
+        best = checkpointed(best.join(moving, "_group", "left_anti").unionByName(moving))
     weight_cut = chi2_quantile(0.975, P)
-    return _whitener(_sums(_distances(rows, estimate, few).where(F.col("_d2") <= weight_cut)), 0.975 / chi2_cdf(weight_cut, P + 2), s.floor)
+    return _whitener(_sums(_distances(rows, best, few).where(F.col("_d2") <= weight_cut)), 0.975 / chi2_cdf(weight_cut, P + 2), s.floor)
 
 
 def outlier_verdicts(stats: DataFrame, settings: OutlierSettings = OutlierSettings()) -> DataFrame:
@@ -257,7 +277,7 @@ def outlier_verdicts(stats: DataFrame, settings: OutlierSettings = OutlierSettin
     full = _key(F.col("lang").cast("string"), F.col("source").cast("string"))
     rows = stats.where(~F.col("base_failed")).select(full.alias("_full"), *FEATURES)
     keys = checkpointed(group_keys(stats.where(~F.col("base_failed")), settings.min_group))
-    few = keys.count() * (2 + settings.subsets) <= BROADCAST_ROWS
+    few = keys.count() * (2 + settings.small) <= BROADCAST_ROWS
     rows = written(_with(rows, keys, ["_full"], few).drop("_full"), "grouped")
     estimate = estimates(rows, settings, few)
     bound = chi2_quantile(1 - settings.tail, P)

@@ -49,53 +49,70 @@ def test_quality_statistics(spark, texts):
         assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) == brute_statistics(t), t
 
 
-def numpy_mcd(x, settings):
-    """Location and scatter of one group by the same starts and steps, in numpy."""
+def numpy_mcd(x, settings, starts):
+    """Squared distances of one group's rows by its MCD estimate, in numpy, from the given starts (mean, inverse factor)."""
     floor = (settings.floor * quality.GRID) ** 2
     p = x.shape[1]
 
     def estimate(some, scale):
-        return some.mean(axis=0), np.cov(some.T, bias=True) * scale + floor * np.eye(p)
+        covariance = np.cov(some.T, bias=True) * scale + floor * np.eye(p)
+        return some.mean(axis=0), np.linalg.inv(np.linalg.cholesky(covariance)), np.linalg.slogdet(covariance)[1] / 2
 
     def distances(e):
-        z = x - e[0]
-        return (z @ np.linalg.inv(e[1]) * z).sum(axis=1)
+        return (((x - e[0]) @ e[1].T) ** 2).sum(axis=1)
 
-    low, middle, high = (np.percentile(x, q, axis=0) for q in (25, 50, 75))
-    starts = [(middle, np.diag(np.maximum((high - low) / 1.349, floor**0.5) ** 2)), estimate(x, 1.0)]
     inside = quality.chi2_quantile(settings.support, p)
+
+    def step(e):
+        level = np.floor(100 * np.log(distances(e) + 1e-6))
+        cut = np.sort(level)[int(np.ceil(settings.support * len(x))) - 1]
+        return estimate(x[level <= cut], settings.support / quality.chi2_cdf(inside, p + 2))
+
     ends = []
-    for e in starts:
-        for _ in range(30):
-            d = distances(e)
-            level = np.floor(100 * np.log(d + 1e-6))
-            cut = np.sort(level)[int(np.ceil(settings.support * len(x))) - 1]
-            e = estimate(x[level <= cut], settings.support / quality.chi2_cdf(inside, p + 2))
+    for e in map(step, starts):
+        for _ in range(settings.steps - 1):
+            e = min(e, step(e), key=lambda e: e[2])
         ends.append(e)
-    e = min(ends, key=lambda e: np.linalg.slogdet(e[1])[1])
+    e = min(ends, key=lambda e: e[2])
+    while (new := step(e))[2] < e[2] - settings.least_fall:
+        e = new
     cut = quality.chi2_quantile(0.975, p)
-    e = estimate(x[distances(e) <= cut], 0.975 / quality.chi2_cdf(cut, p + 2))
-    return distances(e)
+    return distances(estimate(x[distances(e) <= cut], 0.975 / quality.chi2_cdf(cut, p + 2)))
 
 
-def test_outliers_against_numpy(spark):
-    """Distances of a group with planted outliers equal those of concentration steps in numpy, and the verdicts are right."""
+def mcd_documents(share, n=400):
+    """Documents of two groups, of which ``share`` have signs in each word and digits in some."""
     rng = np.random.default_rng(3)
-    rows = []
-    for i in range(400):
+    rows, odd = [], set()
+    for i in range(n):
         words = [f"w{rng.integers(0, 10**6)}" for _ in range(int(rng.integers(60, 90)))]
-        if i % 40 == 0:
-            words = [w + "$$$" for w in words]
+        if rng.random() < share:
+            words = [w + "$" * int(rng.integers(3, 6)) + "7" * int(rng.integers(0, 9)) for w in words]
+            odd.add(i)
         rows.append((i, " ".join(words), None if i % 2 else "en", "s"))
+    return rows, odd
+
+
+@pytest.mark.parametrize("share", [0.03, 0.2])
+def test_outliers_against_numpy(spark, monkeypatch, share):
+    """At the settings that the query runs with: distances equal those of numpy from the same starts, verdicts are right, also
+    where a fifth of a group is off, and each start of a few rows rests on P + 1 of them."""
+    rows, odd = mcd_documents(share)
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
-    settings = quality.OutlierSettings(subsets=0, steps=30)
-    got = quality.quality_rules(docs, settings).toPandas()
-    assert set(got.doc_id[~got.kept]) == set(range(0, 400, 40))
-    for group in (got.doc_id % 2 == 0, got.doc_id % 2 == 1):
-        x = got.loc[group, list(quality.FEATURES)].to_numpy()
-        assert np.allclose(got.loc[group, "distance2"], numpy_mcd(x, settings), rtol=1e-6, atol=1e-6)
-    whole = {r.doc_id: r.kept for r in quality.quality_rules(docs).collect()}
-    assert {i for i, k in whole.items() if not k} == set(range(0, 400, 40))
+    settings, seen, real = quality.OutlierSettings(), [], quality._starts
+    monkeypatch.setattr(quality, "_starts", lambda r, s: seen.append(real(r, s)) or seen[-1])
+    got = quality.quality_rules(docs).toPandas()
+    assert set(got.doc_id[~got.kept]) == odd
+    p = len(quality.FEATURES)
+    starts = seen[0].toPandas()
+    assert len(starts) == 2 * (2 + settings.small)
+    for group, parity in (("en", 0), ("null", 1)):
+        x = got.loc[got.doc_id % 2 == parity, list(quality.FEATURES)].to_numpy()
+        mine = starts[starts._group.str.contains(group)].sort_values("_start")
+        first = [(r[[f"_m{i}" for i in range(p)]].to_numpy(float), np.array([[r[f"_w{i}_{j}"] if j <= i else 0.0 for j in range(p)] for i in range(p)])) for _, r in mine.iterrows()]
+        assert np.allclose(first[0][0], np.percentile(x, 50, axis=0)) and np.allclose(first[1][0], x.mean(axis=0))
+        assert all(np.allclose(m * (p + 1), np.round(m * (p + 1))) and np.isfinite(w).all() for m, w in first[2:])  # means of seven rows on the grid
+        assert np.allclose(got.loc[got.doc_id % 2 == parity, "distance2"], numpy_mcd(x, settings, first), rtol=1e-6, atol=1e-6)
     assert quality.quality_rules(docs.limit(0)).count() == 0
 
 
