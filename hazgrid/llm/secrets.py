@@ -24,11 +24,13 @@ ASSIGN_LENGTH = 8
 #: kind: order in the result. The first three are the base kinds.
 KINDS = ("assign", "access", "hex", "entropy_hex", "entropy_base64", "entropy_lower", "entropy_upper")
 
-#: A candidate for the entropy scan (a name and its = aren't part of it), and the window that slides over it.
+#: A candidate for the entropy scan (a name and its = aren't part of it), the runs of hex digits of one case that are candidates
+#: of their own, also within a longer one, and the window that slides over them.
 CANDIDATE = r"[A-Za-z0-9+/_-]{20,}={0,2}"
+HEX_RUN = r"[0-9a-f]{20,}|[0-9A-F]{20,}"
 WINDOW = 20
 #: class: (alphabet, pattern of a candidate of that class, least entropy in bits of a window). A candidate has the first class
-#: that it fits.
+#: that it fits; a window that lies within a hex run is measured as hex, whatever holds the run.
 CLASSES = {
     "entropy_hex": ("0123456789abcdefABCDEF", r"^(?=.*[0-9])(?=.*[a-fA-F])(?:[0-9a-f]+|[0-9A-F]+)$", 3.0),
     "entropy_base64": ("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-", r"^(?=.*[0-9])(?=.*[a-z])(?=.*[A-Z]).+$", 3.6),
@@ -43,6 +45,8 @@ ALLOWED = (
     r"^[/_=-]*(?:[A-Z]?[a-z]+|[A-Z]+|[0-9]{1,4})(?:[/_=-]+(?:[A-Z]?[a-z]+|[A-Z]+|[0-9]{1,4}))+[/_=-]*$",
 )
 BLOCK = 256
+#: Bits of a count (WINDOW + 1 at most), and counts in a long integer.
+BITS, LANES = 5, 12
 
 
 def prefix_sums(values: Column) -> Column:
@@ -85,38 +89,57 @@ def _masked(text: Column) -> Column:
     return text
 
 
-def hot_range(text: Column, alphabet: str, bits: float) -> Column:
-    """(first, last): the starts of the first and the last window of at least ``bits`` of Shannon entropy whose characters are
-    all of ``alphabet``, null without one.
+def hot_runs(text: Column, alphabet: str, bits: float) -> Column:
+    """array of (start, end): the maximal runs of overlapping windows of at least ``bits`` of Shannon entropy whose characters
+    are all of ``alphabet``.
 
     The window's counts by character change by one in and one out at each step, and so does sum(c * log2(c)) of them:
-    entropy = log2(WINDOW) - sum / WINDOW.
+    entropy = log2(WINDOW) - sum / WINDOW. Counts are fields of BITS bits in a few long integers, so that a step changes two
+    fields and copies no array. Code 0 stands for characters outside the alphabet.
     """
-    n = len(alphabet)
+    words = -(-(len(alphabet) + 1) // LANES)
     codes = F.transform(F.split(text, ""), lambda c: F.instr(F.lit(alphabet), c))
     term = F.array(*(F.lit(0.0 if c < 2 else c * math.log2(c)) for c in range(WINDOW + 2)))
     limit = (math.log2(WINDOW) - bits) * WINDOW + 1e-9
+    spans = "array<struct<start:int,end:int>>"
 
     def step(code: Column):
+        def count(state: Column, c: Column) -> Column:
+            word = state["n0"]
+            for k in range(1, words):
+                word = F.when(c >= k * LANES, state[f"n{k}"]).otherwise(word)
+            return F.call_function("shiftright", word, (c % LANES) * BITS).bitwiseAND(F.lit(2**BITS - 1)).cast("int")
+
+        def one(c: Column, k: int) -> Column:
+            """What word k gains by a character c (null: none)."""
+            return F.when((c >= k * LANES) & (c < (k + 1) * LANES), F.call_function("shiftleft", F.lit(1).cast("long"), (c % LANES) * BITS)).otherwise(F.lit(0).cast("long"))
+
         def run(state: Column, i: Column) -> Column:
-            entering = F.get(code, i)
-            leaving = F.when(i >= WINDOW, F.get(code, i - WINDOW)).otherwise(F.lit(-1))
-
-            c_in, c_out = F.get(state["n"], entering), F.get(state["n"], F.greatest(leaving, F.lit(0)))
-            less = F.when(leaving >= 0, F.get(term, c_out - 1) - F.get(term, c_out)).otherwise(0.0)
-            total = F.when(entering == leaving, state["s"]).otherwise(state["s"] + less + F.get(term, c_in + 1) - F.get(term, c_in))
-            counts = F.transform(state["n"], lambda c, k: c + (k == entering).cast("int") - (k == leaving).cast("int"))
-            foreign = F.get(state["n"], F.lit(0)) + (entering == 0).cast("int") - (leaving == 0).cast("int")
-            hot = (i >= WINDOW - 1) & (total <= limit) & (foreign == 0)
-            return F.struct(
-                counts.alias("n"), total.alias("s"),
-                F.when(hot, F.coalesce(state["first"], i - (WINDOW - 1))).otherwise(state["first"]).alias("first"),
-                F.when(hot, i - (WINDOW - 1)).otherwise(state["last"]).alias("last"),
-            )
-
-        none = F.lit(None).cast("int")
-        zero = F.struct(F.array_repeat(F.lit(0), n + 1).alias("n"), F.lit(0.0).alias("s"), none.alias("first"), none.alias("last"))
-        return F.aggregate(F.sequence(F.lit(0), F.size(code) - 1), zero, run, lambda s: F.struct(s["first"].alias("first"), s["last"].alias("last")))
+            pair = F.struct(F.get(code, i).alias("into"), F.when(i >= WINDOW, F.get(code, i - WINDOW)).alias("out"))
+
+            def slide(p: Column) -> Column:
+                into, out = p["into"], p["out"]
+                c_in, c_out = count(state, into), count(state, out)
+                same = F.coalesce(into == out, F.lit(False))
+                less = F.when(out.isNotNull(), F.get(term, c_out - 1) - F.get(term, c_out)).otherwise(0.0)
+                total = F.when(same, state["s"]).otherwise(state["s"] + less + F.get(term, c_in + 1) - F.get(term, c_in))
+                foreign = state["foreign"] + (into == 0).cast("int") - F.coalesce((out == 0).cast("int"), F.lit(0))
+                first = i - (WINDOW - 1)
+                hot = (first >= 0) & (total <= limit) & (foreign == 0)
+                fresh = hot & (state["last"].isNull() | (first >= state["last"] + WINDOW))
+                closed = F.array_append(state["runs"], F.struct(state["first"].alias("start"), (state["last"] + WINDOW).alias("end")))
+                return F.struct(
+                    *(F.when(same, state[f"n{k}"]).otherwise(state[f"n{k}"] + one(into, k) - one(out, k)).alias(f"n{k}") for k in range(words)),
+                    total.alias("s"), foreign.alias("foreign"), F.when(fresh, first).otherwise(state["first"]).alias("first"), F.when(hot, first).otherwise(state["last"]).alias("last"),
+                    F.when(fresh & state["last"].isNotNull(), closed).otherwise(state["runs"]).alias("runs"),
+                )
+
+            return let(pair, slide)
+
+        none, nothing = F.lit(None).cast("int"), F.array().cast(spans)
+        zero = F.struct(*(F.lit(0).cast("long").alias(f"n{k}") for k in range(words)), F.lit(0.0).alias("s"), F.lit(0).alias("foreign"), none.alias("first"), none.alias("last"), nothing.alias("runs"))
+        end = lambda s: F.when(s["last"].isNotNull(), F.array_append(s["runs"], F.struct(s["first"].alias("start"), (s["last"] + WINDOW).alias("end")))).otherwise(nothing)
+        return F.aggregate(F.sequence(F.lit(0), F.size(code) - 1), zero, run, end)
 
     return let(codes, step)
 
@@ -125,8 +148,8 @@ def _entropy_spans(candidates: str, kind: str) -> Column:
     alphabet, pattern, bits = CLASSES[kind]
     before = [p for k, (_, p, _) in CLASSES.items() if KINDS.index(k) < KINDS.index(kind)]
     of_class = F.filter(candidates, lambda c: reduce(lambda found, p: found & ~c["text"].rlike(p), before, c["text"].rlike(pattern)))
-    hot = F.transform(of_class, lambda c: F.struct(c["start"].alias("start"), hot_range(_masked(c["text"]), alphabet, bits).alias("hot")))
-    return F.transform(F.filter(hot, lambda h: h["hot"]["first"].isNotNull()), lambda h: _span(h["start"] + h["hot"]["first"], h["start"] + h["hot"]["last"] + WINDOW, kind))
+    hot = F.transform(of_class, lambda c: F.transform(hot_runs(_masked(c["text"]), alphabet, bits), lambda h: _span(c["start"] + h["start"], c["start"] + h["end"], kind)))
+    return F.flatten(hot)
 
 
 def scan_secrets(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -134,8 +157,9 @@ def scan_secrets(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("
 
     The base kinds are found whatever the method says. The entropy scan takes runs of 20 or more characters, tells their
     class (hex digits, mixed base64, letters of one case with digits), slides a window over them by incremental counts and
-    keeps the stretch of hot windows, unless the run is on the allow-list or the stretch lies within a base span; windows
-    that overlap an allow-listed word aren't hot. Null and empty texts have no spans. Repeated rows give repeated rows, an
+    keeps each maximal run of overlapping hot windows, unless the candidate is on the allow-list or the span lies within a
+    base span; windows that overlap an allow-listed word aren't hot. Hex runs are candidates
+    of their own too, so that a key within a longer run is measured by what it is. Null and empty texts have no spans. Repeated rows give repeated rows, an
     empty table none. Columns of ``keep`` may have any names but ``spans``.
     """
     if "spans" in keep:
@@ -143,7 +167,7 @@ def scan_secrets(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("
     df = docs.select(F.struct(*keep).alias("_kept"), whole_text(text).alias("_t"))
     keep = ["_kept"]
     found: list[str] = []
-    for name, pattern in (("_assign", ASSIGN), ("_access", ACCESS), ("_hex", HEX), ("_candidates", CANDIDATE)):
+    for name, pattern in (("_assign", ASSIGN), ("_access", ACCESS), ("_hex", HEX), ("_candidates", CANDIDATE), ("_hexes", HEX_RUN)):
         df = _scan(df, keep + found, pattern, name)
         found.append(name)
     as_span = lambda kind: lambda m: _span(m["start"], m["start"] + F.length(m["text"]), kind)
@@ -154,11 +178,14 @@ def scan_secrets(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("
         F.transform("_access", as_span("access")).alias("_access"),
         F.transform("_hex", as_span("hex")).alias("_hex"),
         F.filter("_candidates", lambda c: ~c["text"].rlike("|".join(f"(?:{p})" for p in ALLOWED))).alias("_candidates"),
+        "_hexes",
     )
+    # Hex runs stand for the candidates that are hex as a whole.
+    hexes = F.when(F.size("_hexes") > 0, _entropy_spans("_hexes", "entropy_hex")).otherwise(F.array().cast(f"array<{SPAN}>"))
     df = df.select(
         *keep,
         F.concat("_assign", "_access", "_hex").alias("_base"),
-        F.when(F.size("_candidates") > 0, F.concat(*(_entropy_spans("_candidates", kind) for kind in CLASSES))).otherwise(F.array().cast(f"array<{SPAN}>")).alias("_more"),
+        F.concat(hexes, F.when(F.size("_candidates") > 0, F.concat(*(_entropy_spans("_candidates", kind) for kind in KINDS[4:]))).otherwise(F.array().cast(f"array<{SPAN}>"))).alias("_more"),
     )
     within = F.filter("_more", lambda m: ~F.exists("_base", lambda b: (b["start"] <= m["start"]) & (m["end"] <= b["end"])))
     return df.select("_kept.*", F.array_sort(F.concat("_base", within)).alias("spans"))
