@@ -2,8 +2,7 @@
 
 Numpy finds the words of a batch of texts, and for each a 64-bit key and a second 64-bit number that confirms it; distinct
 keys are looked up in a sorted table, and ids are gathered from its pool. Words that share a key and differ in the second
-number are encoded apart. Only words that the table lacks become strings, and the library sees only units of those that it
-hasn't met lately.
+number are encoded apart. Only words that the table lacks become strings and go to the library.
 """
 
 from __future__ import annotations
@@ -17,23 +16,28 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 
-#: Words that the table holds; units that are remembered, twice over (a young and an old generation).
-TABLE_WORDS, CACHE_UNITS, CACHE_LENGTH = 1_500_000, 400_000, 64
+#: Words that the table holds.
+TABLE_WORDS = 1_500_000
 #: Bytes of text in work at a time, where memory is a few times that, and where words are gathered.
 SLICE_CHARS = 4_000_000
 GATHER_CHARS = 10_000_000
-#: Units that the library encodes as one text.
+#: Words that the library encodes as one text.
 JOINED = 512
 #: Words of up to so many bytes get their key from numpy, longer ones from a hash function.
 SHORT = 32
 _ASCII_SPACES = tuple(" \t\n\x0b\x0c\r")
 
-#: A run of letters between runs of signs. No token reaches over their borders: the tokenizer splits letters from signs
-#: before it merges. Apostrophes aren't among the signs, since "'s" and the like are split off with their letters.
+#: No token reaches over the border of letters and signs: the tokenizers split them before they merge. Apostrophes aren't
+#: among the signs, since "'s" and the like are split off with their letters.
 SIGNS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 #: U+0130 isn't among the letters: in lower case it is two characters, and the second is no letter.
 LETTERS = re.compile("[A-Za-zÀ-ÖØ-öø-įı-ɏ]+")
 
+#: By byte: 1 for ASCII letters, 2 for SIGNS.
+_KIND = np.zeros(256, np.uint8)
+_KIND[[*b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"]] = 1
+_KIND[[*SIGNS.encode()]] = 2
+
 _KEEP = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 _odd = np.random.default_rng(20_241_105).integers(0, 2**63, SHORT // 8 + 1, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _CHECK = np.uint64(0x9E3779B97F4A7C15)
@@ -193,6 +197,24 @@ class _Encoder:
         return ids, np.diff(ends[np.searchsorted(starts, offsets)])
 
 
+def _split(flat: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """``starts`` of words, and the places in them between a letter (of ASCII, or of two bytes up to U+023F but for U+0130) and a
+    sign, but not of words that may hold a special token's name. Copies of a word with other signs around it are then one
+    word, and the signs another."""
+    kinds = _KIND[flat]
+    lead = np.flatnonzero((flat >= 0xC3) & (flat <= 0xC8))
+    pair = flat[lead].astype(np.uint16) << 8 | flat[lead + 1]
+    lead = lead[(pair != 0xC397) & (pair != 0xC3B7) & (pair != 0xC4B0)]
+    kinds[lead] = kinds[lead + 1] = 1
+    cuts = np.flatnonzero(kinds[1:] + kinds[:-1] == 3) + 1
+    bars = np.flatnonzero((flat[:-1] == 0x3C) & (flat[1:] == 0x7C))
+    if len(bars):
+        special = np.zeros(len(starts) + 1, bool)
+        special[np.searchsorted(starts, bars, side="right")] = True
+        cuts = cuts[~special[np.searchsorted(starts, cuts, side="right")]]
+    return np.sort(np.concatenate([starts, cuts]), kind="stable")
+
+
 def _strings(data: bytes, starts: np.ndarray, lengths: np.ndarray) -> list[str]:
     return [data[a:b].decode("utf-8", "replace") for a, b in zip(starts.tolist(), (starts + lengths).tolist(), strict=True)]
 
@@ -210,8 +232,8 @@ def _put(ids: np.ndarray, counts: np.ndarray, at: np.ndarray, runs: list[bytes])
 class WordEncoder(_Encoder):
     """Ids of texts by a tokenizer that drops spaces between words.
 
-    A space or line end always ends a word for such a tokenizer. Words are encoded by the library and remembered while they
-    recur; a word of letters between signs is put together from those three units, each of which is one word to the tokenizer.
+    A space or line end always ends a word for such a tokenizer, and so does the border between a letter and a sign. What
+    is all letters or all signs is one word to it, so many of these are encoded as one text and told apart by their ends.
     """
 
     def __init__(self, path: str):
@@ -224,60 +246,44 @@ class WordEncoder(_Encoder):
         self.last = np.zeros(65536, bool)  # ids that end a word
         for token, id_ in self.tokenizer.get_vocab().items():
             self.last[id_] = token.endswith("</w>")
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-
-    def _units(self, wanted: set[str]) -> dict[str, bytes]:
-        """Ids of units that are one word each to the tokenizer: many are encoded as one text and told apart by their ends."""
-        young, old = self.young, self.old
-        found = {u: young[u] if u in young else old[u] for u in wanted if u in young or u in old}
-        fresh = wanted - found.keys()
-        plain = [u for u in fresh if u.isascii() and u.isalpha()]
-        new = self._joined(self.plain, plain) | self._joined(self.tokenizer, list(fresh.difference(plain)))
-        if len(young) + len(new) > CACHE_UNITS:
-            self.young, self.old = {}, young
-        self.young.update((u, x) for u, x in new.items() if len(u) <= CACHE_LENGTH)
-        return found | new
-
-    def _joined(self, tokenizer, units: list[str]) -> dict[str, bytes]:
-        runs = [units[at : at + JOINED] for at in range(0, len(units), JOINED)]
-        new = {}
-        for run, encoded in zip(runs, tokenizer.encode_batch_fast([" ".join(run) for run in runs], add_special_tokens=False), strict=True):
+
+    def _joined(self, tokenizer, words: list[str], at: list[int], out: list[bytes]) -> None:
+        """Puts the ids of ``words`` at the places ``at`` of ``out``."""
+        runs = range(0, len(words), JOINED)
+        for k, encoded in zip(runs, tokenizer.encode_batch_fast([" ".join(words[k : k + JOINED]) for k in runs], add_special_tokens=False), strict=True):
             ids = np.array(encoded.ids, "<u2")
-            ends = (np.flatnonzero(self.last[ids]) + 1).tolist()
-            if len(ends) != len(run) or ends[-1] != len(ids):  # a unit that isn't one word
-                new.update(zip(run, self._alone(run), strict=True))
+            ends = np.flatnonzero(self.last[ids])
+            places = at[k : k + JOINED]
+            if len(ends) != len(places) or ends[-1] != len(ids) - 1:  # a word that isn't one to the library
+                for place, alone in zip(places, self._alone(words[k : k + JOINED]), strict=True):
+                    out[place] = alone
                 continue
             flat, before = ids.tobytes(), 0
-            for unit, end in zip(run, ends, strict=True):
-                new[unit] = flat[2 * before : 2 * end]
+            for place, end in zip(places, (2 * ends + 2).tolist(), strict=True):
+                out[place] = flat[before:end]
                 before = end
-        return new
 
     def _encoded(self, words: list[str]) -> list[bytes]:
-        """Ids of each of ``words``."""
-        plain = [w.isascii() and w.isalpha() for w in words]
-        cores = [w if p else w.strip(SIGNS) for w, p in zip(words, plain, strict=True)]
-        split = [p or LETTERS.fullmatch(c) is not None and "<|" not in w for w, c, p in zip(words, cores, plain, strict=True)]
-        cores = [c.lower() if c.isascii() else c for c in cores]
-        signed = [i for i, s in enumerate(split) if s and len(cores[i]) != len(words[i])]
-        leads = [words[i][: len(words[i]) - len(words[i].lstrip(SIGNS))] for i in signed]
-        tails = [words[i][len(words[i].rstrip(SIGNS)) :] for i in signed]
-        units = self._units({*(c for c, s in zip(cores, split, strict=True) if s), *leads, *tails} - {""})
-        units[""] = b""
-        ids = [units[c] if s else b"" for c, s in zip(cores, split, strict=True)]
-        for i, lead, tail in zip(signed, leads, tails, strict=True):
-            ids[i] = units[lead] + ids[i] + units[tail]
-        whole = [i for i, s in enumerate(split) if not s]
-        for i, encoded in zip(whole, self._alone([words[i] for i in whole]), strict=True):
-            ids[i] = encoded
-        return ids
+        out = [b""] * len(words)
+        plain = [i for i, w in enumerate(words) if w.isascii() and w.isalpha()]
+        self._joined(self.plain, [words[i].lower() for i in plain], plain, out)
+        others = sorted({*range(len(words))}.difference(plain))
+        one = [i for i in others if LETTERS.fullmatch(words[i]) or not words[i].strip(SIGNS) and "<|" not in words[i]]
+        self._joined(self.tokenizer, [words[i] for i in one], one, out)
+        rest = sorted({*others}.difference(one))
+        for i, ids in zip(rest, self._alone([words[i] for i in rest]), strict=True):
+            out[i] = ids
+        return out
 
     def _words(self, flat: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        marks = np.flatnonzero((flat == 32) | (flat == 10))
-        starts = np.sort(np.concatenate([offsets[:-1], marks + 1]), kind="stable")
-        lengths = np.sort(np.concatenate([marks, offsets[1:]]), kind="stable") - starts
-        return starts[lengths > 0], lengths[lengths > 0]
+        # A word begins at a text, after a space or line end, and at one, which is a word without ids.
+        blank = (flat == 32) | (flat == 10)
+        edges = np.flatnonzero(blank[1:] != blank[:-1]) + 1
+        starts = _split(flat, np.sort(np.concatenate([offsets[:-1], edges]), kind="stable"))
+        lengths = np.diff(np.append(starts, offsets[-1]))
+        some = np.flatnonzero(lengths > 0)
+        some = some[~blank[starts[some]]]
+        return starts[some], lengths[some]
 
 
 class ByteEncoder(_Encoder):
@@ -301,7 +307,7 @@ class ByteEncoder(_Encoder):
         high = np.flatnonzero(flat[cuts - 1] >= 0x80)
         before, third = flat[np.maximum(cuts[high] - 2, 0)], flat[np.maximum(cuts[high] - 3, 0)]
         cuts = np.delete(cuts, high[(before == 0xC2) | ((third >= 0xE1) & (third <= 0xE3))])
-        starts = np.sort(np.concatenate([offsets[:-1], cuts]), kind="stable")
+        starts = _split(flat, np.sort(np.concatenate([offsets[:-1], cuts]), kind="stable"))
         lengths = np.diff(np.append(starts, offsets[-1]))
         return starts[lengths > 0], lengths[lengths > 0]
 

@@ -70,7 +70,6 @@ def test_words_that_share_a_key(encoder, texts, monkeypatch):
 
 def test_encoders_that_forget(encoder, texts, monkeypatch):
     monkeypatch.setattr(tokens, "TABLE_WORDS", 40)
-    monkeypatch.setattr(tokens, "CACHE_UNITS", 30)
     check_encoder(*encoder, texts + texts)
 
 
