@@ -21,7 +21,7 @@ import zlib
 import numpy as np
 
 BLOCK = 512
-LANES = 12_288
+LANES = 6_144
 MAGIC = b"HGT2"
 #: Doublings of a frequency, so that the largest is 2 ** DOUBLINGS.
 DOUBLINGS = 3
@@ -62,8 +62,7 @@ class _Model:
         self.base1 = self.lane * (BLOCK + 1)
         self.known, self.here = np.zeros(lanes * (BLOCK + 1), np.int64), np.zeros(lanes, np.int64)
         self.after2 = np.zeros(lanes * _SLOTS2, np.uint16)
-        self.mix_a, self.mix_b = np.full(lanes * 32, _START, np.int64), np.full(lanes * 16, _START, np.int64)
-        self.base_a, self.base_b = self.lane * 32, self.lane * 16
+        self.mix_a, self.mix_b = np.full(32 * lanes, _START, np.int64), np.full(16 * lanes, _START, np.int64)  # by state, then lane
         self.order = np.tile(np.arange(BLOCK, dtype=np.uint16), lanes)
         self.place = self.order.copy()
         self.borders = np.zeros((DOUBLINGS, lanes), np.int64)
@@ -80,8 +79,8 @@ class _Model:
         e2 = self.after2.take(self.i2).astype(np.int64)
         self.p1, self.p2 = (self.here & 0xFFF) - 1, (e2 & 0xFFF) - 1
         self.k1, self.k2 = self.here & 0x3000, e2 & 0x3000
-        self.a = self.base_a + ((self.k2 >> 9) + (self.k1 >> 11) + (self.p1 == self.p2))
-        self.b = self.base_b + self.outcomes
+        self.a = ((self.k2 >> 9) + (self.k1 >> 11) + (self.p1 == self.p2)) * self.n + self.lane
+        self.b = self.outcomes * self.n + self.lane
         self.wa, self.wb = self.mix_a.take(self.a), self.mix_b.take(self.b)
         w = self.wa + self.wb + _FLOOR
         c = self.cumulative
@@ -148,7 +147,7 @@ def _numbered(lanes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     ranked = np.sort((lanes.astype(np.uint32) << 16) | np.arange(size, dtype=np.uint32), axis=1)
     starts = np.ones(lanes.shape, bool)
     starts[:, 1:] = (ranked[:, 1:] ^ ranked[:, :-1]) >> 16 != 0
-    at = ((ranked & 0xFFFF).astype(np.int64) + size * np.arange(n)[:, None]).reshape(-1)
+    at = ((ranked & 0xFFFF).view(np.int32) + np.int32(size) * np.arange(n, dtype=np.int32)[:, None]).reshape(-1)
     first = np.flatnonzero(starts)
     new = np.zeros(lanes.shape, bool)
     new.reshape(-1)[at[first]] = True
@@ -164,10 +163,9 @@ def _encode_lanes(lanes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     model = _Model(n)
     numbers, fresh = _numbered(lanes)
     numbers, fresh, columns = np.ascontiguousarray(numbers.T), np.ascontiguousarray(fresh.T).view(np.uint8), np.ascontiguousarray(lanes.T)
-    digits = np.zeros((n, BLOCK + 8), np.uint64)
+    digits = np.zeros((BLOCK + 8, n), np.uint64)
     flat = digits.reshape(-1)
-    start_of = np.arange(n, dtype=np.int64) * digits.shape[1]
-    place = start_of.copy()
+    place = model.lane.copy()  # in the row of the next digit
     low, span = np.zeros(n, np.int64), np.full(n, (1 << _TOP) - 1, np.int64)
     for step in range(BLOCK):
         ids, new = numbers[step].astype(np.int64), fresh[step]
@@ -192,20 +190,20 @@ def _encode_lanes(lanes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             span[who] = r
         over = np.flatnonzero(low >> _TOP)
         if len(over):
-            flat[place[over] - 1] += 1
+            flat[place[over] - n] += 1
             low[over] &= (1 << _TOP) - 1
         small = np.flatnonzero(span < 1 << _LOW)
         if len(small):
             out = low[small]
             flat[place[small]] = out >> _LOW
-            place[small] += 1
+            place[small] += n
             low[small] = (out & (1 << _LOW) - 1) << 32
             span[small] <<= 32
         model.learn(ids, outcome)
-    flat[place], flat[place + 1] = low >> _LOW, (low & (1 << _LOW) - 1) << 2
-    for k in range(digits.shape[1] - 1, 0, -1):
-        digits[:, k - 1] += digits[:, k] >> np.uint64(32)
-    return digits.astype("<u4"), place + 2 - start_of
+    flat[place], flat[place + n] = low >> _LOW, (low & (1 << _LOW) - 1) << 2
+    for k in range(len(digits) - 1, 0, -1):
+        digits[k - 1] += digits[k] >> np.uint64(32)
+    return np.ascontiguousarray(digits.astype("<u4").T), place // n + 2
 
 
 def _decode_lanes(digits: np.ndarray, starts: np.ndarray) -> np.ndarray:
