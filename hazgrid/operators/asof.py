@@ -18,7 +18,10 @@ def asof(
     """
     keys, times = [key] if isinstance(key, str) else list(key), [time] if isinstance(time, str) else list(time)
     at = F.struct(*(F.col(t).alias(f"t{i}") for i, t in enumerate(times)))
-    axis = F.col(times[0]).cast("double") / (width or 1)
+    axis = F.col(times[0])
+    if dict(left.dtypes)[times[0]].startswith("timestamp"):
+        axis = axis.cast("timestamp")
+    axis = axis.cast("double") / (width or 1)
     block = F.floor(-axis if forward else axis) if width else F.lit(0).cast("long")
     first = 1 if strict else 0  # where right rows come among those of one time, in either direction
     whole = F.lit(None).cast(left.select(F.struct("*")).schema[0].dataType)

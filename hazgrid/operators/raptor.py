@@ -15,8 +15,6 @@ from hazgrid.operators.shared import settled
 
 #: Boardings at most, where a caller says nothing.
 ROUNDS = 4
-#: Days before the asked one whose trips may still run.
-CARRY_DAYS = 3
 # Fixed value: seconds that a change of vehicles counts for when journeys are compared.
 CHANGE_COST = 300
 #: Seconds of departures in a block of the board.
@@ -154,11 +152,3 @@ def carried(events: DataFrame, day_start: int) -> DataFrame:
     going = rest.groupBy("trip").agg(F.count("*").alias("_n")).where("_n >= 2")
     rest = rest.join(going, "trip", "left_semi")
     return rest.withColumns({"arrive": F.greatest("arrive", F.lit(day_start)) - day_start, "depart": F.col("depart") - day_start})
-
-
-def checked_day_starts(starts: list[float]) -> list[int]:
-    """Seconds from the start of each earlier service day to the asked one; whole calendar days where any is off by over two
-    hours or isn't whole."""
-    whole = [86_400 * (k + 1) for k in range(CARRY_DAYS)]
-    sound = len(starts) == CARRY_DAYS and all(s == s and abs(s - w) <= 7_200 and float(s).is_integer() for s, w in zip(starts, whole, strict=True))
-    return [int(s) for s in starts] if sound else whole

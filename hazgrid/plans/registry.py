@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from hazgrid.plans import drives, feeds, habits, hazards, joins, lines, paths, risk, routes, text, trips
+from hazgrid.plans import drives, feeds, habits, hazards, joins, lines, live, paths, risk, routes, shapes, text, trips
 
-MODULES = (risk, hazards, joins, paths, trips, drives, routes, lines, feeds, habits, text)
+MODULES = (risk, hazards, joins, paths, trips, drives, routes, lines, shapes, live, feeds, habits, text)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -163,13 +163,6 @@ def test_journeys_are_read_back_with_walks(spark):
     assert raptor.arrivals(events, 1, 0, walks=walks, change=9).where("stop = 3 and round = 2").isEmpty()
 
 
-def test_day_starts():
-    from hazgrid.operators import raptor
-
-    assert raptor.checked_day_starts([90_000.0, 176_400.0, 262_800.0]) == [90_000, 176_400, 262_800]
-    assert raptor.checked_day_starts([90_000.5, 172_800.0, 259_200.0]) == raptor.checked_day_starts([float("nan")] * 3) == [86_400, 172_800, 259_200]
-
-
 def test_whole_timetable_has_each_order_and_four_boardings(spark, tmp_path):
     from hazgrid.plans import joins
 
