@@ -17,6 +17,9 @@ from hazgrid.operators import spatial
 FIRE, QUAKE, PERIMETER, GAUGE, WATER, VOLCANO, TSUNAMI, CLOSURE, CLOSURE_FULL = 30_000.0, 150_000.0, 12_000.0, 20_000.0, 6_000.0, 80_000.0, 500_000.0, 2_000.0, 300.0
 QUAKE_HOURS = 24.0
 
+#: Degrees of a piece of a perimeter's edge.
+PIECE = 0.25
+
 
 def _best(points: DataFrame, feed: DataFrame, key: str, reach: float, size: float, score: Column) -> DataFrame:
     """A score that is no number, as of a reading that is none, counts as none."""
@@ -72,14 +75,18 @@ def closures(points: DataFrame, feed: DataFrame, key: str) -> DataFrame:
 
 
 def perimeters(points: DataFrame, rings: DataFrame, key: str, size: float = 0.5) -> DataFrame:
-    """Fire perimeters (ring_id, ring): 1 inside, up to 0.7 within 12 km of an edge."""
+    """Fire perimeters (ring_id, ring): 1 inside, up to 0.7 within 12 km of an edge. Edges are cut into pieces of a quarter
+    degree at most, so that one long edge doesn't widen the search for all."""
     inside = spatial.containing(points, rings, size).select(key).distinct().withColumn("_in", F.lit(1.0))
     n = F.size("ring")
     edges = rings.select("ring_id", F.posexplode("ring").alias("i", "a"), "ring").withColumn("b", F.get("ring", (F.col("i") + 1) % n)).drop("ring")
+    pieces = F.greatest(F.ceil(F.hypot(F.col("a.y") - F.col("b.y"), F.col("a.x") - F.col("b.x")) / PIECE), F.lit(1)).cast("int")
+    edges = edges.withColumn("_n", pieces).withColumn("_k", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
+    at = lambda k: F.struct(*((F.col(f"a.{c}") + (F.col(f"b.{c}") - F.col(f"a.{c}")) * (k / F.col("_n"))).alias(c) for c in ("x", "y")))
+    edges = edges.select("ring_id", at(F.col("_k")).alias("a"), at(F.col("_k") + 1).alias("b"))
     edges = edges.withColumns({"ref_lat": (F.col("a.y") + F.col("b.y")) / 2, "ref_lon": (F.col("a.x") + F.col("b.x")) / 2})
-    half = F.hypot(F.col("a.y") - F.col("b.y"), F.col("a.x") - F.col("b.x")) * 55_660.0
-    longest = edges.agg(F.max(half)).first()[0] or 0.0
-    near = spatial.within(points, edges, PERIMETER + longest, max(size, (PERIMETER + longest) / 111_320.0))
+    reach = PERIMETER + PIECE / 2 * 111_320.0
+    near = spatial.within(points, edges, reach, max(size, reach / 111_320.0))
     k = F.cos(F.radians("lat"))
     d = segment_distance(F.lit(0.0), F.lit(0.0), (F.col("a.x") - F.col("lon")) * k, F.col("a.y") - F.col("lat"), (F.col("b.x") - F.col("lon")) * k, F.col("b.y") - F.col("lat")) * 111_320.0
     edge = near.groupBy(key).agg(F.max(F.when(d < PERIMETER, 0.7 * (1 - d / PERIMETER))).alias("_e"))

@@ -11,6 +11,8 @@ HALF_LIFE_WEEKS = 52.0
 # Kernel of the seasonal prior, by distance in weeks; weight for full confidence.
 KERNEL = {0: 1.0, 1: 0.5}
 FULL_CONFIDENCE = 5.0
+# Trips that a route needs for a prior, and a long one.
+TRIPS, TRIPS_FAR = 6, 2
 
 
 def decayed(df: DataFrame, keys: list[str], age: Column, half_life: float, **sums: Column) -> DataFrame:
@@ -19,12 +21,16 @@ def decayed(df: DataFrame, keys: list[str], age: Column, half_life: float, **sum
     return df.groupBy(*keys).agg(F.sum(w).alias("weight"), F.count("*").alias("n"), *(F.sum(w * c).alias(name) for name, c in sums.items()))
 
 
-def seasonal_prior(cells: DataFrame, keys: list[str], week: Column) -> DataFrame:
-    """Prior and confidence for ``week`` from cells (keys, week, weight, observed): the week and its neighbours at half weight."""
+def seasonal_prior(cells: DataFrame, keys: list[str], week: Column, trips: Column | None = None, far: Column | None = None) -> DataFrame:
+    """Prior and confidence for ``week`` from cells (keys, week, weight, observed): the week and its neighbours at half weight; the
+    confidence is the week's own. A key needs six trips (``trips``, of all its cells together), two where ``far`` holds."""
     d = week_distance(F.col("week"), week)
     k = F.when(d == 0, KERNEL[0]).when(d == 1, KERNEL[1])
     total = F.sum(k * F.col("weight"))
-    return cells.where(d <= 1).groupBy(*keys).agg((F.sum(k * F.col("observed")) / total).alias("prior"), F.least(F.lit(1.0), total / FULL_CONFIDENCE).alias("confidence"))
+    gate = F.lit(True) if trips is None else F.sum(trips) >= F.when(F.lit(False) if far is None else F.coalesce(F.bool_or(far), F.lit(False)), TRIPS_FAR).otherwise(TRIPS)
+    own = F.coalesce(F.sum(F.when(d == 0, F.col("weight"))), F.lit(0.0))
+    found = cells.groupBy(*keys).agg(gate.alias("_gate"), (F.sum(k * F.col("observed")) / total).alias("prior"), F.least(F.lit(1.0), own / FULL_CONFIDENCE).alias("confidence"), total.alias("_total"))
+    return found.where(F.col("_gate") & (F.col("_total") > 0)).drop("_gate", "_total")
 
 
 def ladder(local: DataFrame, pooled: DataFrame, keys: list[str], pooled_keys: list[str], least: int, low: float, high: float) -> DataFrame:

@@ -89,12 +89,20 @@ def corridor_blend(spark, sf):
     return s.select("l_orderkey", *(F.round(c, 6).alias(c) for c in ("mean", "peak", "coverage", "exposure")), "unchecked")
 
 
-def badge_clusters(spark, sf):
-    """Marks of a nation's customers in views of two degrees, clustered by account balance. Marks of different views don't meet."""
+def _marks(spark, sf):
+    """Customers as marks of one map, in whole cents so that ties are exact."""
     c = place(table(spark, sf, "customer"), "c_custkey")
-    tile = (F.floor(F.col("lat") / 2) + 90) * 1000 + F.floor(F.col("lon") / 2) + 180  # a screen's worth of two degrees
-    marks = c.select((F.col("c_nationkey") * 1_000_000 + tile).cast("long").alias("view"), F.col("c_custkey").alias("id"), (F.col("c_custkey") % 3).alias("kind"), "lat", "lon", F.col("c_acctbal").alias("score"))
-    return clusters.greedy_clusters(marks, "view", 6.0).select("view", "seed", "kind", F.round("lat", 6).alias("lat"), F.round("lon", 6).alias("lon"), "n")
+    return c.select(F.lit(1).cast("long").alias("view"), F.col("c_custkey").alias("id"), (F.col("c_custkey") % 3).alias("kind"), "lat", "lon", F.round(F.col("c_acctbal") * 100).alias("score"))
+
+
+def badge_clusters(spark, sf):
+    """All customers as marks of one map, clustered within 1.1 degrees by account balance."""
+    return clusters.greedy_clusters(_marks(spark, sf), "view", 1.1).select("view", "seed", "kind", F.round("lat", 6).alias("lat"), F.round("lon", 6).alias("lon"), "n")
+
+
+def decluttered(spark, sf):
+    """The marks of all kinds that a map shows when none may be nearer than two degrees to a better one."""
+    return clusters.declutter(_marks(spark, sf), "view", 2.0).select("id", "kind")
 
 
 def nation_hulls(spark, sf):
@@ -102,6 +110,14 @@ def nation_hulls(spark, sf):
     return clusters.hulls(c.select(F.col("c_nationkey").cast("long").alias("nation"), "x", "y"), "nation")
 
 
+def _greedy_sql(least, same):
+    """Marks in order of score, each against the list of those that stayed before it."""
+    return f"""WITH RECURSIVE m AS (SELECT c_custkey AS id, c_custkey % 3 AS kind, round(c_acctbal * 100) AS score, {place_sql('c_custkey')} FROM customer), o AS (SELECT *, row_number() OVER (ORDER BY score DESC, id) AS r FROM m),
+f AS (SELECT 0::BIGINT AS r, []::STRUCT(id BIGINT, kind BIGINT, lat DOUBLE, lon DOUBLE, score DOUBLE)[] AS s UNION ALL SELECT o.r, CASE WHEN len(list_filter(s, lambda x: {same} sqrt(power(x.lat - o.lat, 2) + power(x.lon - o.lon, 2)) < {least})) > 0 THEN s
+ ELSE list_append(s, {{'id': o.id, 'kind': o.kind, 'lat': o.lat::DOUBLE, 'lon': o.lon::DOUBLE, 'score': o.score}}) END FROM f JOIN o ON o.r = f.r + 1),
+z AS (SELECT unnest(s, recursive := true) FROM f WHERE r = (SELECT count(*) FROM o))"""
+
+
 _FEED = f"""c AS (SELECT c_custkey, {place_sql('c_custkey')} FROM customer), s AS (SELECT s_suppkey, {place_sql('s_suppkey', 'rlat', 'rlon')}, (s_suppkey % 130)::DOUBLE AS frp, 2.5 + (s_suppkey % 60) / 10 AS magnitude,
  (s_suppkey % 30)::DOUBLE AS age, (30 + s_suppkey * 7 % 120)::DOUBLE AS knots, s_suppkey % 4 AS lv, s_suppkey % 5 AS cat FROM supplier), p AS (SELECT *, {METERS_SQL} AS m FROM c, s)"""
 
@@ -143,4 +159,9 @@ t AS (SELECT *, 1 - (1 - fire) * (1 - flood) * (1 - closure) AS p, 1 - (1 - 0.64
 r AS (SELECT *, greatest(p * (1 + (1 - p) * q), least(0.8, q)) AS risk FROM t)
 SELECT l_orderkey, round(avg(risk), 6) AS mean, round(max(risk), 6) AS peak, round(avg(CASE WHEN risk > 0 THEN 1.0 ELSE 0.0 END), 6) AS coverage, round(sum(environmental), 6) AS exposure, bool_or(k % 7 <> 0) AS unchecked FROM r GROUP BY l_orderkey""",
 }
-QUERIES = {name: globals()[name] for name in [*SQL, "badge_clusters", "nation_hulls"]}
+SQL |= {
+    "badge_clusters": f"""{_greedy_sql(1.1, 'x.kind = o.kind AND')}, j AS (SELECT m.*, z.id AS seed, z.score AS zs FROM m JOIN z ON z.kind = m.kind AND sqrt(power(z.lat - m.lat, 2) + power(z.lon - m.lon, 2)) < 1.1 QUALIFY row_number() OVER (PARTITION BY m.id ORDER BY z.score DESC, z.id) = 1)
+SELECT 1::BIGINT AS view, seed, kind, round(sum(lat * greatest(score, 1e-4)) / sum(greatest(score, 1e-4)), 6) AS lat, round(sum(lon * greatest(score, 1e-4)) / sum(greatest(score, 1e-4)), 6) AS lon, count(*) AS n FROM j GROUP BY seed, kind""",
+    "decluttered": f"{_greedy_sql(2.0, '')} SELECT id, kind FROM z",
+}
+QUERIES = {name: globals()[name] for name in [*SQL, "nation_hulls"]}

@@ -29,13 +29,12 @@ def _calls(events):
     at = F.concat(F.date_format("ts", "yyyy-MM-dd"), F.lit("T"), F.lpad((k % 8 + 10).cast("string"), 2, "0"), F.lit(":"), F.lpad((k * 7 % 60).cast("string"), 2, "0"), F.lit(":00.000"))
     of = lambda names: F.get(F.array(*map(F.lit, names)), (k % 8).cast("int"))
     lat, lon = k * 13 % 100 / 2000.0, k * 29 % 100 / 2000.0
-    sf = F.to_json(
-        F.struct(
-            F.when(k % 11 != 0, k.cast("string")).alias("cad_number"), of(CALLS).alias("call_type_final_desc"), F.lit("Suspicious person").alias("call_type_original_desc"), at.alias("received_datetime"),
-            F.struct(F.array(-122.42 + lon, 37.77 + lat).alias("coordinates")).alias("intersection_point"), F.get(F.array(*map(F.lit, "ABC")), (k % 3).cast("int")).alias("priority_final"),
-        )
+    named = lambda **columns: F.to_json(F.named_struct(*(x for name, c in columns.items() for x in (F.lit(name), c))))
+    sf = named(
+        cad_number=F.when(k % 11 != 0, k.cast("string")), call_type_final_desc=of(CALLS), call_type_original_desc=F.lit("Suspicious person"), received_datetime=at,
+        intersection_point=F.named_struct(F.lit("coordinates"), F.array(-122.42 + lon, 37.77 + lat)), priority_final=F.get(F.array(*map(F.lit, "ABC")), (k % 3).cast("int")),
     )
-    sea = F.to_json(F.struct(k.cast("string").alias("incident_number"), of(FIRES).alias("type"), at.alias("datetime"), F.when(k % 7 != 0, (47.6 + lat).cast("string")).alias("latitude"), (-122.33 + lon).cast("string").alias("longitude")))
+    sea = named(incident_number=k.cast("string"), type=of(FIRES), datetime=at, latitude=F.when(k % 7 != 0, (47.6 + lat).cast("string")), longitude=(-122.33 + lon).cast("string"))
     polls = F.explode(F.array_repeat(F.lit(1), F.when(k % 3 == 0, 2).otherwise(1)))  # a third of the rows come twice
     return events.select(F.when(k % 2 == 0, "sf-police").otherwise("seattle-fire").alias("feed"), F.when(k % 2 == 0, sf).otherwise(sea).alias("row"), polls.alias("_")).drop("_")
 

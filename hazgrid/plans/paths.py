@@ -72,7 +72,7 @@ def rmse_decayed(spark, sf):
 def seasonal_prior(spark, sf):
     e = table(spark, sf, "events").withColumn("week", clock.week_of_year(F.col("ts")))
     cells = learning.decayed(e, ["user_id", "week"], _age_days(), 364.0, observed=F.col("value") / 1000)
-    prior = learning.seasonal_prior(cells, ["user_id"], F.lit(1))
+    prior = learning.seasonal_prior(cells, ["user_id"], F.lit(1), trips=F.col("n"), far=F.col("user_id") % 7 == 0)
     return prior.select("user_id", F.round("prior", 6).alias("prior"), F.round("confidence", 6).alias("confidence"))
 
 
@@ -165,9 +165,9 @@ f AS (SELECT l_orderkey, seq, CASE WHEN q >= 50 THEN 0.0 ELSE q END::DOUBLE AS s
  UNION ALL SELECT n.l_orderkey, n.seq, CASE WHEN f.since + n.q >= 50 THEN 0.0 ELSE f.since + n.q END, f.since + n.q >= 50 FROM f JOIN n ON n.l_orderkey = f.l_orderkey AND n.seq = f.seq + 1) SELECT l_orderkey, seq FROM f WHERE cut""",
     "decayed_mean": f"SELECT user_id, count(*) AS n, round(sum({_DECAY}), 6) AS weight, round(sum({_DECAY} * value) / sum({_DECAY}), 6) AS mean FROM events GROUP BY user_id",
     "rmse_decayed": f"SELECT event_type, round(sqrt(sum({_DECAY} * power(value - 50, 2)) / sum({_DECAY})), 6) AS rmse FROM events GROUP BY event_type",
-    "seasonal_prior": f"""WITH c AS (SELECT user_id, CAST(least((dayofyear(ts) - 1) // 7, 51) AS INTEGER) AS week, sum({_DECAY}) AS w, sum({_DECAY} * value / 1000) AS o FROM events GROUP BY ALL),
-k AS (SELECT *, CASE WHEN week = 1 THEN 1.0 WHEN week IN (0, 2) THEN 0.5 END AS k FROM c WHERE week IN (0, 1, 2))
-SELECT user_id, round(sum(k * o) / sum(k * w), 6) AS prior, round(least(1.0, sum(k * w) / 5), 6) AS confidence FROM k GROUP BY user_id""",
+    "seasonal_prior": f"""WITH c AS (SELECT user_id, CAST(least((dayofyear(ts) - 1) // 7, 51) AS INTEGER) AS week, sum({_DECAY}) AS w, sum({_DECAY} * value / 1000) AS o, count(*) AS n FROM events GROUP BY ALL),
+k AS (SELECT *, CASE WHEN week = 1 THEN 1.0 WHEN week IN (0, 2) THEN 0.5 END AS k FROM c)
+SELECT user_id, round(sum(k * o) / sum(k * w), 6) AS prior, round(least(1.0, coalesce(sum(w) FILTER (week = 1), 0) / 5), 6) AS confidence FROM k GROUP BY user_id HAVING sum(n) >= CASE WHEN user_id % 7 = 0 THEN 2 ELSE 6 END AND sum(k * w) > 0""",
     "traffic_ladder": """WITH r AS (SELECT user_id, event_type, least(3.0, greatest(0.5, value / 50)) AS r FROM events), l AS (SELECT user_id, event_type, avg(r) AS m, count(*) AS n FROM r GROUP BY ALL), p AS (SELECT event_type, avg(r) AS pm, count(*) AS pn FROM r GROUP BY ALL)
 SELECT user_id, event_type, round(CASE WHEN n >= 8 THEN least(2.5, greatest(0.7, m)) WHEN pn >= 8 THEN least(2.5, greatest(0.7, pm)) ELSE 1.0 END, 9) AS factor FROM l JOIN p USING (event_type)""",
     "quantile_radius": "SELECT user_id, round(CASE WHEN count(*) < 30 THEN 20.0 ELSE least(150.0, greatest(3.0, quantile_cont(value, 0.85))) END, 6) AS radius FROM events WHERE value >= 0 GROUP BY user_id",

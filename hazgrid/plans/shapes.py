@@ -82,7 +82,7 @@ def service_days(spark, sf):
 
 
 _TEXTS = (
-    ("Alerta por huracán", "Severe", "", "Driving a grey Chevy pickup truck, last seen"), ("Aviso de lluvias", "Moderate", "Lluvia de 30 a 75 mm", "A boy wearing a red hoodie and blue jeans"),
+    ("Alerta por huracán", "Severe", "", "Driving a grey Chevy pickup truck, last seen"), ("Aviso de lluvias", "Moderate", "Lluvia de 60 a 75 mm", "A boy wearing a red hoodie and blue jeans"),
     ("Avís de pluja", "Severe", "", "no entity here"), ("Inundación", "Moderate", "", "The suspect left in a black Toyota sedan"), ("Rain notice", "Minor", "rain of 20 mm", "white van, no plates"),
     ("Ola de frío", "Extreme", "", "woman in a green dress"), ("VIENTO fuerte", "Minor", "", "Silver alert: missing adult, hair brown"), ("Oleaje", "Severe", "", "a yellow school bus"),
     ("Flood Warning", "Severe", "", "car"), ("Tormenta eléctrica", "Severe", "", "motorcycle, maybe orange"), ("Niebla", "Minor", "", "SUV Kia gold"),
@@ -145,7 +145,7 @@ SELECT k AS n_nationkey, place::INTEGER AS place, round(x + px, 6)::DOUBLE AS x,
 SELECT o_orderkey, a::BIGINT AS start, concat_ws(',', (a - (epoch((d - INTERVAL 12 HOUR) AT TIME ZONE z) - 43200))::BIGINT, (a - (epoch((d - INTERVAL 36 HOUR) AT TIME ZONE z) - 43200))::BIGINT, (a - (epoch((d - INTERVAL 60 HOUR) AT TIME ZONE z) - 43200))::BIGINT) AS before,
  (a - r)::BIGINT AS shift, (a + 99000)::BIGINT AS night FROM s""",
     "read_alert_words": f"""SELECT p_partkey, {_rows(('Tropical Storm Warning', 'Flood Advisory', 'Avís de pluja', 'Flood Advisory', 'Rain Advisory', 'Cold Weather Advisory', 'Wind Advisory', 'Oleaje', 'Flood Warning', 'Severe Thunderstorm Warning', 'Dense Fog Advisory', 'Flood Advisory', 'Rain Advisory'))}[p_partkey % 13 + 1] AS event,
- {_rows(('truck/gray', '', '', 'sedan/black/Toyota', 'van/white', '', '', 'bus/yellow', 'sedan', 'motorcycle/orange', 'suv/gold/Kia', '', ''))}[p_partkey % 13 + 1] AS vehicle,
+ {_rows(('truck/grey/Chevrolet', '', '', 'sedan/black/Toyota', 'van/white', '', '', 'bus/yellow', 'sedan', 'motorcycle/orange', 'suv/gold/Kia', '', ''))}[p_partkey % 13 + 1] AS vehicle,
  {_rows((None, True, None, False, None, False, False, None, None, None, None, True, False))}[p_partkey % 13 + 1] AS child, {_rows((None, 'red', None, None, None, 'green', 'silver', None, None, None, None, None, None))}[p_partkey % 13 + 1] AS clothes,
  {_rows(('turn left', 'up right', 'u-turn', 'turn right', 'arrive', 'merge', 'roundabout', 'up left', 'up', 'turn left', 'turn right', 'up', 'turn left'))}[p_partkey % 13 + 1] AS sign FROM part""",
 }

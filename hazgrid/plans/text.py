@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from hazgrid.functions import clock, families, text
 from hazgrid.operators.shared import shared_dir
-from hazgrid.plans.points import table
+from hazgrid.plans.points import FAMILY_OF, family_of, table
+from hazgrid.sources import places
 from hazgrid.streaming import live
 
 # Alert names for the classifier's test.
@@ -87,6 +89,34 @@ def fsq_like_categories(spark, sf):
     return table(spark, sf, "documents").groupBy(kind.alias("kind")).agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars"))
 
 
+_LABELS = (
+    ("Travel > Gas Station",), ("Retail > Drugstore", "Health > Pharmacy"), ("Pets > Veterinarian > Animal Hospital",), ("Travel > Lodging > Hotel",), ("Dining and Drinking > Hotel Bar",), ("Travel > Airport",), ("Travel > Airport > Gate",),
+    ("Dining and Drinking > Pizza", "Retail"), ("Landmarks and Outdoors > States and Municipalities",), ("Landmarks and Outdoors > Park",), ("Travel > Truck Stop", "Travel > Fuel Station"), (), None, ("Travel > Bus Station",),
+)
+_REGIONS = ("WI", " wisconsin ", "Ontario", "Washington D.C.", "tx", "", None, "New York")
+
+
+def selected_places(spark, sf):
+    """Customers as places: open ones of a country, by kind and state."""
+    k = F.col("c_custkey")
+    labels = F.array(*(F.lit(None).cast("array<string>") if x is None else F.array(*map(F.lit, x)).cast("array<string>") for x in _LABELS))
+    c = table(spark, sf, "customer").select(
+        k, F.when(k % 9 == 0, "CA").otherwise("US").alias("country"), F.when(k % 10 == 0, "2020-01-01").alias("date_closed"), (k % 190 - 95.0).alias("latitude"), (k % 360 - 180.0).alias("longitude"),
+        F.when(k % 31 == 0, "  ").otherwise(F.concat(F.lit(" a\t\n"), "c_name")).alias("name"), F.get(labels, (k % len(_LABELS)).cast("int")).alias("fsq_category_labels"), F.get(F.array(*map(F.lit, _REGIONS)), (k % 8).cast("int")).alias("region"),
+        *(F.lit(None).cast("string").alias(x) for x in ("address", "locality", "postcode", "website", "tel")),
+    )
+    return places.select(c).select("grp", "latitude", "longitude", "name", "st", "category_label")
+
+
+def family_pairs(spark, sf):
+    """Families of a user in order of their first event, and their numbers in the fixed list of families, joined by name."""
+    e = table(spark, sf, "events").groupBy("user_id", "event_type").agg(F.min(F.struct("ts", "event_id")).alias("first"))
+    w = Window.partitionBy("user_id").orderBy("first")
+    left = e.select("user_id", F.when(F.col("event_type") != "signup", family_of()).otherwise("other").alias("family"), (F.row_number().over(w) - 1).alias("i"))
+    right = spark.range(1).select(F.posexplode(F.array(*map(F.lit, sorted(FAMILY_OF.values())))).alias("h", "family"))
+    return left.join(right, "family").select("user_id", "i", "h")
+
+
 def event_sessions(spark, sf):
     s = live.sessions(table(spark, sf, "events"))
     return s.select("user_id", F.unix_timestamp("start").alias("start"), F.unix_timestamp("end").alias("end"), "n", F.round("value", 2).alias("value"))
@@ -146,6 +176,13 @@ def approx_distinct_users(spark, sf):
 
 _CASE = " ".join(f"WHEN {i} THEN {{{i}}}" for i in range(len(EVENTS)))
 SQL = {
+    "selected_places": f"""WITH c AS (SELECT c_custkey AS k, c_name FROM customer WHERE c_custkey % 9 <> 0 AND c_custkey % 10 <> 0 AND c_custkey % 31 <> 0 AND c_custkey % 190 BETWEEN 5 AND 185),
+p AS (SELECT *, [0, 4, NULL, 3, 1, 6, NULL, 1, NULL, 5, 7, NULL, NULL, 6][k % 14 + 1] AS grp, ['WI', 'WI', NULL, 'DC', 'TX', NULL, NULL, 'NY'][k % 8 + 1] AS st FROM c)
+SELECT grp, (k % 190 - 95)::DOUBLE AS latitude, (k % 360 - 180)::DOUBLE AS longitude, 'a ' || c_name AS name, st,
+ ['Travel > Gas Station', 'Retail > Drugstore', '', 'Travel > Lodging > Hotel', 'Dining and Drinking > Hotel Bar', 'Travel > Airport', '', 'Dining and Drinking > Pizza', '', 'Landmarks and Outdoors > Park', 'Travel > Truck Stop', '', '', 'Travel > Bus Station'][k % 14 + 1] AS category_label
+FROM p WHERE grp IS NOT NULL AND st IS NOT NULL""",
+    "family_pairs": """WITH e AS (SELECT user_id, event_type, min((ts, event_id)) AS f FROM events GROUP BY ALL), l AS (SELECT user_id, CASE event_type WHEN 'error' THEN 'closure' WHEN 'purchase' THEN 'storm' WHEN 'view' THEN 'wind' WHEN 'click' THEN 'heat' END AS family, row_number() OVER (PARTITION BY user_id ORDER BY f) - 1 AS i FROM e)
+SELECT user_id, i::INTEGER AS i, list_position(['air', 'closure', 'heat', 'storm', 'wind'], family) - 1 AS h FROM l WHERE family IS NOT NULL""",
     "alert_classifier": "SELECT s_suppkey, CASE s_suppkey % {n} {e} END AS event, CASE s_suppkey % {n} {f} END AS family FROM supplier".format(
         n=len(EVENTS), e=" ".join(f"WHEN {i} THEN '{x}'" for i, x in enumerate(EVENTS)), f=" ".join(f"WHEN {i} THEN '{x}'" for i, x in enumerate(FAMILIES) if x)
     ),

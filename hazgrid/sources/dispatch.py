@@ -63,26 +63,33 @@ def local_seconds(text: Column, zone: str) -> Column:
 def incidents(rows: DataFrame, feeds: tuple[Feed, ...] = FEEDS) -> DataFrame:
     """(feed, id, kind, type, place, lat, lon, heard, lifetime) of ``rows`` (feed, row: JSON). Rows without a place, a time or a
     name, of a priority that the feed's users don't need, at 0, 0, of an unknown feed, or that are no JSON are left out."""
-    row = F.col("row")
-    field = lambda name: F.get_json_object(row, f"$.{name}")
-    parts = []
-    for f in feeds:
-        kinds = F.coalesce(*(F.when(field(t) != "", field(t)) for t in f.type_fields))
-        lower = F.lower(kinds)
-        kind = F.lit(f.default)
+    names = {n: "string" for f in feeds for n in (f.id_field, *f.type_fields, f.time_field, f.place_field, *(f.place_fields or ()), f.priority_field) if n}
+    names |= {f.point_field: "struct<coordinates:array<double>>" for f in feeds if f.point_field}
+    read = rows.select("feed", F.from_json("row", ", ".join(f"`{n}` {kind}" for n, kind in names.items())).alias("p"))
+
+    def by_feed(of) -> Column:
+        return F.coalesce(*(F.when(F.col("feed") == f.id, of(f)) for f in feeds))
+
+    field = lambda name: F.col("p")[name]
+    at = lambda f, k: F.get(field(f.point_field)["coordinates"], F.lit(1 - k)) if f.point_field else field(f.place_fields[k]).try_cast("double")
+    read = read.select(
+        "feed", by_feed(lambda f: field(f.id_field)).alias("_id"), by_feed(lambda f: F.coalesce(*(F.when(field(t) != "", field(t)) for t in f.type_fields))).alias("type"), by_feed(lambda f: field(f.time_field)).alias("_at"),
+        by_feed(lambda f: F.coalesce(field(f.place_field), F.lit(""))).alias("place"), by_feed(lambda f: at(f, 0)).alias("lat"), by_feed(lambda f: at(f, 1)).alias("lon"),
+        by_feed(lambda f: field(f.priority_field).isin(*f.priorities) if f.priority_field else F.lit(True)).alias("_wanted"),
+    )
+    sound = F.col("_wanted") & F.col("type").isNotNull() & F.col("lat").between(-90, 90) & F.col("lon").between(-180, 180) & ((F.abs("lat") > 0.01) | (F.abs("lon") > 0.01))
+    lower = F.lower("type")
+
+    def kind(f: Feed) -> Column:
+        found = F.lit(f.default)
         for word, named in reversed(f.words):
-            kind = F.when(F.contains(lower, F.lit(word)), named).otherwise(kind)
-        lat, lon = (field(f"{f.point_field}.coordinates[1]"), field(f"{f.point_field}.coordinates[0]")) if f.point_field else map(field, f.place_fields)
-        usual = F.coalesce(field(f.id_field), F.concat_ws("|", field(f.time_field), kinds))
-        wanted = F.lit(True) if f.priority_field is None else F.coalesce(field(f.priority_field).isin(*f.priorities), F.lit(False))
-        call = F.struct(
-            F.concat_ws("|", F.lit(f.id), usual).alias("id"), kind.alias("kind"), kinds.alias("type"), F.coalesce(field(f.place_field), F.lit("")).alias("place"),
-            lat.try_cast("double").alias("lat"), lon.try_cast("double").alias("lon"), local_seconds(field(f.time_field), f.zone).alias("heard"),
-        )
-        parts.append(F.when((F.col("feed") == f.id) & wanted, call))
-    read = rows.select("feed", F.coalesce(*parts).alias("c")).where("c is not null").select("feed", "c.*")
-    sound = F.col("type").isNotNull() & F.col("heard").isNotNull() & F.col("lat").between(-90, 90) & F.col("lon").between(-180, 180) & ((F.abs("lat") > 0.01) | (F.abs("lon") > 0.01))
-    return read.where(sound).withColumn("lifetime", lifetime(F.col("kind")))
+            found = F.when(F.contains(lower, F.lit(word)), named).otherwise(found)
+        return found
+
+    read = read.where(sound).select(
+        "feed", F.concat_ws("|", "feed", F.coalesce("_id", F.concat_ws("|", "_at", "type"))).alias("id"), by_feed(kind).alias("kind"), "type", "place", "lat", "lon", by_feed(lambda f: local_seconds(F.col("_at"), f.zone)).alias("heard")
+    )
+    return read.where(F.col("heard").isNotNull()).withColumn("lifetime", lifetime(F.col("kind")))
 
 
 def current(calls: DataFrame, now: Column) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,6 +21,9 @@ GTFS = {
     "calendar_dates": "service_id string, date string, exception_type int",
     "frequencies": "trip_id string, start_time string, end_time string, headway_secs int",
     "transfers": "from_stop_id string, to_stop_id string, transfer_type int, min_transfer_time int",
+    "fare_attributes": "fare_id string, price double, currency_type string, payment_method int, transfers int, agency_id string, transfer_duration int",
+    "fare_rules": "fare_id string, route_id string, origin_id string, destination_id string, contains_id string",
+    "feed_info": "feed_publisher_name string, feed_publisher_url string, feed_lang string, feed_start_date string, feed_end_date string, feed_version string",
 }
 
 
@@ -65,6 +70,39 @@ def gtfs(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return _typed(_csv(spark, path), schema)
 
 
+#: Files without which a feed is of no use; of the calendars one will do.
+NEEDED, CALENDARS = ("agency", "stops", "routes", "trips", "stop_times"), ("calendar", "calendar_dates")
+_IDS = ("agency_id", "stop_id", "parent_station", "route_id", "service_id", "trip_id", "from_stop_id", "to_stop_id", "fare_id", "origin_id", "destination_id", "contains_id")
+
+
+def gtfs_feeds(spark: SparkSession, folders: list[str]) -> tuple[dict[str, DataFrame], DataFrame]:
+    """All files of many feeds, by name, and (feed_no, folder, problem) of the feeds that were left out: those without a file
+    that is needed, without a calendar, or without a trip. Rows carry feed_no, the feed's place in ``folders``, and ids are
+    led by it, so that those of different feeds don't meet; its agency's zone is that of its first row."""
+    kept: dict[str, list[DataFrame]] = {name: [] for name in GTFS}
+    problems = []
+    for number, folder in enumerate(folders):
+        files = {name: gtfs(spark, folder, name) for name in GTFS}
+        empty = [name for name in NEEDED if files[name].isEmpty()]
+        if not empty and all(files[name].isEmpty() for name in CALENDARS):
+            empty = ["calendar"]
+        if empty:
+            problems.append((number, folder, f"no {empty[0]}"))
+            continue
+        for name, df in files.items():
+            ids = {c: F.concat(F.lit(f"{number}:"), F.col(c)) for c in df.columns if c in _IDS}
+            kept[name].append(df.withColumns(ids).withColumn("feed_no", F.lit(number)))
+    none = {name: spark.createDataFrame([], schema + ", feed_no int") for name, schema in GTFS.items()}
+    tables = {name: reduce(DataFrame.unionByName, parts) if parts else none[name] for name, parts in kept.items()}
+    return tables, spark.createDataFrame(problems, "feed_no int, folder string, problem string")
+
+
+def agency_zones(agency: DataFrame) -> DataFrame:
+    """(feed_no, zone): the zone of each feed's first agency that states one, by agency id."""
+    stated = agency.where(F.trim("agency_timezone") != "")
+    return stated.groupBy("feed_no").agg(F.min(F.struct(F.coalesce("agency_id", F.lit("")).alias("a"), F.trim("agency_timezone").alias("zone")))["zone"].alias("zone"))
+
+
 def stop_events(stop_times: DataFrame) -> DataFrame:
     """stop_times with times as seconds; a blank time lies on the straight line between its neighbours that have one."""
     from pyspark.sql import Window
