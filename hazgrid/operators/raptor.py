@@ -94,7 +94,7 @@ def departures(events: DataFrame, origin, target, depart: Column) -> DataFrame:
 
 def profile(events: DataFrame, origin, first: int, last: int, rounds: int = ROUNDS, walks: DataFrame | None = None, change: int = 0, boards: Column | None = None) -> DataFrame:
     """(stop, round, depart, arrival): for every stop the journeys that leave ``origin`` from ``first`` to ``last`` and that no other
-    one beats: leaving no earlier, arriving no later, with no more boardings. Rules as in ``arrivals``.
+    one beats: leaving no earlier, arriving no later, with no more boardings; nor a walk from ``origin``. Rules as in ``arrivals``.
 
     A round carries labels (stop, depart, arrival). An event takes the latest label that is ready by then, in one stream a stop;
     a ride carries the latest departure among its boardings so far; and what another label beats goes at once. So there are
@@ -104,13 +104,17 @@ def profile(events: DataFrame, origin, first: int, last: int, rounds: int = ROUN
     links = spark.createDataFrame([(origin, 0)], "stop long, walk long")
     if walks is not None:
         links = links.unionByName(walks.where(F.col("from_stop") == F.lit(origin)).select(F.col("to_stop").cast("long").alias("stop"), F.col("seconds").cast("long").alias("walk")))
-    starts = e.where("boards").join(F.broadcast(links.groupBy("stop").agg(F.min("walk").alias("walk"))) if walks is None else links.groupBy("stop").agg(F.min("walk").alias("walk")), "stop")
-    starts = starts.select("stop", (F.col("depart") - F.col("walk")).alias("depart"), F.col("depart").alias("arrival")).where(F.col("depart").between(first, last)).distinct()
-    known = settled(starts.withColumn("round", F.lit(0)))
-    frontier = known
+    links = settled(links.groupBy("stop").agg(F.min("walk").alias("walk")))
+    # The times to leave at: those that just make a departure. A rider who left then may also wait for later ones.
+    first_on = e.where("boards").join(links, "stop").select("trip", "seq", (F.col("depart") - F.col("walk")).alias("at"), F.lit(0).alias("from"))
+    leaving = settled(first_on.where(F.col("at").between(first, last)).select("from", "at", F.col("at").alias("left")).distinct())
+    known = frontier = spark.createDataFrame([], "stop long, depart long, arrival long, round int")
     for k in range(1, rounds + 1):
-        ready = frontier.select("stop", (F.col("arrival") + (change if k > 1 else 0)).alias("at"), F.col("depart").alias("left"))
-        on = asof(e.where("boards").withColumn("at", F.col("depart")), ready, "stop", "at", ["left"], strict=False, width=BLOCK)
+        if k == 1:
+            on = asof(first_on, leaving, "from", "at", ["left"], strict=False, width=BLOCK)
+        else:
+            ready = frontier.select("stop", (F.col("arrival") + change).alias("at"), F.col("depart").alias("left"))
+            on = asof(e.where("boards").withColumn("at", F.col("depart")), ready, "stop", "at", ["left"], strict=False, width=BLOCK)
         on = on.where("left is not null").select("trip", "seq", "left")
         w = Window.partitionBy("trip").orderBy("seq", "left").rowsBetween(Window.unboundedPreceding, 0)
         earlier = on.select("trip", "seq", F.max("left").over(w).alias("left"))
@@ -120,14 +124,16 @@ def profile(events: DataFrame, origin, first: int, last: int, rounds: int = ROUN
             reached = settled(reached.distinct())
             on_foot = reached.join(walks, reached["stop"] == walks["from_stop"]).select(walks["to_stop"].cast("long").alias("stop"), "depart", (F.col("arrival") + F.col("seconds")).cast("long").alias("arrival"))
             reached = reached.unionByName(on_foot)
-        both = known.unionByName(reached.groupBy("stop", "depart").agg(F.min("arrival").alias("arrival")).withColumn("round", F.lit(k)))
+        reached = reached.groupBy("stop", "depart").agg(F.min("arrival").alias("arrival")).join(links, "stop", "left")
+        reached = reached.where(F.col("walk").isNull() | (F.col("arrival") - F.col("depart") < F.col("walk"))).drop("walk")  # else one walks
+        both = known.unionByName(reached.select("stop", "depart", "arrival", F.lit(k).alias("round")))
         later = Window.partitionBy("stop").orderBy(F.desc("depart"), "arrival", "round").rowsBetween(Window.unboundedPreceding, -1)
         best = F.min("arrival").over(later)
         frontier = settled(both.withColumn("_best", best).where((F.col("round") == k) & (F.col("_best").isNull() | (F.col("arrival") < F.col("_best")))).drop("_best"))
         if frontier.isEmpty():
             break
         known = known.unionByName(frontier)
-    return known.where("round > 0")
+    return known.select("stop", "round", "depart", "arrival")
 
 
 def board(found: DataFrame, key: list[str], count: int) -> DataFrame:

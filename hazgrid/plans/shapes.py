@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from hazgrid.functions import clock, geo, phrases
-from hazgrid.operators import areas, head, needs
+from hazgrid.operators import areas, hazards, head, needs
 from hazgrid.plans.points import place, place_sql, table
 
 ZONES = ("America/Chicago", "America/New_York", "America/Phoenix", "Europe/London")
@@ -28,6 +28,26 @@ def merged_areas(spark, sf):
     return m.select("id", "event", "expires", "source", F.round(F.get("ring", F.lit(0))["y"], 4).alias("south"))
 
 
+def _fires(spark, sf):
+    n = place(table(spark, sf, "nation").select("n_nationkey"), "n_nationkey", "y", "x")
+    corner = lambda dx, dy: F.struct((F.col("x") + dx).alias("x"), (F.col("y") + dy).alias("y"))
+    return n.select(F.col("n_nationkey").alias("ring_id"), F.array(corner(-1.5, -0.8), corner(1.5, -0.8), corner(1.5, 0.8), corner(-1.5, 0.8)).alias("ring"))
+
+
+def perimeter_scores(spark, sf):
+    """Customers near fires around the places of nations."""
+    c = place(table(spark, sf, "customer").select("c_custkey"), "c_custkey")
+    s = hazards.perimeters(c, _fires(spark, sf), "c_custkey")
+    return s.select("c_custkey", F.round("score", 6).alias("score"))
+
+
+def zone_scores(spark, sf):
+    """The greatest rating of the zones over a customer."""
+    c = place(table(spark, sf, "customer").select("c_custkey"), "c_custkey")
+    zones = _fires(spark, sf).select("ring", (F.col("ring_id") % 5).alias("rating"))
+    return hazards.rated_zones(c, zones, "c_custkey", F.col("rating") / 5)
+
+
 def _shapes(spark, sf):
     """A bay open to the north whose centre lies in the water, a triangle and a line, around the places of nations."""
     n = place(table(spark, sf, "nation").select("n_nationkey"), "n_nationkey", "y", "x")
@@ -122,7 +142,13 @@ s AS (SELECT trip, fuel * k AS mile, kind AS need FROM t, range(1, 11) r(k) WHER
 _SHAPES = f"n AS (SELECT n_nationkey AS k, {place_sql('n_nationkey', 'y', 'x')} FROM nation)"
 _START = "epoch((d + INTERVAL 12 HOUR) AT TIME ZONE {z}) - 43200"
 
+_FIRES = f"c AS (SELECT c_custkey, {place_sql('c_custkey')} FROM customer), f AS (SELECT n_nationkey, {place_sql('n_nationkey', 'y', 'x')} FROM nation)"
+
 SQL = {
+    "perimeter_scores": f"""WITH {_FIRES}, d AS (SELECT c_custkey, lat >= y - 0.8 AND lat < y + 0.8 AND lon >= x - 1.5 AND lon < x + 1.5 AS inside,
+ sqrt(power(greatest(abs(lon - x) - 1.5, 0) * cos(radians(lat)), 2) + power(greatest(abs(lat - y) - 0.8, 0), 2)) * 111320.0 AS m FROM c, f)
+SELECT c_custkey, round(max(CASE WHEN inside THEN 1.0 WHEN m < 12000 THEN 0.7 * (1 - m / 12000) ELSE 0 END), 6)::DOUBLE AS score FROM d GROUP BY c_custkey""",
+    "zone_scores": f"WITH {_FIRES} SELECT c_custkey, max(CASE WHEN lat >= y - 0.8 AND lat < y + 0.8 AND lon >= x - 1.5 AND lon < x + 1.5 THEN n_nationkey % 5 / 5 ELSE 0.0 END)::DOUBLE AS score FROM c, f GROUP BY c_custkey",
     "merged_areas": f"""WITH s AS (SELECT s_suppkey AS k, {place_sql('s_suppkey', 'y', 'x')} FROM supplier), c AS (SELECT {place_sql('c_custkey')} FROM customer),
 o AS (SELECT k AS id, k % 3 AS event, CASE WHEN k % 4 <> 0 THEN k % 40 * 50.0 END AS expires, x, y, y AS base FROM s WHERE k % 4 = 0 OR k % 40 * 50.0 > 1000),
 l AS (SELECT k + 1000000 AS id, k % 3 AS event, CASE WHEN k % 4 <> 0 THEN k % 40 * 50.0 + CASE WHEN k % 3 = 0 THEN 75 ELSE 0 END END AS expires, x, y + 1e-4 AS y FROM s WHERE k % 2 = 0
