@@ -36,6 +36,8 @@ THRESHOLD = 80  # in hundredths
 CACHE_WORDS = 400_000
 #: Followers of one leader that are compared at a time.
 BLOCK = 256
+#: The share of all texts, one in so many, beyond which the copies of a text are hot.
+HOT = 1000
 
 _random = np.random.default_rng(20_240_601)
 _A = (_random.integers(0, 2**31, PERMUTATIONS, dtype=np.uint32) * np.uint32(2) + np.uint32(1))[:, None]
@@ -221,6 +223,16 @@ def _links_of_strays(placed: DataFrame, sets: DataFrame) -> DataFrame:
     return checkpointed(strays.groupBy(*keys).cogroup(others.groupBy(*keys)).applyInPandas(compare, "u long, v long").distinct())
 
 
+def _of_class(texts: DataFrame, classes: DataFrame) -> DataFrame:
+    """``texts`` with the head and component_id of the class of their digest. Classes with more than one in HOT of all texts,
+    of which there are fewer than HOT, are sent to all executors, so that no task gets all copies of a text."""
+    bound = classes.agg(F.coalesce(F.sum("copies"), F.lit(0))).first()[0] // HOT
+    hot = classes.where(F.col("copies") > bound).drop("copies").withColumn("_hot", F.lit(True))
+    marked = texts.join(F.broadcast(hot), "digest", "left")
+    rest = marked.where("_hot is null").select(*texts.columns).join(classes.where(F.col("copies") <= bound).drop("copies"), "digest")
+    return marked.where("_hot").drop("digest", "_hot").unionByName(rest.drop("digest"))
+
+
 def grouped(docs: DataFrame, width: int = 5) -> tuple[DataFrame, DataFrame]:
     """The rows of ``docs`` as written (row, a number of its own, and kept, all columns as a struct), and a verdict for each:
     row, doc_id, n_shingles, component_id (least doc_id reachable over links) and stands (the one row that stands for its
@@ -235,8 +247,8 @@ def grouped(docs: DataFrame, width: int = 5) -> tuple[DataFrame, DataFrame]:
     signed = written(_signed(rows, width), "signed")
     first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row"))
     texts = signed.where(F.col("digest").isNotNull())
-    classes = texts.groupBy("digest").agg(first.alias("f"), F.first("bands").alias("bands"), F.first("n_shingles").alias("n"))
-    classes = written(classes.select("digest", F.col("f.row").alias("rep"), F.col("f.doc_id").alias("doc_id"), "bands", "n"), "classes")
+    classes = texts.groupBy("digest").agg(first.alias("f"), F.first("bands").alias("bands"), F.first("n_shingles").alias("n"), F.count("*").alias("copies"))
+    classes = written(classes.select("digest", F.col("f.row").alias("rep"), F.col("f.doc_id").alias("doc_id"), "bands", "n", "copies"), "classes")
     buckets = classes.select(F.posexplode("bands").alias("band", "hash"), "rep", "n").select(F.xxhash64("band", "hash").alias("bucket"), "rep", "n")
     shared = buckets.groupBy("bucket").agg(F.count("*").alias("members")).where("members > 1")
     members = written(buckets.join(shared, "bucket"), "members")
@@ -255,10 +267,10 @@ def grouped(docs: DataFrame, width: int = 5) -> tuple[DataFrame, DataFrame]:
     links = links.unionByName(_links_of_strays(placed, sets))
     components = checkpointed(connected_components(links)).withColumnRenamed("node", "row")
 
-    placed = written(classes.select("digest", F.col("rep").alias("row"), "doc_id").join(components, "row", "left").withColumn("c", F.coalesce("component", "row")), "placed")
+    placed = written(classes.select("digest", F.col("rep").alias("row"), "doc_id", "copies").join(components, "row", "left").withColumn("c", F.coalesce("component", "row")), "placed")
     heads = placed.groupBy("c").agg(first.alias("f")).select("c", F.col("f.row").alias("head"), F.col("f.doc_id").alias("component_id"))
-    of_class = placed.join(heads, "c").select("digest", "head", "component_id")
-    with_words = texts.select("row", "doc_id", "n_shingles", "digest").join(of_class, "digest", "left").drop("digest")
+    of_class = written(placed.join(heads, "c").select("digest", "head", "component_id", "copies"), "verdicts")
+    with_words = _of_class(texts.select("row", "doc_id", "n_shingles", "digest"), of_class)
     without = signed.where(F.col("digest").isNull()).select("row", "doc_id", "n_shingles", F.col("row").alias("head"), F.col("doc_id").alias("component_id"))
     verdicts = with_words.unionByName(without)
     return rows, verdicts.select("row", "doc_id", "n_shingles", "component_id", (F.col("row") == F.col("head")).alias("stands"))
