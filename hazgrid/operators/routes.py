@@ -1,8 +1,10 @@
 """Operators on routes: rows (route, seq, lat, lon) in turn, seq from 0. Running lengths are windows by route; what depends on
-the last row that was kept is a fold over the route's vertices, which one row holds, as a route has as many as a screen draws."""
+the last row that was kept is a fold over the route's vertices in order, one state a route."""
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,6 +12,7 @@ from hazgrid.functions.geo import METRES_PER_DEGREE, meters, segment_distance
 from hazgrid.operators.asof import asof
 from hazgrid.operators.nearby import nearest_anywhere
 from hazgrid.operators.shared import settled
+from hazgrid.operators.streams import fold
 
 # Vertices behind and ahead of the last match, and metres beyond which a fix has left them; metres of a closure;
 # percent of a steep grade and the most marks for them.
@@ -85,47 +88,49 @@ def vertex_ahead(vertices: DataFrame, marks: DataFrame, width: float = 100_000.0
     return _vertex_from(vertices, target, width).select("mark", F.col("found").alias("seq"))
 
 
-def _folded(vertices: DataFrame, *columns: str) -> DataFrame:
-    """A row a route: its vertices in turn as the array v of (seq, columns)."""
-    return vertices.groupBy("route").agg(F.array_sort(F.collect_list(F.struct("seq", *columns))).alias("v"))
-
-
 def check_points(vertices: DataFrame, every: float) -> DataFrame:
     """(route, seq) of the vertices that cut a route: where the metres since the last cut reach ``every``."""
     return cut_every(hops(vertices), every)
 
 
 def cut_every(df: DataFrame, every: float) -> DataFrame:
-    """(route, seq) of the rows (route, seq, hop) where the sum of hops since the last cut reaches ``every``."""
-    start = F.struct(F.lit(0.0).alias("since"), F.array().cast("array<long>").alias("cuts"))
+    """(route, seq) of the rows (route, seq, hop) where the sum of hops since the last cut reaches ``every``; a route's rows pass
+    in order, with that sum as the state."""
 
-    def add(s: Column, v: Column) -> Column:
-        since = s["since"] + v["hop"]
-        return F.when(since >= every, F.struct(F.lit(0.0).alias("since"), F.array_append(s["cuts"], v["seq"].cast("long")).alias("cuts"))).otherwise(F.struct(since.alias("since"), s["cuts"].alias("cuts")))
+    def add(since: float | None, row: tuple) -> tuple[float, list]:
+        since = (since or 0.0) + row[2]
+        return (0.0, [row[:2]]) if since >= every else (since, [])
 
-    return _folded(df, "hop").select("route", F.explode(F.aggregate("v", start, add, lambda s: s["cuts"])).alias("seq"))
+    kind = dict(df.dtypes)["route"]
+    return fold(df.select("route", F.col("seq").cast("long").alias("seq"), F.col("hop").cast("double").alias("hop")), ["route"], ["seq"], ["hop"], f"route {kind}, seq long", add)
 
 
 def decimated(vertices: DataFrame, step: float, limit: int) -> DataFrame:
     """(route, place, seq) of the vertices that are kept: the first, each one ``step`` metres from the last kept, the last; of
-    more than ``limit`` evenly as many. A limit under 1 keeps none."""
+    more than ``limit`` evenly as many. A limit under 1 keeps none. A route's vertices pass in order, with the last kept one
+    as the state; what is thinned evenly follows from places and counts."""
+    kind = dict(vertices.dtypes)["route"]
     if limit < 1:
         return vertices.select("route", F.lit(0).alias("place"), F.col("seq").cast("long").alias("seq")).limit(0)
-    first = F.get("v", F.lit(0))
-    kind = "array<struct<seq:long,lat:double,lon:double>>"
-    vertex = lambda v: F.struct(v["seq"].cast("long").alias("seq"), v["lat"].alias("lat"), v["lon"].alias("lon"))
-
-    def add(kept: Column, v: Column) -> Column:
-        last = F.element_at(kept, -1)
-        return F.when(meters(last["lat"], last["lon"], v["lat"], v["lon"]) >= step, F.array_append(kept, vertex(v))).otherwise(kept)
-
-    kept = F.aggregate(F.slice("v", F.lit(2), F.greatest(F.size("v") - 1, F.lit(0))), F.array(vertex(first)).cast(kind), add)
-    df = _folded(vertices, "lat", "lon").select("route", F.element_at("v", -1).alias("end"), kept.alias("k"))
-    last = F.element_at("k", -1)
-    df = df.withColumn("k", F.when(meters(last["lat"], last["lon"], F.col("end.lat"), F.col("end.lon")) > 1, F.array_append("k", vertex(F.col("end")))).otherwise(F.col("k")))
-    stride = (F.size("k") - 1) / (limit - 1) if limit > 1 else F.lit(0.0)
-    picks = F.when(F.size("k") <= limit, F.sequence(F.lit(0), F.size("k") - 1)).otherwise(F.transform(F.sequence(F.lit(0), F.lit(limit - 1)), lambda i: F.round(i * stride).cast("int")))
-    return df.select("route", F.posexplode(F.transform(picks, lambda i: F.get("k", i)["seq"])).alias("place", "seq"))
+
+    def far(a: tuple, b: tuple) -> float:
+        dy, dx = (b[2] - a[2]) * METRES_PER_DEGREE, (b[3] - a[3]) * METRES_PER_DEGREE * math.cos(math.radians((a[2] + b[2]) / 2))
+        return math.sqrt(dx * dx + dy * dy)
+
+    def keep(last: tuple | None, row: tuple) -> tuple[tuple, list]:
+        return (row, [row[:2]]) if last is None or far(last, row) >= step else (last, [])
+
+    rows = vertices.select("route", F.col("seq").cast("long").alias("seq"), F.col("lat").cast("double").alias("lat"), F.col("lon").cast("double").alias("lon"))
+    kept = fold(rows, ["route"], ["seq"], ["lat", "lon"], f"route {kind}, seq long", keep, lambda last, end: [end[:2]] if far(last, end) > 1 else [])
+    whole = Window.partitionBy("route")
+    kept = kept.withColumns({"_i": F.row_number().over(whole.orderBy("seq")) - 1, "_n": F.count("*").over(whole)})
+    few = kept.where(F.col("_n") <= limit).select("route", F.col("_i").alias("place"), "seq")
+    stride = (F.col("_n") - 1) / (limit - 1) if limit > 1 else F.lit(1.0)
+    # The places whose pick, k * stride rounded, is this row: of the two or three near it.
+    near = F.sequence(F.greatest(F.floor((F.col("_i") - 0.6) / stride), F.lit(0)), F.least(F.ceil((F.col("_i") + 0.6) / stride), F.lit(limit - 1)))
+    picked = F.filter(near, lambda k: F.round(k * stride).cast("int") == F.col("_i"))
+    places = F.when(F.size(near) > 0, F.transform(picked, lambda k: k.cast("int")))
+    return few.unionByName(kept.where((F.col("_n") > limit) & (F.floor((F.col("_i") - 0.6) / stride) <= limit - 1)).select("route", F.explode(places).alias("place"), "seq"))
 
 
 def halves(vertices: DataFrame) -> DataFrame:

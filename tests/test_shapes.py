@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from hazgrid.functions import clock, geo, phrases, roads
-from hazgrid.operators import areas, clusters, covers, head, lines, needs, raptor
+from hazgrid.operators import areas, clusters, covers, head, lines, needs, raptor, routes
 from hazgrid.sources import dispatch, readers
 from hazgrid.streaming import drives
 
@@ -99,6 +99,25 @@ def test_posted_limits(spark):
     assert {r.i: r.c for r in df.select("i", roads.posted_limit_counts(F.col("t")).alias("c")).collect()} == {i: c for i, (_, c) in enumerate(cases)}
 
 
+@pytest.mark.parametrize("limit", [0, 1, 2, 3, 7, 50, 1000])
+def test_thinned_lines(spark, limit):
+    rng = random.Random(6)
+    routes_ = {r: [(43 + rng.random() * 0.01, -89 + rng.random() * 0.01) for _ in range(n)] for r, n in ((1, 1), (2, 2), (3, 60), (4, 200))}
+    v = spark.createDataFrame([(r, i, *p) for r, line in routes_.items() for i, p in enumerate(line)], "route long, seq long, lat double, lon double")
+    want = []
+    for r, line in routes_.items():
+        kept = [0]
+        for i in range(1, len(line)):
+            if metres(line[kept[-1]], line[i]) >= 300:
+                kept.append(i)
+        if metres(line[kept[-1]], line[-1]) > 1:
+            kept.append(len(line) - 1)
+        if len(kept) > limit:
+            kept = [kept[math.floor(k * (len(kept) - 1) / (limit - 1) + 0.5) if limit > 1 else 0] for k in range(limit)]
+        want += [(r, k, i) for k, i in enumerate(kept)]
+    assert sorted(map(tuple, routes.decimated(v, 300.0, limit).collect())) == sorted(want)
+
+
 # -- areas
 
 
