@@ -138,3 +138,15 @@ def thinned_ring(ring: Column, most: int) -> Column:
     step = F.when(F.size(ring) > most, F.floor(F.size(ring) / max(most, 1)) + 1).otherwise(1)
     kept = F.filter(ring, lambda p, i: i % step == 0)
     return F.when((F.size(ring) >= 3) & (F.size(kept) >= 3), kept)
+
+
+def operator_name(provider: Column) -> Column:
+    """What riders call an operator: of several the first; its abbreviation in brackets, if it looks like one, and without the
+    bracket that only names a state."""
+    whole = F.trim(provider)
+    first = F.trim(F.substring_index(whole, ", ", 1))
+    split = r"^(.*)\(([^(]*)\)$"
+    inside, before = F.trim(F.regexp_extract(first, split, 2)), F.trim(F.regexp_extract(first, split, 1))
+    capitals = inside.rlike("^[A-Z0-9&]+$")
+    short = F.when(capitals & F.length(inside).between(3, 8), inside).when(capitals & (F.length(inside) == 2) & (before != ""), before).otherwise(first)
+    return F.when(F.length(first) < F.length(whole), F.concat(short, F.lit(" and others"))).otherwise(short)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from hazgrid.functions.geo import meters
+
 # Driving speed that turns a detour into time, and the worth of an hour.
 METRES_PER_HOUR, DOLLARS_PER_HOUR = 60 * 1609.344, 30.0
 
@@ -78,3 +80,11 @@ def planned(routes: DataFrame, group: str, route: str, kind: str, key: Column, s
         taken = taken + missing.cast("int")
     kept = each.withColumns({"_taken": taken, "_saved": saved}).where(F.col("_saved") | (F.col("_n") <= k - F.col("_taken")))
     return kept.select(group, F.col("r").alias(route), F.col("k").alias(kind), F.col("s").alias(seconds))
+
+
+def ranked_stations(stations: DataFrame, key: str, station: str, k: int) -> DataFrame:
+    """The first ``k`` stations (key, lat, lon, station, ref_lat, ref_lon, bitrate) of each key: those with a place nearest first, the
+    others after them; of equal ones those with the higher bitrate, then the least station. Without a position only bitrate counts."""
+    d = meters(F.col("ref_lat"), F.col("ref_lon"), F.col("lat"), F.col("lon"))
+    w = Window.partitionBy(key).orderBy(F.asc_nulls_last("meters"), F.desc("bitrate"), station)
+    return stations.withColumn("meters", d).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select(key, station, "meters", "rank")

@@ -11,6 +11,7 @@ from hazgrid.functions.clock import decay, week_of_year
 from hazgrid.functions.geo import haversine_km, meters
 from hazgrid.operators import habits, learning, ranking
 from hazgrid.plans.points import place, place_sql, table
+from hazgrid.sources import ferries
 
 NOW = "2024-12-31"
 
@@ -233,6 +234,32 @@ def read_names(spark, sf):
     )
 
 
+_PROVIDERS = ("Southeastern Authority (SEPTA)", "Metro (WI)", "(WI)", "A, B, C", "City Bus (Local)", "X (AB&C), Y", "Plain", " Trimmed (CTA) ")
+
+
+def operator_names(spark, sf):
+    k = F.col("p_partkey")
+    return table(spark, sf, "part").select("p_partkey", names.operator_name(F.get(F.array(*map(F.lit, _PROVIDERS)), (k % len(_PROVIDERS)).cast("int"))).alias("operator"))
+
+
+def ranked_stations(spark, sf):
+    """Stations of a nation by distance from its place; a third of them have none."""
+    n = place(table(spark, sf, "nation").select("n_nationkey"), "n_nationkey")
+    k = F.col("c_custkey")
+    c = place(table(spark, sf, "customer").select("c_custkey", F.col("c_nationkey").alias("n_nationkey")), "c_custkey", "ref_lat", "ref_lon")
+    c = c.withColumns({"ref_lat": F.when(k % 3 != 0, F.col("ref_lat")), "bitrate": k % 5 * 32})
+    return ranking.ranked_stations(c.join(n, "n_nationkey"), "n_nationkey", "c_custkey", 50).select("n_nationkey", "c_custkey", F.round("meters", 3).alias("meters"), "rank")
+
+
+def ferry_frequencies(spark, sf):
+    """Crossings a day over seasons, some over the year's end, some without one."""
+    k = F.col("p_partkey")
+    text = F.when(k % 5 != 0, F.concat((k % 12 + 1).cast("string"), F.lit("/"), (k % 28 + 1).cast("string"), F.lit("/2024")))
+    other = F.concat(F.lit("2024-"), F.lpad((k * 7 % 12 + 1).cast("string"), 2, "0"), F.lit("-"), F.lpad((k * 3 % 28 + 1).cast("string"), 2, "0"))
+    start, end = ferries.month_day(text), ferries.month_day(other)
+    return table(spark, sf, "part").select("p_partkey", ferries.season_days(start, end).alias("days"), F.round(ferries.crossings_a_day(k % 7 * 300, start, end), 6).alias("per_day"))
+
+
 def wind_fields(spark, sf):
     k = F.col("p_partkey")
     field = lambda key, v, u: F.struct(F.lit(key).alias("key"), v.alias("speed"), u.alias("unit"))
@@ -244,6 +271,12 @@ def wind_fields(spark, sf):
 _AGE_SQL = f"date_diff('day', CAST(ts AS DATE), DATE '{NOW}')"
 _LIST = "[" + ", ".join("'" + n.replace("'", "''") + "'" for n in _NAMES) + "]"
 SQL = {
+    "operator_names": "SELECT p_partkey, ['SEPTA', 'Metro', '(WI)', 'A and others', 'City Bus (Local)', 'AB&C and others', 'Plain', 'CTA'][p_partkey % 8 + 1] AS operator FROM part",
+    "ranked_stations": f"""WITH n AS (SELECT n_nationkey, {place_sql('n_nationkey')} FROM nation), c AS (SELECT c_custkey, c_nationkey, c_custkey % 5 * 32 AS b, {place_sql('c_custkey', 'rlat', 'rlon')} FROM customer),
+d AS (SELECT n_nationkey, c_custkey, b, CASE WHEN c_custkey % 3 <> 0 THEN sqrt(power((rlat - lat) * 111320.0, 2) + power((rlon - lon) * 111320.0 * cos(radians((lat + rlat) / 2)), 2)) END AS m FROM c JOIN n ON n_nationkey = c_nationkey)
+SELECT n_nationkey, c_custkey, round(m, 3) AS meters, row_number() OVER (PARTITION BY n_nationkey ORDER BY m NULLS LAST, b DESC, c_custkey)::INTEGER AS rank FROM d QUALIFY rank <= 50""",
+    "ferry_frequencies": """WITH p AS (SELECT p_partkey AS k, [0, 31, 59, 90, 120, 151, 181, 212, 243, 273, 304, 334][k % 12 + 1] + k % 28 + 1 AS a, [0, 31, 59, 90, 120, 151, 181, 212, 243, 273, 304, 334][k * 7 % 12 + 1] + k * 3 % 28 + 1 AS b FROM part),
+d AS (SELECT k, CASE WHEN k % 5 = 0 THEN 365 WHEN a <= b THEN b - a + 1 ELSE b - a + 366 END AS days FROM p) SELECT k AS p_partkey, days::INTEGER AS days, round(k % 7 * 300 / days, 6)::DOUBLE AS per_day FROM d""",
     "closest_matches": """WITH l AS (SELECT l_orderkey, l_suppkey AS k, max(l_quantity) AS q FROM lineitem GROUP BY ALL), b AS (SELECT *, (k % 2 = 0)::INT + (k % 3 = 0)::INT + (k % 7 <> 0 AND k % 5 = 0)::INT + (q > 25)::INT AS broken FROM l)
 SELECT l_orderkey, k AS l_suppkey, broken FROM b QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY broken, k % 4, q, k) = 1""",
     "planned_routes": """WITH o AS (SELECT o_custkey, o_orderkey AS r, round(o_totalprice / 50) AS s, CASE WHEN o_orderkey % 7 = 0 THEN 'toll free' WHEN o_orderkey % 11 = 0 THEN 'avoid highways' ELSE 'standard' END AS kind FROM orders),

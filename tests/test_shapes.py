@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from hazgrid.functions import clock, geo, phrases, roads
 from hazgrid.operators import areas, clusters, covers, head, lines, needs, raptor, routes
-from hazgrid.sources import dispatch, readers
+from hazgrid.sources import dispatch, ferries, readers
 from hazgrid.streaming import drives
 
 
@@ -399,3 +399,20 @@ def test_many_feeds(spark, tmp_path):
     assert {tuple(r) for r in readers.agency_zones(tables["agency"]).collect()} == {(0, "America/Chicago"), (3, "America/Chicago")}
     none, _ = readers.gtfs_feeds(spark, [])
     assert none["stops"].count() == 0
+
+
+def test_ferry_census(spark, tmp_path):
+    files = {
+        "terminals": "terminal_id,in_operation,latitude,longitude,terminal_name\n1,1,45.0,-85,A\n2,1,45.1,-85,B\n3,0,45.1,-85,C\n4,1,0,0,D\n5,1,x,-85,E\n",
+        "operators": "operator_id,operator_name,url\n9,Boats,https://boats.example\n8,Rafts,ftp://x\n",
+        "segments": "segment_id,segment_name,seg_terminal1_id,seg_terminal2_id\n10,AB,1,2\n11,AC,1,3\n12,AA,1,1\n13,BA,2,1\n14,AD,1,4\n",
+        "operator_segments": "operator_id,segment_id,segment_season_start,segment_season_end,segment_length,average_trip_time,trips_per_year,vehicles\n9,10,5/1/2024,10/31/2024,3.5,20,368,12\n9,10,5/1/2024,10/31/2024,3.5,20,368,12\n8,13,,,x,,0,\n9,11,,,1,1,1,1\n7,10,,,1,1,1,1\n9,12,,,1,1,1,1\n9,14,,,1,1,1,1\n",
+    }
+    for name, text in files.items():
+        (tmp_path / f"{name}.csv").write_text(text)
+    got = {(r.segment, r.operator): r for r in ferries.routes(ferries.census(spark, str(tmp_path))).collect()}
+    assert got.keys() == {(10, 9), (13, 8)}
+    r = got[10, 9]
+    assert (r.name, r.a, r.b, r.miles, r.minutes, tuple(r.start), tuple(r.end), r.cars, r.per_day, r.url) == ("AB", 1, 2, 3.5, 20, (5, 1), (10, 31), True, 2.0, "https://boats.example")
+    r = got[13, 8]
+    assert (r.miles, r.minutes, r.start, r.cars, r.per_day, r.url) == (0.0, 0, None, None, 0.0, "")
