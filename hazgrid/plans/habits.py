@@ -256,8 +256,9 @@ def ferry_frequencies(spark, sf):
     k = F.col("p_partkey")
     text = F.when(k % 5 != 0, F.concat((k % 12 + 1).cast("string"), F.lit("/"), (k % 28 + 1).cast("string"), F.lit("/2024")))
     other = F.concat(F.lit("2024-"), F.lpad((k * 7 % 12 + 1).cast("string"), 2, "0"), F.lit("-"), F.lpad((k * 3 % 28 + 1).cast("string"), 2, "0"))
-    start, end = ferries.month_day(text), ferries.month_day(other)
-    return table(spark, sf, "part").select("p_partkey", ferries.season_days(start, end).alias("days"), F.round(ferries.crossings_a_day(k % 7 * 300, start, end), 6).alias("per_day"))
+    p = table(spark, sf, "part").select("p_partkey", ferries.month_day(text).alias("start"), ferries.month_day(other).alias("end"))
+    start, end = F.col("start"), F.col("end")
+    return p.select("p_partkey", ferries.season_days(start, end).alias("days"), F.round(ferries.crossings_a_day(k % 7 * 300, start, end), 6).alias("per_day"))
 
 
 def wind_fields(spark, sf):

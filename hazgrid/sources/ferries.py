@@ -19,9 +19,8 @@ BEFORE = (0, 31, 59, 90, 120, 151, 181, 212, 243, 273, 304, 334)
 
 def month_day(text: Column) -> Column:
     """struct(m, d) of a date like 5/28/2024 or 2024-05-28; null for none."""
-    slashed, dashed = r"^\s*(\d{1,2})/(\d{1,2})", r"^\s*\d{4}-(\d{1,2})-(\d{1,2})"
-    part = lambda i: F.coalesce(F.nullif(F.regexp_extract(text, slashed, i), F.lit("")), F.regexp_extract(text, dashed, i)).try_cast("int")
-    m, d = part(1), part(2)
+    pattern = r"^\s*(?:\d{4}-)?(\d{1,2})[/-](\d{1,2})"
+    m, d = (F.regexp_extract(text, pattern, i).try_cast("int") for i in (1, 2))
     return F.when(m.between(1, 12) & d.between(1, 31), F.struct(m.alias("m"), d.alias("d")))
 
 
