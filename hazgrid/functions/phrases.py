@@ -53,26 +53,25 @@ def folded(text: Column) -> Column:
     return F.lower(F.translate(F.regexp_replace(text, r"[̀-ͯ]", ""), *FOLDED))
 
 
+def _once(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` evaluated once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def _any(text: Column, words: tuple[str, ...]) -> Column:
-    found = F.lit(False)
-    for word in words:
-        found = found | F.contains(text, F.lit(word))
-    return found
+    return F.exists(F.array(*map(F.lit, words)), lambda w: F.contains(text, w))
 
 
 def _first(text: Column, words: tuple[str, ...], answers: tuple | None = None) -> Column:
-    """The answer of the first of ``words`` that ``text`` holds, null without one."""
-    found = F.lit(None).cast("string")
-    for word, answer in reversed(list(zip(words, answers or words, strict=True))):
-        found = F.when(F.contains(text, F.lit(word)), F.lit(answer)).otherwise(found)
-    return found
+    """struct(word, answer) of the first of ``words`` that ``text`` holds, null without one."""
+    table = F.array(*(F.struct(F.lit(w).alias("word"), F.lit(a).alias("answer")) for w, a in zip(words, answers or words, strict=True)))
+    return F.get(F.filter(table, lambda row: F.contains(text, row["word"])), F.lit(0))
 
 
 def _around(text: Column, word: Column) -> Column:
     """The characters around the first occurrence of ``word``, null without one."""
     at = F.call_function("instr", text, word)
-    start = F.greatest(at - AROUND, F.lit(1))
-    return F.when(at > 0, F.substr(text, start, at - start + F.length(word) + AROUND))
+    return F.when(at > 0, F.substr(text, F.greatest(at - AROUND, F.lit(1)), at - F.greatest(at - AROUND, F.lit(1)) + F.length(word) + AROUND))
 
 
 def describes_entity(event: Column) -> Column:
@@ -82,20 +81,27 @@ def describes_entity(event: Column) -> Column:
 def vehicle(text: Column) -> Column:
     """struct(kind, color, brand) of the first kind of vehicle in the table that a text names, with the first colour and brand of
     theirs near the word; null without a vehicle."""
-    lower = F.lower(text)
     words, kinds = zip(*VEHICLES, strict=True)
-    near = _around(lower, _first(lower, words))
-    brand = _first(near, tuple(b.lower() for b in BRANDS), tuple("Chevrolet" if b == "Chevy" else b for b in BRANDS))
-    kind = _first(lower, words, kinds)
-    return F.when(kind.isNotNull(), F.struct(kind.alias("kind"), _first(near, COLORS).alias("color"), brand.alias("brand")))
+    brands = tuple("Chevrolet" if b == "Chevy" else b for b in BRANDS)
+
+    def described(kind: Column, near: Column) -> Column:
+        return F.struct(kind.alias("kind"), _first(near, COLORS)["answer"].alias("color"), _first(near, tuple(b.lower() for b in BRANDS), brands)["answer"].alias("brand"))
+
+    def found(lower: Column) -> Column:
+        return _once(_first(lower, words, kinds), lambda hit: F.when(hit["word"].isNotNull(), _once(_around(lower, hit["word"]), lambda near: described(hit["answer"], near))))
+
+    return _once(F.lower(text), found)
 
 
 def person(text: Column) -> Column:
     """struct(child, color) of a person that a text names: the colour near the first word of clothes that has one. Null without one."""
-    lower = F.lower(text)
-    child = _any(lower, CHILD_WORDS)
-    color = F.coalesce(*(_first(_around(lower, F.lit(word)), COLORS) for word in CLOTHES))
-    return F.when(child | _any(lower, ADULT_WORDS), F.struct(child.alias("child"), color.alias("color")))
+
+    def found(lower: Column) -> Column:
+        colors = F.array_compact(F.transform(F.array(*map(F.lit, CLOTHES)), lambda word: _once(_around(lower, word), lambda near: _first(near, COLORS)["answer"])))
+        child = _any(lower, CHILD_WORDS)
+        return F.when(child | _any(lower, ADULT_WORDS), F.struct(child.alias("child"), F.get(colors, F.lit(0)).alias("color")))
+
+    return _once(F.lower(text), found)
 
 
 def heavy_rain(text: Column) -> Column:
@@ -108,31 +114,42 @@ def heavy_rain(text: Column) -> Column:
 def risk_words(event: Column, severity: Column, detail: Column) -> Column:
     """A service's own name of an alert in the words that the risk rules read; events that they know already, and those that no
     rule names, stay."""
-    e, strong = folded(event), F.lower(severity).isin("severe", "extreme")
-    said = heavy_rain(folded(F.concat_ws(" ", event, detail)))
-    name = event
-    for words, severe, other in reversed(RISK_RULES):
-        mild = F.when(said, "Flood Advisory").otherwise("Rain Advisory") if other == "rain" else F.lit(other)
-        name = F.when(_any(e, words), event if severe is None else F.when(strong, F.lit(severe)).otherwise(mild)).otherwise(name)
-    return F.when((event == "") | alert_family(event).isNotNull(), event).otherwise(name)
+    text = lambda x: F.lit(x).cast("string")
+    rules = F.array(*(F.struct(F.array(*map(F.lit, words)).alias("words"), text(severe).alias("severe"), text(other).alias("other")) for words, severe, other in RISK_RULES))
+    strong = F.lower(severity).isin("severe", "extreme")
+
+    def named(rule: Column) -> Column:
+        rain = F.when(heavy_rain(folded(F.concat_ws(" ", event, detail))), "Flood Advisory").otherwise("Rain Advisory")
+        return F.coalesce(F.when(strong, rule["severe"]).when(rule["other"] == "rain", rain).otherwise(rule["other"]), event)
+
+    rule = lambda e: _once(F.get(F.filter(rules, lambda r: F.exists(r["words"], lambda w: F.contains(e, w))), F.lit(0)), named)
+    return F.when((event == "") | alert_family(event).isNotNull(), event).otherwise(_once(folded(event), rule))
 
 
 def side(instruction: Column) -> Column:
     """left or right, whichever an instruction names first before it says where it leads; null for none."""
-    lower = F.lower(instruction)
-    way = lower
-    for lead in reversed(LEADS):
-        way = F.when(F.contains(lower, F.lit(lead)), F.substring_index(lower, lead, 1)).otherwise(way)
-    left, right = F.instr(way, "left"), F.instr(way, "right")
-    return F.when((left > 0) & ((right == 0) | (left < right)), "left").when(right > 0, "right")
+
+    def turned(way: Column) -> Column:
+        left, right = F.instr(way, "left"), F.instr(way, "right")
+        return F.when((left > 0) & ((right == 0) | (left < right)), "left").when(right > 0, "right")
+
+    def way(lower: Column) -> Column:
+        lead = F.get(F.filter(F.array(*map(F.lit, LEADS)), lambda w: F.contains(lower, w)), F.lit(0))
+        return _once(F.when(lead.isNotNull(), F.call_function("substring_index", lower, lead, F.lit(1))).otherwise(lower), turned)
+
+    return _once(F.lower(instruction), way)
 
 
 def maneuver(instruction: Column) -> Column:
     """The sign of an instruction, by the first rule that fits; straight ahead where none does."""
-    s, to = F.lower(instruction), side(instruction)
-    turn = F.when(to == "left", "turn left").when(to == "right", "turn right")
-    return (
-        F.when(_any(s, ("arrive", "you have arrived")), "arrive").when(_any(s, ("u-turn", "make a u turn")), "u-turn").when(_any(s, ("roundabout", "traffic circle", "rotary")), "roundabout")
-        .when(_any(s, GENTLE), F.when(to == "left", "up left").when(to == "right", "up right").otherwise("up")).when(_any(s, ("merge",)), "merge")
-        .when(_any(s, ("exit", "ramp", "sharp")), F.coalesce(turn, F.lit("turn right"))).when(_any(s, ("turn", "left", "right")), F.coalesce(turn, F.lit("up"))).otherwise("up")
-    )
+
+    def sign(x: Column) -> Column:
+        s, to = x["text"], x["side"]
+        turn = F.when(to == "left", "turn left").when(to == "right", "turn right")
+        return (
+            F.when(_any(s, ("arrive", "you have arrived")), "arrive").when(_any(s, ("u-turn", "make a u turn")), "u-turn").when(_any(s, ("roundabout", "traffic circle", "rotary")), "roundabout")
+            .when(_any(s, GENTLE), F.when(to == "left", "up left").when(to == "right", "up right").otherwise("up")).when(_any(s, ("merge",)), "merge")
+            .when(_any(s, ("exit", "ramp", "sharp")), F.coalesce(turn, F.lit("turn right"))).when(_any(s, ("turn", "left", "right")), F.coalesce(turn, F.lit("up"))).otherwise("up")
+        )
+
+    return F.when(instruction.isNotNull(), _once(F.struct(F.lower(instruction).alias("text"), side(instruction).alias("side")), sign)).otherwise("up")
