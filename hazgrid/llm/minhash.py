@@ -183,6 +183,15 @@ def _common(strays: list[np.ndarray], others: list[np.ndarray]) -> np.ndarray:
     return counts
 
 
+def _of_groups(placed: DataFrame, groups: DataFrame) -> DataFrame:
+    """``placed`` with what is known of their leader's group. Groups with more than one in HOT of all rows, of which there are
+    fewer than HOT, are sent to all executors, so that no task gets all followers of a leader."""
+    bound = placed.count() // HOT
+    hot = groups.where(F.col("size") > bound)
+    rest = placed.join(F.broadcast(hot.select("leader")), "leader", "left_anti").join(groups.where(F.col("size") <= bound), "leader")
+    return placed.join(F.broadcast(hot), "leader").unionByName(rest)
+
+
 def _links_of_strays(placed: DataFrame, sets: DataFrame) -> DataFrame:
     """Confirmed links (u, v) between followers (leader, rep, c) of one leader in different components.
 
@@ -191,7 +200,7 @@ def _links_of_strays(placed: DataFrame, sets: DataFrame) -> DataFrame:
     """
     sizes = placed.groupBy("leader", "c").agg(F.count("*").alias("size"))
     groups = sizes.groupBy("leader").agg(F.max(F.struct("size", "c"))["c"].alias("largest"), F.count("*").alias("parts"), F.sum("size").alias("size")).where("parts > 1")
-    open_ = written(placed.join(groups.select("leader", "largest", "size"), "leader"), "open")
+    open_ = written(_of_groups(placed, checkpointed(groups.select("leader", "largest", "size"))), "open")
     sets = sets.withColumnRenamed("row", "rep")
     n_open = open_.count()
     blocks = F.ceil(F.col("size") / BLOCK)
@@ -264,6 +273,7 @@ def grouped(docs: DataFrame, width: int = 5) -> tuple[DataFrame, DataFrame]:
     components = checkpointed(connected_components(links))
 
     placed = followers.join(components.withColumnRenamed("node", "rep"), "rep", "left").select("leader", "rep", F.coalesce("component", "rep").alias("c"))
+    placed = written(placed, "followers-placed")
     links = links.unionByName(_links_of_strays(placed, sets))
     components = checkpointed(connected_components(links)).withColumnRenamed("node", "row")
 
