@@ -150,8 +150,10 @@ def spoken_miles(metres: Column) -> Column:
 def clock_text(seconds: Column) -> Column:
     """'45 min', '1 h 35 min' from 90 minutes on, '2.0 d' from two days on."""
     m = F.round(seconds / 60).cast("long")
+    # By the number's own binary value, halves to even, as C's printf does; Java's format rounds its shortest decimal up.
+    days = F.concat(F.call_function("format_number", seconds / 86_400, F.lit("0.0")), F.lit(" d"))
     hours = F.format_string("%d h %d min", F.floor(m / 60).cast("long"), m % 60)
-    return F.when(m >= 2880, F.format_string("%.1f d", seconds / 86_400)).when(m >= 90, hours).otherwise(F.format_string("%d min", m))
+    return F.when(m >= 2880, days).when(m >= 90, hours).otherwise(F.format_string("%d min", m))
 
 
 def exposure_percent(share: Column) -> Column:
