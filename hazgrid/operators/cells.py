@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hazgrid.functions import alerting
@@ -20,17 +20,23 @@ def worst_in_cell(samples: DataFrame, alerts: DataFrame, key: str, now: Column,
     severity, expires): the worst alert that is active on arrival, by severity, or by tier first; the first in place on
     ties. Risk is 0 and the rest null where none is active; samples of cells that weren't looked at are left out.
 
-    The severity's order and the tier are part of the aggregate, so a hot cell's alerts are cut down before they meet."""
-    s = samples.withColumn("cell", alert_cell(F.col("lat"), F.col("lon")))
-    pairs = s.join(alerts, "cell")
-    active = alerting.is_active(F.col("expires"), F.col("arrival"), now)
+    Of a cell's alerts that end at one time only the first in order can be the worst, and of these only those that outlast every
+    one before them; samples of one cell and arrival have one answer. So neither a hot cell's alerts nor its samples meet row by row."""
+    s = samples.select(key, "arrival", alert_cell(F.col("lat"), F.col("lon")).alias("cell"))
     order = [-F.col("severity"), F.col("place")]
     if warnings_first:
         order.insert(0, -alerting.sample_tier(F.col("event"), F.col("severity")))
     names = [f"o{i}" for i in range(len(order))]
-    best = F.min(F.when(active, F.struct(*(c.alias(n) for c, n in zip(order, names, strict=True)), "severity", "event", "alert_id")))
-    worst = pairs.groupBy(key).agg(best.alias("w"))
-    return worst.select(key, F.coalesce("w.severity", F.lit(0.0)).alias("risk"), F.col("w.event").alias("event"), F.col("w.alert_id").alias("alert_id"))
+    first = F.min(F.struct(*(c.alias(n) for c, n in zip(order, names, strict=True)), "severity", "event", "alert_id")).alias("w")
+    ends = alerts.groupBy("cell", "expires").agg(first)
+    before = Window.partitionBy("cell").orderBy("w").rowsBetween(Window.unboundedPreceding, -1)
+    until = F.coalesce(F.col("expires").cast("double"), F.lit(float("inf")))
+    ends = ends.withColumn("_until", F.max(until).over(before)).where(F.col("_until").isNull() | (until > F.col("_until"))).drop("_until")
+    pairs = s.select("cell", "arrival").distinct().join(ends, "cell")
+    active = alerting.is_active(F.col("expires"), F.col("arrival"), now)
+    worst = pairs.groupBy("cell", "arrival").agg(F.min(F.when(active, F.col("w"))).alias("w")).withColumnsRenamed({"cell": "_cell", "arrival": "_arrival"})
+    found = s.join(worst, (F.col("cell") == F.col("_cell")) & F.col("arrival").eqNullSafe(F.col("_arrival"))).groupBy(key).agg(F.min("w").alias("w"))
+    return found.select(key, F.coalesce("w.severity", F.lit(0.0)).alias("risk"), F.col("w.event").alias("event"), F.col("w.alert_id").alias("alert_id"))
 
 
 def corridor_noisy_or(hits: DataFrame, route: str, alert: str, severity: str, coverage: str) -> DataFrame:
