@@ -26,16 +26,23 @@ def merged(shown: DataFrame, live: DataFrame, looked: DataFrame, now: Column, si
     new = alive(live)
     # A live shape tells of a shown one's warning even if it has expired meanwhile.
     every = live.select(F.col("id").alias("n_id"), F.col("event"), F.col("ring").alias("n_ring"), F.col("expires").alias("n_expires"), corner("y").alias("ref_lat"), corner("x").alias("ref_lon"))
-    pairs = spatial.within(old.select("id", "event", "lat", "lon"), every, SAME, size, on=("event",))
-    pairs = pairs.select("id", "n_id", "n_ring", "n_expires", (F.col("n_expires").isNull() | (F.col("n_expires") > now)).alias("n_alive"))
-    mates = pairs.groupBy("id").agg(F.min(F.when(F.col("n_alive"), F.struct("n_id", "n_ring", "n_expires"))).alias("n"))
-    checked = covers.containing(looked.select("lat", "lon"), old.select("id", "ring"), ["id"], size).select("id").distinct().withColumn("_checked", F.lit(True))
-    kept = old.join(mates, "id", "left").join(pairs.select("id").distinct().withColumn("_live", F.lit(True)), "id", "left").join(checked, "id", "left")
+    # Shapes whose first corners share a place have the same mates: places meet places, each with the first live shape there.
+    alive_now = F.col("n_expires").isNull() | (F.col("n_expires") > now)
+    first = every.groupBy("event", "ref_lat", "ref_lon").agg(F.min(F.when(alive_now, F.struct("n_id", "n_ring", "n_expires"))).alias("n"))
+    pairs = spatial.within(spatial.places(old, ("event",)), first, SAME, size, on=("event",))
+    at = pairs.groupBy("event", "lat", "lon").agg(F.min("n").alias("n"))
+    mates = old.select("id", "event", "lat", "lon").join(at, ["event", "lat", "lon"]).groupBy("id").agg(F.min("n").alias("n")).withColumn("_live", F.lit(True))
+    known = every.join(pairs.select("event", "ref_lat", "ref_lon").distinct(), ["event", "ref_lat", "ref_lon"], "left_semi").select(F.col("n_id").alias("id")).distinct()
+    # Equal rings hold the same places.
+    rings = old.groupBy("ring").agg(F.min("id").alias("_ring_id"))
+    held = covers.containing(spatial.places(looked), rings, ["_ring_id"], size).select("_ring_id").distinct()
+    checked = old.select("id", "ring").join(rings.join(held, "_ring_id", "left_semi"), "ring").select("id").distinct().withColumn("_checked", F.lit(True))
+    kept = old.join(mates, "id", "left").join(checked, "id", "left")
     kept = kept.where(F.col("_live") | F.col("_checked").isNull())
     moved = F.col("n").isNotNull() & ~F.col("n.n_expires").eqNullSafe(F.col("expires"))
     kept = kept.select(
         F.when(moved, F.col("n.n_id")).otherwise(F.col("id")).alias("id"), "event", F.when(moved, F.col("n.n_ring")).otherwise(F.col("ring")).alias("ring"),
         F.when(moved, F.col("n.n_expires")).otherwise(F.col("expires")).alias("expires"), F.when(moved, "renewed").otherwise("shown").alias("source"),
     )
-    fresh = new.join(pairs.select(F.col("n_id").alias("id")).distinct(), "id", "left_anti")
+    fresh = new.join(known, "id", "left_anti")
     return kept.unionByName(fresh.withColumn("source", F.lit("new")))
