@@ -83,9 +83,8 @@ def recommended_rentals(df: DataFrame, key: str, name: str, brands: list[str], k
 def nearest_airports(points: DataFrame, airports: DataFrame, key: str, airport: str, reach: float, k: int) -> DataFrame:
     """The first ``k`` airports (ref_lat, ref_lon, size) within ``reach`` metres of each point by distance weighted with their size."""
     factor = F.element_at(F.create_map(*[F.lit(x) for kv in REACH.items() for x in kv]), F.col("size"))
-    pairs = spatial.within(points, airports, reach, max(0.5, reach / 111_320.0 / 4)).withColumn("weighted", F.col("meters") * factor)
-    w = Window.partitionBy(key).orderBy("weighted", airport)
-    return pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select(key, airport, "meters", "weighted", "rank")
+    found = spatial.nearest_few(points, airports, key, airport, reach, max(0.5, reach / 111_320.0 / 4), k, F.col("meters") * factor, ("size",))
+    return found.withColumnRenamed("distance", "weighted")
 
 
 def airport_pairs(trips: DataFrame, board: DataFrame, alight: DataFrame, key: str, gap: float) -> DataFrame:
@@ -100,17 +99,24 @@ def airport_pairs(trips: DataFrame, board: DataFrame, alight: DataFrame, key: st
 
 def crossings(trips: DataFrame, ferries: DataFrame, key: str, reach_km: float, k: int) -> DataFrame:
     """The first ``k`` ferries (ferry, a_lat, a_lon, b_lat, b_lon), in either direction, whose ends lie within reach of a trip's
-    (from_lat, from_lon, to_lat, to_lon), by the sum of both ways, then by ferry. Terminals meet trips by cells of the reach."""
+    (from_lat, from_lon, to_lat, to_lon), by the sum of both ways, then by ferry. Terminals meet trips by cells of the reach; trips
+    between the same places are one there, and of ferries between the same places only the first ``k`` can count."""
     size = reach_km / 111.0 * 1.5
     back = ferries.select("ferry", *(F.col(f"{p}_{c}").alias(f"{q}_{c}") for p, q in (("b", "a"), ("a", "b")) for c in ("lat", "lon")))
     both = ferries.withColumn("backward", F.lit(False)).unionByName(back.withColumn("backward", F.lit(True)))
+    same = Window.partitionBy("a_lat", "a_lon", "b_lat", "b_lon").orderBy("ferry", "backward")
+    both = both.withColumn("_n", F.row_number().over(same)).where(F.col("_n") <= k).drop("_n")
+    ends = ["from_lat", "from_lon", "to_lat", "to_lon"]
     cell = lambda c: F.floor(F.col(c) / size)
     wide = F.ceil(1 / F.greatest(F.cos(F.radians(F.abs("a_lat")) + math.radians(size)), F.lit(0.05))).cast("int")
     spread = both.withColumn("_row", F.explode(F.transform(F.sequence(F.lit(-1), F.lit(1)), lambda d: cell("a_lat") + d))).withColumn("_column", F.explode(F.transform(F.sequence(-wide, wide), lambda d: cell("a_lon") + d)))
-    pairs = trips.withColumns({"_row": cell("from_lat"), "_column": cell("from_lon")}).join(spread, ["_row", "_column"])
+    pairs = trips.select(*ends).distinct().withColumns({"_row": cell("from_lat"), "_column": cell("from_lon")}).join(spread, ["_row", "_column"])
     on, off = haversine_km(F.col("from_lat"), F.col("from_lon"), F.col("a_lat"), F.col("a_lon")), haversine_km(F.col("to_lat"), F.col("to_lon"), F.col("b_lat"), F.col("b_lon"))
     near = pairs.withColumns({"board_km": on, "alight_km": off}).where((F.col("board_km") <= reach_km) & (F.col("alight_km") <= reach_km))
-    w = Window.partitionBy(key).orderBy(F.col("board_km") + F.col("alight_km"), "ferry", "backward")
+    order = [F.col("board_km") + F.col("alight_km"), "ferry", "backward"]
+    near = near.withColumn("_n", F.row_number().over(Window.partitionBy(*ends).orderBy(*order))).where(F.col("_n") <= k).drop("_n")
+    near = trips.select(key, *ends).join(near, ends)
+    w = Window.partitionBy(key).orderBy(*order)  # again, for keys of several rows
     return near.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select(key, "ferry", "backward", "board_km", "alight_km", "rank")
 
 
@@ -147,8 +153,9 @@ def folded_marks(marks: DataFrame, window: DataFrame, size: float = 0.05, reach:
     """(mark, source): for marks of a route (mark, lat, lon, risk, code), the last mark of a later window (w, ref_lat, ref_lon,
     w_risk, w_code) that repainted each: windows go to their nearest mark, in order, and repaint where the risk moved or the
     code changed since the last repaint. Null where none did. The windows of a mark pass in order, with its paint as the state."""
-    near = spatial.within(marks.select("mark", "lat", "lon"), window, reach, size).groupBy("w").agg(F.min(F.struct("meters", "mark")).alias("b"), F.first("w_risk").alias("w_risk"), F.first("w_code").alias("w_code"))
-    painted = near.select(F.col("b.mark").alias("mark"), F.col("w").cast("long").alias("w"), F.col("w_risk").cast("double").alias("w_risk"), F.col("w_code").cast("long").alias("w_code"))
+    at = window.select(F.col("w").cast("long").alias("w"), F.col("w_risk").cast("double").alias("w_risk"), F.col("w_code").cast("long").alias("w_code"), F.col("ref_lat").alias("lat"), F.col("ref_lon").alias("lon"))
+    refs = marks.select("mark", F.col("lat").alias("ref_lat"), F.col("lon").alias("ref_lon"))
+    painted = spatial.nearest_known(at, refs, ["w", "w_risk", "w_code"], "mark", reach, size).select("mark", "w", "w_risk", "w_code")
     first = marks.select("mark", F.lit(None).cast("long").alias("w"), F.col("risk").cast("double").alias("w_risk"), F.col("code").cast("long").alias("w_code"))
 
     def paint(state: tuple | None, row: tuple) -> tuple[tuple, list]:
@@ -163,9 +170,10 @@ def folded_marks(marks: DataFrame, window: DataFrame, size: float = 0.05, reach:
 def labels(badges: DataFrame, labelled: DataFrame, reach: float, size: float) -> DataFrame:
     """(badge, label): each labelled item (item, kind, ref_lat, ref_lon, score) goes to the nearest badge (badge, kind, lat, lon)
     of its kind within reach; a badge takes the best-scored of its items, the first on ties."""
-    items = labelled.withColumnRenamed("kind", "item_kind")
-    near = spatial.within(badges, items, reach, size).where(F.col("kind") == F.col("item_kind")).groupBy("item", "score").agg(F.min(F.struct("meters", "badge")).alias("b"))
-    best = near.groupBy(F.col("b.badge").alias("badge")).agg(F.min(F.struct((-F.col("score")).alias("s"), "item"))["item"].alias("label"))
+    items = labelled.select("item", "score", "kind", F.col("ref_lat").alias("lat"), F.col("ref_lon").alias("lon"))
+    refs = badges.select("badge", "kind", F.col("lat").alias("ref_lat"), F.col("lon").alias("ref_lon"))
+    near = spatial.nearest_known(items, refs, ["item", "score"], "badge", reach, size, on=("kind",))
+    best = near.groupBy("badge").agg(F.min(F.struct((-F.col("score")).alias("s"), "item"))["item"].alias("label"))
     return badges.select("badge").join(best, "badge", "left")
 
 

@@ -21,57 +21,58 @@ QUAKE_HOURS = 24.0
 PIECE = 0.25
 
 
-def _best(points: DataFrame, feed: DataFrame, key: str, reach: float, size: float, score: Column) -> DataFrame:
-    """A score that is no number, as of a reading that is none, counts as none."""
-    best = spatial.within(points, feed, reach, size).groupBy(key).agg(F.max(F.when(~F.isnan(score), score)).alias("_s"))
-    return points.select(key).join(best, key, "left").select(key, F.greatest(F.lit(0.0), F.coalesce("_s", F.lit(0.0))).alias("score"))
+def _best(points: DataFrame, feed: DataFrame, key: str, reach: float, size: float, base: Column, falls: Column, by: tuple[str, ...] = ()) -> DataFrame:
+    """The greatest base * falls, of which ``falls`` (of meters and the columns ``by``) is never negative. A base that is no number,
+    as of a reading that is none, counts as none."""
+    best = spatial.best_score(points, feed, key, F.when(~F.isnan(base), base), reach, size, F.col("base") * falls, by)
+    return best.select(key, F.greatest(F.lit(0.0), F.coalesce("score", F.lit(0.0))).alias("score"))
 
 
 def fire(points: DataFrame, hotspots: DataFrame, key: str) -> DataFrame:
     """hotspots: ref_lat, ref_lon, frp."""
     power = F.when(~F.isnan("frp"), F.least(F.lit(1.0), 0.3 + 0.7 * F.least(F.greatest("frp", F.lit(1.0)) / 100, F.lit(1.0))))
-    return _best(points, hotspots, key, FIRE, 0.5, power * (1 - F.col("meters") / FIRE))
+    return _best(points, hotspots, key, FIRE, 0.5, power, 1 - F.col("meters") / FIRE)
 
 
 def seismic(points: DataFrame, quakes: DataFrame, key: str) -> DataFrame:
     """quakes: ref_lat, ref_lon, magnitude, age_hours."""
     strength = F.when(~F.isnan("magnitude"), F.least(F.greatest(F.col("magnitude") - 3, F.lit(0.0)) / 4, F.lit(1.0)))
     fresh = 0.5 + 0.5 * (1 - F.col("age_hours") / QUAKE_HOURS)
-    return _best(points, quakes.where(~F.isnan("age_hours") & (F.col("age_hours") < QUAKE_HOURS)), key, QUAKE, 1.5, strength * (1 - F.col("meters") / QUAKE) * fresh)
+    return _best(points, quakes.where(~F.isnan("age_hours") & (F.col("age_hours") < QUAKE_HOURS)), key, QUAKE, 1.5, strength * fresh, 1 - F.col("meters") / QUAKE)
 
 
 def volcanic(points: DataFrame, volcanoes: DataFrame, key: str) -> DataFrame:
     """volcanoes: ref_lat, ref_lon, level."""
     base = levels.volcano(F.col("level"))
-    return _best(points, volcanoes.where(base > 0), key, VOLCANO, 1.0, base * (1 - 0.5 * F.col("meters") / VOLCANO))
+    return _best(points, volcanoes.where(base > 0), key, VOLCANO, 1.0, base, 1 - 0.5 * F.col("meters") / VOLCANO)
 
 
 def tropical(points: DataFrame, storms: DataFrame, key: str) -> DataFrame:
-    """storms: ref_lat, ref_lon, knots. The reach grows with the wind from 150 to 400 km."""
+    """storms: ref_lat, ref_lon, knots. The reach grows with the wind from 150 to 400 km, so storms of one place and wind are one."""
     reach = 150_000 + 250_000 * F.least(F.greatest((F.col("knots") - 34) / 103, F.lit(0.0)), F.lit(1.0))
-    score = F.when(~F.isnan("knots") & (F.col("meters") < reach), levels.tropical(F.col("knots")) * (1 - 0.6 * F.col("meters") / reach))
-    return _best(points, storms, key, 400_000.0, 4.0, score)
+    falls = F.when(F.col("meters") < reach, 1 - 0.6 * F.col("meters") / reach)
+    return _best(points, storms.where(~F.isnan("knots")), key, 400_000.0, 4.0, levels.tropical(F.col("knots")), falls, ("knots",))
 
 
 def tsunami(points: DataFrame, events: DataFrame, key: str) -> DataFrame:
     """events: ref_lat, ref_lon, level."""
     base = levels.tsunami(F.col("level"))
-    return _best(points, events.where(base > 0), key, TSUNAMI, 5.0, base * (1 - 0.5 * F.col("meters") / TSUNAMI))
+    return _best(points, events.where(base > 0), key, TSUNAMI, 5.0, base, 1 - 0.5 * F.col("meters") / TSUNAMI)
 
 
 def gauges(points: DataFrame, feed: DataFrame, key: str) -> DataFrame:
     """feed: ref_lat, ref_lon, category."""
-    return _best(points, feed, key, GAUGE, 0.5, levels.flood_category(F.col("category")) * (1 - F.col("meters") / GAUGE))
+    return _best(points, feed, key, GAUGE, 0.5, levels.flood_category(F.col("category")), 1 - F.col("meters") / GAUGE)
 
 
 def water(points: DataFrame, feed: DataFrame, key: str) -> DataFrame:
-    return _best(points, feed, key, WATER, 0.2, 1 - F.col("meters") / WATER)
+    return _best(points, feed, key, WATER, 0.2, F.lit(1.0), 1 - F.col("meters") / WATER)
 
 
 def closures(points: DataFrame, feed: DataFrame, key: str) -> DataFrame:
     """1 up to 300 metres, falling to 0 at two kilometres."""
-    score = F.when(F.col("meters") <= CLOSURE_FULL, 1.0).otherwise(1 - (F.col("meters") - CLOSURE_FULL) / (CLOSURE - CLOSURE_FULL))
-    return _best(points, feed, key, CLOSURE, 0.05, score)
+    falls = F.when(F.col("meters") <= CLOSURE_FULL, 1.0).otherwise(1 - (F.col("meters") - CLOSURE_FULL) / (CLOSURE - CLOSURE_FULL))
+    return _best(points, feed, key, CLOSURE, 0.05, F.lit(1.0), falls)
 
 
 def perimeters(points: DataFrame, rings: DataFrame, key: str, size: float = 0.5) -> DataFrame:

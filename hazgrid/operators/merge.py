@@ -11,15 +11,15 @@ from hazgrid.operators import spatial
 
 def drop_near_duplicates(known: DataFrame, new: DataFrame, reach_m: float, size: float) -> DataFrame:
     """``known`` (id, kind, lat, lon, ...) without rows that a new one of the same kind stands near, and all of ``new``."""
-    refs = new.select(F.col("kind").alias("new_kind"), F.col("lat").alias("ref_lat"), F.col("lon").alias("ref_lon"))
-    doubled = spatial.within(known, refs, reach_m, size).where(F.col("kind") == F.col("new_kind")).select("id").distinct()
+    refs = new.select("kind", F.col("lat").alias("ref_lat"), F.col("lon").alias("ref_lon"))
+    doubled = spatial.beside(known, refs, "id", reach_m, size, on=("kind",))
     return known.join(doubled, "id", "left_anti").unionByName(new)
 
 
 def unshown(candidates: DataFrame, shown: DataFrame, reach_m: float, size: float) -> DataFrame:
     """Candidates (id, kind, lat, lon, ...) with none of the same kind shown near them."""
-    refs = shown.select(F.col("kind").alias("shown_kind"), F.col("lat").alias("ref_lat"), F.col("lon").alias("ref_lon"))
-    near = spatial.within(candidates, refs, reach_m, size).where(F.col("kind") == F.col("shown_kind")).select("id").distinct()
+    refs = shown.select("kind", F.col("lat").alias("ref_lat"), F.col("lon").alias("ref_lon"))
+    near = spatial.beside(candidates, refs, "id", reach_m, size, on=("kind",))
     return candidates.join(near, "id", "left_anti")
 
 

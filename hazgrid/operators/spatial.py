@@ -1,5 +1,6 @@
 """Spatial joins by grid cells: Spark has no hash join for distances, so the smaller side is spread over the cells it can
-reach, joined by cell, and filtered by the true distance. Minima and maxima are aggregates with partial sums."""
+reach, joined by cell, and filtered by the true distance. Minima and maxima are aggregates with partial sums. Where a result
+depends on places alone, each place of either side meets the other once, and its rows take what it has found."""
 
 from __future__ import annotations
 
@@ -7,7 +8,7 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hazgrid.functions.geo import METRES_PER_DEGREE, cell, meters, ring_contains
@@ -31,18 +32,68 @@ def within(points: DataFrame, refs: DataFrame, reach_m: float, size: float, how:
     return pairs.where(F.col("meters") < reach_m)
 
 
+def places(points: DataFrame, on: tuple[str, ...] = ()) -> DataFrame:
+    """Each place (lat, lon) of ``points`` once, for what depends on the place (and the columns ``on``) alone: points that share
+    one don't each meet what is near."""
+    return points.select(*on, "lat", "lon").distinct()
+
+
+def nearest_known(points: DataFrame, refs: DataFrame, keys: list[str], ref_key: str, reach_m: float, size: float, on: tuple[str, ...] = ()) -> DataFrame:
+    """(keys, ref_key, meters) of the nearest ref within reach of each point that has one, the least ref_key on ties. Only refs that
+    are alike in the columns ``on`` count. Places meet places, each with its least ref_key."""
+    least = refs.groupBy(*on, "ref_lat", "ref_lon").agg(F.min(ref_key).alias(ref_key))
+    best = within(places(points, on), least, reach_m, size, on=on).groupBy(*on, "lat", "lon").agg(F.min(F.struct("meters", ref_key)).alias("_b"))
+    best = points.join(best, [*on, "lat", "lon"]).groupBy(*keys).agg(F.min("_b").alias("_b"))
+    return best.select(*keys, F.col(f"_b.{ref_key}").alias(ref_key), F.col("_b.meters").alias("meters"))
+
+
 def nearest(points: DataFrame, refs: DataFrame, key: str, ref_key: str, reach_m: float, size: float) -> DataFrame:
     """(key, ref_key, meters) of each point's nearest ref within reach, the least ref_key on ties; null without one."""
-    best = within(points, refs, reach_m, size).groupBy(key).agg(F.min(F.struct("meters", ref_key)).alias("_b"))
-    best = best.select(key, F.col(f"_b.{ref_key}").alias(ref_key), F.col("_b.meters").alias("meters"))
+    return points.select(key).join(nearest_known(points, refs, [key], ref_key, reach_m, size), key, "left")
+
+
+def nearest_few(points: DataFrame, refs: DataFrame, key: str, ref_key: str, reach_m: float, size: float, k: int, distance: Column | None = None, by: tuple[str, ...] = ()) -> DataFrame:
+    """(key, ref_key, meters, distance, rank) of each point's first ``k`` refs within reach, by ``distance`` (of meters and the
+    columns ``by``; without one, meters), then by ref_key. Of refs that share a place and ``by``, none but the first ``k`` can
+    be among them, and points of one place have the same ones; so neither meets the other row by row."""
+    few = refs.withColumn("_n", F.row_number().over(Window.partitionBy("ref_lat", "ref_lon", *by).orderBy(ref_key))).where(F.col("_n") <= k)
+    near = within(places(points), few.select("ref_lat", "ref_lon", *by, ref_key), reach_m, size)
+    near = near.withColumn("distance", F.col("meters") if distance is None else distance)
+    first = Window.partitionBy("lat", "lon").orderBy("distance", ref_key)
+    near = near.withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= k).select("lat", "lon", ref_key, "meters", "distance")
+    again = Window.partitionBy(key).orderBy("distance", ref_key)  # for keys of several rows
+    found = points.select(key, "lat", "lon").join(near, ["lat", "lon"]).withColumn("rank", F.row_number().over(again))
+    return found.where(F.col("rank") <= k).select(key, ref_key, "meters", "distance", "rank")
+
+
+def beside(points: DataFrame, refs: DataFrame, key: str, reach_m: float, size: float, on: tuple[str, ...] = ()) -> DataFrame:
+    """(key) of the points that have a ref within reach, among those that are alike in the columns ``on``; places meet places."""
+    near = within(places(points, on), refs.select(*on, "ref_lat", "ref_lon").distinct(), reach_m, size, on=on).select(*on, "lat", "lon").distinct()
+    return points.join(near, [*on, "lat", "lon"], "left_semi").select(key).distinct()
+
+
+def counts(points: DataFrame, refs: DataFrame, key: str, reach_m: float, size: float) -> DataFrame:
+    """(key, n, nearest): refs within reach of each point that has any, and metres to the nearest. Refs of a place count at once."""
+    held = refs.groupBy("ref_lat", "ref_lon").agg(F.count("*").alias("_n"))
+    near = within(places(points), held, reach_m, size).groupBy("lat", "lon").agg(F.sum("_n").alias("n"), F.min("meters").alias("nearest"))
+    return points.select(key, "lat", "lon").join(near, ["lat", "lon"]).groupBy(key).agg(F.sum("n").alias("n"), F.min("nearest").alias("nearest"))
+
+
+def best_score(points: DataFrame, feed: DataFrame, key: str, base: Column, reach_m: float, size: float, score: Column, by: tuple[str, ...] = ()) -> DataFrame:
+    """(key, score): the greatest ``score`` over the rows of ``feed`` within reach, null without one. ``base`` is a column of the
+    feed, ``score`` one of base, meters and the columns ``by`` that doesn't fall as base rises; so the greatest base of a place
+    stands for all of it, and places meet places."""
+    most = feed.withColumn("base", base).groupBy("ref_lat", "ref_lon", *by).agg(F.max("base").alias("base"))
+    best = within(places(points), most, reach_m, size).groupBy("lat", "lon").agg(F.max(score).alias("score"))
+    best = points.select(key, "lat", "lon").join(best, ["lat", "lon"]).groupBy(key).agg(F.max("score").alias("score"))
     return points.select(key).join(best, key, "left")
 
 
 def decay_max(points: DataFrame, feed: DataFrame, key: str, base: Column, reach_m: float, size: float, fall: float = 1.0) -> DataFrame:
-    """(key, score): the greatest base * (1 - fall * distance / reach) over feed points within reach, 0 without one."""
-    scored = within(points, feed, reach_m, size).withColumn("_s", base * (1 - fall * F.col("meters") / reach_m))
-    best = scored.groupBy(key).agg(F.max("_s").alias("score"))
-    return points.select(key).join(best, key, "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
+    """(key, score): the greatest base * (1 - fall * distance / reach) over feed points within reach, 0 without one; ``fall`` is 1
+    at most."""
+    best = best_score(points, feed, key, base, reach_m, size, F.col("base") * (1 - fall * F.col("meters") / reach_m))
+    return best.withColumn("score", F.coalesce("score", F.lit(0.0)))
 
 
 def containing(points: DataFrame, areas: DataFrame, size: float) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from hazgrid.functions import binary, geo, names
 from hazgrid.functions.clock import decay, week_of_year
 from hazgrid.functions.geo import haversine_km, meters
-from hazgrid.operators import habits, learning, ranking
+from hazgrid.operators import habits, learning, ranking, spatial
 from hazgrid.plans.points import place, place_sql, table
 from hazgrid.sources import ferries
 
@@ -120,15 +120,10 @@ def ferry_crossings(spark, sf):
 
 def nearest_stops(spark, sf):
     """Stops within 200 km that a picked kind of vehicle serves, the three nearest."""
-    from pyspark.sql import Window
-
-    from hazgrid.operators import spatial
-
     c = place(table(spark, sf, "customer").select("c_custkey"), "c_custkey")
     stops = place(table(spark, sf, "supplier").select("s_suppkey"), "s_suppkey", "ref_lat", "ref_lon").withColumn("modes", F.col("s_suppkey") % 8)
-    near = spatial.within(c, stops.where(F.col("modes").bitwiseAND(F.lit(5)) != 0), 200_000.0, 1.0)
-    w = Window.partitionBy("c_custkey").orderBy("meters", "s_suppkey")
-    return near.withColumn("rank", F.row_number().over(w)).where("rank <= 3").select("c_custkey", "s_suppkey", "rank")
+    picked = stops.where(F.col("modes").bitwiseAND(F.lit(5)) != 0)
+    return spatial.nearest_few(c, picked, "c_custkey", "s_suppkey", 200_000.0, 1.0, 3).select("c_custkey", "s_suppkey", "rank")
 
 
 def field_selection(spark, sf):
