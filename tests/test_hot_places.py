@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from hazgrid.functions import travel
-from hazgrid.operators import areas, cells, habits, hazards, merge, routes, spatial
+from hazgrid.operators import areas, cells, covers, habits, hazards, merge, routes, spatial
 from hazgrid.plans import joins
 
 N = 600
@@ -138,3 +138,32 @@ def test_lateral_latest_of_repeated_customers(spark, tmp_path):
     c.write.parquet(f"{tmp_path}/customer.parquet")
     o.write.parquet(f"{tmp_path}/orders.parquet")
     assert sorted(map(tuple, joins.lateral_latest(spark, str(tmp_path)).collect())) == [(1, 3), (1, 4)]
+
+
+def test_alerts_covering(spark, points):
+    """Alerts alike in rings or zones, some with both, and a point of two rows: pairs come out of the last join alone."""
+    square = F.array(*(F.struct((F.lit(-90.0) + dx).alias("x"), (F.lit(40.0) + dy).alias("y")) for dx, dy in ((-0.5, -0.5), (0.5, -0.5), (0.5, 0.5), (-0.5, 0.5))))
+    line, none = F.array(F.slice(square, 1, 2)), F.array().cast("array<array<struct<x:double,y:double>>>")
+    k = F.col("alert_id")
+    rings = F.when(k % 3 == 0, F.array(square)).when(k % 3 == 1, none).otherwise(line)
+    alerts = spark.range(N).toDF("alert_id").select("alert_id", rings.alias("rings"), F.array(F.when(k % 2 == 0, "z").otherwise("far")).alias("zones"))
+    zones = spark.range(1).select(F.lit("z").alias("zone"), square.alias("ring"))
+    covering = {a for a in range(N) if a % 3 == 0 or a % 2 == 0}
+    found = covers.alerts_covering(points.unionByName(points.limit(1)), alerts, zones, "id", 0.8).collect()
+    assert len(found) == len(covering) * N // 2
+    assert {tuple(r) for r in found} == {(i, a) for i in range(0, N, 2) for a in covering}
+    samples = points.withColumn("route", F.lit(7))
+    spans = lambda: covers.corridor_alerts(samples, alerts, zones, "route", "id", 0.8)
+    _hold(spark, spans, {(7, a, 0, N - 2, N // 2) for a in covering})
+
+
+def test_match_fixes_of_short_routes(spark):
+    """A fix far from all vertices of a route that lies within its stretch has met them all; longer routes are still searched."""
+    v = spark.range(N).select((F.col("id") % 150).alias("route"), F.floor(F.col("id") / 150).cast("int").alias("seq"), (43 + F.floor(F.col("id") / 150) / 100).alias("lat"), F.lit(-90.0).alias("lon"))
+    far = spark.range(400).select(F.lit(1000).cast("long").alias("route"), F.col("id").cast("int").alias("seq"), (43 + F.col("id") / 100).alias("lat"), F.lit(-90.0).alias("lon"))
+    fixes = spark.range(150).select(F.col("id").alias("fix"), F.col("id").alias("route"), F.lit(0).alias("last"), F.lit(43.0299).alias("fix_lat"), F.lit(-90.01).alias("fix_lon"))
+    lost = spark.createDataFrame([(1000, 1000, 5, 45.9999, -90.01)], fixes.schema)
+    some = lambda f: lambda: routes.match_fixes(v.unionByName(far), f).select("fix", "seq")
+    rows, most = _most_rows(spark, some(fixes))
+    assert {tuple(r) for r in rows} == {(i, 3) for i in range(150)} and most < 4000
+    assert {tuple(r) for r in some(fixes.unionByName(lost))().collect()} == {(i, 3) for i in range(150)} | {(1000, 300)}
