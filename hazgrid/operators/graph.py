@@ -6,14 +6,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hazgrid.operators.shared import settled
+from hazgrid.operators.shared import settled, settled_by
 from hazgrid.operators.stars import connected_components
 
 
 def shortest_paths(edges: DataFrame, source, rounds: int | None = None) -> DataFrame:
     """(node, dist) reachable from ``source`` over edges (src, dst, w): rounds of relaxation until none changes. An edge without
-    a weight leads nowhere; a negative weight is an error, and so is a limit of ``rounds`` that is hit before the end."""
-    edges = settled(edges.where(F.col("w").isNotNull()))
+    a weight leads nowhere; a negative weight is an error, and so is a limit of ``rounds`` that is hit before the end.
+    Edges are spread by ``src`` once and stay so: a round moves only the nodes that changed and what they reach."""
+    edges = settled_by(edges.where(F.col("w").isNotNull()).select("src", "dst", "w"), "src")
     if not edges.where(F.col("w") < 0).isEmpty():
         raise ValueError("shortest paths over a negative weight")
     dist = edges.sparkSession.createDataFrame([(source, 0.0)], "node long, dist double")

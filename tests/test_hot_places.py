@@ -6,14 +6,14 @@ import pytest
 from pyspark.sql import functions as F
 
 from hazgrid.functions import travel
-from hazgrid.operators import areas, cells, covers, habits, hazards, merge, routes, spatial
+from hazgrid.operators import areas, cells, covers, graph, habits, hazards, merge, routes, spatial
 from hazgrid.plans import joins
 
 N = 600
 
 
-def _most_rows(spark, df):
-    """The rows of ``df`` and the most rows that a step of its jobs put out."""
+def _most_rows(spark, df, metric="number of output rows", join=max):
+    """The rows of ``df`` and the most rows that a step of its jobs put out; or another metric, joined otherwise."""
     store = spark._jsparkSession.sharedState().statusStore()
     wait = spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty
     wait()
@@ -27,8 +27,8 @@ def _most_rows(spark, df):
         for node in (nodes.apply(k) for k in range(nodes.size())):
             for m in (node.metrics().apply(k) for k in range(node.metrics().size())):
                 value = metrics.get(m.accumulatorId())
-                if m.name() == "number of output rows" and value.isDefined():
-                    most = max(most, int(re.sub(r"\D", "", value.get()) or 0))
+                if m.name() == metric and value.isDefined():
+                    most = join(most, int(re.sub(r"\D", "", value.get()) or 0))
     return rows, most
 
 
@@ -157,13 +157,26 @@ def test_alerts_covering(spark, points):
     _hold(spark, spans, {(7, a, 0, N - 2, N // 2) for a in covering})
 
 
-def test_match_fixes_of_short_routes(spark):
+def test_match_fixes_of_short_routes(spark, monkeypatch):
     """A fix far from all vertices of a route that lies within its stretch has met them all; longer routes are still searched."""
     v = spark.range(N).select((F.col("id") % 150).alias("route"), F.floor(F.col("id") / 150).cast("int").alias("seq"), (43 + F.floor(F.col("id") / 150) / 100).alias("lat"), F.lit(-90.0).alias("lon"))
     far = spark.range(400).select(F.lit(1000).cast("long").alias("route"), F.col("id").cast("int").alias("seq"), (43 + F.col("id") / 100).alias("lat"), F.lit(-90.0).alias("lon"))
     fixes = spark.range(150).select(F.col("id").alias("fix"), F.col("id").alias("route"), F.lit(0).alias("last"), F.lit(43.0299).alias("fix_lat"), F.lit(-90.01).alias("fix_lon"))
     lost = spark.createDataFrame([(1000, 1000, 5, 45.9999, -90.01)], fixes.schema)
     some = lambda f: lambda: routes.match_fixes(v.unionByName(far), f).select("fix", "seq")
-    rows, most = _most_rows(spark, some(fixes))
-    assert {tuple(r) for r in rows} == {(i, 3) for i in range(150)} and most < 4000
     assert {tuple(r) for r in some(fixes.unionByName(lost))().collect()} == {(i, 3) for i in range(150)} | {(1000, 300)}
+    monkeypatch.setattr(routes, "nearest_anywhere", None)  # not looked for
+    assert {tuple(r) for r in some(fixes)().collect()} == {(i, 3) for i in range(150)}
+
+
+def test_shortest_paths_move_edges_once(spark):
+    chain = spark.range(8).select("id", (F.col("id") + 1).alias("dst"), F.lit(1.0).alias("w")).toDF("src", "dst", "w")
+    edges = chain.unionByName(spark.range(5000).select((F.col("id") + 100).alias("src"), F.lit(1).cast("long").alias("dst"), F.lit(1.0).alias("w")))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows, moved = _most_rows(spark, lambda: graph.shortest_paths(edges, 0), "shuffle records written", lambda a, b: a + b)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert {tuple(r) for r in rows} == {(i, float(i)) for i in range(9)}
+    assert 5000 <= moved < 12_000
