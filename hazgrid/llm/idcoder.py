@@ -23,6 +23,7 @@ import numpy as np
 BLOCK = 512
 LANES = 6_144
 MAGIC = b"HGT2"
+_NEAR = 128
 #: Doublings of a frequency, so that the largest is 2 ** DOUBLINGS.
 DOUBLINGS = 3
 #: Slots of order 2; bits of an outcome's scale; and of the span below which a digit leaves.
@@ -142,7 +143,14 @@ class _Model:
 
 
 def _numbered(lanes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(number within its lane, whether it is the first of its kind) of each id."""
+    """(number within its lane, whether it is the first of its kind) of each id, both step by step: lanes are columns."""
+    number, new = np.empty(lanes.shape[::-1], np.int16), np.empty(lanes.shape[::-1], bool)
+    for k in range(0, len(lanes), _NEAR):  # as many lanes as the nearest caches hold
+        number[:, k : k + _NEAR], new[:, k : k + _NEAR] = (x.T for x in _numbered_few(lanes[k : k + _NEAR]))
+    return number, new
+
+
+def _numbered_few(lanes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     n, size = lanes.shape
     ranked = np.sort((lanes.astype(np.uint32) << 16) | np.arange(size, dtype=np.uint32), axis=1)
     starts = np.ones(lanes.shape, bool)
@@ -162,7 +170,7 @@ def _encode_lanes(lanes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     n = len(lanes)
     model = _Model(n)
     numbers, fresh = _numbered(lanes)
-    numbers, fresh, columns = np.ascontiguousarray(numbers.T), np.ascontiguousarray(fresh.T).view(np.uint8), np.ascontiguousarray(lanes.T)
+    fresh, columns = fresh.view(np.uint8), np.ascontiguousarray(lanes.T)
     digits = np.zeros((BLOCK + 8, n), np.uint64)
     flat = digits.reshape(-1)
     place = model.lane.copy()  # in the row of the next digit
@@ -201,9 +209,11 @@ def _encode_lanes(lanes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             span[small] <<= 32
         model.learn(ids, outcome)
     flat[place], flat[place + n] = low >> _LOW, (low & (1 << _LOW) - 1) << 2
+    sizes = place // n + 2
+    digits = digits[: sizes.max()]
     for k in range(len(digits) - 1, 0, -1):
         digits[k - 1] += digits[k] >> np.uint64(32)
-    return np.ascontiguousarray(digits.astype("<u4").T), place // n + 2
+    return np.ascontiguousarray(digits.astype("<u4").T), sizes
 
 
 def _decode_lanes(digits: np.ndarray, starts: np.ndarray) -> np.ndarray:

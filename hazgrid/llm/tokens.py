@@ -1,7 +1,7 @@
 """Whole texts to token ids with the ``tokenizers`` library, through a bounded table of words on each worker.
 
-Numpy finds the words of a batch of texts, and for each a 64-bit key and a second 64-bit number that confirms it; distinct
-keys are looked up in a sorted table, and ids are gathered from its pool. Words that share a key and differ in the second
+Numpy finds the words of a batch of texts, and for each a 64-bit key and a second 64-bit number that confirms it; keys
+are looked up in a table by their first bits, or else in order, and ids are gathered from its pool. Words that share a key and differ in the second
 number are encoded apart. Only words that the table lacks become strings and go to the library.
 """
 
@@ -96,24 +96,33 @@ def word_keys(data: bytes, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.
 
 
 class _Table:
-    """Ids by key of a word: keys in order, and for each the place and number of its ids in a pool."""
+    """Ids by key of a word: keys in order, and for each the place and number of its ids in a pool. By the first bits of a key,
+    ``guess`` has the place of one such key; the others are searched for."""
 
     def __init__(self):
         self.keys, self.checks = np.empty(0, np.uint64), np.empty(0, np.uint64)
         self.starts, self.counts, self.used = np.empty(0, np.int32), np.empty(0, np.int32), np.empty(0, np.int32)
         self.pool = np.empty(0, np.uint16)
         self.now = 0
+        self._guess()
+
+    def _guess(self) -> None:
+        bits = max(16, (4 * len(self.keys)).bit_length())
+        self.shift, self.guess = np.uint64(64 - bits), np.zeros(1 << bits, np.int32)
+        self.guess[self.keys >> self.shift] = np.arange(len(self.keys), dtype=np.int32)
 
     def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(places of ``keys``, which ones are there)."""
+        """(places of ``keys``, numbers of those that aren't there)."""
         self.now += 1
-        at = np.searchsorted(self.keys, keys)
-        there = np.zeros(len(keys), bool)
-        if len(self.keys):
-            at = np.minimum(at, len(self.keys) - 1)
-            there = self.keys[at] == keys
-            self.used[at[there]] = self.now
-        return at, there
+        if not len(self.keys):
+            return np.zeros(len(keys), np.int32), np.arange(len(keys))
+        at = self.guess[keys >> self.shift]
+        other = np.flatnonzero(self.keys[at] != keys)
+        found = np.minimum(np.searchsorted(self.keys, keys[other]), len(self.keys) - 1)
+        at[other] = found
+        lacking = other[self.keys[found] != keys[other]]
+        self.used[at] = self.now
+        return at, lacking
 
     def add(self, keys: np.ndarray, checks: np.ndarray, ids: list[bytes]) -> None:
         counts = np.fromiter(map(len, ids), np.int32, len(ids)) // 2
@@ -124,6 +133,7 @@ class _Table:
         self.keys, self.checks = every[order], np.concatenate([self.checks, checks])[order]
         self.starts, self.counts = np.concatenate([self.starts, starts])[order], np.concatenate([self.counts, counts])[order]
         self.used = np.concatenate([self.used, np.full(len(keys), self.now, np.int32)])[order]
+        self._guess()
 
     def shrink(self) -> None:
         """Forget the half that was used least lately, if there are too many."""
@@ -131,6 +141,7 @@ class _Table:
             stay = np.sort(np.argpartition(self.used, len(self.used) // 2)[len(self.used) // 2 :])
             self.keys, self.checks, self.used, starts, self.counts = self.keys[stay], self.checks[stay], self.used[stay], self.starts[stay], self.counts[stay]
             self.pool, self.starts = self.ids(starts, self.counts), (np.cumsum(self.counts) - self.counts).astype(np.int32)
+            self._guess()
 
     def ids(self, starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
         """The ids at all of ``starts``, one run after another."""
@@ -174,18 +185,13 @@ class _Encoder:
         offsets -= offsets[0]
         starts, lengths = self._words(np.frombuffer(data, np.uint8), offsets)
         keys, checks = word_keys(data, starts, lengths)
-        order = np.argsort(keys)
-        new = np.append(True, np.diff(keys[order]) != 0) if len(keys) else np.empty(0, bool)
-        which = np.empty(len(keys), np.int32)
-        which[order] = np.cumsum(new) - 1
-        first = order[new]
-        at, there = self.table.find(keys[first])
-        if not there.all():
-            lacking = first[~there]
-            self.table.add(keys[lacking], checks[lacking], self._encoded(_strings(data, starts[lacking], lengths[lacking])))
-            at = np.searchsorted(self.table.keys, keys[first])
-        counts, places = self.table.counts[at][which], self.table.starts[at][which]
-        other = np.flatnonzero(self.table.checks[at][which] != checks)
+        at, lacking = self.table.find(keys)
+        if len(lacking):
+            first = lacking[np.unique(keys[lacking], return_index=True)[1]]
+            self.table.add(keys[first], checks[first], self._encoded(_strings(data, starts[first], lengths[first])))
+            at = self.table.find(keys)[0]
+        counts, places = self.table.counts[at], self.table.starts[at]
+        other = np.flatnonzero(self.table.checks[at] != checks)
         if len(other):  # words that share their key with another one
             apart = self._encoded(_strings(data, starts[other], lengths[other]))
             counts[other], places[other] = 0, 0
