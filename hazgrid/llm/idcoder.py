@@ -29,13 +29,13 @@ DOUBLINGS = 3
 #: Slots of order 2; bits of an outcome's scale; and of the span below which a digit leaves.
 _SLOTS2, _SCALE, _LOW = 1024, 13, 30
 _TOP = _LOW + 32
-#: Three cumulative frequencies in one number, their rate of adaption, and the least frequency.
-_FIELD, _RATE, _LEAST = 21, 5, 16
-_MASK = (1 << _FIELD) - 1
+_WHOLE = np.uint16((1 << _SCALE) - 1)
+#: Three cumulative frequencies in one number, from its second 16 bits on, their rate of adaption, and the least frequency.
+_FIELD, _RATE, _LEAST = 16, 5, 16
 
 
 def _packed(*fields: int) -> int:
-    return sum(f << _FIELD * k for k, f in enumerate(fields))
+    return sum(f << _FIELD * (k + 1) for k, f in enumerate(fields))
 
 
 _SHIFTED = _packed(*[(1 << 11) - 1] * 3)
@@ -43,9 +43,13 @@ _FLOOR = _packed(_LEAST, 2 * _LEAST, 3 * _LEAST)
 _START = _packed(500, 1000, 2200)
 #: What a table's cumulative frequencies gain for each outcome: 126 is the largest step that leaves room for all floors.
 _TOWARDS = np.array([_packed(*(126 * (outcome <= k) for k in range(3))) for outcome in range(4)], np.int64)
-#: The doubling that a count brings, or -1.
-_DOUBLES = np.full(BLOCK + 1, -1, np.int8)
-_DOUBLES[[2 << k for k in range(DOUBLINGS)]] = range(DOUBLINGS)
+#: The doubling that a count brings, and bits that say which counts bring one.
+_DOUBLES = {2 << k: k for k in range(DOUBLINGS)}
+_DOUBLING = np.uint16(sum(1 << count for count in _DOUBLES))
+_WHICH = np.array([_DOUBLES.get(count, 0) for count in range(max(_DOUBLES) + 1)], np.int64)
+#: Entries of orders 1 and 2 are 16 bits: a confidence, and a number within the block, from 1 on.
+_NUMBER, _SURE, _SURER = np.uint16(0xFFF), np.uint16(0x1000), np.uint16(0x2000)
+_HASH1, _HASH2 = np.uint16(40503), np.uint16(30011)
 
 
 class CorruptIds(ValueError):
@@ -53,89 +57,98 @@ class CorruptIds(ValueError):
 
 
 class _Model:
-    """The predictions of all lanes, and what they learn from the ids that come."""
+    """The predictions of all lanes, and what they learn from the ids that come. Only places in tables and what is as long
+    as the range are 64 bits wide."""
 
     def __init__(self, lanes: int):
         self.n = lanes
         self.lane = np.arange(lanes, dtype=np.int64)
-        self.base, self.base2 = self.lane * BLOCK, self.lane * _SLOTS2
-        # What is known of each number of a lane, in one word: the id in order 1 after it (16 bits), its count (16), its id.
+        self.base, self.base2, self.base4 = self.lane * BLOCK, self.lane * _SLOTS2, self.lane * 4
+        # What is known of each number of a lane, in one word: its entry of order 1 (16 bits), its count (16), its id.
         self.base1 = self.lane * (BLOCK + 1)
         self.known, self.here = np.zeros(lanes * (BLOCK + 1), np.int64), np.zeros(lanes, np.int64)
         self.after2 = np.zeros(lanes * _SLOTS2, np.uint16)
         self.mix_a, self.mix_b = np.full(32 * lanes, _START, np.int64), np.full(16 * lanes, _START, np.int64)  # by state, then lane
         self.order = np.tile(np.arange(BLOCK, dtype=np.uint16), lanes)
         self.place = self.order.copy()
-        self.borders = np.zeros((DOUBLINGS, lanes), np.int64)
-        self.shown, self.weight = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
+        self.borders = np.zeros((DOUBLINGS, lanes), np.uint16)
+        self.shown, self.weight = np.zeros(lanes, np.uint16), np.zeros(lanes, np.uint16)
         # Before the first id, the last one is a number that no id has.
-        self.last, self.before, self.outcomes = np.full(lanes, BLOCK, np.int64), np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
-        self.cumulative = np.zeros((5, lanes), np.int64)
-        self.cumulative[4] = 1 << _SCALE
+        self.last, self.before, self.outcomes = np.full(lanes, BLOCK, np.uint16), np.zeros(lanes, np.uint16), np.zeros(lanes, np.uint8)
+        self.i1 = self.base1 + BLOCK
 
     def predict(self) -> np.ndarray:
-        """Cumulative frequencies (5 x lanes, from 0 to the scale) of: order 2 right, order 1 right, order 0, new to the block."""
-        self.i1 = self.base1 + self.last
-        self.i2 = self.base2 + ((self.last * 40503 ^ self.before * 30011) >> 5 & _SLOTS2 - 1)
-        e2 = self.after2.take(self.i2).astype(np.int64)
-        self.p1, self.p2 = (self.here & 0xFFF) - 1, (e2 & 0xFFF) - 1
-        self.k1, self.k2 = self.here & 0x3000, e2 & 0x3000
-        self.a = ((self.k2 >> 9) + (self.k1 >> 11) + (self.p1 == self.p2)) * self.n + self.lane
-        self.b = self.outcomes * self.n + self.lane
+        """Cumulative frequencies (4 a lane, from 0; the scale comes last) of: order 2 right, order 1 right, order 0, new to the
+        block. p1 and p2 are what orders 1 and 2 predict, one more than the number."""
+        self.i2 = self.base2 + ((self.last * _HASH1 ^ self.before * _HASH2) >> 5 & (_SLOTS2 - 1))
+        self.e1, self.e2 = self.here.astype(np.uint16), self.after2.take(self.i2)
+        self.p1, self.p2 = self.e1 & _NUMBER, self.e2 & _NUMBER
+        self.a = ((self.e2 >> 12 << 3) + (self.e1 >> 12 << 1) + (self.p1 == self.p2)) * np.int64(self.n)
+        self.a += self.lane
+        self.b = self.outcomes * np.int64(self.n)
+        self.b += self.lane
         self.wa, self.wb = self.mix_a.take(self.a), self.mix_b.take(self.b)
-        w = self.wa + self.wb + _FLOOR
-        c = self.cumulative
-        np.bitwise_and(w, _MASK, out=c[1])
-        np.bitwise_and(w >> _FIELD, _MASK, out=c[2])
-        np.right_shift(w, 2 * _FIELD, out=c[3])
-        return c
+        w = self.wa + self.wb
+        w += _FLOOR
+        return w.view(np.uint16)
 
     def frequency(self, who: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Order 0's cumulative frequency and frequency of the ids at ``place`` of lanes ``who``."""
-        below, doubled = place.copy(), np.zeros(len(who), np.int64)
+        below, size = place.copy(), np.ones(len(who), np.uint16)
         for k in range(DOUBLINGS):
             border = self.borders[k].take(who)
             below += np.minimum(place, border) << k
-            doubled += place < border
-        return below, np.left_shift(1, doubled)
+            size <<= place < border
+        return below, size
 
     def at(self, who: np.ndarray, below: np.ndarray) -> np.ndarray:
         """The places that hold cumulative frequency ``below`` of lanes ``who``."""
-        place, rest = below >> DOUBLINGS, below
+        rest = below.astype(np.int16)
+        place = rest >> DOUBLINGS
         for k in range(DOUBLINGS - 1, -1, -1):  # frequency 2 ** k: what lies at or after the border of the next higher one
-            border = self.borders[k].take(who)
+            border = self.borders[k].take(who).view(np.int16)
             rest = rest - (border << k)
             place = np.where(place < border, place, rest >> k)
         return place
 
-    def learn(self, ids: np.ndarray, outcome: np.ndarray) -> np.ndarray:
-        """Learn ``ids``, numbers within the block, and give the true ones; ``fresh`` has set those that are new."""
-        gain = _TOWARDS.take(outcome)
-        self.mix_a[self.a] = self.wa - (self.wa >> _RATE & _SHIFTED) + gain
-        self.mix_b[self.b] = self.wb - (self.wb >> _RATE & _SHIFTED) + gain
-        entry = ids + (1 + (1 << 12))
-        self.after2[self.i2] = (entry + (self.p2 == ids) * np.minimum(self.k2, 2 << 12)).astype(np.uint16)
-        self.known[self.i1] = (self.here & ~0xFFFF) + entry + (self.p1 == ids) * np.minimum(self.k1, 2 << 12)
-        self.here = self.known.take(self.base1 + ids) + (1 << 16)  # goes back to its place with what comes after it
+    def learn(self, ids: np.ndarray, outcome: np.ndarray, wide: np.ndarray) -> np.ndarray:
+        """Learn ``ids``, numbers within the block, and give the true ones; ``fresh`` has set those that are new. wide:
+        ``outcome`` in 64 bits."""
+        gain = _TOWARDS.take(wide)
+        for table, at, w in ((self.mix_a, self.a, self.wa), (self.mix_b, self.b, self.wb)):
+            less = w >> _RATE
+            less &= _SHIFTED
+            w -= less
+            w += gain
+            table[at] = w
+        number = ids + np.uint16(1)
+        entry = number + _SURE
+        self.after2[self.i2] = entry + (self.p2 == number) * np.minimum(self.e2 - self.p2, _SURER)
+        self.here.view(np.uint16)[::4] = entry + (self.p1 == number) * np.minimum(self.e1 - self.p1, _SURER)
+        self.known[self.i1] = self.here
+        self.i1 = self.base1 + ids
+        self.here = self.known.take(self.i1)
+        self.here += 1 << 16  # goes back to its place with what comes after it
         new = outcome == 3
         self.shown += new
         self.weight += new
-        count = self.here >> 16 & 0xFFFF
-        who = np.flatnonzero(_DOUBLES.take(count) >= 0)
+        count = self.here.view(np.uint16)[1::4]
+        who = np.flatnonzero(_DOUBLING >> np.minimum(count, np.uint16(15)) & np.uint16(1))
         if len(who):
-            k, base = _DOUBLES[count[who]].astype(np.int64), self.base[who]
-            at = base + ids[who]
+            k, base, ids_of = _WHICH[count[who]], self.base[who], ids[who]
+            at = base + ids_of
             flat = k * self.n + who
             borders = self.borders.reshape(-1)
             to = borders[flat]
-            here, other = self.place[at], self.order[base + to]
-            self.order[base + to], self.order[base + here] = ids[who], other
+            here, there = self.place[at], base + to
+            other = self.order[there]
+            self.order[there], self.order[base + here] = ids_of, other
             self.place[base + other], self.place[at] = here, to
-            borders[flat] = to + 1
-            self.weight[who] += np.left_shift(1, k)
+            borders[flat] = to + np.uint16(1)
+            self.weight[who] += np.left_shift(1, k).astype(np.uint16)
         self.before, self.last = self.last, ids
-        self.outcomes = (self.outcomes & 3) << 2 | outcome
-        return self.here >> 32
+        self.outcomes = (self.outcomes & np.uint8(3)) << 2 | outcome
+        return self.here.view(np.uint16)[2::4]
 
     def fresh(self, who: np.ndarray, ids: np.ndarray, true: np.ndarray) -> None:
         """Lanes ``who`` show ``true`` ids for the first time, as numbers ``ids``."""
@@ -144,7 +157,7 @@ class _Model:
 
 def _numbered(lanes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(number within its lane, whether it is the first of its kind) of each id, both step by step: lanes are columns."""
-    number, new = np.empty(lanes.shape[::-1], np.int16), np.empty(lanes.shape[::-1], bool)
+    number, new = np.empty(lanes.shape[::-1], np.uint16), np.empty(lanes.shape[::-1], bool)
     for k in range(0, len(lanes), _NEAR):  # as many lanes as the nearest caches hold
         number[:, k : k + _NEAR], new[:, k : k + _NEAR] = (x.T for x in _numbered_few(lanes[k : k + _NEAR]))
     return number, new
@@ -159,8 +172,8 @@ def _numbered_few(lanes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     first = np.flatnonzero(starts)
     new = np.zeros(lanes.shape, bool)
     new.reshape(-1)[at[first]] = True
-    number = np.cumsum(new, axis=1, dtype=np.int16) - np.int16(1)
-    out = np.empty(n * size, np.int16)
+    number = np.cumsum(new, axis=1, dtype=np.uint16) - np.uint16(1)
+    out = np.empty(n * size, np.uint16)
     out[at] = np.repeat(number.reshape(-1)[at[first]], np.diff(np.append(first, n * size)))
     return out.reshape(lanes.shape), new
 
@@ -176,18 +189,22 @@ def _encode_lanes(lanes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     place = model.lane.copy()  # in the row of the next digit
     low, span = np.zeros(n, np.int64), np.full(n, (1 << _TOP) - 1, np.int64)
     for step in range(BLOCK):
-        ids, new = numbers[step].astype(np.int64), fresh[step]
-        c = model.predict().reshape(-1)
-        wrong2, wrong1 = (model.p2 != ids).view(np.uint8), (model.p1 != ids).view(np.uint8)
-        outcome = (wrong2 + wrong2 * wrong1 * (np.uint8(1) + new)).astype(np.int64)
-        at = outcome * n + model.lane
+        ids, new = numbers[step], fresh[step]
+        c = model.predict()
+        number = ids + np.uint16(1)
+        wrong2, wrong1 = (model.p2 != number).view(np.uint8), (model.p1 != number).view(np.uint8)
+        outcome = wrong2 + wrong2 * wrong1 * (np.uint8(1) + new)
+        wide = outcome.astype(np.int64)
+        at = model.base4 + wide
         begin = c.take(at)
+        at += 1  # past a lane's last one lies the next lane's 0, which is the scale to the mask
+        size = c.take(at, mode="wrap") - begin & _WHOLE
         r = span >> _SCALE
         low += begin * r
-        span = (c.take(at + n) - begin) * r
+        span = size * r
         who = np.flatnonzero(outcome == 2)
         if len(who):
-            begin, size = model.frequency(who, model.place.take(model.base[who] + ids[who]).astype(np.int64))
+            begin, size = model.frequency(who, model.place.take(model.base[who] + ids[who]))
             r = span[who] // model.weight[who]
             low[who] += begin * r
             span[who] = size * r
@@ -207,7 +224,7 @@ def _encode_lanes(lanes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             place[small] += n
             low[small] = (out & (1 << _LOW) - 1) << 32
             span[small] <<= 32
-        model.learn(ids, outcome)
+        model.learn(ids, outcome, wide)
     flat[place], flat[place + n] = low >> _LOW, (low & (1 << _LOW) - 1) << 2
     sizes = place // n + 2
     digits = digits[: sizes.max()]
@@ -230,22 +247,24 @@ def _decode_lanes(digits: np.ndarray, starts: np.ndarray) -> np.ndarray:
     for step in range(BLOCK):
         c = model.predict()
         r = span >> _SCALE
-        q = value // r
-        outcome = (q >= c[1]).astype(np.int64)
-        outcome += q >= c[2]
-        outcome += q >= c[3]
-        flat = c.reshape(-1)
-        at = outcome * n + model.lane
-        begin = flat.take(at)
+        q = (value // r).astype(np.uint16)
+        outcome = (q >= c[1::4]).view(np.uint8) + (q >= c[2::4])
+        outcome += q >= c[3::4]
+        wide = outcome.astype(np.int64)
+        at = model.base4 + wide
+        begin = c.take(at)
+        at += 1
+        size = c.take(at, mode="wrap") - begin & _WHOLE
         value -= begin * r
-        span = (flat.take(at + n) - begin) * r
+        span = size * r
         ids = np.where(outcome == 0, model.p2, model.p1)
+        ids -= ids > 0
         who = np.flatnonzero(outcome == 2)
         if len(who):
             weight = model.weight[who]
             r = span[who] // np.maximum(weight, 1)
-            spot = model.at(who, np.minimum(value[who] // r, np.maximum(weight - 1, 0)))
-            begin, size = model.frequency(who, spot)
+            spot = model.at(who, np.minimum(value[who] // r, np.maximum(weight, 1) - np.int64(1)))
+            begin, size = model.frequency(who, spot.view(np.uint16))
             value[who] -= begin * r
             span[who] = size * r
             ids[who] = model.order.take(model.base[who] + spot)
@@ -257,14 +276,13 @@ def _decode_lanes(digits: np.ndarray, starts: np.ndarray) -> np.ndarray:
             span[who] = r
             ids[who] = np.minimum(model.shown[who], BLOCK - 1)
             model.fresh(who, ids[who], q)
-        ids = np.maximum(ids, 0)
         small = np.flatnonzero(span < 1 << _LOW)
         if len(small):
             now = np.minimum(place[small], most)
             value[small] = value[small] << 32 | (digits[now] & 3) << _LOW | digits[now + 1] >> 2
             place[small] += 1
             span[small] <<= 32
-        out[step] = model.learn(ids, outcome)
+        out[step] = model.learn(ids, outcome, wide)
     return out.T
 
 

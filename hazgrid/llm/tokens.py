@@ -1,8 +1,8 @@
 """Whole texts to token ids with the ``tokenizers`` library, through a bounded table of words on each worker.
 
-Numpy finds the words of a batch of texts, and for each a 64-bit key and a second 64-bit number that confirms it; keys
-are looked up in a table by their first bits, or else in order, and ids are gathered from its pool. Words that share a key and differ in the second
-number are encoded apart. Only words that the table lacks become strings and go to the library.
+Numpy finds the words of a few texts, and for each a 64-bit key and a second 64-bit number that confirms it; keys are
+looked up in a table by a few runs of their bits, and ids are gathered from its pool. Words that share a key and differ in
+the second number are encoded apart. Only words that the table lacks become strings and go to the library.
 """
 
 from __future__ import annotations
@@ -16,13 +16,16 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 
-#: Words that the table holds.
-TABLE_WORDS = 1_500_000
-#: Bytes of text in work at a time, where memory is a few times that, and where words are gathered.
+#: Words that the table holds, and places where one may lie.
+TABLE_WORDS = 1_000_000
+PROBES = 4
+#: Bytes of text in work at a time, where memory is a few times that, where texts are gathered, and where words are found.
 SLICE_CHARS = 4_000_000
-GATHER_CHARS = 10_000_000
-#: Words that the library encodes as one text.
+GATHER_CHARS = 4_000_000
+NEAR_CHARS = 500_000
+#: Words that the library encodes as one text, and such texts that it gets at once.
 JOINED = 512
+TOGETHER = 16
 #: Words of up to so many bytes get their key from numpy, longer ones from a hash function.
 SHORT = 32
 _ASCII_SPACES = tuple(" \t\n\x0b\x0c\r")
@@ -33,10 +36,11 @@ SIGNS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 #: U+0130 isn't among the letters: in lower case it is two characters, and the second is no letter.
 LETTERS = re.compile("[A-Za-zÀ-ÖØ-öø-įı-ɏ]+")
 
-#: By byte: 1 for ASCII letters, 2 for SIGNS.
-_KIND = np.zeros(256, np.uint8)
-_KIND[[*b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"]] = 1
-_KIND[[*SIGNS.encode()]] = 2
+#: By byte: 1 for ASCII letters, 2 for SIGNS, 4 for the first byte of letters of two bytes.
+_KINDS = bytearray(256)
+for _of, _kind in ((b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz", 1), (SIGNS.encode(), 2), (range(0xC3, 0xC9), 4)):
+    for _byte in _of:
+        _KINDS[_byte] = _kind
 
 _KEEP = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 _odd = np.random.default_rng(20_241_105).integers(0, 2**63, SHORT // 8 + 1, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -80,15 +84,18 @@ def word_keys(data: bytes, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.
     eights = np.ndarray((len(data) + SHORT - 7,), "<u8", buffer, strides=(1,))
     checks = lengths.astype(np.uint64)
     keys = _mixed(checks * _odd[0])
-    some = slice(None)
-    for k in range(SHORT // 8):
+    part = eights[starts] & _KEEP[np.minimum(lengths, 8)]
+    keys = _mixed((keys ^ part) * _odd[1])
+    checks = checks * _CHECK + part
+    some = np.flatnonzero(lengths > 8)
+    for k in range(1, SHORT // 8):
+        if not len(some):
+            return keys, checks
         rest = lengths[some] - 8 * k
         part = eights[starts[some] + 8 * k] & _KEEP[np.minimum(rest, 8)]
         keys[some] = _mixed((keys[some] ^ part) * _odd[k + 1])
         checks[some] = checks[some] * _CHECK + part
-        some = np.flatnonzero(lengths > 8 * (k + 1))
-        if not len(some):
-            return keys, checks
+        some = some[rest > 8]
     for i in np.flatnonzero(lengths > SHORT).tolist():
         digest = xxhash.xxh3_128_intdigest(data[starts[i] : starts[i] + lengths[i]])
         keys[i], checks[i] = digest & 0xFFFFFFFFFFFFFFFF, digest >> 64
@@ -96,52 +103,80 @@ def word_keys(data: bytes, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.
 
 
 class _Table:
-    """Ids by key of a word: keys in order, and for each the place and number of its ids in a pool. By the first bits of a key,
-    ``guess`` has the place of one such key; the others are searched for."""
+    """Ids by key of a word. Words have numbers in the order in which they came, from 1 on; each has a row that is read at once:
+    its key, its second number, then the place and number of its ids in a pool, and when it was used last. PROBES runs of a
+    key's bits say where in ``slots`` its number may lie; a word that finds all of these taken is forgotten."""
 
     def __init__(self):
-        self.keys, self.checks = np.empty(0, np.uint64), np.empty(0, np.uint64)
-        self.starts, self.counts, self.used = np.empty(0, np.int32), np.empty(0, np.int32), np.empty(0, np.int32)
-        self.pool = np.empty(0, np.uint16)
-        self.now = 0
-        self._guess()
-
-    def _guess(self) -> None:
-        bits = max(16, (4 * len(self.keys)).bit_length())
-        self.shift, self.guess = np.uint64(64 - bits), np.zeros(1 << bits, np.int32)
-        self.guess[self.keys >> self.shift] = np.arange(len(self.keys), dtype=np.int32)
+        self.rows, self.pool = np.zeros((1, 4), np.uint64), np.zeros(1, np.uint16)
+        self.n, self.n_ids, self.now = 1, 0, 0
+        self._lay()
+
+    @staticmethod
+    def places(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(places of ids, numbers of ids, times of the last use) of ``rows``."""
+        narrow = rows.view(np.int32)
+        return narrow[:, 4], narrow[:, 5], narrow[:, 6]
+
+    def _lay(self) -> None:
+        self.bits = max(16, (2 * self.n).bit_length())
+        self.slots = np.zeros(1 << self.bits, np.int32)
+        self._put(np.arange(1, self.n, dtype=np.int32))
+
+    def _slot(self, keys: np.ndarray, probe: int) -> np.ndarray:
+        return (keys >> np.uint64(64 - self.bits - 10 * probe) & np.uint64((1 << self.bits) - 1)).view(np.int64)
+
+    def _put(self, numbers: np.ndarray) -> None:
+        for probe in range(PROBES):
+            at = self._slot(self.rows[numbers, 0], probe)
+            free = self.slots[at] == 0
+            self.slots[at[free]] = numbers[free]
+            numbers = numbers[self.slots[at] != numbers]
 
     def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(places of ``keys``, numbers of those that aren't there)."""
+        """(rows of ``keys``, places of those that aren't there)."""
         self.now += 1
-        if not len(self.keys):
-            return np.zeros(len(keys), np.int32), np.arange(len(keys))
-        at = self.guess[keys >> self.shift]
-        other = np.flatnonzero(self.keys[at] != keys)
-        found = np.minimum(np.searchsorted(self.keys, keys[other]), len(self.keys) - 1)
-        at[other] = found
-        lacking = other[self.keys[found] != keys[other]]
-        self.used[at] = self.now
-        return at, lacking
-
-    def add(self, keys: np.ndarray, checks: np.ndarray, ids: list[bytes]) -> None:
-        counts = np.fromiter(map(len, ids), np.int32, len(ids)) // 2
-        starts = (len(self.pool) + np.cumsum(counts) - counts).astype(np.int32)
-        self.pool = np.concatenate([self.pool, np.frombuffer(b"".join(ids), "<u2")])
-        every = np.concatenate([self.keys, keys])
-        order = np.argsort(every, kind="stable")
-        self.keys, self.checks = every[order], np.concatenate([self.checks, checks])[order]
-        self.starts, self.counts = np.concatenate([self.starts, starts])[order], np.concatenate([self.counts, counts])[order]
-        self.used = np.concatenate([self.used, np.full(len(keys), self.now, np.int32)])[order]
-        self._guess()
+        at = self.slots.take(self._slot(keys, 0))
+        rows = self.rows.take(at, axis=0)
+        lacking = np.flatnonzero(rows[:, 0] != keys)
+        for probe in range(1, PROBES):
+            own = keys[lacking]
+            at[lacking] = found = self.slots.take(self._slot(own, probe))
+            rows[lacking] = tried = self.rows.take(found, axis=0)
+            lacking = lacking[tried[:, 0] != own]
+        self.places(self.rows)[2][at] = self.now
+        return rows, lacking
+
+    def add(self, keys: np.ndarray, checks: np.ndarray, ids: list[bytes]) -> np.ndarray:
+        """The rows of these new words."""
+        counts, flat = np.fromiter(map(len, ids), np.int32, len(ids)) // 2, np.frombuffer(b"".join(ids), "<u2")
+        first, end, ids_end = self.n, self.n + len(keys), self.n_ids + len(flat)
+        if end > len(self.rows):
+            self.rows = np.concatenate([self.rows, np.zeros((end - len(self.rows) + end // 2, 4), np.uint64)])
+        if ids_end > len(self.pool):
+            self.pool = np.concatenate([self.pool, np.zeros(ids_end - len(self.pool) + ids_end // 2, np.uint16)])
+        new = self.rows[first:end]
+        new[:, 0], new[:, 1] = keys, checks
+        for column, values in zip(self.places(new), (self.n_ids + np.cumsum(counts) - counts, counts, self.now), strict=True):
+            column[:] = values
+        self.pool[self.n_ids : ids_end] = flat
+        self.n, self.n_ids = end, ids_end
+        if 2 * end > 1 << self.bits:
+            self._lay()
+        else:
+            self._put(np.arange(first, end, dtype=np.int32))
+        return new
 
     def shrink(self) -> None:
         """Forget the half that was used least lately, if there are too many."""
-        if len(self.keys) > TABLE_WORDS:
-            stay = np.sort(np.argpartition(self.used, len(self.used) // 2)[len(self.used) // 2 :])
-            self.keys, self.checks, self.used, starts, self.counts = self.keys[stay], self.checks[stay], self.used[stay], self.starts[stay], self.counts[stay]
-            self.pool, self.starts = self.ids(starts, self.counts), (np.cumsum(self.counts) - self.counts).astype(np.int32)
-            self._guess()
+        if self.n > TABLE_WORDS:
+            stay = np.argpartition(self.places(self.rows)[2][1 : self.n], self.n // 2)[self.n // 2 :]
+            self.rows = self.rows[np.append(0, np.sort(stay) + 1)]
+            starts, counts, _ = self.places(self.rows)
+            self.pool = self.ids(starts, counts)
+            starts[:] = np.cumsum(counts) - counts
+            self.n, self.n_ids = len(self.rows), len(self.pool)
+            self._lay()
 
     def ids(self, starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
         """The ids at all of ``starts``, one run after another."""
@@ -165,10 +200,10 @@ class _Encoder:
 
     def _alone(self, words: list[str]) -> list[bytes]:
         """Ids of each of ``words``, each given to the library by itself."""
-        return [np.array(x.ids, "<u2").tobytes() for x in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+        return [np.array(x.ids, "<u2").tobytes() for x in _batches(self.tokenizer, words, JOINED * TOGETHER)]
 
-    def _words(self, flat: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(starts, lengths) of the words of texts that lie between ``offsets`` of ``flat``."""
+    def _words(self, data: bytes, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(starts, lengths) of the words of texts that lie between ``offsets`` of ``data``."""
         raise NotImplementedError
 
     def _encoded(self, words: list[str]) -> list[bytes]:
@@ -179,46 +214,73 @@ class _Encoder:
         """(ids of all ``texts`` one after another, number of ids of each); null texts are empty."""
         texts = pc.fill_null(texts, "")
         offsets = np.frombuffer(texts.buffers()[1], np.int64 if pa.types.is_large_string(texts.type) else np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
-        data = texts.buffers()[2].to_pybytes()[offsets[0] : offsets[-1]] if len(texts) and offsets[-1] > offsets[0] else b""
-        if not data:
-            return np.empty(0, np.uint16), np.zeros(len(texts), np.int64)
-        offsets -= offsets[0]
-        starts, lengths = self._words(np.frombuffer(data, np.uint8), offsets)
+        ids, lengths, first = [np.empty(0, np.uint16)], [np.empty(0, np.int64)], 0
+        while first < len(texts):  # so few at a time that what is found of them stays near
+            last = max(first + 1, int(np.searchsorted(offsets, offsets[first] + NEAR_CHARS, side="right")) - 1)
+            near = offsets[first : last + 1]
+            data = texts.buffers()[2][int(near[0]) : int(near[-1])].to_pybytes() if near[-1] > near[0] else b""
+            found, n = self._encode(data, near - near[0]) if data else (ids[0], np.zeros(last - first, np.int64))
+            ids.append(found)
+            lengths.append(n)
+            first = last
+        return np.concatenate(ids), np.concatenate(lengths)
+
+    def _encode(self, data: bytes, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        table = self.table
+        starts, lengths = self._words(data, offsets)
         keys, checks = word_keys(data, starts, lengths)
-        at, lacking = self.table.find(keys)
+        rows, lacking = table.find(keys)
         if len(lacking):
-            first = lacking[np.unique(keys[lacking], return_index=True)[1]]
-            self.table.add(keys[first], checks[first], self._encoded(_strings(data, starts[first], lengths[first])))
-            at = self.table.find(keys)[0]
-        counts, places = self.table.counts[at], self.table.starts[at]
-        other = np.flatnonzero(self.table.checks[at] != checks)
+            _, first, which = np.unique(keys[lacking], return_index=True, return_inverse=True)
+            first = lacking[first]
+            rows[lacking] = table.add(keys[first], checks[first], self._encoded(_strings(data, starts[first], lengths[first])))[which]
+        places, counts, _ = table.places(rows)
+        other = np.flatnonzero(rows[:, 1] != checks)
         if len(other):  # words that share their key with another one
             apart = self._encoded(_strings(data, starts[other], lengths[other]))
             counts[other], places[other] = 0, 0
-        ids = self.table.ids(places, counts)
+        ids = table.ids(places, counts)
         if len(other):
             ids, counts = _put(ids, counts, other, apart)
         ends = np.append(0, np.cumsum(counts))
-        self.table.shrink()
+        table.shrink()
         return ids, np.diff(ends[np.searchsorted(starts, offsets)])
 
 
-def _split(flat: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """``starts`` of words, and the places in them between a letter (of ASCII, or of two bytes up to U+023F but for U+0130) and a
-    sign, but not of words that may hold a special token's name. Copies of a word with other signs around it are then one
-    word, and the signs another."""
-    kinds = _KIND[flat]
-    lead = np.flatnonzero((flat >= 0xC3) & (flat <= 0xC8))
-    pair = flat[lead].astype(np.uint16) << 8 | flat[lead + 1]
-    lead = lead[(pair != 0xC397) & (pair != 0xC3B7) & (pair != 0xC4B0)]
-    kinds[lead] = kinds[lead + 1] = 1
-    cuts = np.flatnonzero(kinds[1:] + kinds[:-1] == 3) + 1
+def _batches(tokenizer, texts: list[str], most: int) -> Iterator:
+    """The library's results for ``texts``, which it gets ``most`` at once."""
+    for k in range(0, len(texts), most):
+        yield from tokenizer.encode_batch_fast(texts[k : k + most], add_special_tokens=False)
+
+
+def _split(data: bytes, flat: np.ndarray, begins: np.ndarray) -> np.ndarray:
+    """Where words start, from ``begins``, which is true where they do, and the places in them between a letter (of ASCII, or of two bytes
+    up to U+023F but for U+0130) and a sign, but not of words that may hold a special token's name. Copies of a word with
+    other signs around it are then one word, and the signs another."""
+    kinds = np.frombuffer(bytearray(data.translate(_KINDS)), np.uint8)
+    lead = np.flatnonzero(kinds == 4)
+    if len(lead):
+        pair = flat[lead].astype(np.uint16) << 8 | flat[lead + 1]
+        kinds[lead] = 0
+        lead = lead[(pair != 0xC397) & (pair != 0xC3B7) & (pair != 0xC4B0)]
+        kinds[lead] = kinds[lead + 1] = 1
+    cuts = kinds[1:] + kinds[:-1] == 3
     bars = np.flatnonzero((flat[:-1] == 0x3C) & (flat[1:] == 0x7C))
     if len(bars):
+        starts = np.flatnonzero(begins)
         special = np.zeros(len(starts) + 1, bool)
         special[np.searchsorted(starts, bars, side="right")] = True
-        cuts = cuts[~special[np.searchsorted(starts, cuts, side="right")]]
-    return np.sort(np.concatenate([starts, cuts]), kind="stable")
+        at = np.flatnonzero(cuts)
+        cuts[at[special[np.searchsorted(starts, at + 1, side="right")]]] = False
+    begins[1:] |= cuts
+    return np.flatnonzero(begins)
+
+
+def _at(offsets: np.ndarray) -> np.ndarray:
+    """For each byte whether a text starts there."""
+    begins = np.zeros(offsets[-1] + 1, bool)
+    begins[offsets] = True
+    return begins[:-1]
 
 
 def _strings(data: bytes, starts: np.ndarray, lengths: np.ndarray) -> list[str]:
@@ -256,7 +318,7 @@ class WordEncoder(_Encoder):
     def _joined(self, tokenizer, words: list[str], at: list[int], out: list[bytes]) -> None:
         """Puts the ids of ``words`` at the places ``at`` of ``out``."""
         runs = range(0, len(words), JOINED)
-        for k, encoded in zip(runs, tokenizer.encode_batch_fast([" ".join(words[k : k + JOINED]) for k in runs], add_special_tokens=False), strict=True):
+        for k, encoded in zip(runs, _batches(tokenizer, [" ".join(words[k : k + JOINED]) for k in runs], TOGETHER), strict=True):
             ids = np.array(encoded.ids, "<u2")
             ends = np.flatnonzero(self.last[ids])
             places = at[k : k + JOINED]
@@ -281,15 +343,15 @@ class WordEncoder(_Encoder):
             out[i] = ids
         return out
 
-    def _words(self, flat: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def _words(self, data: bytes, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         # A word begins at a text, after a space or line end, and at one, which is a word without ids.
+        flat = np.frombuffer(data, np.uint8)
         blank = (flat == 32) | (flat == 10)
-        edges = np.flatnonzero(blank[1:] != blank[:-1]) + 1
-        starts = _split(flat, np.sort(np.concatenate([offsets[:-1], edges]), kind="stable"))
-        lengths = np.diff(np.append(starts, offsets[-1]))
-        some = np.flatnonzero(lengths > 0)
-        some = some[~blank[starts[some]]]
-        return starts[some], lengths[some]
+        begins = _at(offsets)
+        begins[1:] |= blank[1:] != blank[:-1]
+        starts = _split(data, flat, begins)
+        some = ~blank[starts]
+        return starts[some], np.diff(starts, append=offsets[-1])[some]
 
 
 class ByteEncoder(_Encoder):
@@ -307,15 +369,17 @@ class ByteEncoder(_Encoder):
             token = self.tokenizer.decode([id_], skip_special_tokens=False)
             self.opens[id_], self.closes[id_] = token[:1] in _ASCII_SPACES, token[-1:] in _ASCII_SPACES
 
-    def _words(self, flat: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def _words(self, data: bytes, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        flat = np.frombuffer(data, np.uint8)
         space = (flat == 32) | ((flat >= 9) & (flat <= 13))
         cuts = np.flatnonzero(space[1:] & ~space[:-1]) + 1
         high = np.flatnonzero(flat[cuts - 1] >= 0x80)
         before, third = flat[np.maximum(cuts[high] - 2, 0)], flat[np.maximum(cuts[high] - 3, 0)]
         cuts = np.delete(cuts, high[(before == 0xC2) | ((third >= 0xE1) & (third <= 0xE3))])
-        starts = _split(flat, np.sort(np.concatenate([offsets[:-1], cuts]), kind="stable"))
-        lengths = np.diff(np.append(starts, offsets[-1]))
-        return starts[lengths > 0], lengths[lengths > 0]
+        begins = _at(offsets)
+        begins[cuts] = True
+        starts = _split(data, flat, begins)
+        return starts, np.diff(starts, append=offsets[-1])
 
     def _encoded(self, words: list[str]) -> list[bytes]:
         joint = [w[0] in _ASCII_SPACES and len(w.split()) == 1 and "<|" not in w for w in words]
@@ -323,7 +387,7 @@ class ByteEncoder(_Encoder):
         alone = [i for i, x in enumerate(joint) if not x]
         many = [i for i, x in enumerate(joint) if x]
         runs = [many[at : at + JOINED] for at in range(0, len(many), JOINED)]
-        for run, encoded in zip(runs, self.tokenizer.encode_batch_fast(["".join(words[i] for i in run) for run in runs], add_special_tokens=False), strict=True):
+        for run, encoded in zip(runs, _batches(self.tokenizer, ["".join(words[i] for i in run) for run in runs], TOGETHER), strict=True):
             found = np.array(encoded.ids, "<u2")
             begins = np.flatnonzero(self.opens[found] & ~np.append(False, self.closes[found[:-1]])).tolist()
             if len(begins) != len(run) or begins[0]:

@@ -26,6 +26,8 @@ BITS = 18
 THRESHOLD = 0.3
 PREFIXES = (3, 4, 5, 6)
 CACHE_WORDS = 300_000
+#: Features that a step of the fit works on at a time.
+PART = 500_000
 SENTENCE = re.compile(r"[^.!?\n]+")
 WORD = re.compile(r"[^\W\d_]+")
 
@@ -83,23 +85,33 @@ def fit_noisy_or(docs: list[list[np.ndarray]], toxic: np.ndarray, settings: Trai
     first = np.cumsum(n_sentences) - n_sentences
     lengths = np.array([len(s) for s in per_sentence], np.int64)
     flat = np.concatenate(per_sentence)
-    in_docs = np.bincount(np.unique((np.repeat(owner, lengths) << BITS) | flat) & ((1 << BITS) - 1), minlength=1 << BITS)
+    in_docs = np.zeros(1 << BITS, np.int32)
+    for i in keep:
+        in_docs[np.unique(np.concatenate(docs[i]))] += 1
     used = np.flatnonzero(in_docs >= settings.least_docs)
     place = np.full(1 << BITS, -1, np.int32)
     place[used] = np.arange(len(used), dtype=np.int32)
     index = place[flat]
     sentence = np.repeat(np.arange(len(lengths), dtype=np.int32), lengths)[index >= 0]
     index = index[index >= 0]
+    # The features in parts of whole sentences: what a step makes of them is as large as a part.
+    borders = np.unique(np.searchsorted(sentence, sentence[::PART])).tolist() + [len(index)]
+    parts = [(slice(a, b), sentence[a], sentence[b - 1] + 1) for a, b in zip(borders, borders[1:])]
     w, bias = np.zeros(len(used)), -6.0
     m, v = np.zeros(len(used) + 1), np.zeros(len(used) + 1)
     for step in range(1, settings.steps + 1):
-        z = np.clip(bias + np.bincount(sentence, w[index], len(lengths)), -30, 30)
+        z = np.zeros(len(lengths))
+        for part, first_of, end in parts:
+            z[first_of:end] = np.bincount(sentence[part] - first_of, w[index[part]], end - first_of)
+        z = np.clip(bias + z, -30, 30)
         p = 1 / (1 + np.exp(-z))
         harmless = np.add.reduceat(np.log1p(-np.minimum(p, 1 - 1e-12)), first)
         total = np.maximum(-np.expm1(harmless), 1e-9)
         pull = share * np.where(toxic == 1, -np.exp(harmless) / total, 1.0)
         slope = pull[owner] * p
-        gradient = np.append(np.bincount(index, slope[sentence], len(used)), slope.sum())
+        gradient = np.append(np.zeros(len(used)), slope.sum())
+        for part, *_ in parts:
+            np.add.at(gradient, index[part], slope[sentence[part]])
         m = 0.9 * m + 0.1 * gradient
         v = 0.99 * v + 0.01 * gradient**2
         move = settings.rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-5)

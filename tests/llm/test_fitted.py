@@ -3,6 +3,7 @@
 import math
 import os
 import random
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -38,6 +39,17 @@ def test_toxicity_held_out(spark):
     assert set(where) == {r.doc_id for r in got if r.predicted} and all("zork" in s for s in where.values())
 
 
+def test_fit_takes_little_memory():
+    """pipeline: a step of the fit makes parts of what it needs, besides the features themselves."""
+    rng = np.random.default_rng(2)
+    docs = [[rng.integers(0, 5000, 20_000).astype(np.int32)] for _ in range(200)]
+    tracemalloc.start()
+    toxicity.fit_noisy_or(docs, np.arange(200) % 2, toxicity.TrainSettings(steps=2))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 6 * 4 * 20_000 * 200
+
+
 def test_toxicity_edges(spark):
     docs, labels = corpus(spark, 40)
     odd = spark.createDataFrame([(None, "x y. z", "en", "s", 0), (1, None, "en", "s", 0), (2, "", "en", "s", 0), (2, "", "en", "s", 0), (3, "a " * 50_000, "en", "s", 0)], docs.schema)

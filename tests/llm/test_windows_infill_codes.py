@@ -3,6 +3,7 @@
 import hashlib
 import math
 import random
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 from fractions import Fraction
@@ -11,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from hazgrid.llm import codes, infill, queries, tokens, windows
+from hazgrid.llm import codes, idcoder, infill, queries, tokens, windows
 
 P = pytest.importorskip("public_tokenizers")
 DOCS = "doc_id long, text string, lang string, length long, sequence_id string, _text string, output string"
@@ -81,6 +82,28 @@ def test_known_words_are_looked_up(monkeypatch):
     assert all((a == b).all() for a, b in zip(first, own.encode(some), strict=True))
 
 
+def test_encoders_take_little_memory(encoder):
+    """pipeline: what is found of many texts is worked on a few texts at a time, and no more is kept than their ids."""
+    own = encoder[0](encoder[1])
+    some = pa.array([" ".join(f"word{i % 7}x" for i in range(k, k + 5000)) for k in range(100)])
+    own.encode(some)
+    tracemalloc.start()
+    own.encode(some)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 5 * some.nbytes
+
+
+def test_batches_are_looked_up_once(monkeypatch):
+    """op1: when words are new, those that the table holds aren't looked up again; ids of the coder's numbers take 16 bits."""
+    own, real, calls = tokens.WordEncoder(P.path("word_bpe_49k.json")), tokens._Table.find, []
+    monkeypatch.setattr(tokens._Table, "find", lambda *a: calls.append(1) or real(*a))
+    own.encode(pa.array(["some new words", "some more"]))
+    model = idcoder._Model(4)
+    model.predict()
+    assert len(calls) == 1 and {x.itemsize for x in (model.p1, model.p2, model.last, model.weight, model.borders)} == {2}
+
+
 # -- packing into windows
 
 
