@@ -171,8 +171,10 @@ def big_spenders(spark, sf):
 
 
 def lateral_latest(spark, sf):
-    """Each customer with the latest two orders of its own: a lateral subquery. A customer of several rows is one."""
-    asked = "SELECT c_custkey, o_orderkey FROM (SELECT DISTINCT c_custkey FROM {customers}), LATERAL (SELECT o_orderkey FROM {orders} WHERE o_custkey = c_custkey ORDER BY o_orderdate DESC, o_orderkey LIMIT 2)"
+    """Each customer with the latest two orders of its own: a lateral subquery. A customer of several rows is one. The subquery
+    selects what it sorts by: else a projection stands between sort and limit, and Spark's limit a customer loses the order."""
+    asked = """SELECT c_custkey, o_orderkey FROM (SELECT DISTINCT c_custkey FROM {customers}),
+ LATERAL (SELECT o_orderkey, o_orderdate FROM {orders} WHERE o_custkey = c_custkey ORDER BY o_orderdate DESC NULLS LAST, o_orderkey NULLS LAST LIMIT 2)"""
     return spark.sql(asked, customers=table(spark, sf, "customer"), orders=table(spark, sf, "orders"))
 
 

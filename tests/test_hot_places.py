@@ -141,6 +141,17 @@ def test_lateral_latest_of_repeated_customers(spark, tmp_path):
     assert sorted(map(tuple, joins.lateral_latest(spark, str(tmp_path)).collect())) == [(1, 3), (1, 4)]
 
 
+def test_lateral_latest_keeps_its_order(spark, tmp_path):
+    """The limit a customer is by date and key itself, not by the order in which a shuffle happens to bring its rows; no key comes last."""
+    spark.range(2).toDF("c_custkey").write.parquet(f"{tmp_path}/customer.parquet")
+    o = spark.createDataFrame([(k, 1, "2020-01-01") for k in (None, 7, 5, 6)] + [(8, 1, None)], "o_orderkey long, o_custkey long, d string").withColumn("o_orderdate", F.to_timestamp_ntz("d"))
+    o.write.parquet(f"{tmp_path}/orders.parquet")
+    latest = joins.lateral_latest(spark, str(tmp_path))
+    assert sorted(map(tuple, latest.collect())) == [(1, 5), (1, 6)]
+    window = next(x for x in latest._jdf.queryExecution().optimizedPlan().toString().splitlines() if "+- Window [" in x)
+    assert re.search(r"\(o_custkey#\w+, o_orderdate#\w+ DESC NULLS LAST, o_orderkey#\w+ ASC", window)
+
+
 def test_alerts_covering(spark, points):
     """Alerts alike in rings or zones, some with both, and a point of two rows: pairs come out of the last join alone."""
     square = F.array(*(F.struct((F.lit(-90.0) + dx).alias("x"), (F.lit(40.0) + dy).alias("y")) for dx, dy in ((-0.5, -0.5), (0.5, -0.5), (0.5, 0.5), (-0.5, 0.5))))
