@@ -169,6 +169,23 @@ def test_alerts_covering(spark, points):
     _hold(spark, spans, {(7, a, 0, N - 2, N // 2) for a in covering})
 
 
+def test_alerts_covering_is_small_on_disk(spark, tmp_path, monkeypatch):
+    """Rows come in an order that repeats within a page of a file, also where a place has more alerts than a page has rows."""
+    monkeypatch.setattr(covers, "LIST", 20)
+    square = F.array(*(F.struct((F.lit(-90.0) + dx).alias("x"), (F.lit(40.0) + dy).alias("y")) for dx, dy in ((-0.5, -0.5), (0.5, -0.5), (0.5, 0.5), (-0.5, 0.5))))
+    alerts = spark.range(30_000).toDF("alert_id").select("alert_id", F.array(square).alias("rings"), F.array(F.lit("z")).alias("zones"))
+    zones = spark.range(1).select(F.lit("z").alias("zone"), square.alias("ring"))
+    spot = spark.range(50).select("id", F.lit(40.0).alias("lat"), F.lit(-90.0).alias("lon"))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as for tables too large for it
+    try:
+        covers.alerts_covering(spot, alerts, zones, "id", 0.8).write.parquet(f"{tmp_path}/pairs")
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert spark.read.parquet(f"{tmp_path}/pairs").distinct().count() == spark.read.parquet(f"{tmp_path}/pairs").count() == 50 * 30_000
+    assert sum(f.stat().st_size for f in (tmp_path / "pairs").glob("*.parquet")) < 0.75 * 50 * 30_000
+
+
 def test_match_fixes_of_short_routes(spark, monkeypatch):
     """A fix far from all vertices of a route that lies within its stretch has met them all; longer routes are still searched."""
     v = spark.range(N).select((F.col("id") % 150).alias("route"), F.floor(F.col("id") / 150).cast("int").alias("seq"), (43 + F.floor(F.col("id") / 150) / 100).alias("lat"), F.lit(-90.0).alias("lon"))
