@@ -1,6 +1,7 @@
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -151,6 +152,27 @@ def test_query_distances_against_all_pairs(spark):
     assert spatial.query_distances(df.limit(0), "id", "v", F.col("id") % 7 == 0).count() == 0
 
 
+def test_query_distances_rounded(spark, monkeypatch):
+    """Products of matrices give the digits that terms give, also next to a border, for copies, nulls and what is not finite; and
+    few pairs are summed term by term."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(60, 8)).astype("float32")
+    x[40:50] = x[:10]
+    x[50:, 1:] = x[:10, 1:]
+    x[50:, 0] = x[:10, 0] + np.arange(10) / 8 + 0.5  # the distance is a border at no digits
+    rows = [(i, [float(f) for f in v]) for i, v in enumerate(x)] + [(60, None), (61, [math.inf] * 8), (62, [None] * 8)]
+    df = spark.createDataFrame(rows, "id long, v array<float>")
+    for digits in (0, 4):
+        got = {(r.a, r.b): r.distance for r in spatial.query_distances(df, "id", "v", F.col("id") % 7 == 0, 16, digits=digits).collect()}
+        exact = {(r.a, r.b): r.distance for r in spatial.query_distances(df, "id", "v", F.col("id") % 7 == 0, 16).collect()}
+        half = lambda v: v if v is None or math.isinf(v) else math.floor(v * 10**digits + 0.5) / 10**digits
+        assert len(got) == 9 * 62 and got == {k: half(v) for k, v in exact.items()}
+    summed, terms = [], spatial._terms
+    monkeypatch.setattr(spatial, "_terms", lambda a, b: summed.append(len(a)) or terms(a, b))
+    spatial._rounded(rng.normal(size=(64, 64)), rng.normal(size=(1024, 64)), 4)
+    assert sum(summed) < 100
+
+
 def test_journeys_are_read_back_with_walks(spark):
     from hazgrid.operators import raptor
 
