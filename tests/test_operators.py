@@ -167,6 +167,8 @@ def test_query_distances_rounded(spark, monkeypatch):
         exact = {(r.a, r.b): r.distance for r in spatial.query_distances(df, "id", "v", F.col("id") % 7 == 0, 16).collect()}
         half = lambda v: v if v is None or math.isinf(v) else math.floor(v * 10**digits + 0.5) / 10**digits
         assert len(got) == 9 * 62 and got == {k: half(v) for k, v in exact.items()}
+    nulls = spatial.query_distances(spark.createDataFrame([(0, None), (1, None), (2, [])], df.schema), "id", "v", F.col("id") == 0, digits=4)
+    assert sorted(map(tuple, nulls.collect())) == [(0, 1, None), (0, 2, None)]
     summed, terms = [], spatial._terms
     monkeypatch.setattr(spatial, "_terms", lambda a, b: summed.append(len(a)) or terms(a, b))
     spatial._rounded(rng.normal(size=(64, 64)), rng.normal(size=(1024, 64)), 4)
